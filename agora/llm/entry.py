@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from .decontam import op10_decontam
+from .pieces import op3_pieces
 from .sharding import op9_sharding
 
 QUERIES = {
+    "op3_pieces": op3_pieces,
+    "op10_decontam": op10_decontam,
     "op9_sharding": op9_sharding,
 }
 ORACLE_SQL: dict[str, str] = {}
