@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 from .decontam import op10_decontam
+from .lines import OP2_SQL, op2_lines
 from .pieces import op3_pieces
+from .quality import op8_quality
 from .sharding import op9_sharding
 
 QUERIES = {
+    "op2_lines": op2_lines,
     "op3_pieces": op3_pieces,
     "op10_decontam": op10_decontam,
+    "op4_urls": op4_urls,
+    "op8_quality": op8_quality,
     "op9_sharding": op9_sharding,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op2_lines": OP2_SQL}
