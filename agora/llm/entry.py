@@ -7,6 +7,7 @@ from .lines import OP2_SQL, op2_lines
 from .pieces import op3_pieces
 from .quality import op8_quality
 from .sharding import op9_sharding
+from .urls import op4_urls
 
 QUERIES = {
     "op2_lines": op2_lines,

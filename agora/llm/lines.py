@@ -69,7 +69,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     wins = windows(docs, id_col, text_col, min_chars)
     prints = _prints(wins)
     shared = checkpointed(prints.groupBy("least").agg(F.count("*").alias("n")).where("n > 1").select("least"))
-    rows = wins.select("id", "mark", F.explode("w").alias("w"), "at").select("id", "mark", "w.s", "w.n", "w.key", "w.least", F.slice("at", F.col("w.s") + 1, F.col("w.n")).alias("at"))
+    rows = wins.select("id", "mark", F.explode_outer("w").alias("w"), "at").where("w is not null").select("id", "mark", "w.s", "w.n", "w.key", "w.least", F.slice("at", F.col("w.s") + 1, F.col("w.n")).alias("at"))
     near = checkpointed(rows.join(shared, "least", "left_semi").drop("least", "n"))
     first = checkpointed(near.groupBy("key").agg(F.min(F.struct("id", "mark", "s")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
     later = near.join(first, "key").where(F.struct("id", "mark", "s") > F.col("first"))
@@ -80,7 +80,7 @@ def _prints(wins: DataFrame) -> DataFrame:
     """One row per selected position: places are distinct integers, so each fingerprint counts once where it stands."""
     chosen = F.array_sort(F.transform("w", lambda x: F.struct(x["place"].alias("place"), x["least"].alias("least"))))
     df = wins.select(chosen.alias("p"))
-    return df.select(F.explode(F.filter(F.transform("p", lambda x, i: F.when(~F.get("p", i - 1)["place"].eqNullSafe(x["place"]), x["least"])), lambda x: x.isNotNull())).alias("least"))
+    return df.select(F.explode_outer(F.filter(F.transform("p", lambda x, i: F.when(~F.get("p", i - 1)["place"].eqNullSafe(x["place"]), x["least"])), lambda x: x.isNotNull())).alias("least")).where("least is not null")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
@@ -112,10 +112,10 @@ spans AS (
   SELECT x.doc_id, x.k AS s, min(y.k) AS e FROM c x JOIN c y ON x.doc_id = y.doc_id AND y.k >= x.k AND y.upto - x.before >= 100 GROUP BY ALL
   UNION
   SELECT y.doc_id, max(x.k) AS s, y.k AS e FROM c x JOIN c y ON x.doc_id = y.doc_id AND y.k >= x.k AND y.upto - x.before >= 100 GROUP BY y.doc_id, y.k),
-lists AS (SELECT doc_id, list(line ORDER BY k) AS ls, list(i ORDER BY k) AS at FROM c GROUP BY doc_id),
-w AS (SELECT doc_id, s, array_to_string(list_slice(ls, s, e), chr(10)) AS run, list_slice(at, s, e) AS at FROM spans JOIN lists USING (doc_id)),
+lists AS (SELECT doc_id, list(line ORDER BY k) AS ls, list(i ORDER BY k) AS pos FROM c GROUP BY doc_id),
+w AS (SELECT doc_id, s, array_to_string(list_slice(ls, s, e), chr(10)) AS run, list_slice(pos, s, e) AS pos FROM spans JOIN lists USING (doc_id)),
 f AS (SELECT *, min(struct_pack(a := doc_id, b := s)) OVER (PARTITION BY run) AS first FROM w),
-gone AS (SELECT DISTINCT doc_id, unnest(at) AS i FROM f WHERE struct_pack(a := doc_id, b := s) > first),
+gone AS (SELECT DISTINCT doc_id, unnest(pos) AS i FROM f WHERE struct_pack(a := doc_id, b := s) > first),
 kept AS (SELECT doc_id, count(*) AS n_lines, count(g.i) AS n_removed,
            coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (WHERE g.i IS NULL), '') AS text
          FROM l LEFT JOIN gone g USING (doc_id, i) GROUP BY doc_id)
