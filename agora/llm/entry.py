@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontam import op10_decontam
+from .hmm import op7_hmm
 from .lines import OP2_SQL, op2_lines
 from .pieces import op3_pieces
 from .quality import op8_quality
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_pieces": op3_pieces,
     "op10_decontam": op10_decontam,
     "op4_urls": op4_urls,
+    "op7_hmm": op7_hmm,
     "op8_quality": op8_quality,
     "op9_sharding": op9_sharding,
 }
