@@ -8,9 +8,11 @@ from .lines import OP2_SQL, op2_lines
 from .pieces import op3_pieces
 from .quality import op8_quality
 from .sharding import op9_sharding
+from .toxicity import op1_toxicity
 from .urls import op4_urls
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_lines": op2_lines,
     "op3_pieces": op3_pieces,
     "op10_decontam": op10_decontam,
