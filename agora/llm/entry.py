@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontam import op10_decontam
 from .hmm import op7_hmm
 from .lines import OP2_SQL, op2_lines
+from .neardup import op5_neardup
 from .pieces import op3_pieces
 from .quality import op8_quality
 from .sharding import op9_sharding
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_lines": op2_lines,
     "op3_pieces": op3_pieces,
+    "op5_neardup": op5_neardup,
     "op10_decontam": op10_decontam,
     "op4_urls": op4_urls,
     "op7_hmm": op7_hmm,
