@@ -331,6 +331,26 @@ def train(rows: DataFrame, model: Model, passes: int) -> Model:
     return model
 
 
+def most_frequent(tops: DataFrame, vocab: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The vocab most frequent tokens and their counts, from every bucket's own; about the square root of the buckets meet at the driver."""
+
+    def merge(rows: list[tuple[list[int], list[int]]]) -> tuple[np.ndarray, np.ndarray]:
+        h, n = (np.concatenate([np.zeros(0, np.int64), *(np.asarray(r[i], np.int64) for r in rows)]) for i in (0, 1))
+        order = np.lexsort((h, -n))[:vocab]
+        return h[order], n[order]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = merge([])
+        for b in batches:
+            for r in b.to_pylist():
+                best = merge([best, (r["top"], r["top_n"])])
+        yield pa.RecordBatch.from_pylist([{"top": best[0].tolist(), "top_n": best[1].tolist()}], schema=pa.schema([("top", pa.list_(pa.int64())), ("top_n", pa.list_(pa.int64()))]))
+
+    some = tops.repartition(int(np.ceil(np.sqrt(parts)))).mapInArrow(run, "top array<long>, top_n array<long>")
+    h, n = merge([tuple(r) for r in some.collect()])
+    return h.view(np.uint64), n
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, vocab: int = VOCAB, passes: int = PASSES) -> DataFrame:
     """id (long), held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
@@ -340,8 +360,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", state
     dealt = sent.withColumn("to", F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.pmod(F.xxhash64("block"), F.lit(parts)).cast("int")))
     counted = checkpointed(dealt.repartition(parts, "to").drop("to").mapInArrow(_count(vocab), COUNTED_DDL))
     n, v = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    top = counted.where("top is not null").select(F.explode(F.arrays_zip("top", "top_n")).alias("t")).select("t.*").orderBy(F.desc("top_n"), "top").limit(vocab).collect()
-    model = Model(np.array([r.top for r in top], np.int64).view(np.uint64), np.array([r.top_n for r in top], np.int64), n, v, states)
+    top = most_frequent(counted.where("top is not null").select("top", "top_n"), vocab, parts)
+    model = Model(*top, n, v, states)
     model = train(rows, model, passes)
     ready = spark.sparkContext.broadcast(model)
 
