@@ -69,23 +69,22 @@ def signatures(doc: np.ndarray, g: np.ndarray, weight: np.ndarray, n: int, m: in
 
     at, state, t = arrive(at, state, t)
     while True:
-        due = t <= limit[doc[at]]
-        if due.any():
-            a, s, x = at[due], state[due], t[due]
-            place = doc[a] * m + ((mix(s ^ np.uint64(0xA0761D6478BD642F)) >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
-            np.minimum.at(taken, place, x)
-            won = taken[place] == x
-            out[place[won]] = g[a[won]]
-            wait = ~due
-            a, s, x = arrive(a, s, x)
-            at, state, t = np.concatenate((at[wait], a)), np.concatenate((state[wait], s)), np.concatenate((t[wait], x))
-            on = t <= limit[doc[at]]
-            if on.any():
-                continue
+        later = []
+        while len(at):  # arrivals up to the limit; what comes after it waits
+            due = t <= limit[doc[at]]
+            if not due.all():
+                later.append((at[~due], state[~due], t[~due]))
+                at, state, t = at[due], state[due], t[due]
+            place = doc[at] * m + ((mix(state ^ np.uint64(0xA0761D6478BD642F)) >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
+            np.minimum.at(taken, place, t)
+            won = taken[place] == t
+            out[place[won]] = g[at[won]]
+            at, state, t = arrive(at, state, t)
         open_ = np.isinf(taken.reshape(n, m)).any(1)
         if not open_.any():
             return out.reshape(n, m)
         limit[open_] *= 1.5
+        at, state, t = (np.concatenate(x) for x in zip(*later, strict=True))
         keep = open_[doc[at]]
         at, state, t = at[keep], state[keep], t[keep]
 
