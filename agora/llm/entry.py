@@ -9,6 +9,7 @@ from .neardup import op5_neardup
 from .pieces import op3_pieces
 from .quality import op8_quality
 from .sharding import op9_sharding
+from .suffixes import op6_suffixes
 from .toxicity import op1_toxicity
 from .urls import op4_urls
 
@@ -19,6 +20,7 @@ QUERIES = {
     "op5_neardup": op5_neardup,
     "op10_decontam": op10_decontam,
     "op4_urls": op4_urls,
+    "op6_suffixes": op6_suffixes,
     "op7_hmm": op7_hmm,
     "op8_quality": op8_quality,
     "op9_sharding": op9_sharding,
