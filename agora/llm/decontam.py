@@ -164,5 +164,25 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_tile: int = MIN_TILE, cover
     return out.withColumnRenamed("id", id_col)
 
 
+def without_leaks(docs: DataFrame, benchmark: DataFrame, min_tile: int = MIN_TILE, coverage: float = COVERAGE, text_col: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """The rows of docs that leak no item, with all their columns."""
+    at, sc = docs.columns.index(text_col), docs.sparkSession.sparkContext
+
+    def against(sent):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = Index(sent.value, min_tile)
+            for b in batches:
+                keep = np.ones(b.num_rows, bool)
+                for i, h in tokens_of(b.column(at)):
+                    keep[i] = next(index.match(h, coverage), None) is None
+                yield b.filter(pa.array(keep))
+
+        return run
+
+    for items in blocks(benchmark, "item_id", "text", block_tokens):
+        docs = docs.mapInArrow(against(sc.broadcast(items)), docs.schema)
+    return docs
+
+
 def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

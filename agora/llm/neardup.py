@@ -213,5 +213,12 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
     return members.join(checkpointed(of), ["ka", "kb"]).select(F.col("id").alias(id_col), "class_id", F.col("rep").alias("rep_id"))
 
 
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs whose id is the smallest of its class; rows that share an id stay or go together. Rows without id stay."""
+    first = classes(docs, id_col=id_col, text_col=text_col).where(F.col(id_col) == F.col("class_id")).select(id_col).distinct()
+    named = docs.where(F.col(id_col).isNotNull()).join(first, id_col, "left_semi").select(*docs.columns)
+    return named.unionAll(docs.where(F.col(id_col).isNull()))
+
+
 def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents"))

@@ -2,8 +2,9 @@
 
 Features are tokens (letters, digits and non-ASCII characters, A-Z
 lower-cased) and their prefixes of 4 to 6 bytes, so that inflected forms of a
-stem count together. From a bounded sample of labelled texts, those whose
-log-likelihood ratio for the toxic label reaches `evidence` are kept. Weights
+stem count together. From a bounded sample of labelled texts, those are kept whose
+log-likelihood ratio for the toxic label reaches `evidence` and of whose texts at
+least the share `purity` is toxic. Weights
 are TF-IDF with document frequencies over all texts. The examples' postings are
 an inverted index in blocks of examples, with the largest weight of every
 feature in every block. A text's nearest examples by cosine are exact: blocks are read by falling
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import NOT_ALNUM, byte_values, checkpointed, column, mix, pieces, powers, prefix_sums, shingles, table, word_hashes, words
 
-SAMPLE, FEATURES, EVIDENCE, NEIGHBOURS, BLOCK_EXAMPLES = 20_000, 4096, 25.0, 15, 64
+SAMPLE, FEATURES, EVIDENCE, PURITY, NEIGHBOURS, BLOCK_EXAMPLES = 20_000, 4096, 25.0, 0.7, 15, 64
 PREFIXES = (4, 5, 6)
 
 
@@ -181,7 +182,7 @@ def _sampled(docs: DataFrame, labels: DataFrame, label_col: str, sample: int) ->
     return rows.join(F.broadcast(docs.sparkSession.createDataFrame(kept, "id long")), "id")
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample: int = SAMPLE, features: int = FEATURES, evidence: float = EVIDENCE, neighbours: int = NEIGHBOURS) -> tuple[Vocabulary, Index]:
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample: int = SAMPLE, features: int = FEATURES, evidence: float = EVIDENCE, purity: float = PURITY, neighbours: int = NEIGHBOURS) -> tuple[Vocabulary, Index]:
     """docs: (id, text)."""
     rows = _sampled(docs, labels, label_col, sample)
 
@@ -201,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample: in
         p = bad / total
         ratio = F.expr(f"2 * (bad * ln(bad / n / {p!r}D) + if(n > bad, (n - bad) * ln((n - bad) / n / {1 - p!r}D), 0))")
         counted = rows.select("id", "text", "y").mapInArrow(seen, "h long, bad long, n long").groupBy("h").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
-        found = counted.where(F.expr(f"bad > 0 and bad / n > {p!r}D")).withColumn("r", ratio).where(F.col("r") >= evidence)
+        found = counted.where(F.expr(f"bad > 0 and bad / n >= {max(p, purity)!r}D")).withColumn("r", ratio).where(F.col("r") >= evidence)
         chosen = [r.h for r in found.orderBy(F.desc("r"), "h").limit(features).collect()]
     vocabulary = Vocabulary(np.array(chosen, np.int64).view(np.uint64))
 
@@ -256,5 +257,22 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return scored.select(F.col("id").alias(id_col), F.coalesce(F.crc32(F.col("id").cast("string")) % 5 == 0, F.lit(True)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs whose score is below the threshold, with all their columns; nothing is shuffled."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    ready = docs.sparkSession.sparkContext.broadcast(fit(rows, labels, **options))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, index = ready.value
+        for b in batches:
+            doc, f, t = vocabulary.counts(b.column(at))
+            cut = np.searchsorted(doc, np.arange(b.num_rows + 1))
+            keep = [index.score(f[s:e], t[s:e])[0] < threshold for s, e in zip(cut[:-1], cut[1:], strict=True)]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
