@@ -36,7 +36,10 @@ def query(sql: str | None = None):
     return register
 
 
-SECONDS = F.expr("cast(n_chars div 20 AS int)")
+def seconds():
+    """Seconds of a stand-in video."""
+    return F.expr("cast(n_chars div 20 AS int)")
+
 _na = ", ".join(f"'{x}'" for x in NA_TOKENS)
 _locale = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LOCALES.items())
 _BLOCK = """concat_ws(chr(10), '- Author name: ' || coalesce(source, ''), '- Author username: ' || coalesce(source, ''), '- Author signature: ', '- Description: ' || coalesce(text, ''),
@@ -49,7 +52,7 @@ def as_videos(docs: DataFrame) -> DataFrame:
     none = F.lit(None).cast("long")
     return docs.select(
         F.col("doc_id").cast("string").alias("videoId"), F.col("text").alias("videoDescription"), (F.lit(1714521600) + F.col("doc_id")).alias("videoCreated"), F.col("source").alias("authorUniqueId"), F.col("source").alias("authorNickname"),
-        F.lit(None).cast("string").alias("authorSignature"), SECONDS.alias("videoDuration"), none.alias("videoDiggCount"), none.alias("videoShareCount"), none.alias("videoCommentCount"), none.alias("videoPlayCount"),
+        F.lit(None).cast("string").alias("authorSignature"), seconds().alias("videoDuration"), none.alias("videoDiggCount"), none.alias("videoShareCount"), none.alias("videoCommentCount"), none.alias("videoPlayCount"),
         F.col("text").alias("whisperResult"), F.col("lang").alias("language"),
     )
 
@@ -82,17 +85,17 @@ def na_normalise(t):
 
 @query("SELECT doc_id, (i // 30 + 1)::INT AS frame_number, i::INT AS offset_s FROM (SELECT doc_id, unnest(range(0, least(n_chars // 20, 180), 30)) AS i FROM documents)")
 def keyframe_plan(t):
-    return t("documents").select("doc_id", F.explode(frames.frame_plan(SECONDS)).alias("f")).select("doc_id", "f.frame_number", "f.offset_s")
+    return t("documents").select("doc_id", F.explode(frames.frame_plan(seconds())).alias("f")).select("doc_id", "f.frame_number", "f.offset_s")
 
 
 @query("SELECT doc_id, " + ", ".join(f"r[{i}]::INT AS offset_{i}" for i in range(1, 7)) + " FROM (SELECT doc_id, range(0, least(n_chars // 20, 180), 30) AS r FROM documents)")
 def frames_wide(t):
-    return t("documents").select("doc_id", frames.frame_plan(SECONDS).alias("f")).select("doc_id", *frames.wide(F.col("f"), "offset_s", "offset"))
+    return t("documents").select("doc_id", frames.frame_plan(seconds()).alias("f")).select("doc_id", *frames.wide(F.col("f"), "offset_s", "offset"))
 
 
 @query("SELECT doc_id, len(range(0, least(n_chars // 20, 180), 30))::INT AS n_frames FROM documents")
 def frame_count(t):
-    return t("documents").select("doc_id", F.size(frames.frame_offsets(SECONDS)).alias("n_frames"))
+    return t("documents").select("doc_id", F.size(frames.frame_offsets(seconds())).alias("n_frames"))
 
 
 @query("SELECT event_id, least(floor(user_id * 100 / nullif(event_id % 30, 0))::INT, 180) AS seconds FROM events")
