@@ -14,11 +14,11 @@ smaller id. Sorting every suffix of the corpus in one place is not needed for th
    identifiers of the suffixes 8, 16 and 18 bytes further on, each round using
    the buckets that the last one made; suffixes that are alone in a bucket are
    left out. Then a bucket holds equal strings of `length` bytes, and its smallest document
-   stays. Buckets of different tasks meet by the 64-bit hash of their string.
+   stays. A bucket of more than `SMALL` contexts is not brought together: there, sorting
+   settles what it can in each task, and tasks meet by the 64-bit hash of each window.
 
 Both steps send packed arrays by bucket, after each task has settled what it can
-by itself, so one frequent passage sends one row per task. Equality across
-tasks is by 64-bit hashes. Null texts count as empty, texts below `length` bytes
+by itself, so one frequent passage sends one context per task. Equality of contexts is by 64-bit hashes. Null texts count as empty, texts below `length` bytes
 stay whole, a null id counts as larger than all others, and rows that share an
 id never remove each other.
 """
@@ -36,15 +36,17 @@ from pyspark.sql import functions as F
 
 from .common import byte_values, checkpointed, column, mix, powers, prefix_sums, shuffle_partitions, table
 
-LENGTH, GRAM, PIECE, GATHER = 50, 16, 1 << 19, 1 << 20
+LENGTH, GRAM, PIECE, GATHER = 50, 20, 1 << 19, 1 << 18
+#: Contexts of one q-gram that a task sorts together; larger buckets meet by window instead.
+SMALL = 1000
 LOW = np.uint64((1 << 20) - 1)
 LAST_ID = (1 << 63) - 1
-DEALT = pa.schema([("bucket", pa.int32()), ("id", pa.int64()), ("mark", pa.int64()), ("kind", pa.int32()), ("at", pa.list_(pa.int32())), *((c, pa.binary()) for c in ("group", "key", "doc", "pos", "docs"))])
-DEALT_DDL = "bucket int, id long, mark long, kind int, at array<int>, group binary, key binary, doc binary, pos binary, docs binary"
+DEALT = pa.schema([("bucket", pa.int32()), ("id", pa.int64()), ("mark", pa.int64()), ("kind", pa.int32()), ("at", pa.list_(pa.int32())), *((c, pa.binary()) for c in ("group", "key", "doc", "pos", "docs", "text"))])
+DEALT_DDL = "bucket int, id long, mark long, kind int, at array<int>, group binary, key binary, doc binary, pos binary, docs binary, text binary"
 FOUND = pa.schema([DEALT.field(c) for c in ("id", "mark", "kind", "at")])
 FOUND_DDL = "id long, mark long, kind int, at array<int>"
-#: Kinds of positions: a context that goes, one still to compare, a window that goes.
-CONTEXT, OPEN, WINDOW = 0, 1, 2
+#: Kinds of positions: a context that goes, one still to compare, a window that goes, one still to compare in a large bucket.
+CONTEXT, OPEN, WINDOW, HOT = 0, 1, 2, 3
 
 
 def parts(offsets: np.ndarray, length: int) -> Iterator[tuple[int, int, int, int, int, int]]:
@@ -102,10 +104,8 @@ def refined(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     data is padded by `length` bytes.
     """
     need = np.zeros(len(data), bool)
-    for k in (0, 8, 16, 24, 32, 40, length - 8):
+    for k in {a + b + c for a in (0, length - 32) for b in (0, 16) for c in (0, 8)}:  # what the rounds look at
         need[at + k] = True
-    for k in (0, 16, length - 32, length - 16, 32):
-        need[np.minimum(at + k, len(data) - 1)] = True
     live = np.flatnonzero(need[: len(data) - 8])
     eight = np.zeros(len(data), np.uint64)
     for k in range(8):
@@ -152,7 +152,7 @@ def dealt(buckets: int, ids: np.ndarray, marks: np.ndarray, doc: np.ndarray, pos
     done = order[gone]
     own = listed(ids[doc[done]], marks[doc[done]], pos[done], kind)
     nothing = pa.nulls(own.num_rows, pa.binary())
-    yield pa.RecordBatch.from_arrays([pa.array(np.full(own.num_rows, -1, np.int32)), *own.columns, *[nothing] * 5], schema=DEALT)
+    yield pa.RecordBatch.from_arrays([pa.array(np.full(own.num_rows, -1, np.int32)), *own.columns, *[nothing] * 6], schema=DEALT)
     rest = order[~gone]
     to = ((group[rest] >> np.uint64(32)).astype(np.int64) * buckets) >> 32
     by = np.argsort(to, kind="stable")
@@ -188,16 +188,73 @@ def _anchors(buckets: int, length: int, q: int):
     return run
 
 
+def places(lists: pa.ListArray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, positions in the data) of lists of positions; a null list is empty."""
+    n = np.where(lists.is_null().to_numpy(zero_copy_only=False), 0, np.diff(lists.offsets.to_numpy()))
+    doc = np.repeat(np.arange(len(n)), n)
+    return doc, lists.flatten().to_numpy().astype(np.int64) + offsets[doc]
+
+
+def spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... for each, one after the other."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+def _contexts(b: pa.RecordBatch, buckets: int, length: int, q: int) -> Iterator[pa.RecordBatch]:
+    """Sends the bytes of open contexts to the bucket of their q-gram."""
+    ids, marks = b.column(0).to_numpy(), b.column(1).to_numpy()
+    data, offsets = column(b.column(2))
+    every, at = places(b.column(3), offsets)
+    values, power = byte_values(fold=False), powers(q)[0]
+    for c in range(0, len(at), 1 << 15):
+        doc, pos = every[c : c + (1 << 15)], at[c : c + (1 << 15)]
+        group = mix((values[data[pos[:, None] + np.arange(q)]] * power).sum(1, dtype=np.uint64))
+        lo, hi = context(pos, offsets[doc], offsets[doc + 1], length, q)
+        to = ((group >> np.uint64(32)).astype(np.int64) * buckets) >> 32
+        by = np.argsort(to, kind="stable")
+        cut = np.searchsorted(to[by], np.arange(buckets + 1))
+        rows = []
+        for k in np.flatnonzero(np.diff(cut)).tolist():
+            r = by[cut[k] : cut[k + 1]]
+            docs, local = np.unique(doc[r], return_inverse=True)
+            sizes = np.stack((pos[r] - lo[r], hi[r] - pos[r]), 1).astype(np.uint16)
+            rows.append({"bucket": k, "group": group[r].tobytes(), "key": sizes.tobytes(), "doc": local.astype(np.uint32).tobytes(), "pos": (pos[r] - offsets[doc[r]]).astype(np.uint32).tobytes(), "docs": np.concatenate((ids[docs], marks[docs])).tobytes(), "text": data[spread(lo[r], hi[r] - lo[r])].tobytes()})
+        yield pa.RecordBatch.from_pylist(rows, schema=DEALT)
+
+
+def compared(rows: list[dict], length: int) -> Iterator[pa.RecordBatch]:
+    """Sorts the suffixes of the contexts of each q-gram; windows that a smaller document has go."""
+    group = np.concatenate([np.frombuffer(r["group"], np.uint64) for r in rows])
+    sizes = np.concatenate([np.frombuffer(r["key"], np.uint16) for r in rows]).reshape(-1, 2).astype(np.int64)
+    pos = np.concatenate([np.frombuffer(r["pos"], np.uint32) for r in rows]).astype(np.int64)
+    text = np.concatenate([np.frombuffer(r["text"], np.uint8) for r in rows])
+    docs = [np.frombuffer(r["docs"], np.int64).reshape(2, -1)[:, np.frombuffer(r["doc"], np.uint32)] for r in rows]
+    ids, marks = np.concatenate(docs, 1)
+    size = sizes.sum(1)
+    begin = np.cumsum(size) - size
+    order = np.argsort(group, kind="stable")
+    ends = np.flatnonzero(np.append(group[order][1:] != group[order][:-1], True)) + 1
+    done = 0
+    while done < len(order):  # whole buckets, some thousands of contexts at a time
+        upto = int(ends[max(np.searchsorted(ends, done + 4 * SMALL, "right") - 1, np.searchsorted(ends, done, "right"))])
+        r, done = order[done:upto], upto
+        n = size[r]
+        part = np.concatenate((text[spread(begin[r], n)], np.zeros(length, np.uint8)))
+        whole = np.maximum(n - length + 1, 0)
+        at, own = spread(np.cumsum(n) - n, whole), np.repeat(r, whole)
+        by, gone = settle(refined(part, at, length), ids[own])
+        x = by[gone]
+        start = pos[own[x]] - sizes[own[x], 0] + (at - np.repeat(np.cumsum(n) - n, whole))[x]
+        yield listed(ids[own[x]], marks[own[x]], start, WINDOW)
+
+
 def _windows(buckets: int, length: int, q: int):
-    """Sorts the suffixes of the open contexts, and sends each distinct window with its smallest document."""
+    """Open contexts, and of large buckets each distinct window with its smallest document."""
     values = byte_values(fold=False)
 
     def of(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
         data, offsets = column(b.column(2))
-        lists = b.column(3)
-        n = np.diff(lists.offsets.to_numpy())
-        doc = np.repeat(np.arange(len(n)), n)
-        pos = lists.flatten().to_numpy().astype(np.int64) + offsets[doc]
+        doc, pos = places(b.column(4), offsets)
         lo, hi = context(pos, offsets[doc], offsets[doc + 1], length, q)
         order = np.argsort(lo, kind="stable")
         lo, hi = lo[order], np.maximum.accumulate(hi[order])
@@ -220,17 +277,18 @@ def _windows(buckets: int, length: int, q: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, marks = b.column(0).to_numpy(), b.column(1).to_numpy()
+            yield from _contexts(b, buckets, length, q)
             for doc, pos, key, same in joined(of(b), 1):
                 order, gone = settle(same, ids[doc])  # by bucket of the sorted suffixes
                 done, rest = order[gone], order[~gone]
                 own = listed(ids[doc[done]], marks[doc[done]], pos[done], WINDOW)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(own.num_rows, -1, np.int32)), *own.columns, *[pa.nulls(own.num_rows, pa.binary())] * 5], schema=DEALT)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(own.num_rows, -1, np.int32)), *own.columns, *[pa.nulls(own.num_rows, pa.binary())] * 6], schema=DEALT)
                 yield from dealt(buckets, ids, marks, doc[rest], pos[rest], key[rest], key[rest], WINDOW)
 
     return run
 
 
-def _bucket(kind: int):
+def _bucket(kind: int, length: int, small: int):
     """The documents of each key in a bucket: all but the smallest go; contexts that share only the group are open."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +299,13 @@ def _bucket(kind: int):
                 yield pa.RecordBatch.from_arrays([c.filter(pa.array(out)) for c in b.columns[1:5]], schema=FOUND)
             for r in b.filter(pa.array(~out)).to_pylist():
                 by.setdefault(r["bucket"], []).append(r)
-        for rows in by.values():
+        for bucket in list(by):
+            rows = by.pop(bucket)
+            if sorted_rows := [r for r in rows if r["text"]]:
+                yield from compared(sorted_rows, length)
+            rows = [r for r in rows if not r["text"]]
+            if not rows:
+                continue
             key = np.concatenate([np.frombuffer(r["key"], np.uint64) for r in rows])
             pos = np.concatenate([np.frombuffer(r["pos"], np.uint32) for r in rows])
             ids, marks = [], []
@@ -262,8 +326,9 @@ def _bucket(kind: int):
             start = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1]))) if len(g) else np.zeros(0, np.int64)
             n = np.diff(np.append(start, len(g)))
             several = (np.minimum.reduceat(k, start) != np.maximum.reduceat(k, start)) & (np.minimum.reduceat(i, start) != np.maximum.reduceat(i, start)) if len(start) else np.zeros(0, bool)
-            left = rest[by_group[np.repeat(several, n)]]
-            yield listed(ids[left], marks[left], pos[left], OPEN)
+            for what, on in ((OPEN, several & (n <= small)), (HOT, several & (n > small))):
+                left = rest[by_group[np.repeat(on, n)]]
+                yield listed(ids[left], marks[left], pos[left], what)
 
     return run
 
@@ -293,24 +358,23 @@ def _applied(length: int, q: int, with_text: bool):
     return run
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, q: int = GRAM, with_text: bool = False) -> DataFrame:
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, q: int = GRAM, with_text: bool = False, small: int = SMALL) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, and the kept bytes or their SHA-256, of every row."""
     spark = docs.sparkSession
-    parts_ = shuffle_partitions(spark)
+    parts_ = 2 * shuffle_partitions(spark)
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark"), F.col(text_col).alias("text"))
 
     def met(sent: DataFrame, kind: int) -> DataFrame:
         to = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.pmod(F.xxhash64("id"), F.lit(parts_)).cast("int"))
-        out = checkpointed(sent.withColumn("to", to).repartition(parts_, "to").drop("to").mapInArrow(_bucket(kind), FOUND_DDL))
+        out = checkpointed(sent.withColumn("to", to).repartition(parts_, "to").drop("to").mapInArrow(_bucket(kind, length, small), FOUND_DDL))
         gc.collect()
         spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle that the checkpoint has replaced
         return out
 
-    def lists(found: DataFrame, kind: int, name: str) -> DataFrame:
-        return found.where(F.col("kind") == kind).groupBy("id", "mark").agg(F.flatten(F.collect_list("at")).alias(name))
-
     first = met(texts.mapInArrow(_anchors(parts_, length, q), DEALT_DDL), CONTEXT)
-    open_ = texts.join(lists(first, OPEN, "at"), ["id", "mark"]).select("id", "mark", "text", "at").dropDuplicates(["id", "mark"])
+    left = lambda kind: F.flatten(F.collect_list(F.when(F.col("kind") == kind, F.col("at"))))
+    wanted = first.where(F.col("kind") != CONTEXT).groupBy("id", "mark").agg(left(OPEN).alias("open"), left(HOT).alias("hot"))
+    open_ = texts.join(wanted, ["id", "mark"]).select("id", "mark", "text", "open", "hot").dropDuplicates(["id", "mark"])
     second = met(open_.mapInArrow(_windows(parts_, length, q), DEALT_DDL), WINDOW)
     gone = first.where(F.col("kind") == CONTEXT).unionAll(second).groupBy("id", "mark").agg(F.flatten(F.collect_list(F.when(F.col("kind") == CONTEXT, F.col("at")))).alias("c"), F.flatten(F.collect_list(F.when(F.col("kind") == WINDOW, F.col("at")))).alias("w"))
     rows = texts.join(gone, ["id", "mark"], "left").select("id", "text", "c", "w")
