@@ -12,9 +12,9 @@ shingles, decides: at least `threshold`.
 Texts of equal words are one class from the start, and only its representative
 goes on. In every bucket of a band the others are compared with a leader, the
 member that shares most with others; never all with all. Where that leaves
-members in different components, the next leader follows, against those that are not in its component, until every
-pair of the bucket is compared or linked; after `ROUNDS` leaders what is left
-is compared in blocks of fixed size. So no candidate is dropped. The classes are the
+members in different components, the next leader follows; after `ROUNDS` leaders
+what is left is compared in blocks of fixed size, where a pair is skipped only if it shares no band or
+is connected already. So no candidate is dropped, and no pairs are written. The classes are the
 connected components, found by label propagation with pointer jumping.
 
 A pair of similarity 0.8 shares no band with probability (1 - 0.8**5)**26, about
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, column, mix, table, word_hashes
 
-WORDS, THRESHOLD, BANDS, ROWS, ROUNDS, BLOCK_ROWS = 5, 0.8, 26, 5, 3, 256
+WORDS, THRESHOLD, BANDS, ROWS, ROUNDS, BLOCK_ROWS = 5, 0.8, 26, 5, 2, 256
 
 
 def weighted(h: np.ndarray, at: np.ndarray, k: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -163,13 +163,66 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _blocks(key: tuple, t: pa.Table) -> pa.Table:
-    """The pairs of one pair of blocks that are in different components."""
-    side, rep, comp = (t[c].to_numpy() for c in ("own", "rep", "c"))
-    same = key[1] == key[2]
-    i, j = (np.triu_indices(len(rep), 1)) if same else np.where((side[:, None] == key[1]) & (side[None] == key[2]))
-    on = comp[i] != comp[j]
-    return pa.table({"a": np.maximum(rep[i], rep[j])[on], "b": np.minimum(rep[i], rep[j])[on]})
+def _blocks(threshold: float):
+    """Links between two blocks: pairs that share a band and are not yet connected are verified; only links that connect are returned."""
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        rep, comp, n = (t[c].to_pylist() for c in ("rep", "c", "n"))
+        raw, left, right = t["set"], np.array(t["left"]), np.array(t["right"])
+        bands = np.array(t["bands"].to_pylist(), np.int64)
+        i, j = np.flatnonzero(left), np.flatnonzero(right)
+        share = np.zeros((len(i), len(j)), bool)
+        for k in range(bands.shape[1] if len(bands) else 0):
+            share |= bands[i, k][:, None] == bands[j, k][None]
+        up: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while up.get(x, x) != x:
+                up[x] = up.get(up[x], up[x])
+                x = up[x]
+            return x
+
+        sets: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        out, tried = [], set()
+        for x, y in zip(*(a.tolist() for a in np.nonzero(share)), strict=True):
+            x, y = int(i[x]), int(j[y])
+            if (ca := top(comp[x])) == (cb := top(comp[y])) or (min(x, y), max(x, y)) in tried:
+                continue
+            tried.add((min(x, y), max(x, y)))
+            for z in (x, y):
+                if z not in sets:
+                    sets[z] = unpack(raw[z].as_py(), n[z])
+            if similarity(sets[x], sets[y]) >= threshold:
+                up[max(ca, cb)] = min(ca, cb)
+                out.append((max(rep[x], rep[y]), min(rep[x], rep[y])))
+        return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
+
+    return run
+
+
+def rest(at: DataFrame, reps: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) among what the leaders have left, open buckets (key, rep, c): no two components of a group stay apart that a link connects.
+
+    Buckets that share members are one group. Its largest component is main; the members of the others are compared with
+    each other and with the main ones, in blocks of BLOCK_ROWS, so main members never meet each other.
+    """
+    stars = at.join(at.groupBy("key").agg(F.min("rep").alias("b")), "key").select(F.col("rep").alias("a"), "b")
+    group = components(stars.where("a != b").distinct()).withColumnsRenamed({"v": "rep", "c": "g"})
+    own = checkpointed(at.select("rep", "c").distinct().join(group, "rep"))
+    size = own.groupBy("g", "c").agg(F.count("*").alias("k"))
+    main = size.groupBy("g").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.max("k").alias("km"), (F.sum("k") - F.max("k")).alias("ks"))
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK_ROWS)
+    rows = own.join(main.where("ks > 0"), "g").withColumns({"is_main": F.col("c") == F.col("main"), "km": blocks("km"), "ks": blocks("ks")})
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.when(F.col("is_main"), F.col("km")).otherwise(F.col("ks"))))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    pair = lambda i, j, m, left, right: F.struct(i.alias("i"), j.alias("j"), F.lit(m).alias("m"), left.alias("left"), right.alias("right"))
+    no, yes, mine = F.lit(False), F.lit(True), F.col("own")
+    others = F.transform(upto("ks"), lambda j: pair(F.least(mine, j), F.greatest(mine, j), False, mine <= j, mine >= j))
+    mains = F.transform(upto("km"), lambda j: pair(mine, j, True, yes, no))
+    from_main = F.transform(upto("ks"), lambda i: pair(i, mine, True, no, yes))
+    dealt = rows.select("g", "rep", "c", F.explode(F.when(F.col("is_main"), from_main).otherwise(F.concat(others, mains))).alias("p")).select("g", "rep", "c", "p.*")
+    full = dealt.join(sets, "rep").join(reps.select("rep", "bands"), "rep")
+    return full.groupBy("g", "i", "j", "m").applyInArrow(_blocks(threshold), "a long, b long")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -184,7 +237,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
     shares = live.groupBy("rep").agg(F.sum("n").alias("s"))
     sets = checkpointed(texts.join(live.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets, "rep long, n long, set binary"))
     live = checkpointed(live.drop("n").join(shares, "rep"))
-    edges, done = None, None
+    edges = None
     found = live.sparkSession.createDataFrame([], "v long, c long")
     for turn in range(ROUNDS + 1):
         at = live.join(found.withColumnRenamed("v", "rep"), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
@@ -193,22 +246,17 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
             at = checkpointed(at.join(open_, "key", "left_semi"))
             if at.isEmpty():
                 break
-        if turn < ROUNDS:
+        if turn == ROUNDS:
+            links = checkpointed(rest(at, reps, sets, threshold))
+        else:
             lead = checkpointed(at.groupBy("key").agg(F.max(F.struct("s", (-F.col("rep")).alias("neg"), "c")).alias("lead")).select("key", (-F.col("lead.neg")).alias("b"), F.col("lead.c").alias("cb")))
             pairs = at.join(lead, "key").where("c != cb").select(F.col("rep").alias("a"), "b").distinct()
             live = checkpointed(at.drop("c").join(lead.select("key", "b"), "key").where("rep != b").drop("b"))
-        else:
-            sized = at.groupBy("key").agg(F.count("*").alias("n"))
-            own = at.join(sized, "key").withColumn("k", F.ceil(F.col("n") / BLOCK_ROWS)).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("k")))
-            met = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "c")
-            pairs = met.groupBy("key", "i", "j").applyInArrow(_blocks, "a long, b long").distinct()
-        pairs = checkpointed(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"))
-        left = pairs.join(sets.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("set").alias("xa")), "a")
-        both = left.join(sets.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("set").alias("xb")), "b").select("a", "b", "na", "xa", "nb", "xb")
-        checked = checkpointed(both.mapInArrow(_verified(threshold), "a long, b long, ok boolean"))
-        done = checked.select("a", "b") if done is None else done.unionAll(checked.select("a", "b"))
-        edges = checked.where("ok") if edges is None else edges.unionAll(checked.where("ok"))
-        found = components(edges.select("a", "b"))
+            left = pairs.join(sets.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("set").alias("xa")), "a")
+            both = left.join(sets.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("set").alias("xb")), "b").select("a", "b", "na", "xa", "nb", "xb")
+            links = checkpointed(both.mapInArrow(_verified(threshold), "a long, b long, ok boolean")).where("ok").select("a", "b")
+        edges = links if edges is None else edges.unionAll(links)
+        found = components(edges)
     of = reps.select("ka", "kb", "rep").join(found.withColumnRenamed("v", "rep"), "rep", "left").select("ka", "kb", "rep", F.coalesce("c", "rep").alias("class_id"))
     return members.join(checkpointed(of), ["ka", "kb"]).select(F.col("id").alias(id_col), "class_id", F.col("rep").alias("rep_id"))
 
