@@ -16,7 +16,7 @@ def duration(frames: Column, fps: Column) -> Column:
 
 def frame_offsets(seconds: Column) -> Column:
     """0, 30, ... below the duration, of which 180 seconds count; none at 0 or below, null for null."""
-    end = F.least(seconds.cast("int"), F.lit(FRAME_CAP))
+    end = F.when(seconds.isNotNull(), F.least(seconds.cast("int"), F.lit(FRAME_CAP)))  # least alone would skip a null
     return F.when(end > 0, F.sequence(F.lit(0), end - 1, F.lit(FRAME_STEP))).when(end.isNotNull(), F.array().cast("array<int>"))
 
 

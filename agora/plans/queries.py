@@ -98,9 +98,10 @@ def frame_count(t):
     return t("documents").select("doc_id", F.size(frames.frame_offsets(seconds())).alias("n_frames"))
 
 
-@query("SELECT event_id, least(floor(user_id * 100 / nullif(event_id % 30, 0))::INT, 180) AS seconds FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 30 <> 0 THEN least(floor(user_id * 100 / (event_id % 30))::INT, 180) END AS seconds FROM events")
 def video_duration(t):
-    return t("events").select("event_id", F.least(frames.duration(F.col("user_id") * 100, F.col("event_id") % 30), F.lit(180)).alias("seconds"))
+    d = frames.duration(F.col("user_id") * 100, F.col("event_id") % 30)
+    return t("events").select("event_id", F.when(d.isNotNull(), F.least(d, F.lit(180))).alias("seconds"))
 
 
 @query("SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\x0b\\x0c]+'), lambda x: ends_with(x, '###')), ', ') AS marked, array_to_string(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\x0b\\x0c]+'), lambda x: starts_with(x, '#')), ', ') AS hashtags FROM documents")
