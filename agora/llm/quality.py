@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table
+from .common import checkpointed, smallest, table
 
 #: Labelled rows that the rules are learned from, at most: those of the smallest hash of their id.
 SAMPLE = 20_000
@@ -155,7 +155,8 @@ def verdict(rules: list[list[tuple[int, bool, float]]]) -> Column:
 
 def sample(stats: DataFrame, labels: DataFrame, id_col: str, label_col: str, rows: int) -> tuple[np.ndarray, np.ndarray]:
     marked = labels.where(F.col(label_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).alias("label"))
-    got = stats.join(marked, id_col).select(F.xxhash64(F.lit("quality"), F.col(id_col)).alias("at"), F.col(id_col).cast("string").alias("tie"), (F.col("label") == 0).alias("bad"), *(F.expr(e).cast("double").alias(f) for f, e in FEATURES.items())).orderBy("at", "tie").limit(rows).collect()  # at most `rows`
+    labelled = stats.join(marked, id_col).select(F.xxhash64(F.lit("quality"), F.col(id_col)).alias("at"), F.col(id_col).cast("string").alias("tie"), (F.col("label") == 0).alias("bad"), *(F.expr(e).cast("double").alias(f) for f, e in FEATURES.items()))
+    got = smallest(checkpointed(labelled), "at", "tie", rows).collect()  # at most `rows`
     return np.array([r[3:] for r in got], float).reshape(-1, len(FEATURES)), np.array([r.bad for r in got], bool)
 
 

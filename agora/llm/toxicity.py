@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NOT_ALNUM, byte_values, checkpointed, column, mix, pieces, powers, prefix_sums, shingles, table, word_hashes, words
+from .common import NOT_ALNUM, byte_values, checkpointed, column, mix, pieces, powers, prefix_sums, shingles, smallest, table, word_hashes, words
 
 SAMPLE, FEATURES, EVIDENCE, PURITY, NEIGHBOURS, BLOCK_EXAMPLES = 20_000, 4096, 25.0, 0.7, 15, 64
 PREFIXES = (4, 5, 6)
@@ -159,8 +159,9 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _sampled(docs: DataFrame, labels: DataFrame, label_col: str, sample: int) -> DataFrame:
     """(id, text, y) of at most `sample` labelled texts of the training fold, one of each group of copies."""
     marked = labels.select(F.col("doc_id").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null and crc32(cast(id AS string)) % 5 != 0")
-    ids = marked.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64(F.lit("toxicity"), "id"), "id").limit(sample)
-    rows = checkpointed(docs.join(F.broadcast(checkpointed(ids)), "id").dropDuplicates(["id"]))
+    once = checkpointed(marked.groupBy("id").agg(F.max("y").alias("y")).withColumn("at", F.xxhash64(F.lit("toxicity"), "id")))
+    ids = checkpointed(smallest(once, "at", "id", sample).drop("at"))
+    rows = checkpointed(docs.join(F.broadcast(ids), "id").dropDuplicates(["id"]))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
