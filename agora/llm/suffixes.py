@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import byte_values, checkpointed, column, mix, powers, prefix_sums, shuffle_partitions, table
 
-LENGTH, GRAM, PIECE, GATHER = 50, 20, 1 << 19, 1 << 18
+LENGTH, GRAM, PIECE, GATHER = 50, 20, 1 << 18, 1 << 17
 #: Contexts of one q-gram that a task sorts together; larger buckets meet by window instead.
 SMALL = 1000
 LOW = np.uint64((1 << 20) - 1)
@@ -184,6 +184,7 @@ def _anchors(buckets: int, length: int, q: int):
             ids, marks = b.column(0).to_numpy(), b.column(1).to_numpy()
             for doc, pos, group, key in joined(anchors(*column(b.column(2)), length, q), GATHER):
                 yield from dealt(buckets, ids, marks, doc, pos, group, key, CONTEXT)
+            pa.default_memory_pool().release_unused()
 
     return run
 
