@@ -29,15 +29,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame, forget: bool = False) -> DataFrame:
     """df, computed once and kept in the shared checkpoint folder, so that a lost executor costs no recomputation.
 
     The folder is the cluster's spark.checkpoint.dir; only where that is unset, as in tests, is one made.
+    With forget, the result has not the estimated size of the plan that made it: a join's is the product of its sides', so that
+    in a loop of joins the estimate would double its digits in every step. Adaptive execution goes by real sizes.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="agora-checkpoint-"))
-    return df.checkpoint()
+    kept, spark = df.checkpoint(), df.sparkSession
+    if not forget:
+        return kept
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept._jdf.queryExecution().toRdd(), kept._jdf.schema(), False), spark)
 
 
 def smallest(df: DataFrame, at: str, tie: str, rows: int) -> DataFrame:

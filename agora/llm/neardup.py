@@ -151,13 +151,13 @@ def _verified(threshold: float):
 
 def components(edges: DataFrame) -> DataFrame:
     """(v, c): the smallest vertex c of each vertex's connected component; edges are (a, b)."""
-    both = checkpointed(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = checkpointed(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("a"), F.min("b")).alias("c")))
+    both = checkpointed(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), forget=True)
+    labels = checkpointed(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("a"), F.min("b")).alias("c")), forget=True)
     while True:
         near = both.join(labels.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v")).agg(F.min("c").alias("m"))
         step = labels.join(near, "v").select("v", F.least("c", "m").alias("c"), F.col("c").alias("old"))
         jump = step.select(F.col("v").alias("c"), F.col("c").alias("to"))
-        new = checkpointed(step.join(jump, "c").select("v", F.col("to").alias("c"), (F.col("to") != F.col("old")).alias("moved")))
+        new = checkpointed(step.join(jump, "c").select("v", F.col("to").alias("c"), (F.col("to") != F.col("old")).alias("moved")), forget=True)
         labels = new.drop("moved")
         if new.where("moved").isEmpty():
             return labels

@@ -65,10 +65,10 @@ def pagerank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, steps
     share = checkpointed(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("all") * damping).alias("share")))
     flow = result = start
     for _ in range(steps):  # result sums the mass after 0, 1, 2 ... links
-        flow = checkpointed(flow.join(share, F.col("host") == F.col("src")).groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("score") * F.col("share")).alias("score")))
+        flow = checkpointed(flow.join(share, F.col("host") == F.col("src")).groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("score") * F.col("share")).alias("score")), forget=True)
         if (flow.agg(F.sum("score")).first()[0] or 0) < tolerance * (1 - damping) * total:
             break
-        result = checkpointed(result.unionAll(flow).groupBy("host").agg(F.sum("score").alias("score")))
+        result = checkpointed(result.unionAll(flow).groupBy("host").agg(F.sum("score").alias("score")), forget=True)
     return result
 
 
