@@ -206,9 +206,9 @@ def rest(at: DataFrame, reps: DataFrame, sets: DataFrame, threshold: float) -> D
     Buckets that share members are one group. Its largest component is main; the members of the others are compared with
     each other and with the main ones, in blocks of BLOCK_ROWS, so main members never meet each other.
     """
-    stars = at.join(at.groupBy("key").agg(F.min("rep").alias("b")), "key").select(F.col("rep").alias("a"), "b")
-    group = components(stars.where("a != b").distinct()).withColumnsRenamed({"v": "rep", "c": "g"})
-    own = checkpointed(at.select("rep", "c").distinct().join(group, "rep"))
+    stars = at.join(at.groupBy("key").agg(F.min("c").alias("b")), "key").select(F.col("c").alias("a"), "b")
+    group = components(stars.where("a != b").distinct()).withColumnsRenamed({"v": "c", "c": "g"})
+    own = checkpointed(at.select("rep", "c").distinct().join(group, "c"))
     size = own.groupBy("g", "c").agg(F.count("*").alias("k"))
     main = size.groupBy("g").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.max("k").alias("km"), (F.sum("k") - F.max("k")).alias("ks"))
     blocks = lambda n: F.ceil(F.col(n) / BLOCK_ROWS)
@@ -257,6 +257,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
             links = checkpointed(both.mapInArrow(_verified(threshold), "a long, b long, ok boolean")).where("ok").select("a", "b")
         edges = links if edges is None else edges.unionAll(links)
         found = components(edges)
+        edges = found.where("v != c").select(F.col("v").alias("a"), F.col("c").alias("b"))  # connects the same
     of = reps.select("ka", "kb", "rep").join(found.withColumnRenamed("v", "rep"), "rep", "left").select("ka", "kb", "rep", F.coalesce("c", "rep").alias("class_id"))
     return members.join(checkpointed(of), ["ka", "kb"]).select(F.col("id").alias(id_col), "class_id", F.col("rep").alias("rep_id"))
 
