@@ -2,19 +2,20 @@
 
 Features are tokens (letters, digits and non-ASCII characters, A-Z
 lower-cased) and their prefixes of 4 to 6 bytes, so that inflected forms of a
-stem count together. From a bounded sample of labelled texts, those are kept whose
-log-likelihood ratio for the toxic label reaches `evidence` and of whose texts at
-least the share `purity` is toxic. Weights
-are TF-IDF with document frequencies over all texts. The examples' postings are
-an inverted index in blocks of examples, with the largest weight of every
-feature in every block. A text's nearest examples by cosine are exact: blocks are read by falling
-upper bound, until none can hold a nearer example than those found. Their votes,
-weighted by distance, are calibrated by isotonic regression over the examples,
-each scored without itself. Texts without any feature have no neighbours and get
+stem count together. Every feature of every example is indexed. Weights are
+TF-IDF with document frequencies over all texts, times one plus the feature's
+evidence for the toxic label: its log-likelihood ratio, times how much purer than chance it
+is, little below `evidence` and in proportion above. So evidence counts more, and nothing is
+left out for want of it. Words that no example has are not features. A text's nearest
+examples by cosine are exact: common features are one dense product, rare ones are
+read from an inverted index, and what comes within rounding of the nearest is computed again in full
+precision. Their votes, weighted by distance, are calibrated by isotonic regression over the examples,
+each scored without itself. Texts that share no feature with an example have no neighbours and get
 the rate among examples of that kind.
 
 Copies of a text would pass off all of its words as evidence, so of sampled texts with one label that
-share one of three minhashes only one is kept. The sample is the labelled ids of
+share one of three minhashes only one counts for evidence and calibration. Of texts with one label and equal
+words one is an example. The sample is the labelled ids of
 the smallest hash, at most `sample`, whatever the corpus. Nothing else is
 limited: every text is scored whole. Null texts count as empty; of several labels
 of an id the largest holds; without labels every score is 0.
@@ -22,16 +23,19 @@ of an id the largest holds; without labels every score is 0.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import NOT_ALNUM, byte_values, checkpointed, column, mix, pieces, powers, prefix_sums, shingles, smallest, table, word_hashes, words
 
-SAMPLE, FEATURES, EVIDENCE, PURITY, NEIGHBOURS, BLOCK_EXAMPLES = 20_000, 4096, 25.0, 0.7, 15, 64
+SAMPLE, EVIDENCE, NEIGHBOURS = 20_000, 25.0, 15
+#: Texts compared at a time; features in more than one of so many examples are dense, and at most so many are.
+BLOCK_TEXTS, DENSE, DENSE_MOST = 64, 20, 512
 PREFIXES = (4, 5, 6)
 
 
@@ -50,95 +54,185 @@ def feature_hashes(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.n
 
 
 class Vocabulary:
+    """hashes: the features, in the order of their low bits; those of equal low bits stand together from `first` on."""
+
     def __init__(self, hashes: np.ndarray):
-        self.hashes = np.sort(hashes)
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[(self.hashes & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+        self.mask = np.uint64((1 << max(10, len(hashes).bit_length() + 2)) - 1)
+        self.hashes = hashes[np.lexsort((hashes, hashes & self.mask))]
+        self.first = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"first": None}
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of h are features, and the places of those."""
+        if self.first is None:
+            often = np.bincount((self.hashes & self.mask).astype(np.int64), minlength=int(self.mask) + 1)
+            self.first = np.concatenate(([0], np.cumsum(often))).astype(np.int32)
+        low = (h & self.mask).astype(np.int64)
+        at, end = self.first[low], self.first[low + 1]
+        on = np.flatnonzero(at < end)
+        at, end, place = at[on], end[on], np.full(len(h), -1, np.int64)
+        while len(on):
+            hit = self.hashes[at] == h[on]
+            place[on[hit]] = at[hit]
+            left = ~hit & (at + 1 < end)
+            on, at, end = on[left], at[left] + 1, end[left]
+        on = np.flatnonzero(place >= 0)
+        return on, place[on]
 
     def counts(self, arr: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(texts, features, times), sorted by text and feature."""
         out, n = [np.zeros(0, np.int64)], max(1, len(self.hashes))
         for doc, h in feature_hashes(*column(arr)):
-            on = np.flatnonzero(self.maybe[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
-            at = np.minimum(np.searchsorted(self.hashes, h[on]), n - 1)
-            hit = self.hashes[at] == h[on] if len(self.hashes) else np.zeros(0, bool)
-            out.append(doc[on][hit] * n + at[hit])
+            on, at = self.find(h)
+            out.append(doc[on] * n + at)
         key, times = np.unique(np.concatenate(out), return_counts=True)
         return key // n, key % n, times
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller ones: working arrays take a number for every feature of every text."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
+def packed(x: np.ndarray) -> tuple[int, bytes]:
+    """Differences of 32-bit numbers, byte by byte, compressed."""
+    raw = np.diff(x, prepend=x.dtype.type(0)).view(np.uint8).reshape(-1, 4).T.tobytes()
+    return len(x), pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpacked(n: int, raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(raw, 4 * n, codec="zstd"), np.uint8).reshape(4, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.int32).ravel(), dtype=np.int32)
+
+
+def runs(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The places start[0] ... end[0] - 1, start[1] ... and so on."""
+    n = end - start
+    return np.arange(n.sum()) + np.repeat(start - (np.cumsum(n) - n), n)
+
+
 class Index:
-    """Inverted index of the examples' unit vectors, in blocks with their maxima."""
+    """The examples' unit vectors, by example and by feature."""
 
-    def __init__(self, idf: np.ndarray, rows: list[tuple[int, int, np.ndarray, np.ndarray]], neighbours: int):
+    def __init__(self, idf: np.ndarray, rows: Iterable[tuple[int, int, np.ndarray, np.ndarray]], neighbours: int):
         self.idf, self.k = idf, neighbours
-        vectors = [(i, y, f, self.unit(f, t)) for i, y, f, t in rows if len(f)]
-        vectors.sort(key=lambda v: (int(v[2][v[3].argmax()]), -float(v[3].max()), v[0]))  # like examples stand together
-        self.ids = np.array([v[0] for v in vectors], np.int64)
-        self.labels = np.array([v[1] for v in vectors], np.int8)
-        n = len(vectors)
-        self.blocks = -(-n // BLOCK_EXAMPLES)
-        feature = np.concatenate([np.zeros(0, np.int64), *(v[2] for v in vectors)])
-        example = np.repeat(np.arange(n), [len(v[2]) for v in vectors])
-        weight = np.concatenate([np.zeros(0), *(v[3] for v in vectors)])
-        order = np.lexsort((example, feature))
-        feature, self.example, self.weight = feature[order], example[order], weight[order]
-        cell = feature * self.blocks + self.example // BLOCK_EXAMPLES
-        self.cut = np.searchsorted(cell, np.arange(len(idf) * self.blocks + 1)).astype(np.int32)
-        self.most = np.zeros((len(idf), self.blocks), np.float32)
-        np.maximum.at(self.most.ravel(), cell, np.nextafter(self.weight.astype(np.float32), np.float32(np.inf)))
-        self.steps = (np.zeros(0), np.zeros(0))
-        self.none = 0.0
+        rows = [r for r in rows if len(r[2])]
+        self.ids = np.array([r[0] for r in rows], np.int64)
+        self.labels = np.array([r[1] for r in rows], np.int8)
+        n, sizes = len(rows), np.array([len(r[2]) for r in rows], np.int64)
+        self.at = np.concatenate(([0], np.cumsum(sizes)))
+        self.feature = np.concatenate([np.zeros(0, np.int32), *(r[2] for r in rows)]).astype(np.int32)
+        self.times = np.concatenate([np.zeros(0, np.int32), *(r[3] for r in rows)]).astype(np.int32)
+        self.norm = np.array([np.sqrt((w := self.weights(f, t)) @ w) for _, _, f, t in rows])
+        self.query = None
+
+    def __getstate__(self) -> dict:
+        """Only the examples travel, compressed; what follows from them is made again where it is used."""
+        return {"idf": self.idf, "k": self.k, "ids": self.ids, "labels": self.labels, "at": self.at, "norm": self.norm, "feature": packed(self.feature), "times": packed(self.times), "query": None}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state | {c: unpacked(*state[c]) for c in ("feature", "times")}
+        if self.times.max(initial=0) < 1 << 16:
+            self.times = self.times.astype(np.uint16)
+
+    def weights(self, features: np.ndarray, times: np.ndarray) -> np.ndarray:
+        return (1 + np.log(times.astype(float))) * self.idf[features]
 
     def unit(self, features: np.ndarray, times: np.ndarray) -> np.ndarray:
-        w = (1 + np.log(times)) * self.idf[features]
+        w = self.weights(features, times)
         return w / np.sqrt(w @ w)
 
-    def nearest(self, features: np.ndarray, q: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The examples of largest cosine, by falling cosine and rising place, and their cosines."""
-        bound = q @ self.most[features] * (1 + 1e-6) + 1e-9
-        best, sims = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 2e-9 or len(best) == self.k and bound[b] < sims[-1]:
-                break
-            acc = np.zeros(BLOCK_EXAMPLES)
-            for f, x in zip(features.tolist(), q.tolist(), strict=True):
-                s, e = self.cut[f * self.blocks + b], self.cut[f * self.blocks + b + 1]
-                if e > s:
-                    acc[self.example[s:e] - b * BLOCK_EXAMPLES] += x * self.weight[s:e]
-            at = np.flatnonzero(acc > 0)
-            best, sims = np.concatenate((best, at + b * BLOCK_EXAMPLES)), np.concatenate((sims, acc[at]))
+    def _ready(self) -> None:
+        if self.query is not None:
+            return
+        n, often = len(self.ids), np.bincount(self.feature, minlength=len(self.idf))
+        common = np.argsort(-often, kind="stable")[:DENSE_MOST]
+        common = common[often[common] * DENSE > n]
+        self.place = np.full(len(self.idf), -1, np.int32)
+        self.place[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), n), np.float32)
+        rare = np.where(self.place < 0, often, 0)
+        self.cut = np.concatenate(([0], np.cumsum(rare)))
+        self.example, self.weight = np.zeros(self.cut[-1], np.int32), np.zeros(self.cut[-1], np.float32)
+        free = self.cut[:-1].copy()
+        for e in range(n):
+            f = self.feature[self.at[e] : self.at[e + 1]]
+            w = self.weights(f, self.times[self.at[e] : self.at[e + 1]]) / self.norm[e]
+            at = self.place[f]
+            self.dense[at[at >= 0], e] = w[at >= 0]
+            to = free[f[at < 0]]
+            self.example[to], self.weight[to] = e, w[at < 0]
+            free[f[at < 0]] += 1
+        self.query = np.zeros(len(self.idf))
+
+    def cosines(self, examples: np.ndarray, features: np.ndarray, q: np.ndarray) -> np.ndarray:
+        self.query[features] = q
+        s, e = self.at[examples], self.at[examples + 1]
+        at = runs(s, e)
+        x = self.query[self.feature[at]]
+        on = np.flatnonzero(x)
+        x[on] *= self.weights(self.feature[at[on]], self.times[at[on]])
+        self.query[features] = 0
+        return np.add.reduceat(x, np.cumsum(e - s) - (e - s)) / self.norm[examples]
+
+    def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray, int]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each (features, unit vector, example to leave out or -1): the examples of largest cosine, by falling cosine and rising place, and their cosines."""
+        if not len(self.ids):
+            return [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
+        self._ready()
+        left = np.zeros((len(queries), len(self.dense)), np.float32)
+        for row, (f, q, _) in zip(left, queries, strict=True):
+            at = self.place[f]
+            row[at[at >= 0]] = q[at >= 0]
+        out = []
+        for near, (f, q, without) in zip(left @ self.dense, queries, strict=True):
+            s, e = self.cut[f], self.cut[f + 1]
+            at = runs(s, e)
+            near = near + np.bincount(self.example.take(at), self.weight.take(at) * np.repeat(q, e - s), len(near))
             if without >= 0:
-                keep = best != without
-                best, sims = best[keep], sims[keep]
-            order = np.lexsort((best, -np.round(sims, 12)))[: self.k]
-            best, sims = best[order], sims[order]
-        return best, sims
+                near[without] = 0
+            # single precision is off by less than 1e-4: one rounding of 2**-24 for each of DENSE_MOST terms
+            least = np.partition(near, -self.k)[-self.k] - 1e-4 if len(near) > self.k else 0.0
+            some = np.flatnonzero(near >= least) if least > 0 else np.flatnonzero(near > 0)
+            if not len(some):
+                out.append((some, np.zeros(0)))
+                continue
+            sims = self.cosines(some, f, q)
+            order = np.lexsort((some, -np.round(sims, 12)))[: self.k]
+            out.append((some[order], sims[order]))
+        return out
+
+    def nearest(self, features: np.ndarray, q: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        return self.nearest_of([(features, q, without)])[0]
 
     def vote(self, best: np.ndarray, sims: np.ndarray) -> float:
         w = 1 / (0.05 + np.maximum(0, 1 - sims))
         return float((w * self.labels[best]).sum() / w.sum())
 
-    def calibrate(self, rows: list[tuple[int, int, np.ndarray, np.ndarray]]) -> None:
-        place = {int(i): n for n, i in enumerate(self.ids)}
-        raw, label, bare = [], [], [0, 0]
-        for i, y, f, t in rows:
-            if not len(f):
-                bare[y] += 1
-                continue
-            best, sims = self.nearest(f, self.unit(f, t), place[i])
-            if len(best):
-                raw.append(self.vote(best, sims))
-                label.append(y)
-        self.none = bare[1] / sum(bare) if sum(bare) else 0.0
-        self.steps = isotonic(np.array(raw), np.array(label, float))
+    def votes(self, texts: list[tuple[np.ndarray, np.ndarray]], without: list[int] | None = None) -> Iterator[tuple[float | None, np.ndarray, np.ndarray]]:
+        """The vote on each text (features, times), null if nothing is near, and its neighbours and their cosines."""
+        for k in range(0, len(texts), BLOCK_TEXTS):
+            part = texts[k : k + BLOCK_TEXTS]
+            leave = without[k : k + BLOCK_TEXTS] if without else [-1] * len(part)
+            for best, sims in self.nearest_of([(f, self.unit(f, t) if len(f) else np.zeros(0), x) for (f, t), x in zip(part, leave, strict=True)]):
+                yield self.vote(best, sims) if len(best) else None, best, sims
+
+
+class Calibration:
+    def __init__(self, votes: list[tuple[float | None, int]]):
+        """votes: of examples, and their labels."""
+        bare = [y for v, y in votes if v is None]
+        self.none = sum(bare) / len(bare) if bare else 0.0
+        self.steps = isotonic(np.array([v for v, _ in votes if v is not None]), np.array([y for v, y in votes if v is not None], float))
 
-    def score(self, features: np.ndarray, times: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        best, sims = self.nearest(features, self.unit(features, times)) if len(features) and len(self.ids) else (np.zeros(0, np.int64), np.zeros(0))
-        if not len(best):
-            return self.none, best, sims
-        raw = self.vote(best, sims)
-        return (float(np.interp(raw, *self.steps)) if len(self.steps[0]) else raw), best, sims
+    def __call__(self, vote: float | None) -> float:
+        if vote is None:
+            return self.none
+        return float(np.interp(vote, *self.steps)) if len(self.steps[0]) else vote
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,7 +251,7 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sampled(docs: DataFrame, labels: DataFrame, label_col: str, sample: int) -> DataFrame:
-    """(id, text, y) of at most `sample` labelled texts of the training fold, one of each group of copies."""
+    """(id, text, y, first) of at most `sample` labelled texts of the training fold with different words or labels; first: one of each group of near copies."""
     marked = labels.select(F.col("doc_id").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null and crc32(cast(id AS string)) % 5 != 0")
     once = checkpointed(marked.groupBy("id").agg(F.max("y").alias("y")).withColumn("at", F.xxhash64(F.lit("toxicity"), "id")))
     ids = checkpointed(smallest(once, "at", "id", sample).drop("at"))
@@ -165,92 +259,118 @@ def _sampled(docs: DataFrame, labels: DataFrame, label_col: str, sample: int) ->
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list[int]] = [[], [], []]
+            out: list[list[int]] = [[], [], [], []]
             for _, at, h in word_hashes(*column(b.column(1)), NOT_ALNUM, fold=True):
                 for s, e in zip(at[:-1], at[1:], strict=True):
                     g = shingles(h[s:e], min(5, max(1, e - s)))
-                    for c, x in zip(out, (0x51, 0x52, 0x53), strict=True):
+                    out[3].append(int(mix(h[s:e] ^ mix(np.arange(e - s).astype(np.uint64))).sum(dtype=np.uint64).view(np.int64)))
+                    for c, x in zip(out[:3], (0x51, 0x52, 0x53), strict=True):
                         c.append(int(mix(g ^ np.uint64(x << 40)).min().view(np.int64)) if len(g) else 0)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(c, pa.int64()) for c in out)], names=["id", "y", "a", "b", "c"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(c, pa.int64()) for c in out)], names=["id", "y", "a", "b", "c", "words"])
 
     seen: set[tuple[int, int, int]] = set()
     kept = []
-    for r in rows.mapInArrow(keys, "id long, y int, a long, b long, c long").orderBy("id").toLocalIterator():  # at most `sample` rows
+    for r in rows.mapInArrow(keys, "id long, y int, a long, b long, c long, words long").orderBy("id").toLocalIterator():  # at most `sample` rows
         own = {(r.y, n, x) for n, x in enumerate((r.a, r.b, r.c))}
-        if not own & seen:
-            kept.append((r.id,))
-        seen |= own
-    return rows.join(F.broadcast(docs.sparkSession.createDataFrame(kept, "id long")), "id")
+        if (r.y, 3, r.words) not in seen:
+            kept.append((r.id, not own & seen))
+        seen |= own | {(r.y, 3, r.words)}
+    return rows.join(F.broadcast(docs.sparkSession.createDataFrame(kept, "id long, first boolean")), "id")
+
+
+def boost(bad: np.ndarray, n: np.ndarray, all_bad: int, all_n: int, evidence: float) -> np.ndarray:
+    """What evidence for the label multiplies a feature's weight by, where bad of its n texts have it, and all_bad of all_n."""
+    if not 0 < all_bad < all_n:
+        return np.ones(len(n))
+    p, share = all_bad / all_n, bad / np.maximum(n, 1)
+    ratio = 2 * (bad * np.log(np.maximum(share, 1e-300) / p) + (n - bad) * np.log(np.maximum(1 - share, 1e-300) / (1 - p)))
+    x = np.where(share > p, np.maximum(ratio, 0) * (share - p) / (1 - p), 0)
+    return 1 + x * x / (x + evidence)
+
 
+def _texts(vocabulary: Vocabulary, arr: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    doc, f, t = vocabulary.counts(arr)
+    cut = np.searchsorted(doc, np.arange(len(arr) + 1))
+    return [(f[s:e], t[s:e]) for s, e in zip(cut[:-1], cut[1:], strict=True)]
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample: int = SAMPLE, features: int = FEATURES, evidence: float = EVIDENCE, purity: float = PURITY, neighbours: int = NEIGHBOURS) -> tuple[Vocabulary, Index]:
-    """docs: (id, text)."""
+
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample: int = SAMPLE, evidence: float = EVIDENCE, neighbours: int = NEIGHBOURS) -> tuple[Broadcast, Broadcast, Calibration]:
+    """The vocabulary and the index on every worker, and the calibration; docs: (id, text)."""
+    sc = docs.sparkSession.sparkContext
     rows = _sampled(docs, labels, label_col, sample)
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            y = np.array(b.column(2).to_pylist(), np.int64)
-            for doc, h in feature_hashes(*column(b.column(1))):
+            y, first = (np.array(b.column(i).to_pylist(), np.int64) for i in (1, 2))
+            for doc, h in feature_hashes(*column(b.column(0))):
                 order = np.lexsort((h, doc))
                 d, g = doc[order], h[order]
                 new = np.concatenate(([True], (d[1:] != d[:-1]) | (g[1:] != g[:-1]))) if len(d) else np.zeros(0, bool)
                 keys, at = np.unique(g[new], return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.bincount(at, y[d[new]], len(keys)).astype(np.int64)), pa.array(np.bincount(at, minlength=len(keys)))], names=["h", "bad", "n"])
-
-    total, bad = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
-    chosen: list[int] = []
-    if 0 < bad < total:
-        p = bad / total
-        ratio = F.expr(f"2 * (bad * ln(bad / n / {p!r}D) + if(n > bad, (n - bad) * ln((n - bad) / n / {1 - p!r}D), 0))")
-        counted = rows.select("id", "text", "y").mapInArrow(seen, "h long, bad long, n long").groupBy("h").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
-        found = counted.where(F.expr(f"bad > 0 and bad / n >= {max(p, purity)!r}D")).withColumn("r", ratio).where(F.col("r") >= evidence)
-        chosen = [r.h for r in found.orderBy(F.desc("r"), "h").limit(features).collect()]
-    vocabulary = Vocabulary(np.array(chosen, np.int64).view(np.uint64))
+                sums = (np.bincount(at, w[d[new]], len(keys)).astype(np.int64) for w in ((y > 0) * first, first))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(pa.array(x) for x in sums)], names=["h", "bad", "n"])
+
+    total, bad = rows.where("first").agg(F.count("*"), F.coalesce(F.count_if(F.col("y") > 0), F.lit(0))).first()
+    counted = rows.select("text", "y", "first").mapInArrow(seen, "h long, bad long, n long").groupBy("h").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")).toArrow()  # one row per feature of the sample
+    hashes, times_bad, times = (counted[c].to_numpy() for c in ("h", "bad", "n"))
+    vocabulary = Vocabulary(hashes.view(np.uint64))
+    order = np.lexsort((hashes.view(np.uint64), hashes.view(np.uint64) & vocabulary.mask))
+    more = boost(times_bad[order].astype(float), times[order].astype(float), bad, total, evidence)
+    del counted, hashes, times_bad, times, order
+    words = sc.broadcast(vocabulary)
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(len(chosen), np.int64), 0
-        for b in batches:
+        total, n = np.zeros(len(words.value.hashes), np.int64), 0
+        for b in parts(batches):
             n += b.num_rows
-            total += np.bincount(vocabulary.counts(b.column(0))[1], minlength=len(chosen))[: len(chosen)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(np.arange(len(chosen)), -1)), pa.array(np.append(total, n))], names=["at", "n"])
+            total += np.bincount(words.value.counts(b.column(0))[1], minlength=len(total))[: len(total)]
+        on = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(on, -1).astype(np.int32)), pa.array(np.append(total[on], n))], names=["at", "n"])
 
-    df, n_docs = np.zeros(len(chosen)), 1
-    if chosen:
-        for r in docs.select("text").mapInArrow(frequency, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # one row per feature
-            if r["at"] < 0:
-                n_docs = max(1, r["n"])
-            else:
-                df[r["at"]] = r["n"]
+    df, n_docs = np.zeros(len(vocabulary.hashes)), 1
+    if len(df):
+        got = docs.select("text").mapInArrow(frequency, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # one row per feature
+        at, n = got["at"].to_numpy(), got["n"].to_numpy()
+        n_docs = max(1, int(n[at < 0].sum()))
+        df[at[at >= 0]] = n[at >= 0]
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            doc, f, t = vocabulary.counts(b.column(1))
-            cut = np.searchsorted(doc, np.arange(b.num_rows + 1))
-            both = [(f[s:e].tolist(), t[s:e].tolist()) for s, e in zip(cut[:-1], cut[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array([x[i] for x in both], pa.list_(pa.int64())) for i in (0, 1))], names=["id", "y", "f", "t"])
-
-    got = rows.select("id", "text", "y").mapInArrow(vectors, "id long, y int, f array<long>, t array<long>").orderBy("id").collect() if chosen else []  # at most `sample`
-    examples = [(r.id, int(r.y > 0), np.array(r.f, np.int64), np.array(r.t, np.int64)) for r in got]
-    index = Index(np.log(1 + n_docs / (1 + df)), examples, neighbours)
-    index.calibrate(examples)
-    return vocabulary, index
+        for b in parts(batches):
+            doc, f, t = words.value.counts(b.column(1))
+            cut = pa.array(np.searchsorted(doc, np.arange(b.num_rows + 1)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.ListArray.from_arrays(cut, pa.array(x.astype(np.int32))) for x in (f, t))], names=["id", "y", "f", "t"])
+
+    got = rows.select("id", "text", "y").mapInArrow(vectors, "id long, y int, f array<int>, t array<int>").toArrow()  # at most `sample`
+    each = zip(got["id"].to_pylist(), got["y"].to_pylist(), got["f"], got["t"], strict=True)
+    examples = sorted(((i, int(y > 0), f.values.to_numpy(), t.values.to_numpy()) for i, y, f, t in each), key=lambda r: r[0])
+    index = Index(np.log(1 + n_docs / (1 + df)) * more, examples, neighbours)
+    ready = sc.broadcast(index)
+    del got, examples, index
+
+    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, index = words.value, ready.value
+        place = {int(i): n for n, i in enumerate(index.ids)}
+        for b in parts(batches):
+            out = [v for v, _, _ in index.votes(_texts(vocabulary, b.column(1)), [place.get(i, -1) for i in b.column(0).to_pylist()])]
+            yield pa.RecordBatch.from_arrays([b.column(2), pa.array(out, pa.float64())], names=["y", "vote"])
+
+    examples = rows.where("first").select("id", "text", "y").repartition(max(1, min(64, total // 100)), "id")
+    got = examples.mapInArrow(votes, "y int, vote double").collect() if total else []  # at most `sample`
+    return words, ready, Calibration([(r.vote, int(r.y > 0)) for r in got])
 
 
 def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """id, held_out, score, predicted, and evidence: the examples' ids, cosines and labels."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    ready = docs.sparkSession.sparkContext.broadcast(fit(rows, labels, **options))
+    words, ready, calibrated = fit(rows, labels, **options)
     struct = pa.list_(pa.struct([("id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, index = ready.value
-        for b in batches:
-            doc, f, t = vocabulary.counts(b.column(1))
-            cut = np.searchsorted(doc, np.arange(b.num_rows + 1))
+        vocabulary, index = words.value, ready.value
+        for b in parts(batches):
             out, why = [], []
-            for s, e in zip(cut[:-1], cut[1:], strict=True):
-                score, best, sims = index.score(f[s:e], t[s:e])
-                out.append(score)
+            for vote, best, sims in index.votes(_texts(vocabulary, b.column(1))):
+                out.append(calibrated(vote))
                 why.append([{"id": int(index.ids[x]), "cosine": float(c), "label": int(index.labels[x])} for x, c in zip(best, sims, strict=True)])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64()), pa.array(why, struct)], names=["id", "score", "evidence"])
 
@@ -261,15 +381,13 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs whose score is below the threshold, with all their columns; nothing is shuffled."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    ready = docs.sparkSession.sparkContext.broadcast(fit(rows, labels, **options))
+    words, ready, calibrated = fit(rows, labels, **options)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, index = ready.value
-        for b in batches:
-            doc, f, t = vocabulary.counts(b.column(at))
-            cut = np.searchsorted(doc, np.arange(b.num_rows + 1))
-            keep = [index.score(f[s:e], t[s:e])[0] < threshold for s, e in zip(cut[:-1], cut[1:], strict=True)]
+        vocabulary, index = words.value, ready.value
+        for b in parts(batches):
+            keep = [calibrated(vote) < threshold for vote, _, _ in index.votes(_texts(vocabulary, b.column(at)))]
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -222,6 +222,16 @@ def test_toxicity_learns_held_out_forms(spark):
     assert all(r.predicted == (r.doc_id % 6 == 0) for r in out.collect())
 
 
+def test_toxicity_compares_every_text(spark):
+    """Few labels and no word that reaches the evidence: a copy of a labelled text is still found, at cosine 1."""
+    data = [(i, " ".join(f"w{i}x{k} common{k}" for k in range(20))) for i in range(30)]
+    copy = next(i for i, _ in data if zlib.crc32(str(i).encode()) % 5)
+    out = toxicity.scores(spark.createDataFrame([*data, (100, data[copy][1])], "doc_id long, text string"), spark.createDataFrame([(i, int(i == copy)) for i, _ in data], "doc_id long, toxic int"))
+    found = {r.doc_id: r.evidence for r in out.collect()}
+    assert found[100][0].id == copy and found[100][0].label == 1 and abs(found[100][0].cosine - 1) < 1e-9
+    assert all(found.values())
+
+
 def test_nearest_is_exact():
     rng = np.random.default_rng(5)
     rows = []
