@@ -10,7 +10,7 @@ expression.
 
 Null and empty texts have no words and fail the base rule. Ties go to the first
 feature and smallest threshold, so the list depends on the sample alone. A
-labelled id that occurs twice counts once, as its lowest label; without labels
+labelled id that occurs twice counts once, as its lowest label and, of several texts, the one of the smallest statistics; without labels
 the list is empty and keeps what passes the base rule.
 """
 
@@ -156,7 +156,8 @@ def verdict(rules: list[list[tuple[int, bool, float]]]) -> Column:
 def sample(stats: DataFrame, labels: DataFrame, id_col: str, label_col: str, rows: int) -> tuple[np.ndarray, np.ndarray]:
     marked = labels.where(F.col(label_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).alias("label"))
     labelled = stats.join(marked, id_col).select(F.xxhash64(F.lit("quality"), F.col(id_col)).alias("at"), F.col(id_col).cast("string").alias("tie"), (F.col("label") == 0).alias("bad"), *(F.expr(e).cast("double").alias(f) for f, e in FEATURES.items()))
-    got = smallest(checkpointed(labelled), "at", "tie", rows).collect()  # at most `rows`
+    once = labelled.groupBy("at", "tie").agg(F.min(F.struct("bad", *FEATURES)).alias("row")).select("at", "tie", "row.*")  # one row per id
+    got = smallest(checkpointed(once), "at", "tie", rows).collect()  # at most `rows`
     return np.array([r[3:] for r in got], float).reshape(-1, len(FEATURES)), np.array([r.bad for r in got], bool)
 
 

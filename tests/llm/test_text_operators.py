@@ -38,6 +38,13 @@ def test_quality_statistics(docs, rows, empty):
     assert quality.judge(empty, labels.limit(0)).count() == 0
 
 
+def test_quality_sample_counts_an_id_once(spark):
+    docs = spark.createDataFrame([(i, "w " * (i + 1)) for i in range(30) for _ in range(50)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
+    x, bad = quality.sample(quality.statistics(docs), labels, "doc_id", "quality", 10)
+    assert len(x) == len(bad) == len(set(x[:, 0])) == 10
+
+
 def test_decision_list():
     rng = np.random.default_rng(1)
     x = rng.random((4000, 3))
