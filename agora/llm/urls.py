@@ -18,6 +18,8 @@ as often as they occur; empty tables give empty results.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +27,7 @@ from .common import checkpointed, table
 
 #: (host, path, verdict)
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
-DAMPING, STEPS, TOLERANCE, THRESHOLD = 0.85, 30, 1e-4, 0.5
+DAMPING, TOLERANCE, THRESHOLD = 0.85, 1e-4, 0.5
 LINK = r"""(?i)href\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -52,10 +54,11 @@ def rule_columns(rules: tuple[tuple[str, str, str], ...]) -> tuple[Column, Colum
     return name, said
 
 
-def pagerank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, steps: int = STEPS, tolerance: float = TOLERANCE) -> DataFrame:
+def pagerank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, steps: int | None = None, tolerance: float = TOLERANCE) -> DataFrame:
     """(host, score): personalised PageRank of weighted edges (src, dst, n) from seeds (host, weight), in the seeds' unit.
 
-    Mass at hosts without links out is dropped, not redistributed. It ends when less than `tolerance` of it still flows.
+    Mass at hosts without links out is dropped, not redistributed. It ends when less than `tolerance` of it still flows,
+    after log(tolerance) / log(damping) steps at most; with `steps`, after so many at the latest.
     """
     total = seeds.agg(F.sum("weight")).first()[0] or 1.0
     start = checkpointed(seeds.select("host", (F.col("weight") * (1 - damping)).alias("score")))
@@ -64,7 +67,7 @@ def pagerank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, steps
     out = edges.groupBy("src").agg(F.sum("n").alias("all"))
     share = checkpointed(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("all") * damping).alias("share")))
     flow = result = start
-    for _ in range(steps):  # result sums the mass after 0, 1, 2 ... links
+    for _ in itertools.count() if steps is None else range(steps):  # result sums the mass after 0, 1, 2 ... links
         flow = checkpointed(flow.join(share, F.col("host") == F.col("src")).groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("score") * F.col("share")).alias("score")), forget=True)
         if (flow.agg(F.sum("score")).first()[0] or 0) < tolerance * (1 - damping) * total:
             break

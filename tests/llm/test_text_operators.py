@@ -277,6 +277,12 @@ def test_pagerank(spark):
     assert np.allclose([got[h] for h in "abc"], want)
 
 
+def test_pagerank_goes_on_to_the_tolerance(spark):
+    edges = spark.createDataFrame([("a", "b", 1), ("b", "a", 1)], "src string, dst string, n long")
+    got = urls.pagerank(edges, spark.createDataFrame([("a", 1.0)], "host string, weight double")).collect()
+    assert 0 <= 1 - sum(r.score for r in got) <= 1.2e-4
+
+
 def test_lines(docs, rows, empty):
     import duckdb
 
