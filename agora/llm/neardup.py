@@ -19,7 +19,9 @@ connected components, found by label propagation with pointer jumping.
 
 A pair of similarity 0.8 shares no band with probability (1 - 0.8**5)**26, about
 3e-5. Null and empty texts have no words and are one class. Rows that share an
-id are one document if their words are equal; else each is in its own class.
+id are one document if their words are equal; else each is compared by its own words,
+and classes whose smallest id is the same have the same class_id. Inside, a 63-bit number made
+from the words stands for a text; ids come in at the end.
 """
 
 from __future__ import annotations
@@ -108,6 +110,19 @@ def unpack(raw: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(raw, np.uint64, n), np.frombuffer(raw, np.uint32, n, 8 * n) if len(raw) > 8 * n else np.ones(n, np.uint32)
 
 
+def numbers(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two hashes of each text's words in their order, and the number made from both that stands for the text."""
+    n = len(at) - 1
+    pos = np.arange(len(h)) - np.repeat(at[:-1], np.diff(at))
+    doc = np.repeat(np.arange(n), np.diff(at))
+    same = []
+    for salt in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179):
+        x = np.zeros(n, np.uint64)
+        np.add.at(x, doc, mix(h ^ mix(pos.astype(np.uint64) + np.uint64(salt))))
+        same.append(x)
+    return same[0].view(np.int64), same[1].view(np.int64), (mix(same[0] ^ mix(same[1])) >> np.uint64(1)).view(np.int64)
+
+
 def _sign(bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -117,26 +132,28 @@ def _sign(bands: int, rows: int):
                 key = np.repeat(np.arange(1, bands + 1, dtype=np.uint64)[None], n, 0)
                 for r in range(rows):
                     key = mix(key * np.uint64(0xE7037ED1A0B428DB) + sig[:, :, r])
-                pos = np.arange(len(h)) - np.repeat(at[:-1], np.diff(at))
-                doc = np.repeat(np.arange(n), np.diff(at))
-                same = []
-                for salt in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179):
-                    x = np.zeros(n, np.uint64)
-                    np.add.at(x, doc, mix(h ^ mix(pos.astype(np.uint64) + np.uint64(salt))))
-                    same.append(pa.array(x.view(np.int64)))
+                same = [pa.array(x) for x in numbers(h, at)]
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), pa.array(key.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, n), *same, pa.array(np.diff(at)), flat], names=["id", "ka", "kb", "n_words", "bands"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, n), *same, pa.array(np.diff(at)), flat], names=["id", "ka", "kb", "rep", "n_words", "bands"])
 
     return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The set of each text of (id, text, reps) whose number is in reps, once; all rows of an id come to one task."""
+    seen: set[int] = set()
     for b in batches:
+        wanted = b.column(2).to_pylist()
         for first, at, h in word_hashes(*column(b.column(1))):
             doc, g, w = weighted(h, at)
             cut = np.searchsorted(doc, np.arange(len(at)))
-            raw = [pack(g[s:e], w[s:e]) for s, e in zip(cut[:-1], cut[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(at) - 1), pa.array(np.diff(cut).astype(np.int64)), pa.array(raw, pa.binary())], names=["rep", "n", "set"])
+            out = []
+            for k, rep in enumerate(numbers(h, at)[2].tolist()):
+                if rep in wanted[first + k] and rep not in seen:
+                    seen.add(rep)
+                    s, e = cut[k], cut[k + 1]
+                    out.append((rep, int(e - s), pack(g[s:e], w[s:e])))
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["rep", "n", "set"])
 
 
 def _verified(threshold: float):
@@ -207,7 +224,7 @@ def rest(at: DataFrame, reps: DataFrame, sets: DataFrame, threshold: float) -> D
     each other and with the main ones, in blocks of BLOCK_ROWS, so main members never meet each other.
     """
     stars = at.join(at.groupBy("key").agg(F.min("c").alias("b")), "key").select(F.col("c").alias("a"), "b")
-    group = components(stars.where("a != b").distinct()).withColumnsRenamed({"v": "c", "c": "g"})
+    group = components(stars.where("a != b").distinct()).select(F.col("v").alias("c"), F.col("c").alias("g"))
     own = checkpointed(at.select("rep", "c").distinct().join(group, "c"))
     size = own.groupBy("g", "c").agg(F.count("*").alias("k"))
     main = size.groupBy("g").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.max("k").alias("km"), (F.sum("k") - F.max("k")).alias("ks"))
@@ -228,14 +245,15 @@ def rest(at: DataFrame, reps: DataFrame, sets: DataFrame, threshold: float) -> D
 def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, class_id (the smallest id of the class) and rep_id (the smallest id with equal words) of every row."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = checkpointed(texts.mapInArrow(_sign(bands, rows), "id long, ka long, kb long, n_words long, bands array<long>"))
+    signed = checkpointed(texts.mapInArrow(_sign(bands, rows), "id long, ka long, kb long, rep long, n_words long, bands array<long>"))
     members = signed.select("id", "ka", "kb")
-    reps = checkpointed(signed.groupBy("ka", "kb").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.max("n_words").alias("n_words")))
-    banded = reps.where("n_words > 0 and rep is not null").select("rep", F.explode("bands").alias("key"))
+    reps = checkpointed(signed.groupBy("ka", "kb").agg(F.first("rep").alias("rep"), F.min("id").alias("own"), F.first("bands").alias("bands"), F.max("n_words").alias("n_words")))
+    banded = reps.where("n_words > 0 and own is not null").select("rep", F.explode("bands").alias("key"))
     full = checkpointed(banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     live = checkpointed(banded.join(full, "key"))
     shares = live.groupBy("rep").agg(F.sum("n").alias("s"))
-    sets = checkpointed(texts.join(live.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets, "rep long, n long, set binary"))
+    wanted = live.select("rep").distinct().join(reps.select("rep", F.col("own").alias("id")), "rep").groupBy("id").agg(F.collect_set("rep").alias("reps"))
+    sets = checkpointed(texts.join(wanted, "id").dropDuplicates(["id", "text"]).select("id", "text", "reps").mapInArrow(_sets, "rep long, n long, set binary"))
     live = checkpointed(live.drop("n").join(shares, "rep"))
     edges = None
     found = live.sparkSession.createDataFrame([], "v long, c long")
@@ -258,8 +276,10 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
         edges = links if edges is None else edges.unionAll(links)
         found = components(edges)
         edges = found.where("v != c").select(F.col("v").alias("a"), F.col("c").alias("b"))  # connects the same
-    of = reps.select("ka", "kb", "rep").join(found.withColumnRenamed("v", "rep"), "rep", "left").select("ka", "kb", "rep", F.coalesce("c", "rep").alias("class_id"))
-    return members.join(checkpointed(of), ["ka", "kb"]).select(F.col("id").alias(id_col), "class_id", F.col("rep").alias("rep_id"))
+    owned = found.withColumnRenamed("v", "rep").join(reps.select("rep", "own"), "rep")
+    named = checkpointed(found.join(owned.groupBy("c").agg(F.min("own").alias("class_id")), "c").select(F.col("v").alias("rep"), "class_id"))
+    of = reps.select("ka", "kb", "rep", "own").join(named, "rep", "left").select("ka", "kb", "own", F.coalesce("class_id", "own").alias("class_id"))
+    return members.join(checkpointed(of), ["ka", "kb"]).select(F.col("id").alias(id_col), "class_id", F.col("own").alias("rep_id"))
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -69,6 +69,13 @@ def test_groups_of_near_copies(spark, monkeypatch, rounds):
     assert got == plain_classes(rows)
 
 
+def test_texts_that_share_an_id_are_compared_each(spark):
+    a, b = ([f"{x}{k}" for k in range(100)] for x in "ab")
+    rows = [(1, a), (1, b), (2, [*a[:-1], "end"]), (3, [*b[:-1], "end"]), (1, a)]
+    got = {(r.doc_id, r.class_id, r.rep_id) for r in neardup.classes(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()}
+    assert got == {(1, 1, 1), (2, 1, 2), (3, 1, 3)}
+
+
 def test_components(spark):
     edges = [(i + 1, i) for i in range(40)] + [(101, 100), (102, 100), (7, 3)]
     got = {r.v: r.c for r in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
