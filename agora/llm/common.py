@@ -8,6 +8,7 @@ one running sum per block of text.
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text hashed at a time; working arrays take about 60 times as much.
 BLOCK = 1 << 19
+#: Short rows (some numbers each) that one task of a loop holds.
+LOOP_ROWS = 1 << 18
 
 _RNG = np.random.default_rng(20240501)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -29,22 +32,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate data that the driver and all executors share."""
+    if (shared := spark.conf.get("spark.checkpoint.dir", None)) is not None:
+        return shared
+    if re.match(r"local(\[|$)", spark.sparkContext.master):
+        return tempfile.mkdtemp(prefix="agora-shared-")
+    raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+
+
 def checkpointed(df: DataFrame, forget: bool = False) -> DataFrame:
     """df, computed once and kept in the shared checkpoint folder, so that a lost executor costs no recomputation.
 
-    The folder is the cluster's spark.checkpoint.dir; only where that is unset, as in tests, is one made.
+    The folder is the cluster's spark.checkpoint.dir. Only in local mode, where every task sees the same disk, is one made if that is unset.
     With forget, the result has not the estimated size of the plan that made it: a join's is the product of its sides', so that
     in a loop of joins the estimate would double its digits in every step. Adaptive execution goes by real sizes.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="agora-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     kept, spark = df.checkpoint(), df.sparkSession
     if not forget:
         return kept
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept._jdf.queryExecution().toRdd(), kept._jdf.schema(), False), spark)
 
 
+def few(rows: int, spark: SparkSession) -> int:
+    """Partitions for so many short rows of a loop: each step of one costs a file per task, so a small table goes into few."""
+    return max(1, min(shuffle_partitions(spark), -(-rows // LOOP_ROWS)))
+
+
 def smallest(df: DataFrame, at: str, tie: str, rows: int) -> DataFrame:
     """At most `rows` rows, those of the smallest 64-bit hash `at`.
 

@@ -13,8 +13,8 @@ Texts of equal words are one class from the start, and only its representative
 goes on. In every bucket of a band the others are compared with a leader, the
 member that shares most with others; never all with all. Where that leaves
 members in different components, the next leader follows; after `ROUNDS` leaders
-what is left is compared in blocks of fixed size, where a pair is skipped only if it shares no band or
-is connected already. So no candidate is dropped, and no pairs are written. The classes are the
+what is left of each bucket is compared in blocks of fixed size, where a pair is skipped only if it
+is connected already or meets in an earlier band. So no candidate is dropped, and no pairs are written. The classes are the
 connected components, found by label propagation with pointer jumping.
 
 A pair of similarity 0.8 shares no band with probability (1 - 0.8**5)**26, about
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, column, mix, table, word_hashes
+from .common import checkpointed, column, few, mix, table, word_hashes
 
 WORDS, THRESHOLD, BANDS, ROWS, ROUNDS, BLOCK_ROWS = 5, 0.8, 26, 5, 2, 256
 
@@ -91,15 +91,19 @@ def signatures(doc: np.ndarray, g: np.ndarray, weight: np.ndarray, n: int, m: in
         at, state, t = at[keep], state[keep], t[keep]
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Probability Jaccard of two weighted sets, each as (sorted elements, weights)."""
-    every = np.union1d(a[0], b[0])
-    x, y = np.zeros(len(every)), np.zeros(len(every))
-    x[np.searchsorted(every, a[0])] = a[1]
-    y[np.searchsorted(every, b[0])] = b[1]
-    both = (x > 0) & (y > 0)
-    ratio = y[both] / x[both]
-    return float(sum(x[both][ratio == r].sum() / np.maximum(x, y / r).sum() for r in np.unique(ratio)))
+def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], least: float = 0.0) -> float:
+    """Probability Jaccard of two weighted sets, each as (sorted elements, weights); 0 if it is clearly below `least`."""
+    (g, v), (h, w) = a, b
+    at = np.searchsorted(h, g)
+    both = h[np.minimum(at, len(h) - 1)] == g if len(h) else np.zeros(len(g), bool)
+    x, y = v[both].astype(float), w[at[both]].astype(float)
+    p, q = float(v.sum()), float(w.sum())
+    if np.minimum(x / p, y / q).sum() < least * (1 - 1e-9):  # each term is at most the element's share of either text
+        return 0.0
+    ratio = y / x
+    if (ratio == 1).all():
+        return float(x.sum() / (p + q - x.sum()))
+    return float(sum(x[ratio == r].sum() / (np.maximum(x, y / r).sum() + (p - x.sum()) + (q - y.sum()) / r) for r in np.unique(ratio)))
 
 
 def pack(g: np.ndarray, w: np.ndarray) -> bytes:
@@ -160,7 +164,7 @@ def _verified(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             a, z, n, x, m, y = b.columns
-            ok = np.array([similarity(unpack(x[i].as_py(), n[i].as_py()), unpack(y[i].as_py(), m[i].as_py())) >= threshold for i in range(b.num_rows)], bool)
+            ok = np.array([similarity(unpack(x[i].as_py(), n[i].as_py()), unpack(y[i].as_py(), m[i].as_py()), threshold) >= threshold for i in range(b.num_rows)], bool)
             yield pa.RecordBatch.from_arrays([a, z, pa.array(ok)], names=["a", "b", "ok"])
 
     return run
@@ -169,28 +173,31 @@ def _verified(threshold: float):
 def components(edges: DataFrame) -> DataFrame:
     """(v, c): the smallest vertex c of each vertex's connected component; edges are (a, b)."""
     both = checkpointed(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), forget=True)
-    labels = checkpointed(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("a"), F.min("b")).alias("c")), forget=True)
+    n = few(both.count(), edges.sparkSession)
+    both = both.coalesce(n)
+    labels = checkpointed(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("a"), F.min("b")).alias("c")).coalesce(n), forget=True)
     while True:
-        near = both.join(labels.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v")).agg(F.min("c").alias("m"))
-        step = labels.join(near, "v").select("v", F.least("c", "m").alias("c"), F.col("c").alias("old"))
+        near = both.join(labels.withColumnRenamed("v", "b"), "b").coalesce(n).groupBy(F.col("a").alias("v")).agg(F.min("c").alias("m")).coalesce(n)
+        step = labels.join(near, "v").select("v", F.least("c", "m").alias("c"), F.col("c").alias("old")).coalesce(n)
         jump = step.select(F.col("v").alias("c"), F.col("c").alias("to"))
-        new = checkpointed(step.join(jump, "c").select("v", F.col("to").alias("c"), (F.col("to") != F.col("old")).alias("moved")), forget=True)
+        new = checkpointed(step.join(jump, "c").select("v", F.col("to").alias("c"), (F.col("to") != F.col("old")).alias("moved")).coalesce(n), forget=True)
         labels = new.drop("moved")
         if new.where("moved").isEmpty():
             return labels
 
 
 def _blocks(threshold: float):
-    """Links between two blocks: pairs that share a band and are not yet connected are verified; only links that connect are returned."""
+    """Links between two blocks of a bucket: pairs not yet connected are verified, each in the first of the bands that it shares; only links that connect are returned."""
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         rep, comp, n = (t[c].to_pylist() for c in ("rep", "c", "n"))
         raw, left, right = t["set"], np.array(t["left"]), np.array(t["right"])
         bands = np.array(t["bands"].to_pylist(), np.int64)
         i, j = np.flatnonzero(left), np.flatnonzero(right)
-        share = np.zeros((len(i), len(j)), bool)
-        for k in range(bands.shape[1] if len(bands) else 0):
-            share |= bands[i, k][:, None] == bands[j, k][None]
+        labels = np.array(comp)
+        open_ = labels[i][:, None] != labels[j][None]
+        for k in range(int(np.flatnonzero(bands[0] == key[0].as_py())[0])):
+            open_ &= bands[i, k][:, None] != bands[j, k][None]
         up: dict[int, int] = {}
 
         def top(x: int) -> int:
@@ -200,16 +207,15 @@ def _blocks(threshold: float):
             return x
 
         sets: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        out, tried = [], set()
-        for x, y in zip(*(a.tolist() for a in np.nonzero(share)), strict=True):
+        out = []
+        for x, y in zip(*(a.tolist() for a in np.nonzero(open_)), strict=True):
             x, y = int(i[x]), int(j[y])
-            if (ca := top(comp[x])) == (cb := top(comp[y])) or (min(x, y), max(x, y)) in tried:
+            if (ca := top(comp[x])) == (cb := top(comp[y])):
                 continue
-            tried.add((min(x, y), max(x, y)))
             for z in (x, y):
                 if z not in sets:
                     sets[z] = unpack(raw[z].as_py(), n[z])
-            if similarity(sets[x], sets[y]) >= threshold:
+            if similarity(sets[x], sets[y], threshold) >= threshold:
                 up[max(ca, cb)] = min(ca, cb)
                 out.append((max(rep[x], rep[y]), min(rep[x], rep[y])))
         return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
@@ -218,18 +224,16 @@ def _blocks(threshold: float):
 
 
 def rest(at: DataFrame, reps: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) among what the leaders have left, open buckets (key, rep, c): no two components of a group stay apart that a link connects.
+    """Links (a, b) among what the leaders have left, open buckets (key, rep, c): no two components of a bucket stay apart that a link connects.
 
-    Buckets that share members are one group. Its largest component is main; the members of the others are compared with
-    each other and with the main ones, in blocks of BLOCK_ROWS, so main members never meet each other.
+    Every bucket is done by itself, so buckets that share members don't grow together. Its largest component is main; the
+    members of the others are compared with each other and with the main ones, in blocks of BLOCK_ROWS, so main members
+    never meet each other.
     """
-    stars = at.join(at.groupBy("key").agg(F.min("c").alias("b")), "key").select(F.col("c").alias("a"), "b")
-    group = components(stars.where("a != b").distinct()).select(F.col("v").alias("c"), F.col("c").alias("g"))
-    own = checkpointed(at.select("rep", "c").distinct().join(group, "c"))
-    size = own.groupBy("g", "c").agg(F.count("*").alias("k"))
-    main = size.groupBy("g").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.max("k").alias("km"), (F.sum("k") - F.max("k")).alias("ks"))
+    size = at.groupBy("key", "c").agg(F.count("*").alias("k"))
+    main = size.groupBy("key").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.max("k").alias("km"), (F.sum("k") - F.max("k")).alias("ks"))
     blocks = lambda n: F.ceil(F.col(n) / BLOCK_ROWS)
-    rows = own.join(main.where("ks > 0"), "g").withColumns({"is_main": F.col("c") == F.col("main"), "km": blocks("km"), "ks": blocks("ks")})
+    rows = at.join(main.where("ks > 0"), "key").withColumns({"is_main": F.col("c") == F.col("main"), "km": blocks("km"), "ks": blocks("ks")})
     rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.when(F.col("is_main"), F.col("km")).otherwise(F.col("ks"))))
     upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
     pair = lambda i, j, m, left, right: F.struct(i.alias("i"), j.alias("j"), F.lit(m).alias("m"), left.alias("left"), right.alias("right"))
@@ -237,9 +241,9 @@ def rest(at: DataFrame, reps: DataFrame, sets: DataFrame, threshold: float) -> D
     others = F.transform(upto("ks"), lambda j: pair(F.least(mine, j), F.greatest(mine, j), False, mine <= j, mine >= j))
     mains = F.transform(upto("km"), lambda j: pair(mine, j, True, yes, no))
     from_main = F.transform(upto("ks"), lambda i: pair(i, mine, True, no, yes))
-    dealt = rows.select("g", "rep", "c", F.explode(F.when(F.col("is_main"), from_main).otherwise(F.concat(others, mains))).alias("p")).select("g", "rep", "c", "p.*")
-    full = dealt.join(sets, "rep").join(reps.select("rep", "bands"), "rep")
-    return full.groupBy("g", "i", "j", "m").applyInArrow(_blocks(threshold), "a long, b long")
+    dealt = F.when(F.col("is_main"), from_main).otherwise(F.concat(others, mains))
+    full = rows.select("key", "rep", "c", dealt.alias("p")).join(sets, "rep").join(reps.select("rep", "bands"), "rep").select("key", "rep", "c", "n", "set", "bands", F.explode("p").alias("p"))
+    return full.select("key", "rep", "c", "n", "set", "bands", "p.*").groupBy("key", "i", "j", "m").applyInArrow(_blocks(threshold), "a long, b long")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -255,21 +259,22 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
     wanted = live.select("rep").distinct().join(reps.select("rep", F.col("own").alias("id")), "rep").groupBy("id").agg(F.collect_set("rep").alias("reps"))
     sets = checkpointed(texts.join(wanted, "id").dropDuplicates(["id", "text"]).select("id", "text", "reps").mapInArrow(_sets, "rep long, n long, set binary"))
     live = checkpointed(live.drop("n").join(shares, "rep"))
+    n = few(live.count(), live.sparkSession)
     edges = None
     found = live.sparkSession.createDataFrame([], "v long, c long")
     for turn in range(ROUNDS + 1):
         at = live.join(found.withColumnRenamed("v", "rep"), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
         if turn:  # buckets of one component are done
             open_ = at.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key")
-            at = checkpointed(at.join(open_, "key", "left_semi"))
+            at = checkpointed(at.coalesce(n).join(open_.coalesce(n), "key", "left_semi").coalesce(n))
             if at.isEmpty():
                 break
         if turn == ROUNDS:
             links = checkpointed(rest(at, reps, sets, threshold))
         else:
-            lead = checkpointed(at.groupBy("key").agg(F.max(F.struct("s", (-F.col("rep")).alias("neg"), "c")).alias("lead")).select("key", (-F.col("lead.neg")).alias("b"), F.col("lead.c").alias("cb")))
-            pairs = at.join(lead, "key").where("c != cb").select(F.col("rep").alias("a"), "b").distinct()
-            live = checkpointed(at.drop("c").join(lead.select("key", "b"), "key").where("rep != b").drop("b"))
+            lead = checkpointed(at.groupBy("key").agg(F.max(F.struct("s", (-F.col("rep")).alias("neg"), "c")).alias("lead")).select("key", (-F.col("lead.neg")).alias("b"), F.col("lead.c").alias("cb")).coalesce(n))
+            pairs = at.join(lead, "key").where("c != cb").select(F.col("rep").alias("a"), "b").coalesce(n).distinct()
+            live = checkpointed(at.drop("c").join(lead.select("key", "b"), "key").where("rep != b").drop("b").coalesce(n))
             left = pairs.join(sets.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("set").alias("xa")), "a")
             both = left.join(sets.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("set").alias("xb")), "b").select("a", "b", "na", "xa", "nb", "xb")
             links = checkpointed(both.mapInArrow(_verified(threshold), "a long, b long, ok boolean")).where("ok").select("a", "b")
