@@ -1,52 +1,78 @@
 """Operator 6: removal of repeated 50-byte strings by bucket-pointer refinement of suffixes.
 
-A byte goes if a string of `length` bytes over it also starts in a document of
+A byte goes if a string of `length` bytes over it (a window) also starts in a document of
 smaller id. Sorting every suffix of the corpus in one place is not needed for that:
 
-1. Of every window of `length` bytes the least hash of its q-grams is an anchor,
-   so equal windows have the same anchor at the same place. Anchors fall into
-   buckets by q-gram. Buckets are refined by the identifier of the whole
-   context of an anchor, that is of all windows that hold it: where a context
-   also stands in a smaller document, all of it goes.
-2. What is left to compare are different contexts in one q-gram bucket: the
-   edges of repeats. Their suffixes are sorted by bucket pointers: initial
-   buckets are the first 8 bytes, and are refined by sorting on the bucket
-   identifiers of the suffixes 8, 16 and 18 bytes further on, each round using
-   the buckets that the last one made; suffixes that are alone in a bucket are
-   left out. Then a bucket holds equal strings of `length` bytes, and its smallest document
-   stays. A bucket of more than `SMALL` contexts is not brought together: there, sorting
-   settles what it can in each task, and tasks meet by the 64-bit hash of each window.
-
-Both steps send packed arrays by bucket, after each task has settled what it can
-by itself, so one frequent passage sends one context per task. Equality of contexts is by 64-bit hashes. Null texts count as empty, texts below `length` bytes
-stay whole, a null id counts as larger than all others, and rows that share an
-id never remove each other.
+1. The texts are packed into compressed blocks, kept in the shared checkpoint folder.
+2. Of every window the least hash of its q-grams is its anchor, so equal windows have the
+   same anchor at the same place. The windows of one anchor fall into two initial
+   buckets: those that hold enough bytes to the right of it, and those that hold enough to the left.
+   The string of the anchor and those bytes, 35 or 36 of 50, is the bucket's q-gram.
+   Each block sends the hashes of its q-grams, once each with how many different
+   contexts it has, and learns which are shared with others.
+3. For shared q-grams the bytes of all windows go to the bucket, equal ones of a block once.
+   There the bytes decide: equal contexts are one, and the suffixes of what is left
+   are sorted by bucket-pointer refinement. Initial buckets are the first 8 bytes; a bucket
+   is refined by sorting its suffixes on the bucket pointers of the suffixes that begin where its
+   common prefix ends, and the new pointers are used at once by the buckets that follow.
+   Neighbours in that order with the same first `length` bytes are equal windows, and
+   all go but those of the smallest document.
+4. The answers, some bits a context, go back to the blocks, which delete the bytes.
+
+Hashes only bring together what may be equal. A q-gram with more than `small`
+different contexts would fill a task: its windows are dealt singly, by the hash of the window, and meet there in
+the same way, so the result does not depend on `small`. Every block sends a string once, so a passage that every document holds
+costs one row a block. The number of buckets follows the size of the input.
+
+Null texts count as empty, texts below `length` bytes stay whole. Ids are integers; a null id
+counts as larger than all others (as 2**63 - 1 does), and rows that share an id never remove each other.
+Only the id and the text are read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import byte_values, checkpointed, column, mix, powers, prefix_sums, shuffle_partitions, table
 
-LENGTH, GRAM, PIECE, GATHER = 50, 20, 1 << 18, 1 << 17
-#: Contexts of one q-gram that a task sorts together; larger buckets meet by window instead.
+LENGTH, GRAM, PIECE = 50, 20, 1 << 18
+#: Bytes of text of a block, at least; contexts that a task compares at a time; items that a block handles at a time.
+BLOCK_BYTES, CHUNK, ITEMS = 1 << 21, 1 << 13, 1 << 17
+#: Different contexts of one q-gram that meet as they are; beyond, its windows are dealt singly.
 SMALL = 1000
+#: Bytes of text for one bucket, at most, and keys that a task looks at together.
+BUCKET_BYTES, KEYS = 1 << 30, 1 << 20
 LOW = np.uint64((1 << 20) - 1)
+LOW32 = np.uint64((1 << 32) - 1)
 LAST_ID = (1 << 63) - 1
-DEALT = pa.schema([("bucket", pa.int32()), ("id", pa.int64()), ("mark", pa.int64()), ("kind", pa.int32()), ("at", pa.list_(pa.int32())), *((c, pa.binary()) for c in ("group", "key", "doc", "pos", "docs", "text"))])
-DEALT_DDL = "bucket int, id long, mark long, kind int, at array<int>, group binary, key binary, doc binary, pos binary, docs binary, text binary"
-FOUND = pa.schema([DEALT.field(c) for c in ("id", "mark", "kind", "at")])
-FOUND_DDL = "id long, mark long, kind int, at array<int>"
-#: Kinds of positions: a context that goes, one still to compare, a window that goes, one still to compare in a large bucket.
-CONTEXT, OPEN, WINDOW, HOT = 0, 1, 2, 3
+
+PACKED = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.binary()), ("text", pa.binary())])
+PACKED_DDL = "block long, ids array<long>, sizes binary, text binary"
+KEYED = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("keys", pa.binary()), ("several", pa.binary()), ("times", pa.binary())])
+KEYED_DDL = "block long, bucket int, keys binary, several binary, times binary"
+SHARED = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("n", pa.int32()), ("shared", pa.binary()), ("hot", pa.binary())])
+SHARED_DDL = "block long, bucket int, n int, shared binary, hot binary"
+#: start: the place of the first of the n contexts among those that the part has sent.
+#: bucket -1: the plan of n contexts, which passes through to where the answers meet; start: how many of them were sent.
+DEALT = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("bucket", pa.int32()), ("n", pa.int32()), ("start", pa.int32()), *((c, pa.binary()) for c in ("keys", "ids", "windows", "text"))])
+DEALT_DDL = "block long, part int, bucket int, n int, start int, keys binary, ids binary, windows binary, text binary"
+ANSWER = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("bucket", pa.int32()), ("n", pa.int32()), ("start", pa.int32()), ("answer", pa.binary())])
+ANSWER_DDL = "block long, part int, bucket int, n int, start int, answer binary"
+
+
+def squeezed(raw: np.ndarray | bytes) -> bytes:
+    return pa.compress(raw if isinstance(raw, bytes) else raw.tobytes(), codec="zstd", asbytes=True)
+
+
+def unsqueezed(raw: bytes, n: int, kind: type = np.uint8) -> np.ndarray:
+    return np.frombuffer(pa.decompress(raw, n * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind)
 
 
 def parts(offsets: np.ndarray, length: int) -> Iterator[tuple[int, int, int, int, int, int]]:
@@ -64,297 +90,380 @@ def parts(offsets: np.ndarray, length: int) -> Iterator[tuple[int, int, int, int
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int, q: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(documents, offsets in them, q-gram hashes, context hashes) of the selected positions."""
+    """(documents, first windows, numbers of windows, q-gram hashes, hashes of the bytes) of all contexts: the windows of an anchor in one of its two buckets."""
     values, w = byte_values(fold=False), length - q + 1
+    half = w // 2  # windows that begin up to so many bytes before the anchor are in its right bucket
     for i, j, b, e, first, last in parts(offsets, length):
         n = e - b
         if n < length:
             continue
         sums, back = prefix_sums(data[b:e], values), powers(n + 1)[1]
-        gram = mix((sums[q:] - sums[:-q]) * back[: n - q + 1])
+
+        def hashed(s: np.ndarray, t: np.ndarray, salt: int, sums=sums, back=back) -> np.ndarray:
+            return mix((sums[t] - sums[s]) * back[s] + np.uint64(salt))
+
+        gram = hashed(np.arange(n - q + 1), np.arange(q, n + 1), 0)
         least = (gram & ~LOW) | np.arange(n - q + 1, dtype=np.uint64)
         size = 1
         while size < w:
             step = min(size, w - size)
             least = np.minimum(least[:-step], least[step:])
             size += step
-        starts = np.clip(offsets[i : j + 1] - b, 0, n)
-        sizes = np.diff(starts)
-        begin, end = np.repeat(starts[:-1], sizes), np.repeat(starts[1:], sizes)
+        cuts = np.clip(offsets[i : j + 1] - b, 0, n)
         s = np.arange(n - length + 1)
-        ok = s + length <= end[: len(s)]
+        doc = np.repeat(np.arange(j - i), np.diff(cuts))[: len(s)]
+        ok = s + length <= cuts[1:][doc]
         ok[: first - b] = False
         ok[last - b :] = False
-        pos = (least[ok] & LOW).astype(np.int64)
-        pos = pos[np.concatenate(([True], pos[1:] != pos[:-1]))] if len(pos) else pos
-        lo, hi = context(pos, begin[pos], end[pos], length, q)
-        key = mix((sums[hi] - sums[lo]) * back[lo] ^ mix(((pos - lo) * 1024 + (hi - lo)).astype(np.uint64)))
-        doc = i + np.searchsorted(offsets[i + 1 : j] - b, pos, "right")
-        yield doc, pos + b - offsets[doc], gram[pos], key
+        s = s[ok]
+        if not len(s):
+            continue
+        pos = (least[s] & LOW).astype(np.int64)
+        left = pos - s > half
+        new = np.flatnonzero(np.concatenate(([True], (pos[1:] != pos[:-1]) | (left[1:] != left[:-1]))))
+        start, a, on_left = s[new], pos[new], left[new]
+        many = np.diff(np.append(new, len(s)))
+        key = hashed(np.where(on_left, a - half - 1, a), np.where(on_left, a + q, a + length - half), 1)
+        key ^= on_left.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
+        yield i + doc[ok][new], start + b, many, key, hashed(start, start + many + length - 1, 2)
 
 
-def context(pos: np.ndarray, begin: np.ndarray, end: np.ndarray, length: int, q: int) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of all windows over the q-gram at pos, inside the text."""
-    return np.maximum(begin, pos - (length - q)), np.minimum(end, pos + length)
+def contexts(data: np.ndarray, offsets: np.ndarray, length: int, q: int) -> list[np.ndarray]:
+    made = list(anchors(data, offsets, length, q))
+    if not made:
+        return [np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64)]
+    return [np.concatenate(c) for c in zip(*made, strict=True)]
 
 
-def refined(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    """A number for each of the strings of `length` bytes that start at `at` (sorted, in runs): equal strings have equal numbers.
+def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
+    return (key >> np.uint64(32)).astype(np.int64) * buckets >> 32
 
-    data is padded by `length` bytes.
-    """
-    need = np.zeros(len(data), bool)
-    for k in {a + b + c for a in (0, length - 32) for b in (0, 16) for c in (0, 8)}:  # what the rounds look at
-        need[at + k] = True
-    live = np.flatnonzero(need[: len(data) - 8])
-    eight = np.zeros(len(data), np.uint64)
-    for k in range(8):
-        eight[live] = eight[live] << np.uint64(8) | data[live + k]
-    bucket = np.zeros(len(data), np.int64)
-    bucket[live] = np.unique(eight[live], return_inverse=True)[1]
-    depth = 8
-    for more in (8, 16, length - 32):  # 8 + 8, 16 + 16, 32 + 18
-        todo = np.flatnonzero(need[: len(data) - length]) if depth + more < length else at
-        size = np.bincount(bucket[todo])
-        shared = todo[size[bucket[todo]] > 1]
-        pair = np.lexsort((bucket[np.minimum(shared + more, len(data) - 1)], bucket[shared]))
-        x, y = bucket[shared][pair], bucket[np.minimum(shared + more, len(data) - 1)][pair]
-        new = np.cumsum(np.concatenate(([0], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))) if len(pair) else pair
-        fresh = bucket.copy()
-        alone = todo[size[bucket[todo]] == 1]
-        fresh[alone] = len(pair) + np.arange(len(alone))
-        fresh[shared[pair]] = new
-        bucket, depth = fresh, depth + more
-    return bucket[at]
-
-
-def settle(key: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(in order of key: the order, whether a smaller id has the key too)."""
-    order = np.lexsort((ids, key))
-    k, i = key[order], ids[order]
-    start = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.zeros(0, np.int64)
-    least = np.repeat(i[start], np.diff(np.append(start, len(k))))
-    return order, i > least
-
-
-def listed(ids: np.ndarray, marks: np.ndarray, at: np.ndarray, kind: int) -> pa.RecordBatch:
-    """One row per document."""
-    order = np.lexsort((at, marks, ids))
-    i, m, a = ids[order], marks[order], at[order].astype(np.int32)
-    start = np.flatnonzero(np.concatenate(([True], (i[1:] != i[:-1]) | (m[1:] != m[:-1])))) if len(i) else np.zeros(0, np.int64)
-    lists = pa.ListArray.from_arrays(pa.array(np.append(start, len(i)).astype(np.int32)), pa.array(a))
-    return pa.RecordBatch.from_arrays([pa.array(i[start]), pa.array(m[start]), pa.array(np.full(len(start), kind, np.int32)), lists], schema=FOUND)
-
-
-def dealt(buckets: int, ids: np.ndarray, marks: np.ndarray, doc: np.ndarray, pos: np.ndarray, group: np.ndarray, key: np.ndarray, kind: int) -> Iterator[pa.RecordBatch]:
-    """What a task sends: positions that it has settled, and the rest packed by the bucket of the group."""
-    order, gone = settle(key, ids[doc])
-    done = order[gone]
-    own = listed(ids[doc[done]], marks[doc[done]], pos[done], kind)
-    nothing = pa.nulls(own.num_rows, pa.binary())
-    yield pa.RecordBatch.from_arrays([pa.array(np.full(own.num_rows, -1, np.int32)), *own.columns, *[nothing] * 6], schema=DEALT)
-    rest = order[~gone]
-    to = ((group[rest] >> np.uint64(32)).astype(np.int64) * buckets) >> 32
-    by = np.argsort(to, kind="stable")
-    rest, to = rest[by], to[by]
-    cut = np.searchsorted(to, np.arange(buckets + 1))
-    rows = []
-    for k in np.flatnonzero(np.diff(cut)).tolist():
-        r = rest[cut[k] : cut[k + 1]]
-        docs, local = np.unique(doc[r], return_inverse=True)
-        rows.append({"bucket": k, "group": group[r].astype(np.uint32).tobytes() if kind == CONTEXT else b"", "key": key[r].tobytes(), "doc": local.astype(np.uint16 if len(docs) <= 1 << 16 else np.uint32).tobytes(), "pos": pos[r].astype(np.uint32).tobytes(), "docs": np.concatenate((ids[docs], marks[docs])).tobytes()})
-    yield pa.RecordBatch.from_pylist(rows, schema=DEALT)
-
-
-def joined(batches: Iterator[tuple[np.ndarray, ...]], limit: int) -> Iterator[list[np.ndarray]]:
-    held, n = [], 0
-    for x in batches:
-        held.append(x)
-        n += len(x[0])
-        if n >= limit:
-            yield [np.concatenate(c) for c in zip(*held, strict=True)]
-            held, n = [], 0
-    if held:
-        yield [np.concatenate(c) for c in zip(*held, strict=True)]
-
-
-def _anchors(buckets: int, length: int, q: int):
+
+def _packed(block_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
         for b in batches:
-            ids, marks = b.column(0).to_numpy(), b.column(1).to_numpy()
-            for doc, pos, group, key in joined(anchors(*column(b.column(2)), length, q), GATHER):
-                yield from dealt(buckets, ids, marks, doc, pos, group, key, CONTEXT)
-            pa.default_memory_pool().release_unused()
+            data, offsets = column(b.column(1))
+            i = 0
+            while i < b.num_rows:
+                j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + block_bytes, "right")) - 1)
+                sizes, text = np.diff(offsets[i : j + 1]), data[offsets[i] : offsets[j]]
+                ids = pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), b.column(0).slice(i, j - i))
+                yield pa.RecordBatch.from_arrays([pa.array([block]), ids, pa.array([sizes.tobytes()], pa.binary()), pa.array([squeezed(text)], pa.binary())], schema=PACKED)
+                i, block = j, block + 1
 
     return run
 
 
-def places(lists: pa.ListArray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, positions in the data) of lists of positions; a null list is empty."""
-    n = np.where(lists.is_null().to_numpy(zero_copy_only=False), 0, np.diff(lists.offsets.to_numpy()))
-    doc = np.repeat(np.arange(len(n)), n)
-    return doc, lists.flatten().to_numpy().astype(np.int64) + offsets[doc]
+def opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, bytes, offsets) of a block."""
+    sizes = np.frombuffer(row["sizes"], np.int64)
+    offsets = np.concatenate(([0], np.cumsum(sizes)))
+    ids = np.array([LAST_ID if i is None else i for i in row["ids"]], np.int64)
+    return ids, unsqueezed(row["text"], int(offsets[-1])), offsets
 
 
-def spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """begin, begin + 1, ... for each, one after the other."""
-    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+def distinct(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct (bucket, low half) of keys in order, the place of each key, and where each bucket begins."""
+    both = bucket_of(key, buckets).astype(np.uint64) << np.uint64(32) | key & LOW32
+    every, at = np.unique(both, return_inverse=True)
+    return every, at, np.searchsorted(every, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32))
 
 
-def _contexts(b: pa.RecordBatch, buckets: int, length: int, q: int) -> Iterator[pa.RecordBatch]:
-    """Sends the bytes of open contexts to the bucket of their q-gram."""
-    ids, marks = b.column(0).to_numpy(), b.column(1).to_numpy()
-    data, offsets = column(b.column(2))
-    every, at = places(b.column(3), offsets)
-    values, power = byte_values(fold=False), powers(q)[0]
-    for c in range(0, len(at), 1 << 15):
-        doc, pos = every[c : c + (1 << 15)], at[c : c + (1 << 15)]
-        group = mix((values[data[pos[:, None] + np.arange(q)]] * power).sum(1, dtype=np.uint64))
-        lo, hi = context(pos, offsets[doc], offsets[doc + 1], length, q)
-        to = ((group >> np.uint64(32)).astype(np.int64) * buckets) >> 32
-        by = np.argsort(to, kind="stable")
-        cut = np.searchsorted(to[by], np.arange(buckets + 1))
-        rows = []
-        for k in np.flatnonzero(np.diff(cut)).tolist():
-            r = by[cut[k] : cut[k + 1]]
-            docs, local = np.unique(doc[r], return_inverse=True)
-            sizes = np.stack((pos[r] - lo[r], hi[r] - pos[r]), 1).astype(np.uint16)
-            rows.append({"bucket": k, "group": group[r].tobytes(), "key": sizes.tobytes(), "doc": local.astype(np.uint32).tobytes(), "pos": (pos[r] - offsets[doc[r]]).astype(np.uint32).tobytes(), "docs": np.concatenate((ids[docs], marks[docs])).tobytes(), "text": data[spread(lo[r], hi[r] - lo[r])].tobytes()})
-        yield pa.RecordBatch.from_pylist(rows, schema=DEALT)
-
-
-def compared(rows: list[dict], length: int) -> Iterator[pa.RecordBatch]:
-    """Sorts the suffixes of the contexts of each q-gram; windows that a smaller document has go."""
-    group = np.concatenate([np.frombuffer(r["group"], np.uint64) for r in rows])
-    sizes = np.concatenate([np.frombuffer(r["key"], np.uint16) for r in rows]).reshape(-1, 2).astype(np.int64)
-    pos = np.concatenate([np.frombuffer(r["pos"], np.uint32) for r in rows]).astype(np.int64)
-    text = np.concatenate([np.frombuffer(r["text"], np.uint8) for r in rows])
-    docs = [np.frombuffer(r["docs"], np.int64).reshape(2, -1)[:, np.frombuffer(r["doc"], np.uint32)] for r in rows]
-    ids, marks = np.concatenate(docs, 1)
-    size = sizes.sum(1)
-    begin = np.cumsum(size) - size
-    order = np.argsort(group, kind="stable")
-    ends = np.flatnonzero(np.append(group[order][1:] != group[order][:-1], True)) + 1
-    done = 0
-    while done < len(order):  # whole buckets, some thousands of contexts at a time
-        upto = int(ends[max(np.searchsorted(ends, done + 4 * SMALL, "right") - 1, np.searchsorted(ends, done, "right"))])
-        r, done = order[done:upto], upto
-        n = size[r]
-        part = np.concatenate((text[spread(begin[r], n)], np.zeros(length, np.uint8)))
-        whole = np.maximum(n - length + 1, 0)
-        at, own = spread(np.cumsum(n) - n, whole), np.repeat(r, whole)
-        by, gone = settle(refined(part, at, length), ids[own])
-        x = by[gone]
-        start = pos[own[x]] - sizes[own[x], 0] + (at - np.repeat(np.cumsum(n) - n, whole))[x]
-        yield listed(ids[own[x]], marks[own[x]], start, WINDOW)
-
-
-def _windows(buckets: int, length: int, q: int):
-    """Open contexts, and of large buckets each distinct window with its smallest document."""
-    values = byte_values(fold=False)
-
-    def of(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
-        data, offsets = column(b.column(2))
-        doc, pos = places(b.column(4), offsets)
-        lo, hi = context(pos, offsets[doc], offsets[doc + 1], length, q)
-        order = np.argsort(lo, kind="stable")
-        lo, hi = lo[order], np.maximum.accumulate(hi[order])
-        new = np.flatnonzero(np.concatenate(([True], (lo[1:] >= hi[:-1]) | (doc[order][1:] != doc[order][:-1])))) if len(lo) else lo
-        for s in range(0, len(new), 4096):  # runs of text, some thousands at a time
-            r = new[s : s + 4096]
-            begin, end = lo[r], hi[np.append(new, len(lo))[s + 1 : s + 1 + len(r)] - 1]
-            size = end - begin
-            base = np.cumsum(size) - size
-            source = np.repeat(begin - base, size) + np.arange(size.sum())
-            own = np.searchsorted(offsets, source, "right") - 1
-            runs = np.repeat(end, size)
-            at = np.flatnonzero(source + length <= runs)
-            text = np.concatenate((data[source], np.zeros(length, np.uint8)))
-            sums = prefix_sums(text, values)
-            key = mix((sums[at + length] - sums[at]) * powers(len(sums))[1][at])
-            same = refined(text, at, length)
-            yield own[at], source[at] - offsets[own[at]], key, same + s * (1 << 40)
-
+def _keyed(buckets: int, length: int, q: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, marks = b.column(0).to_numpy(), b.column(1).to_numpy()
-            yield from _contexts(b, buckets, length, q)
-            for doc, pos, key, same in joined(of(b), 1):
-                order, gone = settle(same, ids[doc])  # by bucket of the sorted suffixes
-                done, rest = order[gone], order[~gone]
-                own = listed(ids[doc[done]], marks[doc[done]], pos[done], WINDOW)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(own.num_rows, -1, np.int32)), *own.columns, *[pa.nulls(own.num_rows, pa.binary())] * 6], schema=DEALT)
-                yield from dealt(buckets, ids, marks, doc[rest], pos[rest], key[rest], key[rest], WINDOW)
+            for row in b.to_pylist():
+                _, data, offsets = opened(row)
+                *_, key, same = contexts(data, offsets, length, q)
+                order = np.lexsort((same, key))
+                new = np.ones(len(key), bool)
+                new[1:] = (key[order][1:] != key[order][:-1]) | (same[order][1:] != same[order][:-1])
+                every, at, cut = distinct(key, buckets)
+                docs = np.bincount(at, minlength=len(every))
+                times = np.minimum(np.bincount(at[order[new]], minlength=len(every)) + (docs > 1), 65535).astype(np.uint16)
+                low, several = every.astype(np.uint32), times > 1
+                out = []
+                for k in np.flatnonzero(np.diff(cut)).tolist():
+                    s, e = cut[k], cut[k + 1]
+                    out.append({"block": row["block"], "bucket": k, "keys": low[s:e].tobytes(), "several": np.packbits(several[s:e]).tobytes(), "times": times[s:e][several[s:e]].tobytes()})
+                yield pa.RecordBatch.from_pylist(out, schema=KEYED)
 
     return run
 
 
-def _bucket(kind: int, length: int, small: int):
-    """The documents of each key in a bucket: all but the smallest go; contexts that share only the group are open."""
+def ranged(keys: list[np.ndarray], limit: int) -> Iterator[list[tuple[int, int]]]:
+    """Ranges of 32-bit keys with about `limit` of them each: where each of the sorted arrays begins and ends in the range."""
+    n = max(1, -(-sum(map(len, keys)) // limit))
+    bounds = np.array([k * (1 << 32) // n for k in range(n)], np.uint32)
+    cuts = [np.append(np.searchsorted(x, bounds), len(x)).tolist() for x in keys]
+    for k in range(n) if keys else ():
+        yield [(c[k], c[k + 1]) for c in cuts]
+
+
+def _shared(small: int):
+    """Which keys of each row stand elsewhere too, and which of them have more contexts than `small`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: dict[int, list[dict]] = {}
-        for b in batches:
-            out = np.asarray(b.column(0)) < 0
-            if out.any():
-                yield pa.RecordBatch.from_arrays([c.filter(pa.array(out)) for c in b.columns[1:5]], schema=FOUND)
-            for r in b.filter(pa.array(~out)).to_pylist():
-                by.setdefault(r["bucket"], []).append(r)
-        for bucket in list(by):
-            rows = by.pop(bucket)
-            if sorted_rows := [r for r in rows if r["text"]]:
-                yield from compared(sorted_rows, length)
-            rows = [r for r in rows if not r["text"]]
-            if not rows:
-                continue
-            key = np.concatenate([np.frombuffer(r["key"], np.uint64) for r in rows])
-            pos = np.concatenate([np.frombuffer(r["pos"], np.uint32) for r in rows])
-            ids, marks = [], []
-            for r in rows:
-                docs = np.frombuffer(r["docs"], np.int64).reshape(2, -1)
-                local = np.frombuffer(r["doc"], np.uint16 if len(r["doc"]) * 2 == len(r["pos"]) else np.uint32)
-                ids.append(docs[0][local])
-                marks.append(docs[1][local])
-            ids, marks = np.concatenate(ids), np.concatenate(marks)
-            order, gone = settle(key, ids)
-            done, rest = order[gone], order[~gone]
-            yield listed(ids[done], marks[done], pos[done], kind)
-            if kind == WINDOW:
-                continue
-            group = np.concatenate([np.frombuffer(r["group"], np.uint32) for r in rows])[rest]
-            by_group = np.lexsort((key[rest], group))
-            g, k, i = group[by_group], key[rest][by_group], ids[rest][by_group]
-            start = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1]))) if len(g) else np.zeros(0, np.int64)
-            n = np.diff(np.append(start, len(g)))
-            several = (np.minimum.reduceat(k, start) != np.maximum.reduceat(k, start)) & (np.minimum.reduceat(i, start) != np.maximum.reduceat(i, start)) if len(start) else np.zeros(0, bool)
-            for what, on in ((OPEN, several & (n <= small)), (HOT, several & (n > small))):
-                left = rest[by_group[np.repeat(on, n)]]
-                yield listed(ids[left], marks[left], pos[left], what)
+        rows = [r for b in batches for r in b.to_pylist()]
+        keys = [np.frombuffer(r["keys"], np.uint32) for r in rows]
+        found = [np.zeros((2, len(k)), bool) for k in keys]
+        times = []
+        for r, x in zip(rows, keys, strict=True):
+            several = np.unpackbits(np.frombuffer(r["several"], np.uint8), count=len(x)).astype(bool)
+            times.append(np.ones(len(x), np.uint16))
+            times[-1][several] = np.frombuffer(r["times"], np.uint16)
+        for cut in ranged(keys, KEYS):
+            part, n = (np.concatenate([x[s:e] for x, (s, e) in zip(xs, cut, strict=True)]) for xs in (keys, times))
+            every, at = np.unique(part, return_inverse=True)
+            total = np.bincount(at, n, len(every))[at]
+            done = 0
+            for f, (s, e) in zip(found, cut, strict=True):
+                here = total[done : done + e - s]
+                f[0, s:e], f[1, s:e] = here > 1, here > small
+                done += e - s
+        for r, f in zip(rows, found, strict=True):
+            if f.any():
+                yield pa.RecordBatch.from_pylist([{"block": r["block"], "bucket": r["bucket"], "n": f.shape[1], "shared": np.packbits(f[0]).tobytes(), "hot": np.packbits(f[1]).tobytes()}], schema=SHARED)
 
     return run
 
 
-def _applied(length: int, q: int, with_text: bool):
+def matrix(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The strings data[begin:begin + size] as rows, filled up with zeros."""
+    wide = np.arange(int(size.max(initial=1)))
+    out = np.empty((len(begin), len(wide)), np.uint8)
+    for k in range(0, len(begin), 8192):
+        b, n = begin[k : k + 8192, None], size[k : k + 8192, None]
+        out[k : k + 8192] = np.where(wide < n, data[np.minimum(b + wide, len(data) - 1)], 0)
+    return out
+
+
+def collapsed(rows: np.ndarray, size: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For each row the equal row of the smallest id that stands for it; equality is by the bytes."""
+    values, power = byte_values(fold=False), powers(rows.shape[1])[0]
+    h = np.concatenate([np.zeros(0, np.uint64), *(mix((values[rows[k : k + 8192]] * power).sum(1, dtype=np.uint64)) for k in range(0, len(rows), 8192))])
+    order = np.lexsort((ids, h))
+    new = np.concatenate(([True], h[order][1:] != h[order][:-1]))[: len(h)]
+    to = np.empty(len(h), np.int64)
+    to[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+    differ = (size[to] != size) | (rows[to] != rows).any(1)
+    to[differ] = np.flatnonzero(differ)
+    return to
+
+
+def _dealt(buckets: int, length: int, q: int):
+    """Sends the bytes of shared contexts to the bucket of their q-gram, and the block's plan."""
+
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        row, out = left.to_pylist()[0], []
+        ids, data, offsets = opened(row)
+        doc, begin, many, key_, _ = contexts(data, offsets, length, q) if right.num_rows else [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)] * 2
+        every, at, cut = distinct(key_, buckets)
+        level = np.zeros((2, len(every)), bool)
+        for r in right.to_pylist():
+            for f, name in zip(level, ("shared", "hot"), strict=True):
+                f[cut[r["bucket"]] : cut[r["bucket"] + 1]] = np.unpackbits(np.frombuffer(r[name], np.uint8), count=r["n"])
+        shared, hot = level[:, at]
+        on = np.flatnonzero(shared & ~hot)
+        single = np.flatnonzero(hot)
+        n = many[single]
+        doc = np.concatenate((doc[on], np.repeat(doc[single], n)))
+        begin = np.concatenate((begin[on], np.repeat(begin[single] - (np.cumsum(n) - n), n) + np.arange(n.sum())))
+        many = np.concatenate((many[on], np.ones(int(n.sum()), np.int64)))
+        key_ = np.concatenate((key_[on], np.zeros(int(n.sum()), np.uint64)))
+        values, power = byte_values(fold=False), powers(length)[0]
+        for k in range(len(on), len(doc), 8192):
+            key_[k : k + 8192] = mix((values[data[begin[k : k + 8192, None] + np.arange(length)]] * power).sum(1, dtype=np.uint64) + np.uint64(3))
+        for part, k in enumerate(range(0, len(doc), ITEMS)):
+            d, b, m, g = (x[k : k + ITEMS] for x in (doc, begin, many, key_))
+            rows = matrix(data, b, m + length - 1)
+            to = collapsed(rows, m, ids[d])
+            reps = np.unique(to)
+            order = np.lexsort((g[reps] & LOW32, bucket_of(g[reps], buckets)))
+            reps = reps[order]
+            place = np.empty(len(d), np.int64)
+            place[reps] = np.arange(len(reps))
+            goes = ids[d] > ids[d[to]]
+            plan = (d.astype(np.uint32), (b - offsets[d]).astype(np.uint32), m.astype(np.uint8), np.where(goes, -1, place[to]).astype(np.int32))
+            out.append({"block": row["block"], "part": part, "bucket": -1, "n": len(d), "start": len(reps), "text": squeezed(b"".join(x.tobytes() for x in plan))})
+            where = bucket_of(g[reps], buckets)
+            at_ = np.searchsorted(where, np.arange(buckets + 1))
+            for x in np.flatnonzero(np.diff(at_)).tolist():
+                r = reps[at_[x] : at_[x + 1]]
+                text = rows[r][np.arange(rows.shape[1]) < (m[r] + length - 1)[:, None]]
+                out.append({"block": row["block"], "part": part, "bucket": x, "n": len(r), "start": int(at_[x]), "keys": (g[r] & LOW32).astype(np.uint32).tobytes(), "ids": ids[d[r]].tobytes(), "windows": m[r].astype(np.uint8).tobytes(), "text": squeezed(text)})
+        return pa.Table.from_pylist(out, schema=DEALT)
+
+    return run
+
+
+def refined(data: np.ndarray, at: np.ndarray, length: int, chunk: int = 1 << 16) -> np.ndarray:
+    """A number for each of the strings of `length` bytes that start at `at`: equal strings have equal numbers.
+
+    Bucket-pointer refinement. suffix: the suffixes in the order found so far; pointer: of each suffix the place where its bucket begins
+    there; deep: how many bytes all suffixes of its bucket share. Both are updated bucket by bucket, so what follows sorts on pointers that
+    are already finer, and goes deeper at a time. data is padded by 2 * length zeros and more.
+    """
+    size = len(data) - 8
+    if not len(at):
+        return np.zeros(0, np.int64)
+    eight = np.zeros(size, np.uint64)
+    for k in range(8):
+        eight = eight << np.uint64(8) | data[k : k + size]
+    suffix = np.argsort(eight)
+    new = np.concatenate(([True], eight[suffix][1:] != eight[suffix][:-1]))
+    first = np.flatnonzero(new)
+    pointer, deep = np.empty(size, np.int64), np.full(size, 8, np.int64)
+    pointer[suffix] = first[np.cumsum(new) - 1]
+    wanted = np.zeros(size, np.int64)
+    wanted[at] = 1
+
+    def open_(begin: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of buckets of `suffix` those that still hold different strings of interest."""
+        on = np.flatnonzero((n > 1) & (deep[suffix[begin]] < length))
+        begin, n = begin[on], n[on]
+        if len(on):
+            has = np.add.reduceat(wanted[suffix[spread(begin, n)]], np.cumsum(n) - n) > 0
+            begin, n = begin[has], n[has]
+        return begin, n
+
+    begin, n = open_(first, np.diff(np.append(first, size)))
+    while len(begin):
+        left = []
+        total, done = np.cumsum(n), 0
+        while done < len(begin):
+            upto = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + chunk, "right")))
+            b, m = begin[done:upto], n[done:upto]
+            places = spread(b, m)
+            pos = suffix[places]
+            further = np.minimum(pos + deep[pos], size - 1)
+            more = deep[pos] + deep[further]
+            order = np.argsort(np.repeat(np.arange(len(b)), m) * size + pointer[further])
+            pos, far = pos[order], pointer[further[order]]
+            new = np.concatenate(([True], far[1:] != far[:-1]))
+            new[np.cumsum(m)[:-1]] = True
+            starts = places[new]
+            suffix[places] = pos
+            pointer[pos] = starts[np.cumsum(new) - 1]
+            deep[pos] = more[order]
+            left.append(open_(starts, np.diff(np.append(np.flatnonzero(new), len(pos)))))
+            done = upto
+        begin, n = (np.concatenate(x) for x in zip(*left, strict=True))
+    order = np.argsort(pointer[at])
+    s = at[order]
+    same = np.ones(len(s) - 1, bool)
+    for k in [*range(0, length - 8, 8), length - 8]:
+        same &= eight[s[1:] + k] == eight[s[:-1] + k]
+    out = np.empty(len(at), np.int64)
+    out[order] = np.concatenate(([0], np.cumsum(~same)))
+    return out
+
+
+def spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... for each, one after the other."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+def compared(text: np.ndarray, begin: np.ndarray, many: np.ndarray, ids: np.ndarray, length: int) -> np.ndarray:
+    """For each context (text[begin:], of so many windows) the windows, as bits, that a context of a smaller id has too."""
+    rows = matrix(text, begin, many + length - 1)
+    to = collapsed(rows, many, ids)
+    reps = np.unique(to)
+    size = (many + length - 1)[reps]
+    data = np.concatenate((text[spread(begin[reps], size)], np.zeros(2 * length + 8, np.uint8)))
+    at = spread(np.cumsum(size) - size, many[reps])
+    own = np.repeat(reps, many[reps])
+    bit = spread(np.zeros(len(reps), np.int64), many[reps])
+    same = refined(data, at, length)
+    least = np.full(int(same.max(initial=-1)) + 1, LAST_ID)
+    np.minimum.at(least, same, ids[own])
+    out = np.zeros(len(ids), np.int64)
+    np.add.at(out, own, (ids[own] > least[same]).astype(np.int64) << bit)
+    return np.where(ids > ids[to], (1 << many) - 1, out[to])
+
+
+def _compared(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
         for b in batches:
-            data, offsets = column(b.column(1))
-            rows = []
-            for i, (c, w) in enumerate(zip(b.column(2), b.column(3), strict=True)):
-                s, e = offsets[i], offsets[i + 1]
-                text, n = data[s:e], int(e - s)
-                if c.is_valid or w.is_valid:
-                    pos = c.values.to_numpy().astype(np.int64) if c.is_valid else np.zeros(0, np.int64)
-                    lo, hi = context(pos, np.zeros(1, np.int64), np.full(1, n), length, q)
-                    win = w.values.to_numpy().astype(np.int64) if w.is_valid else pos[:0]
-                    step = np.bincount(np.concatenate((lo, win)), minlength=n + 1) - np.bincount(np.concatenate((hi, win + length)), minlength=n + 1)
-                    gone = np.cumsum(step[:n]) > 0
-                    kept = text[~gone].tobytes()
-                    rows.append((n, int(gone.sum()), int((np.diff(np.concatenate(([0], gone.astype(np.int8)))) == 1).sum()), kept))
+            for r in b.to_pylist():
+                if r["bucket"] < 0:
+                    yield pa.RecordBatch.from_pylist([{"block": r["block"], "part": r["part"], "bucket": -1, "n": r["n"], "start": r["start"], "answer": r["text"]}], schema=ANSWER)
                 else:
-                    rows.append((n, 0, 0, text.tobytes()))
-            cols = [pa.array([r[k] for r in rows], pa.int64()) for k in range(3)]
-            last = pa.array([r[3] for r in rows], pa.binary()) if with_text else pa.array([hashlib.sha256(r[3]).hexdigest() for r in rows], pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols, last], names=["id", "n_bytes", "n_removed", "n_spans", "kept" if with_text else "kept_sha256"])
+                    rows.append(r)
+        keys = [np.frombuffer(r["keys"], np.uint32) for r in rows]
+        answers = [np.zeros(len(k), np.uint32) for k in keys]
+        for cut in ranged(keys, 16 * CHUNK):
+            own, places, part = [], [], [[], [], [], []]
+            for x, (r, key, (s, e)) in enumerate(zip(rows, keys, cut, strict=True)):
+                if s == e:
+                    continue
+                many = np.frombuffer(r["windows"], np.uint8).astype(np.int64)
+                ends = np.cumsum(many + length - 1)
+                text = unsqueezed(r["text"], int(ends[-1]))
+                for c, v in zip(part, (key[s:e], np.frombuffer(r["ids"], np.int64)[s:e], many[s:e], text[ends[s] - many[s] - length + 1 : ends[e - 1]]), strict=True):
+                    c.append(v)
+                own.append(np.full(e - s, x))
+                places.append(np.arange(s, e))
+            if not own:
+                continue
+            own, places, (key, ids, many, text) = np.concatenate(own), np.concatenate(places), map(np.concatenate, part)
+            size = many + length - 1
+            begin = np.cumsum(size) - size
+            order = np.lexsort((ids, key))
+            new = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))
+            n = np.diff(np.append(new, len(order)))
+            several = ids[order[new]] != ids[order[new + n - 1]]  # with one id only, nothing goes
+            order, ends = order[np.repeat(several, n)], np.cumsum(n[several])
+            done = 0
+            while done < len(order):
+                upto = int(ends[max(np.searchsorted(ends, done + CHUNK, "right") - 1, np.searchsorted(ends, done, "right"))])
+                o, done = order[done:upto], upto
+                got = compared(text, begin[o], many[o], ids[o], length)
+                for x in np.unique(own[o]).tolist():
+                    here = own[o] == x
+                    answers[x][places[o[here]]] = got[here]
+        for r, a in zip(rows, answers, strict=True):
+            if a.any():
+                yield pa.RecordBatch.from_pylist([{"block": r["block"], "part": r["part"], "bucket": r["bucket"], "n": r["n"], "start": r["start"], "answer": squeezed(a)}], schema=ANSWER)
+
+    return run
+
+
+def _applied(length: int, buckets: int, with_text: bool, schema: pa.Schema):
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.to_pylist()[0]
+        _, data, offsets = opened(row)
+        step = np.zeros(len(data) + 1, np.int32)
+        by: dict[int, list[dict]] = {}
+        for r in right.to_pylist():
+            by.setdefault(r["part"], []).append(r)
+        for rows in by.values():
+            plan = next(r for r in rows if r["bucket"] < 0)
+            n = plan["n"]
+            raw = unsqueezed(plan["answer"], 13 * n)
+            doc, at, many, to = (raw[s * n : e * n].view(t) for s, e, t in ((0, 4, np.uint32), (4, 8, np.uint32), (8, 9, np.uint8), (9, 13, np.int32)))
+            sent = np.zeros(plan["start"] + 1, np.int64)
+            for r in rows:
+                if r["bucket"] >= 0:
+                    sent[r["start"] : r["start"] + r["n"]] = unsqueezed(r["answer"], r["n"], np.uint32)
+            bits = np.where(to < 0, (1 << many.astype(np.int64)) - 1, sent[to])
+            begin = offsets[doc] + at
+            for k in range(int(many.max(initial=0))):
+                s = begin[(bits >> k & 1) == 1] + k
+                np.add.at(step, s, 1)
+                np.subtract.at(step, s + length, 1)
+        gone = np.cumsum(step[:-1]) > 0
+        out = []
+        edge = np.diff(np.concatenate(([0], gone.astype(np.int8)))) == 1
+        for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            g = gone[s:e]
+            removed = int(g.sum())
+            kept = (data[s:e][~g] if removed else data[s:e]).tobytes()
+            out.append((e - s, removed, int(edge[s:e].sum()) + int(removed > 0 and g[0] and not edge[s]), kept if with_text else hashlib.sha256(kept).hexdigest()))
+        cols = [pa.array([o[k] for o in out], schema.field(k + 1).type) for k in range(4)]
+        return pa.Table.from_arrays([pa.array(row["ids"], pa.int64()), *cols], schema=schema)
 
     return run
 
@@ -362,26 +471,20 @@ def _applied(length: int, q: int, with_text: bool):
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, q: int = GRAM, with_text: bool = False, small: int = SMALL) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, and the kept bytes or their SHA-256, of every row."""
     spark = docs.sparkSession
-    parts_ = 2 * shuffle_partitions(spark)
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark"), F.col(text_col).alias("text"))
-
-    def met(sent: DataFrame, kind: int) -> DataFrame:
-        to = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.pmod(F.xxhash64("id"), F.lit(parts_)).cast("int"))
-        out = checkpointed(sent.withColumn("to", to).repartition(parts_, "to").drop("to").mapInArrow(_bucket(kind, length, small), FOUND_DDL))
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle that the checkpoint has replaced
-        return out
-
-    first = met(texts.mapInArrow(_anchors(parts_, length, q), DEALT_DDL), CONTEXT)
-    left = lambda kind: F.flatten(F.collect_list(F.when(F.col("kind") == kind, F.col("at"))))
-    wanted = first.where(F.col("kind") != CONTEXT).groupBy("id", "mark").agg(left(OPEN).alias("open"), left(HOT).alias("hot"))
-    open_ = texts.join(wanted, ["id", "mark"]).select("id", "mark", "text", "open", "hot").dropDuplicates(["id", "mark"])
-    second = met(open_.mapInArrow(_windows(parts_, length, q), DEALT_DDL), WINDOW)
-    gone = first.where(F.col("kind") == CONTEXT).unionAll(second).groupBy("id", "mark").agg(F.flatten(F.collect_list(F.when(F.col("kind") == CONTEXT, F.col("at")))).alias("c"), F.flatten(F.collect_list(F.when(F.col("kind") == WINDOW, F.col("at")))).alias("w"))
-    rows = texts.join(gone, ["id", "mark"], "left").select("id", "text", "c", "w")
-    last = "kept binary" if with_text else "kept_sha256 string"
-    out = rows.mapInArrow(_applied(length, q, with_text), f"id long, n_bytes long, n_removed long, n_spans long, {last}")
-    return out.withColumn("id", F.when(F.col("id") != LAST_ID, F.col("id"))).withColumnRenamed("id", id_col)
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    buckets = max(shuffle_partitions(spark), -(-size // BUCKET_BYTES))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    blocks = checkpointed(texts.mapInArrow(_packed(max(BLOCK_BYTES, 512 * buckets)), PACKED_DDL))
+    keyed = blocks.mapInArrow(_keyed(buckets, length, q), KEYED_DDL)
+    shared = keyed.repartitionById(buckets, F.col("bucket")).mapInArrow(_shared(small), SHARED_DDL)
+    dealt = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_dealt(buckets, length, q), DEALT_DDL)
+    to = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.pmod(F.xxhash64("block"), F.lit(buckets)).cast("int"))
+    answers = dealt.repartitionById(buckets, to).mapInArrow(_compared(length), ANSWER_DDL)
+    last = ("kept", pa.binary()) if with_text else ("kept_sha256", pa.string())
+    schema = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), last])
+    ddl = f"id long, n_bytes long, n_removed long, n_spans long, {last[0]} {'binary' if with_text else 'string'}"
+    out = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_applied(length, buckets, with_text, schema), ddl)
+    return out.withColumnRenamed("id", id_col)
 
 
 def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,17 +80,48 @@ def test_long_texts_are_cut_without_loss(monkeypatch):
     rng = np.random.default_rng(2)
     data = rng.integers(97, 100, 20_000).astype(np.uint8)
     offsets = np.array([0, 300, 310, 20_000])
-    whole = list(zip(*(np.concatenate(c).tolist() for c in zip(*suffixes.anchors(data, offsets, 50, 16), strict=True)), strict=True))
+
+    def windows():
+        doc, begin, many, key, _ = suffixes.contexts(data, offsets, 50, 20)
+        return sorted((d, s + k, x) for d, s, n, x in zip(doc.tolist(), begin.tolist(), many.tolist(), key.tolist(), strict=True) for k in range(n))
+
+    whole = windows()
+    assert len(whole) == 300 - 49 + 19_690 - 49
     monkeypatch.setattr(suffixes, "PIECE", 700)
-    cut = list(zip(*(np.concatenate(c).tolist() for c in zip(*suffixes.anchors(data, offsets, 50, 16), strict=True)), strict=True))
-    assert set(whole) == set(cut)
+    assert whole == windows()
+
+
+def test_a_passage_of_many_texts(spark):
+    """A q-gram of thousands of texts with different surroundings: the same path, whatever the limit for dealing windows singly."""
+    rng = np.random.default_rng(9)
+    word = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    passage = word(70)
+    rows = [(i, word(60) + passage + word(60)) for i in range(5000)]
+    got = suffixes.repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), with_text=True)
+    same = suffixes.repeats(spark.createDataFrame(rows, "doc_id long, text string"), with_text=True, small=10**9)
+    first = {}
+    for i, t in rows:
+        for k in range(len(t) - 49):
+            first.setdefault(t[k : k + 50], i)
+    for r in (out := got.collect()):
+        t = rows[r.doc_id][1]
+        gone = {k + x for k in range(len(t) - 49) if first[t[k : k + 50]] < r.doc_id for x in range(50)}
+        assert r.kept.decode() == "".join(c for k, c in enumerate(t) if k not in gone) and (r.n_removed >= 70 or r.doc_id == 0)
+    assert sorted(map(tuple, out)) == sorted(map(tuple, same.collect()))
+
+
+def test_large_ids_and_null_ids(spark):
+    t = "x" * 10 + "the same passage of more than fifty bytes, in every text" + "y" * 10
+    rows = [(2**63 - 1, t), (None, t), (None, t), (7, t), (-(2**63), t)]
+    got = sorted(((r.doc_id, r.n_removed) for r in suffixes.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(2**63 - 1, len(t)), (None, len(t)), (None, len(t)), (7, len(t)), (-(2**63), 0)], key=str)
 
 
 def test_refined_buckets():
     rng = np.random.default_rng(3)
     base = rng.integers(97, 99, 400).astype(np.uint8)
-    data = np.concatenate((base, base[50:300], rng.integers(97, 99, 200).astype(np.uint8), base[:120], np.zeros(50, np.uint8)))
-    at = np.arange(len(data) - 100)
+    data = np.concatenate((base, base[50:300], rng.integers(97, 99, 200).astype(np.uint8), base[:120], np.zeros(120, np.uint8)))
+    at = np.arange(len(data) - 170)
     at = at[rng.random(len(at)) < 0.2]
     got = suffixes.refined(data, at, 50)
     strings = [data[i : i + 50].tobytes() for i in at]
