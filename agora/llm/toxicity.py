@@ -1,24 +1,27 @@
 """Operator 1: toxicity by the nearest labelled examples.
 
 Features are tokens (letters, digits and non-ASCII characters, A-Z
-lower-cased) and their prefixes of 4 to 6 bytes, so that inflected forms of a
-stem count together. Every feature of every example is indexed. Weights are
-TF-IDF with document frequencies over all texts, times one plus the feature's
+lower-cased). Every token of every example is indexed. Weights are
+TF-IDF with document frequencies over all texts, times one plus the token's
 evidence for the toxic label: its log-likelihood ratio, times how much purer than chance it
 is, little below `evidence` and in proportion above. So evidence counts more, and nothing is
-left out for want of it. Words that no example has are not features. A text's nearest
-examples by cosine are exact: common features are one dense product, rare ones are
-read from an inverted index, and what comes within rounding of the nearest is computed again in full
-precision. Their votes, weighted by distance, are calibrated by isotonic regression over the examples,
-each scored without itself. Texts that share no feature with an example have no neighbours and get
+left out for want of it. Words that no example has are not features.
+
+The nearest examples by cosine are exact. Examples that are alike stand side by side, in blocks of BLOCK_ROWS; of every
+token the index holds its largest weight in each block, so a block's maxima bound all cosines in it. A text's most promising blocks
+are scored first; their least cosine among the nearest rules out every block whose bound is lower, and the others are scored too.
+Inside a block, common tokens are one dense product, others are read from the inverted lists, and what comes
+within rounding of the nearest is computed again in full precision.
+Votes, weighted by distance, are calibrated by isotonic regression over the examples,
+each scored without itself. Texts that share no token with an example have no neighbours and get
 the rate among examples of that kind.
 
 Copies of a text would pass off all of its words as evidence, so of sampled texts with one label that
 share one of three minhashes only one counts for evidence and calibration. Of texts with one label and equal
 words one is an example. The sample is the labelled ids of
-the smallest hash, at most `sample`, whatever the corpus. Nothing else is
-limited: every text is scored whole. Null texts count as empty; of several labels
-of an id the largest holds; without labels every score is 0.
+the smallest hash, at most `sample`, whatever the corpus; of several texts of an id the one of the smallest hash counts. Nothing else is
+limited: every text is scored whole. Null texts count as empty; rows with a null id are held out; repeated ids are scored each; of several labels
+of an id the largest holds; among examples of equal cosine the smallest ids come first; without labels every score is 0. Only id and text are read; other columns may have any name.
 """
 
 from __future__ import annotations
@@ -35,22 +38,18 @@ from .common import NOT_ALNUM, byte_values, checkpointed, column, mix, pieces, p
 
 SAMPLE, EVIDENCE, NEIGHBOURS = 20_000, 25.0, 15
 #: Texts compared at a time; features in more than one of so many examples are dense, and at most so many are.
-BLOCK_TEXTS, DENSE, DENSE_MOST = 64, 20, 512
-PREFIXES = (4, 5, 6)
+BLOCK_TEXTS, DENSE, DENSE_MOST = 128, 20, 512
+#: Examples of a block, blocks that a text is held against first, and examples that the others are arranged around.
+BLOCK_ROWS, FIRST, CENTRES = 256, 3, 64
 
 
 def feature_hashes(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(texts, features) of runs of words: every token and its prefixes."""
+    """(texts, features) of runs of words."""
     values = byte_values(fold=True)
     for i, j, begin, end in pieces(data, offsets, NOT_ALNUM):
         s, e = words(data, begin, end, offsets[i : j + 1], NOT_ALNUM)
         sums = prefix_sums(data[begin:end], values)
-        back = powers(len(sums))[1][s]
-        doc = i + np.searchsorted(offsets[i + 1 : j] - begin, s, "right")
-        yield doc, mix((sums[e] - sums[s]) * back)
-        for k in PREFIXES:
-            on = np.flatnonzero(e - s > k)
-            yield doc[on], mix((sums[s[on] + k] - sums[s[on]]) * back[on] + np.uint64(k))
+        yield i + np.searchsorted(offsets[i + 1 : j] - begin, s, "right"), mix((sums[e] - sums[s]) * powers(len(sums))[1][s])
 
 
 class Vocabulary:
@@ -111,25 +110,43 @@ def unpacked(n: int, raw: bytes) -> np.ndarray:
 
 def runs(start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """The places start[0] ... end[0] - 1, start[1] ... and so on."""
-    n = end - start
-    return np.arange(n.sum()) + np.repeat(start - (np.cumsum(n) - n), n)
+    n = (end - start).astype(np.int64)
+    out = np.repeat(start - (np.cumsum(n) - n), n)
+    out += np.arange(len(out))
+    return out
 
 
 class Index:
-    """The examples' unit vectors, by example and by feature."""
+    """The examples' unit vectors, by example and by feature, and the features' largest weights in blocks of examples."""
 
     def __init__(self, idf: np.ndarray, rows: Iterable[tuple[int, int, np.ndarray, np.ndarray]], neighbours: int):
         self.idf, self.k = idf, neighbours
         rows = [r for r in rows if len(r[2])]
+        rows = [rows[x] for x in self._arranged(rows)]
         self.ids = np.array([r[0] for r in rows], np.int64)
         self.labels = np.array([r[1] for r in rows], np.int8)
-        n, sizes = len(rows), np.array([len(r[2]) for r in rows], np.int64)
-        self.at = np.concatenate(([0], np.cumsum(sizes)))
+        self.at = np.concatenate(([0], np.cumsum([len(r[2]) for r in rows], dtype=np.int64)))
         self.feature = np.concatenate([np.zeros(0, np.int32), *(r[2] for r in rows)]).astype(np.int32)
         self.times = np.concatenate([np.zeros(0, np.int32), *(r[3] for r in rows)]).astype(np.int32)
         self.norm = np.array([np.sqrt((w := self.weights(f, t)) @ w) for _, _, f, t in rows])
         self.query = None
 
+    def _arranged(self, rows: list[tuple[int, int, np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The rows' places, those that are near the same centre together."""
+        if len(rows) <= BLOCK_ROWS:
+            return np.arange(len(rows))
+        begin = np.cumsum([0, *(len(r[2]) for r in rows[:-1])])
+        feature = np.concatenate([r[2] for r in rows])
+        weight = np.concatenate([self.unit(r[2], r[3]) for r in rows]).astype(np.float32)
+        best, centre = np.full(len(rows), -1.0), np.zeros(len(rows), np.int64)
+        for n, x in enumerate(np.linspace(0, len(rows) - 1, CENTRES).astype(int)):
+            query = np.zeros(len(self.idf), np.float32)
+            query[rows[x][2]] = self.unit(rows[x][2], rows[x][3])
+            sims = np.add.reduceat(query[feature] * weight, begin)
+            near = sims > best
+            best[near], centre[near] = sims[near], n
+        return np.lexsort((-best, centre))
+
     def __getstate__(self) -> dict:
         """Only the examples travel, compressed; what follows from them is made again where it is used."""
         return {"idf": self.idf, "k": self.k, "ids": self.ids, "labels": self.labels, "at": self.at, "norm": self.norm, "feature": packed(self.feature), "times": packed(self.times), "query": None}
@@ -150,59 +167,90 @@ class Index:
         if self.query is not None:
             return
         n, often = len(self.ids), np.bincount(self.feature, minlength=len(self.idf))
+        self.blocks = -(-n // BLOCK_ROWS)
         common = np.argsort(-often, kind="stable")[:DENSE_MOST]
         common = common[often[common] * DENSE > n]
         self.place = np.full(len(self.idf), -1, np.int32)
         self.place[common] = np.arange(len(common))
-        self.dense = np.zeros((len(common), n), np.float32)
-        rare = np.where(self.place < 0, often, 0)
-        self.cut = np.concatenate(([0], np.cumsum(rare)))
-        self.example, self.weight = np.zeros(self.cut[-1], np.int32), np.zeros(self.cut[-1], np.float32)
-        free = self.cut[:-1].copy()
-        for e in range(n):
-            f = self.feature[self.at[e] : self.at[e + 1]]
-            w = self.weights(f, self.times[self.at[e] : self.at[e + 1]]) / self.norm[e]
-            at = self.place[f]
-            self.dense[at[at >= 0], e] = w[at >= 0]
-            to = free[f[at < 0]]
-            self.example[to], self.weight[to] = e, w[at < 0]
-            free[f[at < 0]] += 1
+        owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.at))
+        self.exact = self.weights(self.feature, self.times) / self.norm[owner]
+        at = self.place[self.feature]
+        self.dense = np.zeros((len(common), self.blocks * BLOCK_ROWS), np.float32)
+        self.dense[at[at >= 0], owner[at >= 0]] = self.exact[at >= 0]
+        self.dense_most = self.dense.reshape(len(common), self.blocks, BLOCK_ROWS).max(2)
+        order = np.argsort(self.feature, kind="stable")
+        order = order[at[order] < 0]
+        feature, weight, block = self.feature[order], self.exact[order].astype(np.float32), owner[order] // BLOCK_ROWS
+        self.pairs = np.stack((owner[order], weight.view(np.int32)), 1).view(np.int64).ravel()  # example and weight are read together
+        new = np.flatnonzero(np.concatenate(([True], (feature[1:] != feature[:-1]) | (block[1:] != block[:-1]))))[: len(feature)]
+        # one entry per rare feature and block: the block, the largest weight, and where its inverted list begins
+        self.block, self.most, self.list = block[new].astype(np.int32), np.maximum.reduceat(weight, new) if len(new) else weight, np.append(new, len(feature)).astype(np.int32)
+        self.first = np.searchsorted(feature[new], np.arange(len(self.idf) + 1)).astype(np.int32)
         self.query = np.zeros(len(self.idf))
 
     def cosines(self, examples: np.ndarray, features: np.ndarray, q: np.ndarray) -> np.ndarray:
         self.query[features] = q
         s, e = self.at[examples], self.at[examples + 1]
-        at = runs(s, e)
-        x = self.query[self.feature[at]]
-        on = np.flatnonzero(x)
-        x[on] *= self.weights(self.feature[at[on]], self.times[at[on]])
+        part = [slice(*x) for x in zip(s.tolist(), e.tolist(), strict=True)]
+        x = self.query[np.concatenate([self.feature[p] for p in part])] * np.concatenate([self.exact[p] for p in part])
         self.query[features] = 0
-        return np.add.reduceat(x, np.cumsum(e - s) - (e - s)) / self.norm[examples]
+        return np.add.reduceat(x, np.cumsum(e - s) - (e - s))
+
+    def _scored(self, near: np.ndarray, left: np.ndarray, chosen: np.ndarray, lists: list[tuple[np.ndarray, np.ndarray, np.ndarray]], without: list[int]) -> None:
+        """Adds to near the cosines of each text with the examples of its chosen blocks."""
+        for x in np.flatnonzero(chosen.any(0)).tolist():
+            rows, s = np.flatnonzero(chosen[:, x]), x * BLOCK_ROWS
+            near[rows, s : s + BLOCK_ROWS] = left[rows] @ self.dense[:, s : s + BLOCK_ROWS]
+        for row, on, (entry, block, q), skip in zip(near, chosen, lists, without, strict=True):
+            mine = np.flatnonzero(on[block])
+            s, e = self.list[entry[mine]], self.list[entry[mine] + 1]
+            pairs = self.pairs.take(runs(s, e)).view(np.int32)
+            row += np.bincount(pairs[::2], pairs[1::2].view(np.float32) * np.repeat(q[mine], e - s), len(row))
+            if skip >= 0:
+                row[skip] = 0
 
     def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray, int]]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each (features, unit vector, example to leave out or -1): the examples of largest cosine, by falling cosine and rising place, and their cosines."""
+        """For each (features, unit vector, example to leave out or -1): the examples of largest cosine, by falling cosine and rising id, and their cosines."""
         if not len(self.ids):
             return [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
         self._ready()
         left = np.zeros((len(queries), len(self.dense)), np.float32)
-        for row, (f, q, _) in zip(left, queries, strict=True):
-            at = self.place[f]
-            row[at[at >= 0]] = q[at >= 0]
+        bound, lists = np.zeros((len(queries), self.blocks)), []
+        for x, (f, q, _) in enumerate(queries):
+            place = self.place[f]
+            left[x, place[place >= 0]] = q[place >= 0]
+            s, e = self.first[f], self.first[f + 1]
+            entry, each = runs(s, e), np.repeat(q, e - s)
+            block = self.block[entry]
+            bound[x] = np.bincount(block, self.most[entry] * each, self.blocks)
+            lists.append((entry, block, each))
+        bound += left @ self.dense_most
+        # single precision is off by less than 1e-4: one rounding of 2**-24 for each of DENSE_MOST terms
+        near, skip = np.zeros((len(queries), self.blocks * BLOCK_ROWS), np.float32), [w for *_, w in queries]
+        tall = near.reshape(len(queries), self.blocks, BLOCK_ROWS)
+        if self.blocks > FIRST:
+            chosen = (bound >= np.partition(bound, -FIRST, 1)[:, -FIRST, None]) & (bound > 0)
+        else:
+            chosen = bound > 0
+        self._scored(near, left, chosen, lists, skip)
+
+        def least(x: int) -> float:
+            seen = tall[x, chosen[x]].ravel()
+            return float(np.partition(seen, -self.k)[-self.k]) - 1e-4 if len(seen) >= self.k else 0.0
+
+        more = (bound > 0) & ~chosen & (bound >= np.array([least(x) for x in range(len(queries))])[:, None])
+        if more.any():
+            self._scored(near, left, more, lists, skip)
+            chosen |= more
         out = []
-        for near, (f, q, without) in zip(left @ self.dense, queries, strict=True):
-            s, e = self.cut[f], self.cut[f + 1]
-            at = runs(s, e)
-            near = near + np.bincount(self.example.take(at), self.weight.take(at) * np.repeat(q, e - s), len(near))
-            if without >= 0:
-                near[without] = 0
-            # single precision is off by less than 1e-4: one rounding of 2**-24 for each of DENSE_MOST terms
-            least = np.partition(near, -self.k)[-self.k] - 1e-4 if len(near) > self.k else 0.0
-            some = np.flatnonzero(near >= least) if least > 0 else np.flatnonzero(near > 0)
+        for x, (f, q, _) in enumerate(queries):
+            bottom = least(x)
+            some = np.flatnonzero(near[x] >= bottom) if bottom > 0 else np.flatnonzero(near[x] > 0)
             if not len(some):
                 out.append((some, np.zeros(0)))
                 continue
             sims = self.cosines(some, f, q)
-            order = np.lexsort((some, -np.round(sims, 12)))[: self.k]
+            order = np.lexsort((self.ids[some], -np.round(sims, 12)))[: self.k]
             out.append((some[order], sims[order]))
         return out
 
@@ -250,12 +298,12 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array(at), np.maximum.accumulate(np.array(to)) if to else np.array(to)
 
 
-def _sampled(docs: DataFrame, labels: DataFrame, label_col: str, sample: int) -> DataFrame:
+def _sampled(docs: DataFrame, labels: DataFrame, label_col: str, sample: int, id_col: str) -> DataFrame:
     """(id, text, y, first) of at most `sample` labelled texts of the training fold with different words or labels; first: one of each group of near copies."""
-    marked = labels.select(F.col("doc_id").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null and crc32(cast(id AS string)) % 5 != 0")
+    marked = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null and crc32(cast(id AS string)) % 5 != 0")
     once = checkpointed(marked.groupBy("id").agg(F.max("y").alias("y")).withColumn("at", F.xxhash64(F.lit("toxicity"), "id")))
     ids = checkpointed(smallest(once, "at", "id", sample).drop("at"))
-    rows = checkpointed(docs.join(F.broadcast(ids), "id").dropDuplicates(["id"]))
+    rows = checkpointed(docs.join(F.broadcast(ids), "id").groupBy("id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("id", "t.text", "y"))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -294,10 +342,10 @@ def _texts(vocabulary: Vocabulary, arr: pa.Array) -> list[tuple[np.ndarray, np.n
     return [(f[s:e], t[s:e]) for s, e in zip(cut[:-1], cut[1:], strict=True)]
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample: int = SAMPLE, evidence: float = EVIDENCE, neighbours: int = NEIGHBOURS) -> tuple[Broadcast, Broadcast, Calibration]:
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample: int = SAMPLE, evidence: float = EVIDENCE, neighbours: int = NEIGHBOURS, id_col: str = "doc_id") -> tuple[Broadcast, Broadcast, Calibration]:
     """The vocabulary and the index on every worker, and the calibration; docs: (id, text)."""
     sc = docs.sparkSession.sparkContext
-    rows = _sampled(docs, labels, label_col, sample)
+    rows = _sampled(docs, labels, label_col, sample, id_col)
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -362,7 +410,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample: in
 def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """id, held_out, score, predicted, and evidence: the examples' ids, cosines and labels."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    words, ready, calibrated = fit(rows, labels, **options)
+    words, ready, calibrated = fit(rows, labels, id_col=id_col, **options)
     struct = pa.list_(pa.struct([("id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -381,7 +429,7 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs whose score is below the threshold, with all their columns; nothing is shuffled."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    words, ready, calibrated = fit(rows, labels, **options)
+    words, ready, calibrated = fit(rows, labels, id_col=id_col, **options)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -270,6 +270,73 @@ def test_toxicity_compares_every_text(spark):
     assert all(found.values())
 
 
+def test_toxicity_score_equals_a_dense_one(spark):
+    """Features, weights, cosines, votes and calibration of all texts, once more with dictionaries and all pairs."""
+    rng = np.random.default_rng(11)
+    vocabulary = [f"v{k}" for k in range(120)]
+    data = [(i, " ".join([*rng.choice(vocabulary, rng.integers(3, 30)), *(["bad"] if i % 5 == 0 and i % 3 else []), *(["Worse"] if i % 10 == 0 else [])])) for i in range(300)]
+    data += [(300, None), (301, ""), (302, "unknown words only"), (303, data[7][1]), (None, data[10][1])]
+    marks = {i: int(i % 5 == 0) for i in range(0, 300) if i % 4}
+    train = {i: y for i, y in marks.items() if zlib.crc32(str(i).encode()) % 5}
+    tokens = lambda t: collections.Counter(re.findall(r"[0-9a-z]+", (t or "").lower()))
+    text = {i: tokens(t) for i, t in data}
+    df = collections.Counter(w for _, t in data for w in tokens(t))
+    p, n_docs = sum(train.values()) / len(train), len(data)
+
+    def weight(w):
+        n = sum(w in text[i] for i in train)
+        bad = sum(w in text[i] for i, y in train.items() if y)
+        share = bad / n
+        ratio = 2 * ((bad * math.log(share / p) if bad else 0) + ((n - bad) * math.log((1 - share) / (1 - p)) if n > bad else 0))
+        x = max(ratio, 0) * (share - p) / (1 - p) if share > p else 0
+        return math.log(1 + n_docs / (1 + df[w])) * (1 + x * x / (x + 25))
+
+    weights = {w: weight(w) for w in {w for i in train for w in text[i]}}
+
+    def unit(t):
+        v = {w: (1 + math.log(c)) * weights[w] for w, c in t.items() if w in weights}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()}
+
+    examples = {i: unit(text[i]) for i in train}
+
+    def vote(t, without=None):
+        v = unit(t)
+        sims = sorted(((-round(sum(x * e.get(w, 0) for w, x in v.items()), 12), i) for i, e in examples.items() if i != without))
+        best = [(-c, i) for c, i in sims if c < 0][:15]
+        w = [1 / (0.05 + max(0, 1 - c)) for c, _ in best]
+        return sum(x * train[i] for x, (_, i) in zip(w, best, strict=True)) / sum(w) if best else None
+
+    calibrated = toxicity.Calibration([(vote(text[i], i), y) for i, y in train.items()])
+    got = toxicity.scores(spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame(list(marks.items()), "doc_id long, toxic int")).collect()
+    assert len(got) == len(data)
+    plain = {i: calibrated(vote(t)) for i, t in ((i, tokens(t)) for i, t in data)}
+    assert all(abs(r.score - plain[r.doc_id]) < 1e-6 for r in got)
+    assert len({r.evidence[0].label for r in got if r.evidence}) == 2 and next(r.held_out for r in got if r.doc_id is None)
+
+
+def test_nearest_with_many_blocks(monkeypatch):
+    """Blocks that the bounds rule out hold none of the nearest."""
+    rng = np.random.default_rng(6)
+    monkeypatch.setattr(toxicity, "BLOCK_ROWS", 16)
+    rows = []
+    for i in range(900):
+        f = np.unique((i % 9) * 40 + rng.integers(0, 40, rng.integers(1, 25)))
+        rows.append((i, 0, np.append(f, 360 + rng.integers(20)), rng.integers(1, 4, len(f) + 1)))
+    index = toxicity.Index(rng.random(380) + 0.5, rows, 15)
+    dense = np.zeros((900, 380))
+    for x, i in enumerate(index.ids.tolist()):
+        dense[x, rows[i][2]] = index.unit(*rows[i][2:])
+    scored = []
+    real = index._scored
+    index._scored = lambda near, left, chosen, *a: (scored.append(chosen.sum()), real(near, left, chosen, *a))
+    for (best, sims), (i, _, f, t) in zip(index.nearest_of([(f, index.unit(f, t), -1) for _, _, f, t in rows]), rows, strict=True):
+        exact = dense @ dense[index.ids == i][0]
+        order = np.lexsort((index.ids, -np.round(exact, 12)))[:15]
+        assert best.tolist() == [x for x in order.tolist() if exact[x] > 0] and np.allclose(sims, exact[best])
+    assert sum(scored) < 0.6 * 900 * index.blocks
+
+
 def test_nearest_is_exact():
     rng = np.random.default_rng(5)
     rows = []
@@ -284,7 +351,7 @@ def test_nearest_is_exact():
     for i, _, f, t in rows[:60]:
         best, sims = index.nearest(f, index.unit(f, t))
         exact = dense @ dense[place[i]]
-        order = np.lexsort((np.arange(len(exact)), -np.round(exact, 12)))[:15]
+        order = np.lexsort((index.ids, -np.round(exact, 12)))[:15]  # ties by id
         assert best.tolist() == [x for x in order.tolist() if exact[x] > 0] and np.allclose(sims, exact[best])
 
 
