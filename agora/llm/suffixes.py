@@ -49,6 +49,8 @@ BLOCK_BYTES, CHUNK, ITEMS = 1 << 21, 1 << 13, 1 << 17
 SMALL = 1000
 #: Bytes of text for one bucket, at most, and keys that a task looks at together.
 BUCKET_BYTES, KEYS = 1 << 30, 1 << 20
+#: How often a block has a q-gram, as far as it counts, and the mark of one that stands in several documents.
+OFTEN, OFTEN_DOCS = (1 << 15) - 1, 1 << 15
 LOW = np.uint64((1 << 20) - 1)
 LOW32 = np.uint64((1 << 32) - 1)
 LAST_ID = (1 << 63) - 1
@@ -175,14 +177,15 @@ def _keyed(buckets: int, length: int, q: int):
         for b in batches:
             for row in b.to_pylist():
                 _, data, offsets = opened(row)
-                *_, key, same = contexts(data, offsets, length, q)
+                doc, _, _, key, same = contexts(data, offsets, length, q)
                 order = np.lexsort((same, key))
                 new = np.ones(len(key), bool)
                 new[1:] = (key[order][1:] != key[order][:-1]) | (same[order][1:] != same[order][:-1])
                 every, at, cut = distinct(key, buckets)
-                docs = np.bincount(at, minlength=len(every))
-                times = np.minimum(np.bincount(at[order[new]], minlength=len(every)) + (docs > 1), 65535).astype(np.uint16)
-                low, several = every.astype(np.uint32), times > 1
+                first, last = np.empty((2, len(every)), np.int64)
+                first[at[::-1]], last[at] = doc[::-1], doc
+                times = np.minimum(np.bincount(at[order[new]], minlength=len(every)), OFTEN) + OFTEN_DOCS * (first != last)
+                low, several, times = every.astype(np.uint32), times > 1, times.astype(np.uint16)
                 out = []
                 for k in np.flatnonzero(np.diff(cut)).tolist():
                     s, e = cut[k], cut[k + 1]
@@ -215,12 +218,12 @@ def _shared(small: int):
             times[-1][several] = np.frombuffer(r["times"], np.uint16)
         for cut in ranged(keys, KEYS):
             part, n = (np.concatenate([x[s:e] for x, (s, e) in zip(xs, cut, strict=True)]) for xs in (keys, times))
-            every, at = np.unique(part, return_inverse=True)
-            total = np.bincount(at, n, len(every))[at]
+            at = np.unique(part, return_inverse=True)[1]
+            shared = (np.bincount(at) + np.bincount(at, n >= OFTEN_DOCS) > 1)[at]
+            hot = shared & (np.bincount(at, n & OFTEN) > small)[at]
             done = 0
             for f, (s, e) in zip(found, cut, strict=True):
-                here = total[done : done + e - s]
-                f[0, s:e], f[1, s:e] = here > 1, here > small
+                f[:, s:e] = shared[done : done + e - s], hot[done : done + e - s]
                 done += e - s
         for r, f in zip(rows, found, strict=True):
             if f.any():
@@ -285,14 +288,14 @@ def _dealt(buckets: int, length: int, q: int):
             place = np.empty(len(d), np.int64)
             place[reps] = np.arange(len(reps))
             goes = ids[d] > ids[d[to]]
-            plan = (d.astype(np.uint32), (b - offsets[d]).astype(np.uint32), m.astype(np.uint8), np.where(goes, -1, place[to]).astype(np.int32))
+            plan = (np.diff(b, prepend=0).astype(np.int32), m.astype(np.uint8), np.where(goes, -1, place[to]).astype(np.int32))
             out.append({"block": row["block"], "part": part, "bucket": -1, "n": len(d), "start": len(reps), "text": squeezed(b"".join(x.tobytes() for x in plan))})
             where = bucket_of(g[reps], buckets)
             at_ = np.searchsorted(where, np.arange(buckets + 1))
             for x in np.flatnonzero(np.diff(at_)).tolist():
                 r = reps[at_[x] : at_[x + 1]]
                 text = rows[r][np.arange(rows.shape[1]) < (m[r] + length - 1)[:, None]]
-                out.append({"block": row["block"], "part": part, "bucket": x, "n": len(r), "start": int(at_[x]), "keys": (g[r] & LOW32).astype(np.uint32).tobytes(), "ids": ids[d[r]].tobytes(), "windows": m[r].astype(np.uint8).tobytes(), "text": squeezed(text)})
+                out.append({"block": row["block"], "part": part, "bucket": x, "n": len(r), "start": int(at_[x]), "keys": (g[r] & LOW32).astype(np.uint32).tobytes(), "ids": squeezed(ids[d[r]]), "windows": m[r].astype(np.uint8).tobytes(), "text": squeezed(text)})
         return pa.Table.from_pylist(out, schema=DEALT)
 
     return run
@@ -402,7 +405,7 @@ def _compared(length: int):
                 many = np.frombuffer(r["windows"], np.uint8).astype(np.int64)
                 ends = np.cumsum(many + length - 1)
                 text = unsqueezed(r["text"], int(ends[-1]))
-                for c, v in zip(part, (key[s:e], np.frombuffer(r["ids"], np.int64)[s:e], many[s:e], text[ends[s] - many[s] - length + 1 : ends[e - 1]]), strict=True):
+                for c, v in zip(part, (key[s:e], unsqueezed(r["ids"], len(key), np.int64)[s:e], many[s:e], text[ends[s] - many[s] - length + 1 : ends[e - 1]]), strict=True):
                     c.append(v)
                 own.append(np.full(e - s, x))
                 places.append(np.arange(s, e))
@@ -442,14 +445,14 @@ def _applied(length: int, buckets: int, with_text: bool, schema: pa.Schema):
         for rows in by.values():
             plan = next(r for r in rows if r["bucket"] < 0)
             n = plan["n"]
-            raw = unsqueezed(plan["answer"], 13 * n)
-            doc, at, many, to = (raw[s * n : e * n].view(t) for s, e, t in ((0, 4, np.uint32), (4, 8, np.uint32), (8, 9, np.uint8), (9, 13, np.int32)))
+            raw = unsqueezed(plan["answer"], 9 * n)
+            jump, many, to = (raw[s * n : e * n].view(t) for s, e, t in ((0, 4, np.int32), (4, 5, np.uint8), (5, 9, np.int32)))
             sent = np.zeros(plan["start"] + 1, np.int64)
             for r in rows:
                 if r["bucket"] >= 0:
                     sent[r["start"] : r["start"] + r["n"]] = unsqueezed(r["answer"], r["n"], np.uint32)
             bits = np.where(to < 0, (1 << many.astype(np.int64)) - 1, sent[to])
-            begin = offsets[doc] + at
+            begin = np.cumsum(jump, dtype=np.int64)
             for k in range(int(many.max(initial=0))):
                 s = begin[(bits >> k & 1) == 1] + k
                 np.add.at(step, s, 1)
