@@ -10,13 +10,14 @@ The model emits the `vocab` most frequent training tokens themselves and all
 others as one class, inside which a token has its smoothed unigram probability;
 so a text's score is a proper probability of its exact tokens. The states start
 from groups of frequent words that stand together. Baum-Welch then passes over
-all training texts `passes` times: every partition sums expected transitions
-and emissions by scaled forward-backward over stretches of 64 tokens, and the
-sums meet by key. The likelihood of a whole text is exact: each stretch
-becomes one scaled transfer matrix, and the forward recursion runs over those.
+all training texts `passes` times: every partition sums expected starts, transitions
+and emissions by scaled forward-backward, and the sums meet by key. Both training and scores are those of whole
+texts: they are worked on in stretches of 64 tokens side by side, each stretch
+becomes one scaled transfer matrix, and the recursions run over those first, so that every stretch begins with what comes before and ends with
+what comes after.
 
 Null and empty texts are one end. Rows with equal ids are scored each for
-itself. Without training texts every count is 0 and the model is uniform.
+itself. Ids are integers (-2**63 counts as null, and null ids are held out); only the id and the text are read. Without training texts every count is 0 and the model is uniform.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ from .common import SPACE, checkpointed, column, shuffle_partitions, table, word
 STATES, VOCAB, PASSES, STRETCH, SEEDS = 6, 4096, 4, 64, 256
 #: Words that a mapper gathers before it sends them on.
 GATHER = 1 << 20
+#: Bytes of text for one bucket, at most, and hashes that a task looks at together.
+BUCKET_BYTES, KEYS = 1 << 30, 1 << 20
 END = np.uint64(0xE17D_0F7E_47A1_5EED)
 #: Stands for a null id inside; such texts are held out.
 NO_ID = -(1 << 63)
@@ -73,7 +76,7 @@ def _joined(held: list) -> tuple[list, np.ndarray, np.ndarray]:
 def _send(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
-        for ids, at, h in gathered(batches, GATHER):
+        for ids, at, h in gathered(batches, max(GATHER, 64 * buckets)):
             marks = np.add.reduceat(h, at[:-1]).tobytes()
             doc = np.repeat(np.arange(len(ids), dtype=np.uint32), np.diff(at))
             order = np.argsort(h, kind="stable")
@@ -104,41 +107,60 @@ def _unpack(raw: bytes, n: int) -> np.ndarray:
     return np.frombuffer(raw, np.uint16 if len(raw) == 2 * n else np.uint32)
 
 
+def _ranges(hashes: list[np.ndarray], limit: int) -> Iterator[list[tuple[int, int]]]:
+    """Ranges of the hashes with about `limit` of them each: where each of the sorted arrays begins and ends in the range."""
+    filled = [h for h in hashes if len(h)]
+    lo, hi = (min(int(h[0]) for h in filled), max(int(h[-1]) for h in filled)) if filled else (0, 0)
+    n = max(1, -(-sum(map(len, hashes)) // limit))
+    bounds = np.array([lo + (hi - lo + 1) * k // n for k in range(n)], np.uint64)
+    cuts = [np.append(np.searchsorted(h, bounds), len(h)).tolist() for h in hashes]
+    for k in range(n):
+        yield [(c[k], c[k + 1]) for c in cuts]
+
+
 def _count(vocab: int):
-    """Rows of a bucket in, its sums for every block out, with the bucket's totals and most frequent tokens."""
+    """Rows of a bucket in, its sums for every block out, with the bucket's totals and most frequent tokens. Hashes are looked at in ranges of KEYS."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: dict[int, list[dict]] = {}
+        rows = []
         for b in batches:
             for r in b.to_pylist():
                 if r["bucket"] < 0:
                     yield pa.RecordBatch.from_pylist([{"block": r["block"], "docs": None, "ids": r["hashes"], "sizes": r["docs"], "marks": r["times"]}], schema=COUNTED)
                 else:
-                    by.setdefault(r["bucket"], []).append(r)
-        for rows in by.values():
-            hashes = [np.frombuffer(r["hashes"], np.uint64) for r in rows]
-            times = [np.frombuffer(r["times"], np.uint32) for r in rows]
-            locals_, tfs, trains, own = [], [], [], []
-            for r, t in zip(rows, times, strict=True):
-                n = int(t.sum())
-                locals_.append(_unpack(r["local"], n))
-                tfs.append(_unpack(r["tf"], n))
-                trains.append(np.frombuffer(r["train"], np.uint8))
-                starts = np.concatenate(([0], np.cumsum(t, dtype=np.int64)[:-1]))
-                own.append(np.add.reduceat(tfs[-1] * trains[-1][locals_[-1]].astype(np.int64), starts))
-            keys, at = np.unique(np.concatenate(hashes), return_inverse=True)
+                    rows.append(r)
+        hashes = [np.frombuffer(r["hashes"], np.uint64) for r in rows]
+        times = [np.frombuffer(r["times"], np.uint32) for r in rows]
+        begins = [np.concatenate(([0], np.cumsum(t, dtype=np.int64))) for t in times]
+        sums = [np.zeros(len(r["docs"]) // 4) for r in rows]
+        seen = [np.zeros(len(r["docs"]) // 4, np.int64) for r in rows]
+        for cut in _ranges(hashes, KEYS) if rows else ():
+            part, own = [], []
+            for r, h, t, begin, (s, e) in zip(rows, hashes, times, begins, cut, strict=True):
+                if s == e:
+                    continue
+                local, tf = (_unpack(r[c], int(begin[-1]))[begin[s] : begin[e]] for c in ("local", "tf"))
+                train = np.frombuffer(r["train"], np.uint8)
+                part.append((h[s:e], t[s:e], local, tf))
+                own.append(np.add.reduceat(tf * train[local].astype(np.int64), begin[s:e] - begin[s]))
+            if not part:
+                continue
+            keys, at = np.unique(np.concatenate([p[0] for p in part]), return_inverse=True)
             c = np.bincount(at, np.concatenate(own), len(keys)).astype(np.int64)
             known = keys[c > 0]
             top = np.argsort(-c[c > 0], kind="stable")[:vocab]
             yield pa.RecordBatch.from_pylist([{"n": int(c.sum()), "v": len(known), "top": known[top].view(np.int64).tolist(), "top_n": c[c > 0][top].tolist()}], schema=COUNTED)
-            values, k = np.log10(c + 0.1), 0
-            for r, t, local, tf in zip(rows, times, locals_, tfs, strict=True):
-                of = at[k : k + len(t)]
-                k += len(t)
-                docs = np.frombuffer(r["docs"], np.uint32)
-                sums = np.bincount(local, np.repeat(values[of], t) * tf, len(docs))
-                seen = np.bincount(local, np.repeat(c[of] > 0, t) * tf, len(docs)).astype(np.int64)
-                yield pa.RecordBatch.from_pylist([{"block": r["block"], "docs": r["docs"], "sums": sums.tobytes(), "seen": seen.astype(np.uint32).tobytes()}], schema=COUNTED)
+            values, k, of_row = np.log10(c + 0.1), 0, iter(part)
+            for x, (s, e) in enumerate(cut):
+                if s == e:
+                    continue
+                _, t, local, tf = next(of_row)
+                of = at[k : k + e - s]
+                k += e - s
+                sums[x] += np.bincount(local, np.repeat(values[of], t) * tf, len(sums[x]))
+                seen[x] += np.bincount(local, np.repeat(c[of] > 0, t) * tf, len(sums[x])).astype(np.int64)
+        for r, x, y in zip(rows, sums, seen, strict=True):
+            yield pa.RecordBatch.from_pylist([{"block": r["block"], "docs": r["docs"], "sums": x.tobytes(), "seen": y.astype(np.uint32).tobytes()}], schema=COUNTED)
 
     return run
 
@@ -218,51 +240,69 @@ def stretches(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return begin, length, doc
 
 
+def transfers(model: Model, sym: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(begins, lengths, whether they begin a text, scaled transfer matrices, their log10 scales) of the stretches, in the order of the texts."""
+    begin, length, doc = stretches(sizes)
+    first = np.concatenate(([True], doc[1:] != doc[:-1]))
+    order = np.argsort(-length, kind="stable")
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    b, n_of = begin[order], length[order]
+    emit, k = np.ascontiguousarray(model.emit.T), model.k
+    move = np.where(first[order][:, None, None], np.eye(k), model.step) * emit[sym[b]][:, None, :]
+    logs = np.zeros(len(b))
+    for t in range(1, int(n_of[0])):
+        n = int(np.searchsorted(-n_of, -t, "left"))
+        move[:n] = (move[:n].reshape(-1, k) @ model.step).reshape(n, k, k) * emit[sym[b[:n] + t]][:, None, :]
+        if t % 12 == 0:
+            c = move[:n].sum((1, 2))
+            move[:n] /= c[:, None, None]
+            logs[:n] += np.log10(c)
+    return begin, length, first, move[back], logs[back]
+
+
 def expected(model: Model, sym: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Expected starts, transitions and emissions of the texts, each stretch a sequence of its own."""
-    begin, length, _ = stretches(sizes)
+    """Expected starts, transitions and emissions of the texts, each a sequence from its start to its end."""
+    begin, length, first, move, _ = transfers(model, sym, sizes)
+    n = -(-sizes // STRETCH)
+    at = np.cumsum(n) - n
+    before, after = np.tile(model.start, (len(begin), 1)), np.ones((len(begin), model.k))
+    for t in range(1, int(n.max(initial=0))):  # what comes in at the begin of the t-th stretch
+        on = at[n > t] + t
+        a = np.einsum("ni,nij->nj", before[on - 1], move[on - 1])
+        before[on] = a / a.sum(1, keepdims=True)
+    for t in range(1, int(n.max(initial=0))):  # and at the end of the t-th from the last
+        on = (at + n)[n > t] - 1 - t
+        z = np.einsum("nij,nj->ni", move[on + 1], after[on + 1])
+        after[on] = z / z.sum(1, keepdims=True)
     order = np.argsort(-length, kind="stable")
-    begin, length = begin[order], length[order]
+    begin, length, first, before, after = (x[order] for x in (begin, length, first, before, after))
     k, emit = model.k, np.ascontiguousarray(model.emit.T)
     active = [int(np.searchsorted(-length, -t, "left")) for t in range(int(length[0]))]
     alpha, scale = [], []
     for t, n in enumerate(active):
-        a = emit[sym[begin[:n] + t]] * (model.start if t == 0 else alpha[-1][:n] @ model.step)
+        a = emit[sym[begin[:n] + t]] * (np.where(first[:, None], before, before @ model.step) if t == 0 else alpha[-1][:n] @ model.step)
         c = a.sum(1, keepdims=True)
         alpha.append(a / c)
         scale.append(c)
+    last = np.empty((len(begin), k))
+    for t, n in enumerate(active):
+        last[:n] = alpha[t]
     gamma = np.empty((len(sym), k))
-    steps, beta = np.zeros((k, k)), np.ones((len(begin), k))
+    steps, beta = np.zeros((k, k)), after / (last * after).sum(1, keepdims=True)
     for t in range(len(active) - 1, -1, -1):
         n = active[t]
         g = alpha[t] * beta[:n]
         gamma[begin[:n] + t] = g / g.sum(1, keepdims=True)
-        if t:
-            right = beta[:n] * emit[sym[begin[:n] + t]] / scale[t]
-            steps += alpha[t - 1][:n].T @ right
-            beta[:n] = right @ model.step.T
-    return np.concatenate((gamma[begin].sum(0), (steps * model.step).ravel(), *(np.bincount(sym, gamma[:, s], len(emit)) for s in range(k))))
+        right = beta[:n] * emit[sym[begin[:n] + t]] / scale[t]
+        steps += (alpha[t - 1][:n] if t else np.where(first[:, None], 0, before)).T @ right
+        beta[:n] = right @ model.step.T
+    return np.concatenate((gamma[begin[first]].sum(0), (steps * model.step).ravel(), *(np.bincount(sym, gamma[:, s], len(emit)) for s in range(k))))
 
 
 def forward(model: Model, sym: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """log10 likelihood of each text's symbols, by the forward recursion over the stretches' transfer matrices."""
-    begin, length, doc = stretches(sizes)
-    first = np.concatenate(([True], doc[1:] != doc[:-1]))
-    order = np.argsort(-length, kind="stable")
-    back = np.empty(len(order), np.int64)
-    back[order] = np.arange(len(order))
-    begin, length, first = begin[order], length[order], first[order]
-    emit, k = np.ascontiguousarray(model.emit.T), model.k
-    move = np.where(first[:, None, None], np.eye(k), model.step) * emit[sym[begin]][:, None, :]
-    logs = np.zeros(len(begin))
-    for t in range(1, int(length[0])):
-        n = int(np.searchsorted(-length, -t, "left"))
-        move[:n] = (move[:n].reshape(-1, k) @ model.step).reshape(n, k, k) * emit[sym[begin[:n] + t]][:, None, :]
-        if t % 12 == 0:
-            c = move[:n].sum((1, 2))
-            move[:n] /= c[:, None, None]
-            logs[:n] += np.log10(c)
-    move, logs = move[back], logs[back]
+    *_, move, logs = transfers(model, sym, sizes)
     n = -(-sizes // STRETCH)
     at = np.cumsum(n) - n
     alpha, out = np.tile(model.start, (len(sizes), 1)), np.zeros(len(sizes))
@@ -355,10 +395,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", state
     """id (long), held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"))
-    parts = shuffle_partitions(spark)
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    parts = max(shuffle_partitions(spark), -(-size // BUCKET_BYTES))
     sent = rows.mapInArrow(_send(parts), "block long, bucket int, hashes binary, times binary, docs binary, local binary, tf binary, train binary")
-    dealt = sent.withColumn("to", F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.pmod(F.xxhash64("block"), F.lit(parts)).cast("int")))
-    counted = checkpointed(dealt.repartition(parts, "to").drop("to").mapInArrow(_count(vocab), COUNTED_DDL))
+    to = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.pmod(F.xxhash64("block"), F.lit(parts)).cast("int"))
+    counted = checkpointed(sent.repartitionById(parts, to).mapInArrow(_count(vocab), COUNTED_DDL))
     n, v = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     top = most_frequent(counted.where("top is not null").select("top", "top_n"), vocab, parts)
     model = Model(*top, n, v, states)
@@ -378,7 +419,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", state
     scored = rows.mapInArrow(run, "id long, n_tokens long, mark long, hmm double")
     base = counted.where("block is not null").groupBy("block").applyInArrow(_meet, "id long, n_tokens long, mark long, sums double, seen long")
     base = base.groupBy("id", "n_tokens", "mark").agg(F.first("sums").alias("sums"), F.first("seen").alias("n_known"))  # equal tokens, equal sums
-    size = float(np.log10(n + 0.1 * (v + 1)))
+    total = float(np.log10(n + 0.1 * (v + 1)))
     held_out = (F.col("id") == NO_ID) | (F.crc32(F.col("id").cast("string")) % 10 == 0)
     return scored.join(base, ["id", "n_tokens", "mark"]).select(
         F.when(F.col("id") != NO_ID, F.col("id")).alias(id_col),
@@ -386,7 +427,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", state
         "n_tokens",
         "n_known",
         F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("sums") - F.col("n_tokens") * size).alias("base_score"),
+        (F.col("sums") - F.col("n_tokens") * total).alias("base_score"),
         (F.col("hmm") + F.col("sums")).alias("score"),
     )
 
