@@ -1,11 +1,12 @@
 """Operator 9: shards of equal bytes by Karmarkar-Karp differencing.
 
-Rows with equal texts form one indivisible group. Every block of groups runs
-the differencing method by itself: each group is a partial partition with all
+Rows with equal texts form one indivisible group. Groups are dealt into blocks by the hash of their text, about
+BLOCK_GROUPS each, and every block runs the differencing method by itself: each group is a partial partition with all
 its bytes in one shard; the two partial partitions of largest spread are
 combined, the fullest shards of one with the emptiest of the other, until one is
-left. The blocks' results are partial partitions as well, and the driver
-combines those in the same way: one row of `shards` numbers per block.
+left. The blocks' results are partial partitions as well: FAN of them at a time are combined in the same way, level by
+level, until one is left. So every step runs on executors with a bounded number of partial partitions, and
+shards depend on the texts alone, not on the order in which they arrive.
 
 Null texts count as empty. Repeated ids, ties and extra columns are allowed; an
 empty table gives an empty result. One group larger than a fair share makes
@@ -20,13 +21,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, table
 
-#: Groups that one run of the method holds in memory.
-BLOCK_GROUPS = 50_000
+#: Groups that a block holds, on average, and partial partitions that are combined at a time on the levels above.
+BLOCK_GROUPS, FAN = 50_000, 256
 
 
 def differencing(loads: list[list[int]]) -> tuple[np.ndarray, list[int]]:
@@ -63,36 +64,35 @@ def differencing(loads: list[list[int]]) -> tuple[np.ndarray, list[int]]:
     return out, heap[0][2]
 
 
-def _blocks(shards: int):
-    schema = pa.schema([("key", pa.int64()), ("size", pa.int64()), ("crc", pa.int64()), ("block", pa.int64()), ("place", pa.int32()), ("loads", pa.list_(pa.int64()))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId() << 24
-
-        def solve(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            t = t.sort_by([("bytes", "descending"), ("key", "ascending")])
-            zeros = [0] * (shards - 1)
-            places, loads = differencing([[w, *zeros] for w in t["bytes"].to_pylist()])
-            n = t.num_rows
-            cols = [*(t[c].combine_chunks() for c in ("key", "size", "crc")), pa.array(np.full(n, block)), pa.array(places[:, 0].astype(np.int32)), pa.nulls(n, pa.list_(pa.int64()))]
-            yield from pa.Table.from_arrays(cols, schema=schema).to_batches()
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 3 + [pa.array([block]), pa.nulls(1, pa.int32()), pa.array([loads], pa.list_(pa.int64()))], schema=schema)
-
-        held, n = [], 0
-        for b in batches:
-            while b.num_rows:
-                part, b = b.slice(0, BLOCK_GROUPS - n), b.slice(BLOCK_GROUPS - n)
-                held.append(part)
-                n += part.num_rows
-                if n == BLOCK_GROUPS:
-                    yield from solve(pa.Table.from_batches(held))
-                    held, n, block = [], 0, block + 1
-        if n:
-            yield from solve(pa.Table.from_batches(held))
+LOADS = pa.schema([("block", pa.int64()), ("key", pa.int64()), ("size", pa.int64()), ("crc", pa.int64()), ("place", pa.int32()), ("loads", pa.list_(pa.int64()))])
+LOADS_DDL = "block long, key long, size long, crc long, place int, loads array<long>"
+STEP = pa.schema([("block", pa.int64()), ("place", pa.int32()), ("above", pa.int64()), ("to", pa.int32()), ("loads", pa.list_(pa.int64()))])
+STEP_DDL = "block long, place int, above long, to int, loads array<long>"
+
+
+def _solved(shards: int):
+    """The place of each group of a block, and one row with the loads of the places."""
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        t = t.sort_by([("bytes", "descending"), ("key", "ascending"), ("size", "ascending"), ("crc", "ascending")])
+        n, zeros = t.num_rows, [0] * (shards - 1)
+        places, loads = differencing([[w, *zeros] for w in t["bytes"].to_pylist()])
+        block = pa.array([key[0].as_py()] * n, pa.int64())
+        of = pa.Table.from_arrays([block, t["key"], t["size"], t["crc"], pa.array(places[:, 0].astype(np.int32)), pa.nulls(n, pa.list_(pa.int64()))], schema=LOADS)
+        return pa.concat_tables([of, pa.Table.from_pylist([{"block": key[0].as_py(), "loads": loads}], schema=LOADS)])
 
     return run
 
 
+def _combined(key: tuple, t: pa.Table) -> pa.Table:
+    """Where the places of some blocks go in the one above them, and one row with its loads."""
+    t = t.sort_by("block")
+    places, loads = differencing(t["loads"].to_pylist())
+    above = key[0].as_py()
+    rows = [{"block": b, "place": p, "above": above, "to": to} for b, row in zip(t["block"].to_pylist(), places.tolist(), strict=True) for p, to in enumerate(row)]
+    return pa.Table.from_pylist([*rows, {"above": above, "loads": loads}], schema=STEP)
+
+
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds each row's number among the rows of its shard in this partition."""
     part, seen = TaskContext.get().partitionId(), {}
@@ -108,22 +108,25 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, size, text_crc32, shard (0 to shards - 1, bytes near equal, equal texts together) and slot (gapless in the shard)."""
-    spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = checkpointed(docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("crc"), F.xxhash64(text).alias("key")))
-    groups = rows.groupBy("key", "size", "crc").agg((F.count("*") * F.col("size")).alias("bytes"))
-    solved = checkpointed(groups.mapInArrow(_blocks(shards), "key long, size long, crc long, block long, place int, loads array<long>"))
-    blocks = [(r.block, r.loads) for r in solved.where("key is null and loads is not null").select("block", "loads").orderBy("block").toLocalIterator()]  # one row per block
-    places = differencing([x for _, x in blocks])[0].tolist() if blocks else []
-    where = spark.createDataFrame([(b, p, s) for (b, _), row in zip(blocks, places, strict=True) for p, s in enumerate(row)], "block long, place int, shard int")
-    of = solved.where("loads is null").drop("loads").join(F.broadcast(where) if len(places) * shards < 2_000_000 else where, ["block", "place"]).select("key", "size", "crc", "shard")
+    groups = checkpointed(rows.groupBy("key", "size", "crc").agg((F.count("*") * F.col("size")).alias("bytes")))
+    blocks = max(1, -(-groups.count() // BLOCK_GROUPS))
+    dealt = groups.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)))
+    solved = checkpointed(dealt.groupBy("block").applyInArrow(_solved(shards), LOADS_DDL))
+    of = solved.where("loads is null").select("key", "size", "crc", "block", "place")
+    loads = solved.where("loads is not null").select("block", "loads")
+    while blocks > 1:
+        blocks = -(-blocks // FAN)
+        step = checkpointed(loads.groupBy(F.expr(f"block div {FAN}").alias("above")).applyInArrow(_combined, STEP_DDL))
+        of = of.join(step.where("loads is null").select("block", "place", "above", "to"), ["block", "place"]).select("key", "size", "crc", F.col("above").alias("block"), F.col("to").alias("place"))
+        loads = step.where("loads is not null").select(F.col("above").alias("block"), "loads")
+    of = of.select("key", "size", "crc", F.col("place").alias("shard"))
     numbered = checkpointed(rows.join(of, ["key", "size", "crc"]).select("id", "size", "crc", "shard").mapInArrow(_numbered, f"id {dict(rows.dtypes)['id']}, size long, crc long, shard int, part int, nth long"))
-    begins, total = [], {}
-    for r in numbered.groupBy("part", "shard").count().orderBy("part", "shard").toLocalIterator():  # one row per partition and shard
-        begins.append((r.part, r.shard, total.get(r.shard, 0)))
-        total[r.shard] = total.get(r.shard, 0) + r["count"]
-    begin = spark.createDataFrame(begins, "part int, shard int, begin long")
-    return numbered.join(F.broadcast(begin) if len(begins) < 2_000_000 else begin, ["part", "shard"]).select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "shard", (F.col("begin") + F.col("nth")).alias("slot"))
+    held = numbered.groupBy("part", "shard").agg(F.count("*").alias("n"))  # one row per partition and shard
+    before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    begin = held.select("part", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin"))
+    return numbered.join(begin, ["part", "shard"]).select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "shard", (F.col("begin") + F.col("nth")).alias("slot"))
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
