@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import heapq
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +30,8 @@ from .common import NOT_ALNUM, column, shingles, table, word_hashes
 MIN_TILE, COVERAGE = 5, 0.6
 #: Benchmark tokens that are sent to the executors at a time (8 bytes each, twice).
 BLOCK_TOKENS = 2_000_000
+#: Pairs of positions that a task looks at together.
+PAIRS = 1 << 20
 
 
 def tokens_of(arr: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
@@ -39,24 +41,49 @@ def tokens_of(arr: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
             yield first + i, h[at[i] : at[i + 1]]
 
 
-def tiles(seeds: list[tuple[int, int]], a: np.ndarray, b: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """Greedy string tiling of a against b: (begin in a, begin in b, length), longest first; seeds are equal k-token runs.
-
-    Seeds on one diagonal that follow each other are one match; ties go to the smallest begins.
-    """
-    runs, heap = defaultdict(list), []
+def runs_of(seeds: Iterable[tuple[int, int]], k: int) -> list[tuple[int, int, int]]:
+    """(begin in a, begin in b, length) of the matches that seeds, equal k-token runs, make: those that follow each other on one diagonal are one."""
+    by, out = defaultdict(list), []
     for i, j in seeds:
-        runs[i - j].append(i)
-    for d, at in runs.items():
+        by[i - j].append(i)
+    for d, at in by.items():
         at.sort()
         begin = last = at[0]
         for i in [*at[1:], None]:
             if i is None or i != last + 1:
-                heap.append((begin - last - k, begin, begin - d))
+                out.append((begin, begin - d, last - begin + k))
                 begin = i
             last = i
+    return out
+
+
+def matches(a: np.ndarray, b: np.ndarray, at: np.ndarray, lists: list[np.ndarray], k: int) -> list[tuple[int, int, int]]:
+    """The same from places `at` of a, ascending, and of each the list of places in b that share its seed.
+
+    Only seeds that no other precedes on their diagonal are kept, so a token that is repeated n and m times
+    gives n + m matches, not n * m pairs; pairs are looked at some at a time.
+    """
+    begins, ends = [], []
+    n = np.array([len(x) for x in lists])
+    total, done = np.cumsum(n), 0
+    while done < len(at):
+        upto = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + PAIRS, "right")))
+        i, j = np.repeat(at[done:upto], n[done:upto]), np.concatenate(lists[done:upto])
+        first = (i == 0) | (j == 0) | (a[i - 1] != b[j - 1])
+        last = (i + k == len(a)) | (j + k == len(b)) | (a[np.minimum(i + k, len(a) - 1)] != b[np.minimum(j + k, len(b) - 1)])
+        begins.append(np.stack((i[first], j[first]), 1))
+        ends.append(np.stack((i[last], j[last]), 1))
+        done = upto
+    begin, end = np.concatenate(begins), np.concatenate(ends)
+    begin, end = (x[np.lexsort((x[:, 0], x[:, 0] - x[:, 1]))] for x in (begin, end))  # on one diagonal, begins and ends take turns
+    return list(zip(begin[:, 0].tolist(), begin[:, 1].tolist(), (end[:, 0] - begin[:, 0] + k).tolist(), strict=True))
+
+
+def tiled(found: Iterable[tuple[int, int, int]], size_a: int, size_b: int, k: int) -> list[tuple[int, int, int]]:
+    """Greedy string tiling from matches (begin in a, begin in b, length): tiles, longest first; ties go to the smallest begins."""
+    heap = [(-n, i, j) for i, j, n in found]
     heapq.heapify(heap)
-    marked_a, marked_b, out, left = np.zeros(len(a), bool), np.zeros(len(b), bool), [], len(b)
+    marked_a, marked_b, out, left = np.zeros(size_a, bool), np.zeros(size_b, bool), [], size_b
     while heap and left >= k:
         n, i, j = heapq.heappop(heap)
         n = -n
@@ -73,6 +100,11 @@ def tiles(seeds: list[tuple[int, int]], a: np.ndarray, b: np.ndarray, k: int) ->
     return out
 
 
+def tiles(seeds: Iterable[tuple[int, int]], a: np.ndarray, b: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+    """Greedy string tiling of a against b: (begin in a, begin in b, length), longest first; seeds are equal k-token runs."""
+    return tiled(runs_of(seeds, k), len(a), len(b), k)
+
+
 class Index:
     """Seeds of a block of benchmark items: sorted hashes for each seed length, with item and place."""
 
@@ -99,15 +131,17 @@ class Index:
             if not len(hit):
                 continue
             hi = np.searchsorted(g, own[hit], "right")
-            of = defaultdict(list)
-            for i, s, e in zip(hit.tolist(), lo[hit].tolist(), hi.tolist(), strict=True):
-                for x in range(s, e):
-                    of[int(items[x])].append((i, int(places[x])))
-            for n, seeds in sorted(of.items()):
+            seen = np.unique(np.stack((lo[hit], hi), 1), axis=0)  # each shared seed once
+            span = np.concatenate([np.arange(s, e) for s, e in seen.tolist()])
+            for n in np.unique(items[span]).tolist():
                 item, b = self.items[n]
-                if min(len(b), (len({j for _, j in seeds}) - 1) + k + (k - 1) * len(seeds)) < coverage * len(b):
+                shared = np.sort(places[span[items[span] == n]])
+                most = np.minimum(np.diff(shared, append=len(b)), k).sum()  # tokens that any shared seed covers
+                if most < coverage * len(b):
                     continue
-                found = tiles(seeds, h, b, k)
+                of = {(s, e): np.arange(s, e)[items[s:e] == n] for s, e in seen.tolist()}
+                lists = [places[of[s, e]] for s, e in zip(lo[hit].tolist(), hi.tolist(), strict=True)]
+                found = tiled(matches(h, b, hit, lists, k), len(h), len(b), k)
                 covered = sum(x[2] for x in found)
                 if covered >= coverage * len(b):
                     yield item, len(found), covered, len(b), covered / len(b)
