@@ -110,6 +110,25 @@ def test_tiling_is_greedy():
         assert decontam.tiles(seeds, a, b, 3) == plain_tiles(a.tolist(), b.tolist(), 3)
 
 
+def test_matches_of_repeated_tokens(monkeypatch):
+    """Matches equal those of all pairs of seeds; one token repeated 20,000 and 1,000 times makes no list of pairs."""
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(decontam, "PAIRS", 50)
+    for _ in range(60):
+        a, b = rng.integers(0, 2, rng.integers(3, 40)), rng.integers(0, 2, rng.integers(3, 25))
+        lists = [np.array([j for j in range(len(b) - 2) if (a[i : i + 3] == b[j : j + 3]).all()], np.int64) for i in range(len(a) - 2)]
+        at = np.flatnonzero([len(x) for x in lists])
+        if not len(at):
+            continue
+        seeds = [(i, j) for i, x in enumerate(lists) for j in x.tolist()]
+        got = decontam.matches(a, b, at, [lists[i] for i in at.tolist()], 3)
+        assert sorted(got) == sorted(decontam.runs_of(seeds, 3))
+        assert decontam.tiled(got, len(a), len(b), 3) == plain_tiles(a.tolist(), b.tolist(), 3)
+    monkeypatch.setattr(decontam, "PAIRS", 1 << 20)
+    h, item = np.full(20_000, 7, np.uint64), np.full(1_000, 7, np.uint64)
+    assert [x[:4] for x in decontam.Index([(5, item)], 5).match(h, 0.6)] == [(5, 1, 1000, 1000)]
+
+
 def test_leaks(spark, docs, empty):
     item = " ".join(f"tok{i}" for i in range(30))
     w = item.split()

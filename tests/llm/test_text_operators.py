@@ -210,6 +210,76 @@ def test_forward_is_exact_and_training_climbs():
     assert abs(p - 1) < 1e-9
 
 
+def test_expectations_are_those_of_whole_texts():
+    """Against forward-backward over each text in one go, long texts of several stretches included."""
+    rng = np.random.default_rng(3)
+    m = hmm.Model(np.arange(6, dtype=np.uint64), rng.integers(1, 9, 6), 100, 30, 3)
+    m.step, m.emit, m.start = rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(7), 3), rng.dirichlet(np.ones(3))
+    sizes = np.array([1, 300, 64, 2, 65, 128, 129])
+    sym = rng.integers(0, 7, sizes.sum())
+    starts, steps, emits = np.zeros(3), np.zeros((3, 3)), np.zeros((3, 7))
+    for n, begin in zip(sizes.tolist(), (np.cumsum(sizes) - sizes).tolist(), strict=True):
+        x = sym[begin : begin + n]
+        alpha, beta = np.empty((n, 3)), np.ones((n, 3))
+        for t in range(n):
+            alpha[t] = (m.start if t == 0 else alpha[t - 1] @ m.step) * m.emit[:, x[t]]
+            alpha[t] /= alpha[t].sum()
+        for t in range(n - 2, -1, -1):
+            beta[t] = m.step @ (m.emit[:, x[t + 1]] * beta[t + 1])
+            beta[t] /= beta[t].sum()
+        gamma = alpha * beta / (alpha * beta).sum(1, keepdims=True)
+        starts += gamma[0]
+        for t in range(n):
+            emits[:, x[t]] += gamma[t]
+            if t:
+                xi = alpha[t - 1][:, None] * m.step * (m.emit[:, x[t]] * beta[t])[None]
+                steps += xi / xi.sum()
+    assert np.allclose(hmm.expected(m, sym, sizes), np.concatenate((starts, steps.ravel(), emits.ravel())))
+
+
+def test_ranges_of_hashes():
+    rng = np.random.default_rng(2)
+    hashes = [np.sort(rng.integers(0, 2**64, n, dtype=np.uint64)) for n in (0, 500, 3)]
+    got = [np.concatenate([h[s:e] for h, (s, e) in zip(hashes, cut, strict=True)]) for cut in hmm._ranges(hashes, 100)]
+    assert len(got) > 4 and sum(map(len, got)) == 503
+    assert all(a.max() < b.min() for a, b in zip(got, got[1:], strict=False) if len(a) and len(b))
+
+
+def test_sharding_in_levels(docs, monkeypatch):
+    """Many blocks, combined on several levels: the laws hold, and the order of the rows does not matter."""
+    monkeypatch.setattr(sharding, "BLOCK_GROUPS", 10)
+    monkeypatch.setattr(sharding, "FAN", 3)
+    got = sharding.shard(docs, 4).collect()
+    load = collections.Counter()
+    for r in got:
+        load[r.shard] += r.size
+    assert max(load.values()) - min(load.values()) < 0.01 * sum(load.values())
+    again = sharding.shard(docs.repartition(5, "text"), 4).collect()
+    assert sorted((r.doc_id, r.text_crc32, r.shard) for r in got) == sorted((r.doc_id, r.text_crc32, r.shard) for r in again)
+
+
+def test_differencing_equals_a_plain_version():
+    """The same places as a plain run of the method that keeps lists of members."""
+    rng = np.random.default_rng(12)
+    for _ in range(20):
+        weights = sorted(rng.integers(1, 60, rng.integers(1, 25)).tolist(), reverse=True)
+        parts = [[(w, [n]), (0, []), (0, [])] for n, w in enumerate(weights)]
+        turn = [(-w, n) for n, w in enumerate(weights)]
+        alive = dict(enumerate(parts))
+        while len(turn) > 1:
+            turn.sort()
+            (_, x), (_, y) = turn[:2]
+            a, b = alive.pop(x), alive.pop(y)
+            joined = sorted(((p[0] + q[0], p[1] + q[1]) for p, q in zip(a, reversed(b), strict=True)), key=lambda p: -p[0])
+            turn = [*turn[2:], (joined[-1][0] - joined[0][0], len(parts))]
+            alive[len(parts)] = joined
+            parts.append(joined)
+        plain = sorted(p[0] for p in alive.popitem()[1])
+        places, loads = sharding.differencing([[w, 0, 0] for w in weights])
+        assert sorted(loads) == plain
+        assert [sum(w for w, p in zip(weights, places[:, 0].tolist(), strict=True) if p == s) for s in range(3)] == list(loads)
+
+
 def test_sharding(docs, rows, empty):
     got = sharding.shard(docs).collect()
     assert len(got) == len(rows)
