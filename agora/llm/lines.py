@@ -16,8 +16,10 @@ line of every repeated run, and no other line.
 Everything is built-in functions. Positions are compared with the first
 occurrence alone, never with each other, so frequent lines make no pairs; both
 sides of that join are direct shuffles, which adaptive execution splits when a
-key is hot. Null and empty texts stay as they are. Blank lines stay. Rows with
-the same id and text are one document and keep the same lines.
+key is hot. Two hashes of every line (96 bits) stand for it. Null and empty texts stay as they are. Blank lines stay. Rows with
+the same id and text are one document and keep the same lines. Null ids come after all others, so of equal texts the one with an id
+stays whole. An empty table gives an empty result. Columns of any name pass; where an input column has the name of a count, the
+count's name gets underscores.
 """
 
 from __future__ import annotations
@@ -47,17 +49,29 @@ def _reach(c: Column, least: int) -> Column:
     return F.transform(c, steps)
 
 
+def _ordered(id_col: str) -> Column:
+    """The id as something that is never null and sorts null ids last."""
+    return F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"))
+
+
+def free(name: str, columns: list[str]) -> str:
+    """The name, with as many underscores as it takes to differ from all columns."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
 def windows(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
     """id, mark (of the text), hashes of the non-blank lines, and their windows."""
-    lines = F.transform(F.split(F.col(text_col), "\n"), lambda x, i: F.struct(i.alias("i"), F.when(x.rlike(r"[^\x20\x09-\x0D]"), F.xxhash64(x)).alias("h"), F.length(x).alias("c")))
-    df = docs.where(F.length(text_col) >= min_chars).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.filter(lines, lambda e: e["h"].isNotNull()).alias("l"))
-    df = df.select("id", "mark", F.col("l.i").alias("at"), F.col("l.h").alias("h"), F.col("l.c").alias("c"), F.reverse("l.c").alias("r"))
-    df = df.select("id", "mark", "at", "h", _reach(F.col("c"), min_chars).alias("down"), F.reverse(_reach(F.col("r"), min_chars)).alias("up"))
+    lines = F.transform(F.split(F.col(text_col), "\n"), lambda x, i: F.struct(i.alias("i"), F.when(x.rlike(r"[^\x20\x09-\x0D]"), F.xxhash64(x)).alias("h"), F.crc32(x).alias("g"), F.length(x).alias("c")))
+    df = docs.where(F.length(text_col) >= min_chars).select(_ordered(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.filter(lines, lambda e: e["h"].isNotNull()).alias("l"))
+    df = df.select("id", "mark", F.col("l.i").alias("at"), F.col("l.h").alias("h"), F.col("l.g").alias("g"), F.col("l.c").alias("c"), F.reverse("l.c").alias("r"))
+    df = df.select("id", "mark", "at", "h", "g", _reach(F.col("c"), min_chars).alias("down"), F.reverse(_reach(F.col("r"), min_chars)).alias("up"))
 
     def window(s: Column, n: Column) -> Column:
         run = F.slice(F.col("h"), s + 1, n)
         least = F.array_min(run)
-        return F.when(n.isNotNull(), F.struct(s.alias("s"), n.alias("n"), F.xxhash64(run).alias("key"), least.alias("least"), (s + F.array_position(run, least) - 1).alias("place")))
+        return F.when(n.isNotNull(), F.struct(s.alias("s"), n.alias("n"), F.xxhash64(run).alias("key"), F.xxhash64(F.slice(F.col("g"), s + 1, n)).alias("key2"), least.alias("least"), (s + F.array_position(run, least) - 1).alias("place")))
 
     down = F.transform("down", lambda n, i: window(i, n))
     up = F.transform("up", lambda n, i: F.when(~F.get("down", i - n + 1).eqNullSafe(n), window(i - n + 1, n)))
@@ -69,10 +83,10 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     wins = windows(docs, id_col, text_col, min_chars)
     prints = _prints(wins)
     shared = checkpointed(prints.groupBy("least").agg(F.count("*").alias("n")).where("n > 1").select("least"))
-    rows = wins.select("id", "mark", F.explode_outer("w").alias("w"), "at").where("w is not null").select("id", "mark", "w.s", "w.n", "w.key", "w.least", F.slice("at", F.col("w.s") + 1, F.col("w.n")).alias("at"))
+    rows = wins.select("id", "mark", F.explode_outer("w").alias("w"), "at").where("w is not null").select("id", "mark", "w.s", "w.n", "w.key", "w.key2", "w.least", F.slice("at", F.col("w.s") + 1, F.col("w.n")).alias("at"))
     near = checkpointed(rows.join(shared, "least", "left_semi").drop("least", "n"))
-    first = checkpointed(near.groupBy("key").agg(F.min(F.struct("id", "mark", "s")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    later = near.join(first, "key").where(F.struct("id", "mark", "s") > F.col("first"))
+    first = checkpointed(near.groupBy("key", "key2").agg(F.min(F.struct("id", "mark", "s")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    later = near.join(first, ["key", "key2"]).where(F.struct("id", "mark", "s") > F.col("first"))
     return later.select("id", "mark", F.explode("at").alias("at")).groupBy("id", "mark").agg(F.collect_set("at").alias("gone"))
 
 
@@ -85,14 +99,14 @@ def _prints(wins: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """The rows of docs, with repeated lines deleted from the text, and n_lines and n_removed added."""
-    gone = repeated_lines(docs, id_col, text_col, min_chars).select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), F.col("gone").alias("__gone"))
-    rows = docs.join(gone, (F.col(id_col) == F.col("__id")) & (F.xxhash64(text_col) == F.col("__mark")), "left")
-    lines = F.split(F.col(text_col), "\n")
-    rows = rows.withColumn("__lines", F.when(F.col("__gone").isNotNull(), lines))
-    left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col("__lines"), i)), "\n"))
-    n_lines = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1)
-    return rows.select(*(text.alias(c) if c == text_col else F.col(c) for c in docs.columns), n_lines.cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"))
+    key, mark, gone, parts, n_lines, n_removed = (free(c, docs.columns) for c in ("__id", "__mark", "__gone", "__lines", "n_lines", "n_removed"))
+    found = repeated_lines(docs, id_col, text_col, min_chars).select(F.col("id").alias(key), F.col("mark").alias(mark), F.col("gone").alias(gone))
+    rows = docs.join(found, (_ordered(id_col) == F.col(key)) & (F.xxhash64(text_col) == F.col(mark)), "left")
+    rows = rows.withColumn(parts, F.when(F.col(gone).isNotNull(), F.split(F.col(text_col), "\n")))
+    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(gone))
+    text = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col(parts), i)), "\n"))
+    count = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1)
+    return rows.select(*(text.alias(c) if c == text_col else F.col(c) for c in docs.columns), count.cast("long").alias(n_lines), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias(n_removed))
 
 
 def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
