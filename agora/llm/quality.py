@@ -4,7 +4,7 @@ Statistics of each whole text are built-in expressions over arrays; nothing is
 exploded or shuffled, so a very common word or line costs nothing extra. From
 labelled statistics, sequential covering learns an ordered list of conjunctions
 of thresholds: each rule is grown by information gain on two thirds of the
-sample that is left, pruned on the other third, kept while it is precise there,
+sample that is left until it covers bad rows alone or nothing separates them, pruned on the other third, kept while it is precise there,
 and then its rows are taken out. The list comes out as one ordered conditional
 expression.
 
@@ -26,7 +26,8 @@ from .common import checkpointed, smallest, table
 SAMPLE = 20_000
 #: Of the rows that a rule rejects in the pruning set, the share that must be labelled bad.
 PRECISION = 0.95
-MAX_RULES, MAX_CONDITIONS, MIN_COVER = 12, 4, 8
+#: Rows that a rule must reject, at least; learning ends when fewer bad rows are left.
+MIN_COVER = 8
 WHITE = r"[\x20\x09-\x0D]"
 FEATURES = {
     "n_words": "n_words",
@@ -121,11 +122,11 @@ def _best(x: np.ndarray, bad: np.ndarray) -> tuple[float, tuple[int, bool, float
 def learn(x: np.ndarray, bad: np.ndarray, precision: float = PRECISION) -> list[list[tuple[int, bool, float]]]:
     """Ordered rules for rejection, each a list of (feature, at least?, threshold). Rows come in a fixed random order."""
     rules: list = []
-    while len(rules) < MAX_RULES and bad.sum() >= MIN_COVER:
+    while bad.sum() >= MIN_COVER:
         third = np.arange(len(x)) % 3 == 2
         gx, gb, px, pb = x[~third], bad[~third], x[third], bad[third]
         rule: list = []
-        while len(rule) < MAX_CONDITIONS and (best := _best(gx[(c := _cover(gx, rule))], gb[c])):
+        while (best := _best(gx[(c := _cover(gx, rule))], gb[c])):
             rule.append(best[1])
         if not rule:
             break
