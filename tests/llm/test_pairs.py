@@ -158,3 +158,29 @@ def test_pipeline(spark):
     for _, stage in p.STAGES:
         none = stage(spark, none, SF)
     assert none.count() == 0
+
+
+def test_pipeline_with_odd_rows(spark, docs, tmp_path):
+    """Nulls in every column, repeated rows, an empty and a long text, columns that clash; decisions against each operator's own."""
+    import corpus_pipeline as p
+    from pyspark.sql import functions as F
+
+    full = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = [(None, None, None, None, None), (-1, "", "en", "s", 0), (-2, None, "en", None, 0), (-3, "word " * 60_000, "fr", "s", 300_000), (-3, "word " * 60_000, "fr", "s", 300_000)]
+    d = full.unionByName(spark.createDataFrame(odd, full.schema)).withColumns({"n_removed": F.lit(7), "__id": F.lit("c"), "score": F.lit(None).cast("double"), "class_id": F.lit(1), "key": F.lit(2)})
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in p.STAGES[:-1]:
+        out = stage(spark, now, str(tmp_path)).cache()
+        assert out.schema.names == d.schema.names and out.where("n_removed = 7").count() == out.count(), name
+        if name == "MinHash near-dedup":
+            kept = {r.doc_id for r in neardup.classes(now).collect() if r.doc_id == r.class_id}
+            assert {r.doc_id for r in out.collect()} == kept | {None}
+        elif name == "benchmark decontamination":
+            bad = {r.doc_id for r in decontam.leaks(now, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
+            assert {r.doc_id for r in out.collect()} == {r.doc_id for r in now.collect()} - bad
+        now = out
+    last = p.run(spark, str(tmp_path))
+    assert sorted((r.doc_id for r in last.collect()), key=str) == sorted((r.doc_id for r in now.collect()), key=str)

@@ -38,6 +38,29 @@ def test_quality_statistics(docs, rows, empty):
     assert quality.judge(empty, labels.limit(0)).count() == 0
 
 
+def test_quality_verdicts_follow_the_rules(spark, docs):
+    """kept, against the learned rules applied in plain Python to the statistics."""
+    rng = np.random.default_rng(13)
+    words = [f"word{k}" for k in range(300)]
+    data = [(i, " ".join([*rng.choice(words, 80), *(["#x|", "<9>"] * 15 if i % 4 == 0 else [])])) for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i % 4 != 0)) for i in range(400)], "doc_id long, quality int")
+    d = spark.createDataFrame([*data, (None, data[0][1]), (500, None), (501, "")], "doc_id long, text string")
+    stats = quality.statistics(d)
+    rules = quality.learn(*quality.sample(stats, labels, "doc_id", "quality", 20_000))
+    assert rules
+    names = list(quality.FEATURES)
+    rows = stats.selectExpr("doc_id", "n_words", "n_repeat_words", *(f"cast({e} AS double) AS f{k}" for k, e in enumerate(quality.FEATURES.values()))).collect()
+
+    def plain(r):
+        x = r[3 : 3 + len(names)]
+        failed = r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words
+        return not failed and not any(all(x[f] >= t if above else x[f] <= t for f, above, t in rule) for rule in rules)
+
+    got = {r.doc_id: r.kept for r in quality.judge(d, labels).collect()}
+    assert got == {r.doc_id: plain(r) for r in rows}
+    assert all(not got[i] for i in range(0, 400, 4)) and sum(got[i] for i in range(400) if i % 4) > 280 and not got[None]
+
+
 def test_quality_sample_counts_an_id_once(spark):
     docs = spark.createDataFrame([(i, "w " * (i + 1)) for i in range(30) for _ in range(50)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
@@ -56,6 +79,27 @@ def test_decision_list():
     assert quality.learn(x[:0], bad[:0]) == []
 
 
+def test_lines_of_null_ids_and_clashing_names(spark):
+    t = "one line that is long enough to be a run all by itself, because it has more than one hundred characters in it\nsecond"
+    rows = [(None, t, 1, "x", 9), (5, t, 2, "y", 8), (None, t, 3, "z", 7), (4, t, 4, "w", 6)]
+    out = lines.dedup(spark.createDataFrame(rows, "doc_id long, text string, n_lines long, __id string, __gone long"))
+    got = sorted((r["__id"], r.text, r.n_lines, r["n_lines_"], r.n_removed, r["__gone"]) for r in out.collect())
+    assert got == [("w", t, 4, 2, 0, 6), ("x", "", 1, 2, 2, 9), ("y", "", 2, 2, 2, 8), ("z", "", 3, 2, 2, 7)]
+
+
+def test_very_long_texts(spark):
+    """Texts of several hashing blocks: pieces, suffixes and language model see them whole."""
+    rng = np.random.default_rng(15)
+    body = " ".join(f"tok{x}" for x in rng.integers(0, 5000, 180_000).tolist())
+    docs = spark.createDataFrame([(1, body), (2, "start " + body[700_000:] + " end"), (3, "short")], "doc_id long, text string")
+    enc = pieces.encoder(pieces.model_path())
+    n = {r.doc_id: (r.n_tokens, r.decoded_sha256) for r in pieces.encode(docs, pieces.model_path()).collect()}
+    assert n[1] == (len(ids := enc.sp.encode(body)), hashlib.sha256(enc.sp.decode(ids).encode()).hexdigest())
+    kept = {r.doc_id: r.kept.decode() for r in suffixes.repeats(docs, with_text=True).collect()}
+    assert kept[1] == body and len(kept[2]) < 60 and kept[2].startswith("start ")
+    assert {r.doc_id: r.n_tokens for r in hmm.score(docs).collect()} == {1: 180_001, 2: len(body[700_000:].split()) + 3, 3: 2}
+
+
 @pytest.mark.parametrize("small", [1, 1000])
 def test_repeated_strings(docs, rows, empty, small):
     first = {}
@@ -425,6 +469,47 @@ def test_nearest_is_exact():
         assert best.tolist() == [x for x in order.tolist() if exact[x] > 0] and np.allclose(sims, exact[best])
 
 
+def test_url_verdicts_equal_a_plain_propagation(spark):
+    """A graph with cycles, hubs and hosts without links out: trust, distrust and verdicts, against sums over dictionaries."""
+    rng = np.random.default_rng(14)
+    hosts = [f"h{k}.info" for k in range(30)] + ["a.com", "b.com", "c.net", "d.org"]
+    pages = []
+    for n in range(200):
+        h = hosts[int(rng.integers(len(hosts)))] if n % 3 else "h0.info"
+        path = {"com": "/en/", "net": "/de/", "org": "/es/"}.get(h.split(".")[-1], "/x/") if rng.random() < 0.8 else "/other"
+        out = [hosts[int(rng.integers(len(hosts)))] for _ in range(rng.integers(0, 4))] if h not in ("h5.info", "a.com") else []
+        pages.append((n, f"http://{h}{path}", " ".join(f'<a href="http://{t}/y">' for t in out)))
+    n_pages, good, bad, edges = collections.Counter(), collections.Counter(), collections.Counter(), collections.Counter()
+    for _, u, html in pages:
+        host, path = re.match("http://([^/]*)(.*)", u).groups()
+        n_pages[host] += 1
+        good[host] += host.endswith(".net") and path.startswith("/de/")
+        bad[host] += host.endswith(".com") and path.startswith("/en/") or host.endswith(".org") and path.startswith("/es/")
+        edges.update((host, t) for t in re.findall("http://([^/]*)/y", html) if t != host)
+
+    def rank(seeds, links):
+        flow = {h: 0.15 * s / n_pages[h] for h, s in seeds.items() if s}
+        out, total = collections.Counter(flow), collections.Counter()
+        for (a, _), n in links.items():
+            total[a] += n
+        for _ in range(200):
+            new = collections.Counter()
+            for (a, b), n in links.items():
+                new[b] += 0.85 * flow.get(a, 0) * n / total[a]
+            flow = new
+            out.update(new)
+        return out
+
+    trust, distrust = rank(good, edges), rank(bad, collections.Counter({(b, a): n for (a, b), n in edges.items()}))
+    got = urls.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert len(got) == len(pages)
+    for r in got:
+        assert abs(r.trust - trust[r.host]) < 1e-3 and abs(r.distrust - distrust[r.host]) < 1e-3
+        if r.rule is None and abs(distrust[r.host] - trust[r.host]) > 2e-3 and abs(distrust[r.host] - 0.075) > 2e-3:
+            assert r.verdict == ("block" if distrust[r.host] > trust[r.host] and distrust[r.host] >= 0.075 else "allow")
+    assert {r.verdict for r in got if r.rule is None} == {"allow", "block"}
+
+
 def test_urls(spark):
     pages = [
         (1, "http://A.Example.com/en/7?x", '<a href="http://good.net/de/1">'), (2, "https://b.com/en/1", None), (3, "https://linker.info/x", '<a href="//b.com/en/1"><a href=\'http://b.com/\'>'),
