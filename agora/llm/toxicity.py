@@ -38,9 +38,9 @@ from .common import NOT_ALNUM, byte_values, checkpointed, column, mix, pieces, p
 
 SAMPLE, EVIDENCE, NEIGHBOURS = 20_000, 25.0, 15
 #: Texts compared at a time; features in more than one of so many examples are dense, and at most so many are.
-BLOCK_TEXTS, DENSE, DENSE_MOST = 128, 20, 512
+BLOCK_TEXTS, DENSE, DENSE_MOST = 512, 20, 512
 #: Examples of a block, blocks that a text is held against first, and examples that the others are arranged around.
-BLOCK_ROWS, FIRST, CENTRES = 256, 3, 64
+BLOCK_ROWS, FIRST, CENTRES = 512, 2, 32
 
 
 def feature_hashes(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -173,36 +173,42 @@ class Index:
         self.place = np.full(len(self.idf), -1, np.int32)
         self.place[common] = np.arange(len(common))
         owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.at))
-        self.exact = self.weights(self.feature, self.times) / self.norm[owner]
-        at = self.place[self.feature]
+        self.grown = 1 + np.log(np.maximum(np.arange(int(self.times.max()) + 1), 1))  # of a number of times
+        weight = np.empty(len(self.feature), np.float32)
+        for k in range(0, len(owner), 1 << 18):
+            part = slice(k, k + (1 << 18))
+            weight[part] = self.grown[self.times[part]] * self.idf[self.feature[part]] / self.norm[owner[part]]
+        at = np.flatnonzero(self.place[self.feature] >= 0)
         self.dense = np.zeros((len(common), self.blocks * BLOCK_ROWS), np.float32)
-        self.dense[at[at >= 0], owner[at >= 0]] = self.exact[at >= 0]
+        self.dense[self.place[self.feature[at]], owner[at]] = weight[at]
         self.dense_most = self.dense.reshape(len(common), self.blocks, BLOCK_ROWS).max(2)
-        order = np.argsort(self.feature, kind="stable")
-        order = order[at[order] < 0]
-        feature, weight, block = self.feature[order], self.exact[order].astype(np.float32), owner[order] // BLOCK_ROWS
-        self.pairs = np.stack((owner[order], weight.view(np.int32)), 1).view(np.int64).ravel()  # example and weight are read together
+        order = np.flatnonzero(self.place[self.feature] < 0)
+        order = order[np.argsort(self.feature[order], kind="stable")]
+        feature, weight, owner = self.feature[order], weight[order], owner[order]
+        self.pairs = np.stack((owner, weight.view(np.int32)), 1).view(np.int64).ravel()  # example and weight are read together
+        block = owner // BLOCK_ROWS
+        del order, owner, at
         new = np.flatnonzero(np.concatenate(([True], (feature[1:] != feature[:-1]) | (block[1:] != block[:-1]))))[: len(feature)]
         # one entry per rare feature and block: the block, the largest weight, and where its inverted list begins
-        self.block, self.most, self.list = block[new].astype(np.int32), np.maximum.reduceat(weight, new) if len(new) else weight, np.append(new, len(feature)).astype(np.int32)
-        self.first = np.searchsorted(feature[new], np.arange(len(self.idf) + 1)).astype(np.int32)
+        self.block, self.most, self.list = block[new], np.maximum.reduceat(weight, new) if len(new) else weight, np.append(new, len(feature)).astype(np.int32)
+        self.first = np.searchsorted(feature[new], np.arange(len(self.idf) + 1))
         self.query = np.zeros(len(self.idf))
 
     def cosines(self, examples: np.ndarray, features: np.ndarray, q: np.ndarray) -> np.ndarray:
-        self.query[features] = q
+        self.query[features] = q * self.idf[features]
         s, e = self.at[examples], self.at[examples + 1]
         part = [slice(*x) for x in zip(s.tolist(), e.tolist(), strict=True)]
-        x = self.query[np.concatenate([self.feature[p] for p in part])] * np.concatenate([self.exact[p] for p in part])
+        x = self.query[np.concatenate([self.feature[p] for p in part])] * self.grown[np.concatenate([self.times[p] for p in part])]
         self.query[features] = 0
-        return np.add.reduceat(x, np.cumsum(e - s) - (e - s))
+        return np.add.reduceat(x, np.cumsum(e - s) - (e - s)) / self.norm[examples]
 
-    def _scored(self, near: np.ndarray, left: np.ndarray, chosen: np.ndarray, lists: list[tuple[np.ndarray, np.ndarray, np.ndarray]], without: list[int]) -> None:
+    def _scored(self, near: np.ndarray, left: np.ndarray, chosen: np.ndarray, lists: list[tuple[np.ndarray, np.ndarray]], without: list[int]) -> None:
         """Adds to near the cosines of each text with the examples of its chosen blocks."""
         for x in np.flatnonzero(chosen.any(0)).tolist():
             rows, s = np.flatnonzero(chosen[:, x]), x * BLOCK_ROWS
             near[rows, s : s + BLOCK_ROWS] = left[rows] @ self.dense[:, s : s + BLOCK_ROWS]
-        for row, on, (entry, block, q), skip in zip(near, chosen, lists, without, strict=True):
-            mine = np.flatnonzero(on[block])
+        for row, on, (entry, q), skip in zip(near, chosen, lists, without, strict=True):
+            mine = np.flatnonzero(on[self.block[entry]])
             s, e = self.list[entry[mine]], self.list[entry[mine] + 1]
             pairs = self.pairs.take(runs(s, e)).view(np.int32)
             row += np.bincount(pairs[::2], pairs[1::2].view(np.float32) * np.repeat(q[mine], e - s), len(row))
@@ -215,37 +221,37 @@ class Index:
             return [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
         self._ready()
         left = np.zeros((len(queries), len(self.dense)), np.float32)
-        bound, lists = np.zeros((len(queries), self.blocks)), []
+        bound, lists = np.zeros((len(queries), self.blocks)), []  # 1e-5 more than the bound, for rounding
         for x, (f, q, _) in enumerate(queries):
             place = self.place[f]
             left[x, place[place >= 0]] = q[place >= 0]
             s, e = self.first[f], self.first[f + 1]
-            entry, each = runs(s, e), np.repeat(q, e - s)
+            entry, each = runs(s, e), np.repeat(q.astype(np.float32), e - s)
             block = self.block[entry]
-            bound[x] = np.bincount(block, self.most[entry] * each, self.blocks)
-            lists.append((entry, block, each))
+            bound[x] = np.bincount(block, self.most[entry] * each, self.blocks) + 1e-5
+            lists.append((entry, each))
         bound += left @ self.dense_most
         # single precision is off by less than 1e-4: one rounding of 2**-24 for each of DENSE_MOST terms
         near, skip = np.zeros((len(queries), self.blocks * BLOCK_ROWS), np.float32), [w for *_, w in queries]
         tall = near.reshape(len(queries), self.blocks, BLOCK_ROWS)
         if self.blocks > FIRST:
-            chosen = (bound >= np.partition(bound, -FIRST, 1)[:, -FIRST, None]) & (bound > 0)
+            chosen = (bound >= np.partition(bound, -FIRST, 1)[:, -FIRST, None]) & (bound > 1e-5)
         else:
-            chosen = bound > 0
+            chosen = bound > 1e-5
         self._scored(near, left, chosen, lists, skip)
 
-        def least(x: int) -> float:
-            seen = tall[x, chosen[x]].ravel()
+        def least(seen: np.ndarray) -> float:
             return float(np.partition(seen, -self.k)[-self.k]) - 1e-4 if len(seen) >= self.k else 0.0
 
-        more = (bound > 0) & ~chosen & (bound >= np.array([least(x) for x in range(len(queries))])[:, None])
+        bottom = [least(tall[x, chosen[x]].ravel()) for x in range(len(queries))]
+        more = (bound > 1e-5) & ~chosen & (bound >= np.array(bottom)[:, None])
         if more.any():
             self._scored(near, left, more, lists, skip)
-            chosen |= more
         out = []
-        for x, (f, q, _) in enumerate(queries):
-            bottom = least(x)
-            some = np.flatnonzero(near[x] >= bottom) if bottom > 0 else np.flatnonzero(near[x] > 0)
+        for row, low, (f, q, _) in zip(near, bottom, queries, strict=True):
+            some = np.flatnonzero(row >= low) if low > 0 else np.flatnonzero(row > 0)
+            if len(some) > self.k:
+                some = some[row[some] >= least(row[some])]
             if not len(some):
                 out.append((some, np.zeros(0)))
                 continue
@@ -402,7 +408,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample: in
             out = [v for v, _, _ in index.votes(_texts(vocabulary, b.column(1)), [place.get(i, -1) for i in b.column(0).to_pylist()])]
             yield pa.RecordBatch.from_arrays([b.column(2), pa.array(out, pa.float64())], names=["y", "vote"])
 
-    examples = rows.where("first").select("id", "text", "y").repartition(max(1, min(64, total // 100)), "id")
+    examples = rows.where("first").select("id", "text", "y").repartition(max(1, min(64, total // 1000)), "id")
     got = examples.mapInArrow(votes, "y int, vote double").collect() if total else []  # at most `sample`
     return words, ready, Calibration([(r.vote, int(r.y > 0)) for r in got])
 
@@ -411,16 +417,16 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """id, held_out, score, predicted, and evidence: the examples' ids, cosines and labels."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     words, ready, calibrated = fit(rows, labels, id_col=id_col, **options)
-    struct = pa.list_(pa.struct([("id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
+    struct = pa.struct([("id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, index = words.value, ready.value
         for b in parts(batches):
-            out, why = [], []
-            for vote, best, sims in index.votes(_texts(vocabulary, b.column(1))):
-                out.append(calibrated(vote))
-                why.append([{"id": int(index.ids[x]), "cosine": float(c), "label": int(index.labels[x])} for x, c in zip(best, sims, strict=True)])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64()), pa.array(why, struct)], names=["id", "score", "evidence"])
+            votes, best, sims = zip(*index.votes(_texts(vocabulary, b.column(1))), strict=True) if b.num_rows else ([], [], [])
+            at = pa.array(np.cumsum([0, *map(len, best)]).astype(np.int32))
+            near, cosine = (np.concatenate([np.zeros(0, t), *x]) for x, t in ((best, np.int64), (sims, float)))
+            why = pa.StructArray.from_arrays([pa.array(index.ids[near]), pa.array(cosine), pa.array(index.labels[near].astype(np.int32))], fields=list(struct))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([calibrated(v) for v in votes], pa.float64()), pa.ListArray.from_arrays(at, why)], names=["id", "score", "evidence"])
 
     scored = rows.mapInArrow(run, "id long, score double, evidence array<struct<id: long, cosine: double, label: int>>")
     return scored.select(F.col("id").alias(id_col), F.coalesce(F.crc32(F.col("id").cast("string")) % 5 == 0, F.lit(True)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
