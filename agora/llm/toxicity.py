@@ -172,26 +172,33 @@ class Index:
         common = common[often[common] * DENSE > n]
         self.place = np.full(len(self.idf), -1, np.int32)
         self.place[common] = np.arange(len(common))
-        owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.at))
         self.grown = 1 + np.log(np.maximum(np.arange(int(self.times.max()) + 1), 1))  # of a number of times
-        weight = np.empty(len(self.feature), np.float32)
-        for k in range(0, len(owner), 1 << 18):
-            part = slice(k, k + (1 << 18))
-            weight[part] = self.grown[self.times[part]] * self.idf[self.feature[part]] / self.norm[owner[part]]
-        at = np.flatnonzero(self.place[self.feature] >= 0)
         self.dense = np.zeros((len(common), self.blocks * BLOCK_ROWS), np.float32)
-        self.dense[self.place[self.feature[at]], owner[at]] = weight[at]
+        cut = np.concatenate(([0], np.cumsum(np.where(self.place < 0, often, 0))))
+        free, pairs = cut[:-1].copy(), np.empty((int(cut[-1]), 2), np.int32)  # example and weight are read together
+        weights = pairs[:, 1].view(np.float32)
+        for e in range(n):  # one by one: no array as long as the index is made besides it
+            own = slice(self.at[e], self.at[e + 1])
+            f = self.feature[own]
+            w, place = self.grown[self.times[own]] * self.idf[f] / self.norm[e], self.place[f]
+            self.dense[place[place >= 0], e] = w[place >= 0]
+            f, w = f[place < 0], w[place < 0]
+            to = free[f]
+            pairs[to, 0], weights[to] = e, w
+            free[f] += 1
+        self.pairs = pairs.view(np.int64).ravel()
         self.dense_most = self.dense.reshape(len(common), self.blocks, BLOCK_ROWS).max(2)
-        order = np.flatnonzero(self.place[self.feature] < 0)
-        order = order[np.argsort(self.feature[order], kind="stable")]
-        feature, weight, owner = self.feature[order], weight[order], owner[order]
-        self.pairs = np.stack((owner, weight.view(np.int32)), 1).view(np.int64).ravel()  # example and weight are read together
-        block = owner // BLOCK_ROWS
-        del order, owner, at
-        new = np.flatnonzero(np.concatenate(([True], (feature[1:] != feature[:-1]) | (block[1:] != block[:-1]))))[: len(feature)]
+        new = np.zeros(len(pairs) + 1, bool)
+        new[cut[:-1]] = True
+        for k in range(1, len(pairs), 1 << 18):
+            end = min(k + (1 << 18), len(pairs))
+            block = pairs[k - 1 : end, 0] // BLOCK_ROWS
+            new[k:end] |= block[1:] != block[:-1]
+        new = np.flatnonzero(new[:-1])
         # one entry per rare feature and block: the block, the largest weight, and where its inverted list begins
-        self.block, self.most, self.list = block[new], np.maximum.reduceat(weight, new) if len(new) else weight, np.append(new, len(feature)).astype(np.int32)
-        self.first = np.searchsorted(feature[new], np.arange(len(self.idf) + 1))
+        self.block, self.list = pairs[new, 0] // BLOCK_ROWS, np.append(new, len(pairs)).astype(np.int32)
+        self.most = np.maximum.reduceat(weights, new) if len(new) else weights
+        self.first = np.searchsorted(new, cut)
         self.query = np.zeros(len(self.idf))
 
     def cosines(self, examples: np.ndarray, features: np.ndarray, q: np.ndarray) -> np.ndarray:
