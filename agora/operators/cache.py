@@ -64,11 +64,23 @@ def read(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFram
 def with_stage_cache(df: DataFrame, path: str, keys: tuple[str, ...], stage: Callable[[DataFrame], DataFrame], schema: str) -> DataFrame:
     """Runs the stage over what the table at `path` lacks, appends results that are ok, and returns (the whole table).
 
-    The stage maps rows with the keys to (keys..., ok, ...); rows that are not ok stay out and are tried again by the next run.
-    Filters and the anti-join come before the stage, so a model sees each row at most once per run.
+    The stage maps rows with the keys to (keys..., ok, ...); rows that are not ok go to the errors table beside it, with the time, and are tried
+    again by the next run. Filters and the anti-join come before the stage, and its results are written once and split from there, so a model
+    sees each row at most once per run.
     """
     spark = df.sparkSession
     done = read(spark, path, schema)
-    fresh = stage(todo(df, done, keys))
+    fresh = stage(todo(df, done, keys)).select(*done.columns).withColumn("logged_at", F.current_timestamp()).persist()
     fresh.where("ok").select(*done.columns).write.mode("append").parquet(path)
+    fresh.where(~F.coalesce("ok", F.lit(False))).write.mode("append").parquet(errors_path(path))
+    fresh.unpersist()
     return read(spark, path, schema)
+
+
+def errors_path(path: str) -> str:
+    return f"{path.rstrip('/')}_errors"
+
+
+def errors(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What has failed in the stage whose table is at `path`: (its columns, logged_at)."""
+    return read(spark, errors_path(path), f"{schema}, logged_at timestamp")

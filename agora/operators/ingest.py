@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import base64_text, first_of, or_default
-from ..schemas import DOCUMENTS, KEYS, PROVENANCE
+from ..schemas import AUTHORS, CHALLENGES, COMMENTS, DOCUMENTS, HASHTAGS, KEYS, PROVENANCE, VIDEOS
 
 #: Url parts in the order in which they are looked for, the route, and the form of its document.
 ROUTES = (
@@ -59,23 +59,12 @@ def _carried(df: DataFrame) -> list[str]:
 
 
 def items(responses: DataFrame) -> DataFrame:
-    """One row per video item of any list; a search hit counts only if its type is the number 1."""
-    out = None
-    for name, form in VIDEO_ROUTES.items():
-        rows = _parsed(responses, name, form)
-        listed = {
-            "list": F.col("doc.itemList"),
-            "playlist": F.transform("doc.itemList", lambda x: x["item"]),
-            "search": F.transform(F.filter("doc.data", lambda x: x["type"] == "1"), lambda x: x["item"]),
-        }[form]
-        if form == "search":  # the string "1" is no number: the raw document tells them apart
-            raw = responses.where(F.col("route") == name).withColumn("doc", F.from_json("body", DOCUMENTS[form])).withColumn("kinds", F.expr("variant_get(try_parse_json(body), '$.data', 'array<variant>')")).drop("body")
-            number = F.transform("kinds", lambda k: F.coalesce(F.schema_of_variant(F.try_variant_get(k, "$.type", "variant")) == "BIGINT", F.lit(False)))
-            zipped = F.arrays_zip(F.col("doc.data").alias("d"), number.alias("n"))
-            rows, listed = raw, F.transform(F.filter(zipped, lambda z: z["n"] & (z["d"]["type"] == "1")), lambda z: z["d"]["item"])
-        part = rows.select(*_carried(rows), F.explode(listed).alias("v")).where("v is not null")
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return out
+    """One row per video item of any list, from one pass over the responses; a search hit counts only if its type is the number 1."""
+    rows = responses.where(F.col("route").isin(*VIDEO_ROUTES)).withColumns({form: F.from_json(F.when(F.col("route").isin(*(r for r, f in VIDEO_ROUTES.items() if f == form)), F.col("body")), DOCUMENTS[form]) for form in set(VIDEO_ROUTES.values())})
+    one = F.schema_of_variant  # the string "1" is no number: a variant tells them apart
+    hits = F.filter("search.data", lambda x: (one(x["type"]) == "BIGINT") & (F.try_variant_get(x["type"], "$", "bigint") == 1))
+    listed = F.coalesce(F.col("list.itemList"), F.transform("playlist.itemList", lambda x: x["item"]), F.transform(hits, lambda x: x["item"]))
+    return rows.select(*_carried(rows), F.explode(listed).alias("v")).where("v is not null")
 
 
 def videos(item: DataFrame) -> DataFrame:
@@ -141,6 +130,27 @@ def challenges(responses: DataFrame) -> DataFrame:
     return c.select(F.col(f"{info}.challenge.id").alias("challengeId"), F.col(f"{info}.challenge.title").alias("challengeTitle"), F.expr(f"try_cast({info}.statsV2.viewCount AS bigint)").alias("challengeViewCount"), F.expr(f"try_cast({info}.statsV2.videoCount AS bigint)").alias("challengeVideoCount"), *_carried(c))
 
 
+#: Endpoints of posted records, the table of each, and the names that its records have where the table's differ.
+POSTED = {
+    "challenge": (CHALLENGES, {}),
+    "author": (AUTHORS, {"description": "desc", "id": "usedId"}),
+    "hashtag": (HASHTAGS, {"videoId": "video_id", "hashtagId": "hashtag_id", "hashtagName": "hashtag_name", "hashtagHash": "hashtag_hash"}),
+    "comment": (COMMENTS, {"description": "desc"}),
+    "video": (VIDEOS, {}),
+}
+
+
+def posted(records: DataFrame) -> dict[str, DataFrame]:
+    """The five tables' rows from posted records (endpoint, body): one flat document each; a field that is missing or of another type is null."""
+    out = {}
+    for name, (schema, renamed) in POSTED.items():
+        fields = [*schema, *PROVENANCE] if name == "video" else [*schema]
+        doc = F.try_parse_json(F.coalesce("body", F.lit("")))
+        rows = records.where(F.col("endpoint") == name).withColumn("doc", doc)
+        out[name] = rows.select(*(F.try_variant_get("doc", f"$.{renamed.get(f.name, f.name)}", f.dataType.simpleString()).alias(f.name) for f in fields), *(c for c in ("received_at",) if c in records.columns))
+    return out
+
+
 def tables(responses: DataFrame) -> dict[str, DataFrame]:
     """All five tables' records from one batch of responses (with their route)."""
     item = items(responses)
@@ -148,9 +158,10 @@ def tables(responses: DataFrame) -> dict[str, DataFrame]:
 
 
 def first_wins(df: DataFrame, key: str, *order: str | Column) -> DataFrame:
-    """The first row of each key by arrival; rows with a null key never conflict and all stay."""
-    ranked = df.withColumn("__rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
-    return ranked.where((F.col("__rank") == 1) | F.col(key).isNull()).drop("__rank")
+    """The first row of each key by arrival; rows with a null key never conflict and all stay, where they are."""
+    by = [F.col(o) if isinstance(o, str) else o for o in order]
+    first = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(F.struct(*df.columns), F.struct(*by)).alias("__row")).select("__row.*")
+    return first.unionAll(df.where(F.col(key).isNull()))
 
 
 def new_rows(df: DataFrame, target: DataFrame | None, key: str, *order: str | Column) -> DataFrame:

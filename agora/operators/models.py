@@ -1,8 +1,8 @@
 """Model stages: vectorised, isolated from errors, one evaluation per row.
 
-A client is any object with `run(task, inputs) -> list of str`; it is built once per
-Python worker from a factory that pickles. A failing input gives an error, never
-an exception, and a batch that fails as a whole is tried one by one. Results are one struct,
+A client is any object with `run(task, inputs) -> list`, a reply or an exception for each input; it is built once per
+Python worker from a factory that pickles. A failing input gives an error, and the others of its batch keep their
+replies, so each is asked once; only where the client itself raises is every row of the batch an error. Results are one struct,
 and the function is marked nondeterministic so that Spark neither repeats nor
 moves it: put filters and anti-joins before.
 """
@@ -18,14 +18,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import Decoding, ModelSpec
+from ..config import OCR_LANGUAGES, Decoding, ModelSpec
 from ..functions.frames import frame_offsets
 from ..functions.text import translate_input
-from ..schemas import RESULT
+from ..schemas import RESULT, SENTIMENT
 
 
 class ModelClient(Protocol):
-    def run(self, task: str, inputs: list) -> list[str]: ...
+    def run(self, task: str, inputs: list) -> list[str | Exception]: ...
 
 
 class FakeClient:
@@ -34,13 +34,9 @@ class FakeClient:
     def __init__(self, fail_on: str | None = None, replies: dict[str, str] | None = None):
         self.fail_on, self.replies = fail_on, replies or {}
 
-    def run(self, task: str, inputs: list) -> list[str]:
-        out = []
-        for x in inputs:
-            if self.fail_on and isinstance(x, str) and self.fail_on in x:
-                raise ValueError(f"{task} failed")
-            out.append(self.replies.get(task, f"{task}:{len(x)}"))
-        return out
+    def run(self, task: str, inputs: list) -> list[str | Exception]:
+        fails = lambda x: self.fail_on and isinstance(x, str) and self.fail_on in x
+        return [ValueError(f"{task} failed") if fails(x) else self.replies.get(task, f"{task}:{len(x)}") for x in inputs]
 
 
 class ChatServer:
@@ -49,8 +45,14 @@ class ChatServer:
     def __init__(self, url: str, spec: ModelSpec, timeout: float = 600):
         self.url, self.spec, self.timeout = url, spec, timeout
 
-    def run(self, task: str, inputs: list) -> list[str]:
-        return [self._one(x) for x in inputs]
+    def run(self, task: str, inputs: list) -> list[str | Exception]:
+        out: list[str | Exception] = []
+        for x in inputs:
+            try:
+                out.append(self._one(x))
+            except Exception as e:
+                out.append(e)
+        return out
 
     def _one(self, content: object) -> str:
         import base64
@@ -64,12 +66,27 @@ class ChatServer:
             return json.load(reply)["message"]["content"]
 
 
+#: The form that replies of the extraction stages must have, as JSON schema.
+_NAMES = {"type": "array", "items": {"type": "string"}}
+_PAIRS = {"type": "array", "items": {"type": "object", "properties": {"populism_element": {"type": "string"}, "populism_affect": {"type": "string"}}, "required": ["populism_element", "populism_affect"]}}
+
+
+def _form(properties: dict[str, dict]) -> str:
+    return json.dumps({"type": "object", "properties": properties, "required": list(properties)})
+
+
+SENTIMENT_FORM = _form(dict.fromkeys(SENTIMENT, _NAMES))
+FORMULA_FORM = _form({"populism_analysis": {"type": "string"}, "populism_us": _PAIRS, "populism_frontier": _PAIRS})
 #: What each model stage asks for (our own wording) and how it decodes.
 SPECS = {
     "frame": ModelSpec("llama3.2-vision:11b", "Describe this video frame: framing, visuals, activity, colours, objects, subjects, and whether it is a screen recording.", Decoding(num_ctx=8096)),
     "summary": ModelSpec("llama3.2-vision:11b", "Summarise the politics of the video: narrative, political class, difficult language, topics, entities, sentiment, populism, social contract, grievances.", Decoding(num_ctx=10240)),
-    "sentiment": ModelSpec("gemma3:27b", "List topics and entities, and the entities spoken of positively, neutrally and negatively. Merge similar names.", Decoding(num_ctx=4096)),
-    "formula": ModelSpec("gemma3:27b", "Give the populist formula: demands of Us and others across the Frontier, each a lower-case element with a one-word affect. Group synonyms.", Decoding(num_ctx=8192)),
+    "sentiment": ModelSpec("gemma3:27b", "List topics and entities, and the entities spoken of positively, neutrally and negatively. Merge similar names.", Decoding(num_ctx=4096), SENTIMENT_FORM),
+    "formula": ModelSpec("gemma3:27b", "Give the populist formula: demands of Us and others across the Frontier, each a lower-case element with a one-word affect. Group synonyms.", Decoding(num_ctx=8192), FORMULA_FORM),
+    "ocr": ModelSpec("ocr", " ".join(OCR_LANGUAGES)),
+    "transcribe": ModelSpec("whisper", "Transcribe the speech."),
+    "language": ModelSpec("language", "Name the language of the text."),
+    "translate": ModelSpec("translate", "Translate the text to English."),
 }
 
 
@@ -80,16 +97,11 @@ def apply(task: str, factory: Callable[[], ModelClient], value: Column, kind: st
         client = factory()
         for s in batches:
             asked = [i for i, x in enumerate(s) if x is not None and not (isinstance(x, float) and x != x)]
-            got: dict[int, tuple[bool, str | None, str | None]] = {}
             try:
                 replies = client.run(task, [s.iloc[i] for i in asked])
-                got = {i: (True, r, None) for i, r in zip(asked, replies, strict=True)}
-            except Exception:
-                for i in asked:
-                    try:
-                        got[i] = (True, client.run(task, [s.iloc[i]])[0], None)
-                    except Exception as e:
-                        got[i] = (False, None, str(e)[:500])
+            except Exception as e:
+                replies = [e] * len(asked)
+            got = {i: (False, None, str(r)[:500]) if isinstance(r, Exception) else (True, r, None) for i, r in zip(asked, replies, strict=True)}
             rows = [got.get(i, (False, None, "no input")) for i in range(len(s))]
             yield pd.DataFrame(rows, columns=["ok", "value", "error"])
 

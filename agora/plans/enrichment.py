@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import frames, text, urls
@@ -29,26 +29,66 @@ def work_list(videos: DataFrame, done: DataFrame, keys: tuple[str, ...] = ("vide
     return described(rows).withColumn("frames", frames.frame_plan(F.col("videoDuration")))
 
 
-def enrich(videos: DataFrame, root: str, factory: Callable[[str], models.ModelClient], partitions: int | None = None) -> DataFrame:
-    """Runs summary and both extractions over what their caches below root lack, and returns all results, one row per video.
+Decoder = Callable[[str, list[int]], list[bytes | None]]
 
-    Stage tables are keyed by video and by the model's version, so another model or prompt starts afresh.
+
+class Stages:
+    """Model stages with a cache and an errors table each below `root`; without a root nothing is kept.
+
+    Stage tables are named after the task and its model's version, so another model or prompt starts afresh.
     """
-    key, schema = ("videoId",), "videoId string, ok boolean, value string, error string"
 
-    def stage(task: str, rows: DataFrame, value) -> DataFrame:
-        path = f"{root}/{task}/{models.SPECS[task].version}"
-        run = lambda df: models.run_stage(df, task, lambda: factory(task), value, key, partitions)
-        return cache.with_stage_cache(rows, path, key, run, schema).select("videoId", F.col("value").alias(task))
+    def __init__(self, factory: Callable[[str], models.ModelClient], root: str | None = None, partitions: int | None = None):
+        self.factory, self.root, self.partitions = factory, root, partitions
+
+    def __call__(self, task: str, rows: DataFrame, value: Column, keys: tuple[str, ...]) -> DataFrame:
+        """(keys..., ok, value, error) of the task on every row."""
+        run = lambda df: models.run_stage(df, task, lambda: self.factory(task), value, keys, self.partitions)
+        if self.root is None:
+            return run(cache.keyed(rows, keys))
+        schema = ", ".join([*(f"{k} string" for k in keys), "ok boolean, value string, error string"])
+        return cache.with_stage_cache(rows, f"{self.root}/{task}/{models.SPECS[task].version}", keys, run, schema)
+
+
+def with_frames(videos: DataFrame, stages: Stages, decode: Decoder | None, path: Column) -> DataFrame:
+    """Adds `frames`: each planned keyframe with its on-screen text and its description; what fails is null there and does not stop the rest."""
+    key, each = ("videoId",), ("videoId", "frame_number")
+    images = models.keyframes(cache.keyed(videos, key), F.col("videoDuration"), decode, path, key).where("ok")
+    image = F.col("image")
+    read = stages("ocr", images, image, each).where("ok").select(*(F.col(k).cast("string") for k in each), F.col("value").alias("ocr"))
+    seen = stages("frame", images, image, each).where("ok").select(*(F.col(k).cast("string") for k in each), F.col("value").alias("analysis"))
+    plan = images.select("videoId", F.col("frame_number").cast("string").alias("frame_number"), "offset_s").join(read, list(each), "left").join(seen, list(each), "left")
+    one = F.struct(F.col("frame_number").cast("int").alias("frame_number"), "offset_s", "ocr", "analysis")
+    return cache.keyed(videos, key).join(plan.groupBy("videoId").agg(F.array_sort(F.collect_list(one)).alias("frames")), "videoId", "left")
 
+
+def with_transcripts(videos: DataFrame, stages: Stages, path: Column) -> DataFrame:
+    """Adds `whisperResult`, the speech in English where a translation was had, and `language`; a failed translation keeps the original."""
+    key = ("videoId",)
+    spoken = stages("transcribe", videos, path, key).where("ok").select("videoId", F.col("value").alias("speech"))
+    named = stages("language", spoken, F.col("speech"), key).where("ok").select("videoId", F.col("value").alias("language"))
+    english = stages("translate", spoken, text.translate_input(F.col("speech")), key).where("ok").select("videoId", F.col("value").alias("english"))
+    heard = spoken.join(named, "videoId", "left").join(english, "videoId", "left").select("videoId", F.coalesce("english", "speech").alias("whisperResult"), "language")
+    return cache.keyed(videos, key).drop("whisperResult", "language").join(heard, "videoId", "left")
+
+
+def enrich(videos: DataFrame, root: str | None, factory: Callable[[str], models.ModelClient], partitions: int | None = None, decode: Decoder | None = None, media: Column | None = None) -> DataFrame:
+    """All stages over what their caches below root lack, one row per video with every result.
+
+    With `media`, the path of each video's file: keyframes, their on-screen text and description, speech and its translation come first;
+    else the frames and whisperResult that the videos have are used. Then come the summary and both extractions from it.
+    """
+    key, stages = ("videoId",), Stages(factory, root, partitions)
+    if media is not None:
+        videos = with_transcripts(with_frames(videos, stages, decode, media), stages, media)
     rows = described(videos)
     report = text.filled(frames.frame_report(F.col("frames"))) if "frames" in videos.columns else F.lit("")
-    summaries = stage("summary", rows, text.user_prompt(report, F.col("metadata"), F.col("whisperResult")))
-    asked = rows.select("videoId").join(summaries, "videoId")
-    sentiment = sentiments(stage("sentiment", asked, F.col("summary")), "sentiment", "videoId")
-    formula = formulas(stage("formula", asked, F.col("summary")), "formula", "videoId")
-    out = videos.join(summaries, "videoId", "left").join(sentiment.where("ok").drop("ok", "error"), "videoId", "left")
-    return out.join(formula.where("ok").drop("ok", "error"), "videoId", "left")
+    summaries = stages("summary", rows, text.user_prompt(report, F.col("metadata"), F.col("whisperResult")), key).where("ok").select("videoId", F.col("value").alias("summary"))
+    asked = cache.keyed(rows.select("videoId"), key).join(summaries, "videoId")
+    reply = lambda task: stages(task, asked, F.col("summary"), key).where("ok").select("videoId", F.col("value").alias(task))
+    sentiment = sentiments(reply("sentiment"), "sentiment", "videoId").where("ok").drop("ok", "error")
+    formula = formulas(reply("formula"), "formula", "videoId").where("ok").drop("ok", "error")
+    return cache.keyed(videos, key).join(summaries, "videoId", "left").join(sentiment, "videoId", "left").join(formula, "videoId", "left")
 
 
 def formula_counts(enriched: DataFrame) -> DataFrame:

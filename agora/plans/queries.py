@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import LOCALES, NA_TOKENS
@@ -144,9 +144,9 @@ def stage_coalesce(t):
     return cache.updated(t("documents").select("doc_id", F.col("n_chars").cast("int").alias("quality")), t("labels"), ("doc_id",), ["quality"])
 
 
-@query("SELECT doc_id, NULL::VARCHAR AS summary, 0 AS n_null FROM documents")
+@query("SELECT doc_id, NULL::VARCHAR AS summary, 1 AS n_null FROM documents")
 def empty_columns(t):
-    return cache.with_empty(t("documents").select("doc_id"), {"summary": "string"}).withColumn("n_null", F.lit(0))
+    return cache.with_empty(t("documents").select("doc_id"), {"summary": "string"}).withColumn("n_null", F.col("summary").isNull().cast("int"))
 
 
 @query(f"SELECT doc_id::VARCHAR AS video_id, {_BLOCK} AS metadata FROM documents")
@@ -177,7 +177,7 @@ def user_prompt(t):
 
 @query("SELECT doc_id, array_to_string(string_split(text, chr(10)), chr(10)) || chr(10) AS ocr FROM documents")
 def ocr_join(t):
-    return t("documents").select("doc_id", text.lines_joined(F.split("text", "\n")).alias("ocr"))
+    return t("documents").select("doc_id", models.ocr_text(F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("text"), F.lit(0.9).alias("conf")))).alias("ocr"))
 
 
 @query("SELECT event_id, CASE WHEN contains(u, 'comment') THEN 'comments' WHEN contains(u, 'post/item_list') THEN 'videos' WHEN contains(u, 'user/detail') THEN 'author' ELSE 'other' END AS route FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'api/comment/list' WHEN 1 THEN 'api/post/item_list' WHEN 2 THEN 'api/user/detail' ELSE 'api/' || event_type END AS u FROM events)")
@@ -255,9 +255,9 @@ def url_parts(t):
     return t("pages").select("page_id", F.try_parse_url("url", F.lit("HOST")).alias("host"), F.try_parse_url("url", F.lit("QUERY")).alias("query"))
 
 
-@query("SELECT doc_id, 'https://www.tiktok.com/search?q=' || regexp_replace(substring(text, 1, 40), '[ \\t\\n\\r\\x0b\\x0c]', '%20', 'g') AS url, 'https://www.tiktok.com/tag/' || lang || '?lang=en-IE' AS tag FROM documents")
+@query("SELECT doc_id, 'https://www.tiktok.com/search?q=' || regexp_replace(text, '[ \\t\\n\\r\\x0b\\x0c]', '%20', 'g') AS url, 'https://www.tiktok.com/tag/' || lang || '?lang=en-IE' AS tag FROM documents")
 def url_build(t):
-    return t("documents").select("doc_id", urls.search_url(F.substring("text", 1, 40)).alias("url"), urls.tag_url(F.col("lang"), F.lit(None).cast("string")).alias("tag"))
+    return t("documents").select("doc_id", urls.search_url(F.col("text")).alias("url"), urls.tag_url(F.col("lang"), F.lit(None).cast("string")).alias("tag"))
 
 
 @query(f"SELECT n_nationkey, n_name, CASE upper(substring(n_name, 1, 1)) || lower(substring(n_name, 2)) {_locale} ELSE 'en-IE' END AS locale FROM nation")
@@ -270,10 +270,11 @@ def epoch_format(t):
     return t("events").select("event_id", text.epoch_text(F.lit(1714521600) + F.col("user_id")).alias("at"))
 
 
-@query("SELECT doc_id, lang, NULL::INT AS label FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id, lang, 1 AS label FROM documents WHERE lang = 'fr'")
+@query("SELECT doc_id, lang, CASE WHEN lang = 'fr' THEN 1 END AS label FROM documents WHERE lang IS NOT NULL")
 def union_partitions(t):
-    d = t("documents").select("doc_id", "lang")
-    return corpus.union([d.where("lang = 'en'"), d.where("lang = 'fr'").withColumn("label", F.lit(1))])
+    d = t("documents").select("doc_id", "lang").where("lang is not null")
+    langs = [r.lang for r in d.select("lang").distinct().orderBy("lang").collect()]  # one row per partition
+    return corpus.union([part.withColumn("label", F.lit(1)) if x == "fr" else part for x in langs for part in [d.where(F.col("lang") == x)]])
 
 
 def _reply(quote_last: bool) -> str:
@@ -286,18 +287,15 @@ def strict_parse(t):
     return r.select("doc_id", "r.ok", F.concat_ws(",", "r.value.topics", "r.value.entities", F.size("r.value.neutral").cast("string")).alias("v")).select("doc_id", "ok", F.when(F.col("ok"), F.col("v")).alias("value"))
 
 
-def _pairs():
-    return F.array_sort(F.collect_list(F.struct("doc_id", F.col("lang").alias("populism_element"), F.col("source").alias("populism_affect"))))
-
-
-@query("SELECT source, string_agg(lang || '^' || source || chr(10), '' ORDER BY doc_id) AS us FROM documents GROUP BY source")
+@query("SELECT doc_id, lang || '^' || source || chr(10) || source || '^' || chr(10) AS us FROM documents")
 def us_frontier_strings(t):
-    return t("documents").groupBy("source").agg(_pairs().alias("p")).select("source", text.pairs_text(F.col("p")).alias("us"))
+    pair = lambda a, b: F.struct(F.col(a).alias("populism_element"), b.cast("string").alias("populism_affect"))
+    return t("documents").select("doc_id", text.pairs_text(F.array(pair("lang", F.col("source")), pair("source", F.lit(None)))).alias("us"))
 
 
-@query("SELECT source, string_agg(lang, ', ' ORDER BY doc_id) AS langs FROM documents GROUP BY source")
+@query("SELECT doc_id, array_to_string(string_split(text, chr(10)), ', ') AS lines FROM documents")
 def extraction_lists(t):
-    return t("documents").groupBy("source").agg(_pairs().alias("p")).select("source", text.list_text(F.transform("p", lambda e: e["populism_element"])).alias("langs"))
+    return t("documents").select("doc_id", text.list_text(F.split("text", "\n")).alias("lines"))
 
 
 @query("SELECT side, element, affect, count(*) AS n FROM (SELECT 'us' AS side, lower(lang) AS element, lower(source) AS affect FROM documents UNION ALL SELECT 'frontier', lower(source), lower(lang) FROM documents) GROUP BY ALL")
@@ -333,10 +331,9 @@ def cooccurrence(t):
     return analytics.cooccurrence(t("events"), "user_id", "event_type")
 
 
-@query("SELECT lower(p_brand) AS canonical, max(p_brand) AS label, count(*) AS n FROM (SELECT regexp_replace(lower(p_brand), '[^a-z0-9]+', ' ', 'g') AS k, p_brand FROM part) GROUP BY lower(p_brand), k")
+@query("SELECT canonical, max(p_brand) AS label, count(*) AS n FROM (SELECT trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', ' ', 'g')) AS canonical, p_brand FROM part) GROUP BY canonical")
 def merge_names(t):
-    out = analytics.merge_names(t("part"), "p_brand")
-    return out.select(F.lower("label").alias("canonical"), "label", "n")
+    return analytics.merge_names(t("part"), "p_brand")
 
 
 @query("SELECT d.doc_id, coalesce(l.quality, d.n_chars::INT % 2) AS quality, CASE WHEN l.quality IS NULL THEN 'model' ELSE 'human' END AS source FROM documents d LEFT JOIN labels l USING (doc_id)")
@@ -345,9 +342,10 @@ def human_override(t):
     return analytics.override(model, t("labels"), "doc_id", "quality")
 
 
-@query("SELECT doc_id, urls[1 + (doc_id % 3)::INT] AS choice FROM (SELECT doc_id, [lang, source, 'x'] AS urls FROM documents)")
+@query("SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN lang END AS choice FROM documents")
 def pick_one(t):
-    return t("documents").select("doc_id", F.get(F.array("lang", "source", F.lit("x")), (F.col("doc_id") % 3).cast("int")).alias("choice"))
+    some = F.when(F.col("doc_id") % 3 == 0, F.array().cast("array<string>")).when(F.col("doc_id") % 3 == 1, F.array("lang")).otherwise(F.array("lang", "lang", "lang"))
+    return t("documents").select("doc_id", urls.choose(some, F.col("doc_id")).alias("choice"))
 
 
 def _model(task: str):
@@ -359,11 +357,116 @@ def _model(task: str):
     query(f"SELECT doc_id::VARCHAR AS doc_id, true AS ok, '{task}:' || length(text)::VARCHAR AS value, NULL::VARCHAR AS error FROM documents ANTI JOIN labels USING (doc_id)")(run)
 
 
-for _task in ("ocr", "transcribe", "translate", "frame", "summary", "sentiment", "formula"):
-    _model(_task)
+_model("summary")
 
 
 @query("SELECT doc_id, count(*) AS n_before FROM (SELECT d.doc_id, e.doc_id AS other FROM documents d JOIN (SELECT doc_id, source FROM documents) e ON d.source = e.source AND e.doc_id <= d.doc_id) GROUP BY doc_id")
 def arrival_number(t):
     w = Window.partitionBy("source").orderBy("doc_id")
     return t("documents").select("doc_id", F.row_number().over(w).cast("long").alias("n_before"))
+
+
+class _Stub:
+    """Replies of a text's own length; a frame at 60 seconds, speech of every fifth video and translations of every seventh fail."""
+
+    def __init__(self, task: str):
+        self.task = task
+
+    def run(self, task: str, inputs: list) -> list:
+        return [self.reply(x) for x in inputs]
+
+    def reply(self, x):
+        x = x.decode() if isinstance(x, bytes) else x
+        if self.task == "frame" and x.endswith("@60") or self.task == "transcribe" and int(x) % 5 == 0 or self.task == "translate" and int(x.split()[1]) % 7 == 0:
+            return ValueError(f"no {self.task}")
+        if self.task == "sentiment":
+            return '{"topics": ["t"], "entities": [], "positive": [], "neutral": [], "negative": []}' if len(x) % 2 else "no JSON"
+        if self.task == "formula":
+            return '{"populism_analysis": "%d", "populism_us": [{"populism_element": "people", "populism_affect": "hope"}], "populism_frontier": []}' % len(x)
+        return {"ocr": f"o {x}", "frame": f"f {x}", "transcribe": f"speech {x} said", "language": "en", "translate": f"english {x}", "summary": f"summary of {len(x)}"}[self.task]
+
+
+def _decoded(path: str, offsets: list[int]) -> list[bytes | None]:
+    return [f"{path}@{s}".encode() for s in offsets]
+
+
+_FRAME = "'### Frame ' || (i // 30 + 1)::VARCHAR || ' at ' || i::VARCHAR || ' seconds:' || chr(10) || 'f ' || id || '@' || i::VARCHAR || chr(10) || 'OCR:' || chr(10) || 'o ' || id || '@' || i::VARCHAR || chr(10)"
+
+
+@query(f"""WITH d AS (SELECT doc_id, doc_id::VARCHAR AS id, 'speech ' || doc_id::VARCHAR || ' said' AS speech, doc_id % 5 <> 0 AS heard, doc_id % 7 <> 0 AS translated FROM documents),
+f AS (SELECT id, string_agg({_FRAME}, '' ORDER BY i) FILTER (WHERE i <> 60) AS report, count(*) AS n FROM (SELECT doc_id::VARCHAR AS id, unnest(range(0, least(n_chars // 20, 180), 30)) AS i FROM documents) GROUP BY id),
+m AS (SELECT video_id AS id, metadata FROM (SELECT doc_id::VARCHAR AS video_id, {_BLOCK} AS metadata FROM documents)),
+s AS (SELECT d.id, coalesce(n, 0) AS n_frames, CASE WHEN heard THEN CASE WHEN translated THEN 'english ' || speech ELSE speech END END AS transcript,
+  'summary of ' || length('Frames:' || chr(10) || coalesce(report, '') || chr(10) || chr(10) || 'Metadata:' || chr(10) || metadata || chr(10) || chr(10) || 'Transcript:' || chr(10) || coalesce(transcript, '') || chr(10) || chr(10) || 'Analyse the politics of this video from the three sources above.')::VARCHAR AS summary
+  FROM d LEFT JOIN f USING (id) JOIN m USING (id))
+SELECT id AS video_id, n_frames, transcript, summary, CASE WHEN length(summary) % 2 = 1 THEN 't' END AS topics, length(summary)::VARCHAR AS analysis FROM s""")
+def enrich_stages(t):
+    from .enrichment import enrich
+
+    out = enrich(as_videos(t("documents")), None, _Stub, decode=_decoded, media=F.col("videoId"))
+    return out.select(F.col("videoId").alias("video_id"), F.coalesce(F.size("frames"), F.lit(0)).cast("long").alias("n_frames"), F.col("whisperResult").alias("transcript"), "summary", F.array_join("topics", ",").alias("topics"), F.col("populism_analysis").alias("analysis"))
+
+
+def _found(route: str, body: Column) -> tuple[Column, Column]:
+    return F.lit(f"https://www.tiktok.com/api/{route}").alias("request_url"), F.to_json(body).alias("body")
+
+
+@query("SELECT doc_id::VARCHAR AS \"videoId\", lang AS \"authorUniqueId\" FROM documents WHERE doc_id % 3 = 0")
+def json_search(t):
+    """Of three kinds of hits, type 1, "1" and 2, only the number 1 is a video."""
+    item = F.struct(F.col("doc_id").cast("string").alias("id"), F.struct(F.col("lang").alias("uniqueId")).alias("author"))
+    kind = F.when(F.col("doc_id") % 3 == 0, "1").when(F.col("doc_id") % 3 == 1, '"1"').otherwise("2")
+    body = F.concat(F.lit('{"data": [{"type": '), kind, F.lit(', "item": '), F.to_json(item), F.lit("}]}"))
+    rows = t("documents").select(F.lit("https://www.tiktok.com/api/search/general/full").alias("request_url"), body.alias("body"))
+    return ingest.tables(ingest.routed(rows))["video"].select("videoId", "authorUniqueId")
+
+
+@query("SELECT route || doc_id::VARCHAR AS \"videoId\", n_chars AS \"videoDuration\" FROM documents, (VALUES ('p'), ('c')) AS r(route)")
+def json_lists(t):
+    """Playlists wrap each item once more; lists of a challenge do not."""
+    item = lambda p: F.struct(F.concat(F.lit(p), F.col("doc_id").cast("string")).alias("id"), F.struct(F.col("n_chars").alias("duration")).alias("video"))
+    d = t("documents")
+    playlist = d.select(*_found("user/playlist", F.struct(F.array(F.struct(item("p").alias("item"))).alias("itemList"))))
+    challenge = d.select(*_found("challenge/item_list", F.struct(F.array(item("c")).alias("itemList"))))
+    return ingest.tables(ingest.routed(playlist.unionAll(challenge)))["video"].select("videoId", "videoDuration")
+
+
+_VIDEO = {"videoId": ("id", "string"), "videoDescription": ("desc", "string"), "videoCreated": ("createTime", "long"), "authorId": ("author.id", "string"), "authorUniqueId": ("author.uniqueId", "string"), "authorNickname": ("author.nickname", "string"), "authorAvatar": ("author.avatarLarger", "string"), "authorSignature": ("author.signature", "string"), "authorDiggCount": ("authorStats.diggCount", "long"), "authorFollowerCount": ("authorStats.followerCount", "long"), "authorFollowingCount": ("authorStats.followingCount", "long"), "authorFriendCount": ("authorStats.friendCount", "long"), "authorHeart": ("authorStats.heart", "long"), "authorHeartCount": ("authorStats.heartCount", "long"), "authorVideoCount": ("authorStats.videoCount", "long"), "videoUrl": ("video.downloadAddr", "string"), "videoCover": ("video.cover", "string"), "videoDuration": ("video.duration", "long"), "videoHeight": ("video.height", "long"), "videoWidth": ("video.width", "long"), "videoRatio": ("video.ratio", "string"), "videoPlayCount": ("stats.playCount", "long"), "videoShareCount": ("stats.shareCount", "long"), "videoCommentCount": ("stats.commentCount", "long"), "videoDiggCount": ("stats.diggCount", "long"), "videoCollectCount": ("stats.collectCount", "long"), "videoMusicId": ("music.id", "string"), "videoMusicTitle": ("music.title", "string"), "videoMusicAuthor": ("music.authorName", "string"), "videoMusicOriginal": ("music.original", "boolean"), "videoMusicCover": ("music.coverLarge", "string"), "videoMusicPlayUrl": ("music.playUrl", "string"), "videoMusicDuration": ("music.duration", "long")}
+_cell = {"string": "'{n}:' || doc_id::VARCHAR", "long": "doc_id::BIGINT + {i}", "boolean": "doc_id % 2 = 0"}
+
+
+@query("SELECT " + ", ".join(f'{_cell[k].format(n=n, i=i)} AS "{n}"' for i, (n, (_, k)) in enumerate(_VIDEO.items())) + " FROM documents")
+def json_videos(t):
+    """All 33 columns, each from a value of its own."""
+    made = {"string": lambda n, i: F.concat(F.lit(f"{n}:"), F.col("doc_id").cast("string")), "long": lambda n, i: F.col("doc_id") + i, "boolean": lambda n, i: F.col("doc_id") % 2 == 0}
+    top: dict[str, list] = {}
+    for i, (n, (path, kind)) in enumerate(_VIDEO.items()):
+        first, _, last = path.rpartition(".")
+        top.setdefault(first, []).append(made[kind](n, i).alias(last))
+    item = F.struct(*top.pop(""), *(F.struct(*fields).alias(name) for name, fields in top.items()))
+    rows = t("documents").select(*_found("post/item_list", F.struct(F.array(item).alias("itemList"))))
+    return ingest.tables(ingest.routed(rows))["video"]
+
+
+@query("SELECT doc_id::VARCHAR AS \"videoId\", lang AS \"hashtagId\", source AS \"hashtagName\", NULL::VARCHAR AS \"hashtagHash\" FROM documents")
+def posted_hashtags(t):
+    body = F.to_json(F.struct(F.col("doc_id").cast("string").alias("video_id"), F.col("lang").alias("hashtag_id"), F.col("source").alias("hashtag_name")))
+    return ingest.posted(t("documents").select(F.lit("hashtag").alias("endpoint"), body.alias("body")))["hashtag"]
+
+
+@query("SELECT conv_id::VARCHAR AS cid, role AS nickname, text AS comment_text, role AS description, turn::BIGINT AS digg_count, NULL::VARCHAR AS url FROM conversations")
+def posted_comments(t):
+    body = F.to_json(F.struct(F.col("conv_id").cast("string").alias("cid"), F.col("role").alias("nickname"), F.col("text").alias("comment_text"), F.col("role").alias("desc"), F.col("turn").alias("digg_count")))
+    rows = ingest.posted(t("conversations").select(F.lit("comment").alias("endpoint"), body.alias("body")))["comment"]
+    return rows.select("cid", "nickname", "comment_text", "description", "digg_count", "url")
+
+
+_FORMULA = "concat('{\"populism_analysis\": ', if(doc_id % 7 = 0, '1', '\"a\"'), ', \"populism_us\": [{\"populism_element\": \"', source, '\", \"populism_affect\": ', if(doc_id % 5 = 0, 'null', '\"hope\"'), '}], \"populism_', if(doc_id % 11 = 0, 'front', 'frontier'), '\": [', if(doc_id % 2 = 0, '{\"populism_element\": \"e\", \"populism_affect\": \"x\", \"more\": 1}', ''), ']}')"
+
+
+@query("SELECT doc_id, ok, CASE WHEN ok THEN source || '^hope' || chr(10) END AS us, CASE WHEN ok THEN CASE WHEN doc_id % 2 = 0 THEN 'e^x' || chr(10) ELSE '' END END AS frontier FROM (SELECT *, doc_id % 7 <> 0 AND doc_id % 5 <> 0 AND doc_id % 11 <> 0 AS ok FROM documents)")
+def formula_parse(t):
+    """Formula replies through the strict parser and the export of pairs."""
+    d = extract.formulas(t("documents").select("doc_id", F.expr(_FORMULA).alias("reply")), "reply", "doc_id")
+    flat = extract.export(d.select("doc_id", "ok", "populism_us", "populism_frontier"))
+    return flat.select("doc_id", "ok", F.when(F.col("ok"), F.col("populism_us")).alias("us"), F.when(F.col("ok"), F.col("populism_frontier")).alias("frontier"))

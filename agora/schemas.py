@@ -47,7 +47,7 @@ DOCUMENTS = {
         "reply_comment_total:bigint,reply_id:string,reply_to_reply_id:string,share_info:struct<desc:string,title:string,url:string>,"
         "user:struct<uid:string,nickname:string,avatar_thumb:struct<url_list:array<string>>>>>"
     ),
-    "search": f"data array<struct<type:string,item:{ITEM}>>",
+    "search": f"data array<struct<type:variant,item:{ITEM}>>",
     "list": f"itemList array<{ITEM}>",
     "playlist": f"itemList array<struct<item:{ITEM}>>",
     "user": (

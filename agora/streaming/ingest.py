@@ -10,22 +10,25 @@ from ..operators.cache import read
 from ..operators.ingest import KEYS, new_rows, routed, split_bodies, tables
 
 
-def upsert(batch: DataFrame, root: str) -> None:
-    """Appends a batch of responses to the five tables below root, and malformed ones to `dead`. A repeated batch adds nothing to keyed tables."""
+def upsert(batch: DataFrame, root: str, number: int = 0) -> None:
+    """Adds a batch of responses to the five tables below root, and malformed ones to `dead`.
+
+    Each batch is a partition of its own, which a repeated batch writes over; so a replay adds nothing, null keys and dead letters included.
+    """
     spark = batch.sparkSession
     batch = batch.persist()
     good, bad = split_bodies(routed(batch))
     for name, rows in tables(good).items():
-        path = f"{root}/{name}"
-        target = read(spark, path, rows.schema)
-        new_rows(rows, target, KEYS[name], "received_at").write.mode("append").parquet(path)
-    bad.write.mode("append").parquet(f"{root}/dead")
+        path, key = f"{root}/{name}", KEYS[name]
+        target = read(spark, path, f"{key} string, batch bigint").where(F.col("batch") != number)
+        new_rows(rows, target, key, "received_at").write.mode("overwrite").parquet(f"{path}/batch={number}")
+    bad.write.mode("overwrite").parquet(f"{root}/dead/batch={number}")
     batch.unpersist()
 
 
 def start(responses: DataFrame, root: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """A query over a stream of responses; without `every` it takes what is there and ends."""
-    writer = responses.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, _: upsert(df, root))
+    writer = responses.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, n: upsert(df, root, n))
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 

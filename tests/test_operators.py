@@ -82,6 +82,62 @@ def test_resume(spark, tmp_path):
     assert seen == [["1", "2", "3"], ["2", "3"]]
 
 
+def test_failed_rows_are_logged(spark, tmp_path):
+    """Each row is asked once, those that fail go to the errors table, and answered ones of the same batch stay."""
+    path, schema = str(tmp_path / "stage"), "id string, ok boolean, value string, error string"
+    df = spark.createDataFrame([("1", "good"), ("2", "bad"), ("3", None)], "id string, s string")
+    stage = lambda rows: models.run_stage(rows, "t", lambda: models.FakeClient("bad"), F.col("s"), ("id",))
+    assert [r.id for r in cache.with_stage_cache(df, path, ("id",), stage, schema).collect()] == ["1"]
+    cache.with_stage_cache(df, path, ("id",), stage, schema)
+    log = cache.errors(spark, path, schema).collect()
+    assert sorted((r.id, r.error) for r in log) == sorted([("2", "t failed"), ("3", "no input")] * 2) and all(r.logged_at for r in log)
+    assert cache.errors(spark, str(tmp_path / "none"), schema).count() == 0
+
+
+def test_replies_have_a_form():
+    for task, fields in (("sentiment", {"topics", "entities", "positive", "neutral", "negative"}), ("formula", {"populism_analysis", "populism_us", "populism_frontier"})):
+        form = json.loads(models.SPECS[task].schema)
+        assert set(form["required"]) == set(form["properties"]) == fields
+
+
+def test_all_stages_are_kept(spark, tmp_path):
+    """A second run asks for what has failed alone; results of each stage stand below the root."""
+    from agora.plans.queries import _Stub, _decoded, as_videos
+
+    docs = spark.createDataFrame([(i, f"text {i}", "en", "s", 1300) for i in (1, 5, 7)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = [enrichment.enrich(as_videos(docs), str(tmp_path), _Stub, decode=_decoded, media=F.col("videoId")) for _ in range(2)]
+    first, again = (sorted(map(str, df.collect())) for df in out)
+    assert first == again and len(first) == 3
+    path = f"{tmp_path}/frame/{models.SPECS['frame'].version}"
+    schema = "videoId string, frame_number string, ok boolean, value string, error string"
+    assert cache.read(spark, path, schema).count() == 6 and cache.errors(spark, path, schema).count() == 6
+
+
+def test_posted_records(spark):
+    rows = [("author", '{"usedId": "a", "desc": "d", "heart": 3, "verified": true, "diggCount": "many"}'), ("video", '{"videoId": "v", "scrapedCountry": "Finland", "videoDuration": 9}'), ("video", "no JSON"), ("challenge", None)]
+    out = ingest.posted(spark.createDataFrame(rows, "endpoint string, body string"))
+    a = out["author"].first()
+    assert (a.id, a.description, a.heart, a.verified, a.diggCount) == ("a", "d", 3, True, None)
+    assert sorted((r.videoId or "", r.scrapedCountry, r.videoDuration) for r in out["video"].collect()) == [("", None, None), ("v", "Finland", 9)]
+    assert [tuple(r) for r in out["challenge"].collect()] == [(None,) * 4] and out["hashtag"].count() == 0
+
+
+def test_first_wins_keeps_null_keys(spark):
+    df = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), (None, 1, "n"), (None, 1, "n")], "k string, t int, v string")
+    assert sorted(map(str, ingest.first_wins(df, "k", "t").collect())) == sorted(map(str, df.where("v != 'x'").collect()))
+
+
+def test_a_replayed_batch_adds_nothing(spark, tmp_path):
+    api = "https://www.tiktok.com/api/user/detail"
+    body = lambda i: json.dumps({"userInfo": {"user": {"id": i, "nickname": "n"}}})
+    rows = [(api, body("1")), (api, body(None)), (api, "no JSON"), (api, body("1"))]
+    batch = spark.createDataFrame(rows, "request_url string, body string").withColumn("received_at", F.current_timestamp())
+    for number in (0, 0, 1):
+        streaming.upsert(batch, str(tmp_path), number)
+    ids = sorted(str(r.id) for r in spark.read.parquet(f"{tmp_path}/author").collect())
+    assert ids == ["1", "None", "None"] and spark.read.parquet(f"{tmp_path}/dead").count() == 2
+
+
 def test_model_runs_once_per_row(spark):
     df = spark.range(20).select(F.col("id").cast("string").alias("s")).select(models.apply("t", models.FakeClient, F.col("s")).alias("r"))
     plan = df.where("r.ok").select("r.value")._jdf.queryExecution().executedPlan().toString()
