@@ -95,6 +95,7 @@ def parts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Rec
     for b in batches:
         for k in range(0, b.num_rows, rows):
             yield b.slice(k, rows)
+        pa.default_memory_pool().release_unused()
 
 
 def packed(x: np.ndarray) -> tuple[int, bytes]:
@@ -119,8 +120,8 @@ def runs(start: np.ndarray, end: np.ndarray) -> np.ndarray:
 class Index:
     """The examples' unit vectors, by example and by feature, and the features' largest weights in blocks of examples."""
 
-    def __init__(self, idf: np.ndarray, rows: Iterable[tuple[int, int, np.ndarray, np.ndarray]], neighbours: int):
-        self.idf, self.k = idf, neighbours
+    def __init__(self, idf: np.ndarray, rows: Iterable[tuple[int, int, np.ndarray, np.ndarray]], neighbours: int, block_texts: int | None = None):
+        self.idf, self.k, self.block_texts = idf, neighbours, block_texts or BLOCK_TEXTS
         rows = [r for r in rows if len(r[2])]
         rows = [rows[x] for x in self._arranged(rows)]
         self.ids = np.array([r[0] for r in rows], np.int64)
@@ -149,7 +150,7 @@ class Index:
 
     def __getstate__(self) -> dict:
         """Only the examples travel, compressed; what follows from them is made again where it is used."""
-        return {"idf": self.idf, "k": self.k, "ids": self.ids, "labels": self.labels, "at": self.at, "norm": self.norm, "feature": packed(self.feature), "times": packed(self.times), "query": None}
+        return {"idf": self.idf, "k": self.k, "block_texts": self.block_texts, "ids": self.ids, "labels": self.labels, "at": self.at, "norm": self.norm, "feature": packed(self.feature), "times": packed(self.times), "query": None}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__ |= state | {c: unpacked(*state[c]) for c in ("feature", "times")}
@@ -276,9 +277,9 @@ class Index:
 
     def votes(self, texts: list[tuple[np.ndarray, np.ndarray]], without: list[int] | None = None) -> Iterator[tuple[float | None, np.ndarray, np.ndarray]]:
         """The vote on each text (features, times), null if nothing is near, and its neighbours and their cosines."""
-        for k in range(0, len(texts), BLOCK_TEXTS):
-            part = texts[k : k + BLOCK_TEXTS]
-            leave = without[k : k + BLOCK_TEXTS] if without else [-1] * len(part)
+        for k in range(0, len(texts), self.block_texts):
+            part = texts[k : k + self.block_texts]
+            leave = without[k : k + self.block_texts] if without else [-1] * len(part)
             for best, sims in self.nearest_of([(f, self.unit(f, t) if len(f) else np.zeros(0), x) for (f, t), x in zip(part, leave, strict=True)]):
                 yield self.vote(best, sims) if len(best) else None, best, sims
 
@@ -355,7 +356,7 @@ def _texts(vocabulary: Vocabulary, arr: pa.Array) -> list[tuple[np.ndarray, np.n
     return [(f[s:e], t[s:e]) for s, e in zip(cut[:-1], cut[1:], strict=True)]
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample: int = SAMPLE, evidence: float = EVIDENCE, neighbours: int = NEIGHBOURS, id_col: str = "doc_id") -> tuple[Broadcast, Broadcast, Calibration]:
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample: int = SAMPLE, evidence: float = EVIDENCE, neighbours: int = NEIGHBOURS, id_col: str = "doc_id", block_texts: int = BLOCK_TEXTS) -> tuple[Broadcast, Broadcast, Calibration]:
     """The vocabulary and the index on every worker, and the calibration; docs: (id, text)."""
     sc = docs.sparkSession.sparkContext
     rows = _sampled(docs, labels, label_col, sample, id_col)
@@ -404,7 +405,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample: in
     got = rows.select("id", "text", "y").mapInArrow(vectors, "id long, y int, f array<int>, t array<int>").toArrow()  # at most `sample`
     each = zip(got["id"].to_pylist(), got["y"].to_pylist(), got["f"], got["t"], strict=True)
     examples = sorted(((i, int(y > 0), f.values.to_numpy(), t.values.to_numpy()) for i, y, f, t in each), key=lambda r: r[0])
-    index = Index(np.log(1 + n_docs / (1 + df)) * more, examples, neighbours)
+    index = Index(np.log(1 + n_docs / (1 + df)) * more, examples, neighbours, block_texts)
     ready = sc.broadcast(index)
     del got, examples, index
 
@@ -440,9 +441,9 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs whose score is below the threshold, with all their columns; nothing is shuffled."""
+    """The rows of docs whose score is below the threshold, with all their columns; nothing is shuffled. Texts go in small blocks, for memory."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    words, ready, calibrated = fit(rows, labels, id_col=id_col, **options)
+    words, ready, calibrated = fit(rows, labels, id_col=id_col, **{"block_texts": 128, **options})
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
