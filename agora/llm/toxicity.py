@@ -130,7 +130,7 @@ class Index:
         self.feature = np.concatenate([np.zeros(0, np.int32), *(r[2] for r in rows)]).astype(np.int32)
         self.times = np.concatenate([np.zeros(0, np.int32), *(r[3] for r in rows)]).astype(np.int32)
         self.norm = np.array([np.sqrt((w := self.weights(f, t)) @ w) for _, _, f, t in rows])
-        self.query = None
+        self.ready = False
 
     def _arranged(self, rows: list[tuple[int, int, np.ndarray, np.ndarray]]) -> np.ndarray:
         """The rows' places, those that are near the same centre together."""
@@ -150,7 +150,7 @@ class Index:
 
     def __getstate__(self) -> dict:
         """Only the examples travel, compressed; what follows from them is made again where it is used."""
-        return {"idf": self.idf, "k": self.k, "block_texts": self.block_texts, "ids": self.ids, "labels": self.labels, "at": self.at, "norm": self.norm, "feature": packed(self.feature), "times": packed(self.times), "query": None}
+        return {"idf": self.idf, "k": self.k, "block_texts": self.block_texts, "ids": self.ids, "labels": self.labels, "at": self.at, "norm": self.norm, "feature": packed(self.feature), "times": packed(self.times.astype(np.int32)), "ready": False}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__ |= state | {c: unpacked(*state[c]) for c in ("feature", "times")}
@@ -165,7 +165,7 @@ class Index:
         return w / np.sqrt(w @ w)
 
     def _ready(self) -> None:
-        if self.query is not None:
+        if self.ready:
             return
         n, often = len(self.ids), np.bincount(self.feature, minlength=len(self.idf))
         self.blocks = -(-n // BLOCK_ROWS)
@@ -200,15 +200,20 @@ class Index:
         self.block, self.list = pairs[new, 0] // BLOCK_ROWS, np.append(new, len(pairs)).astype(np.int32)
         self.most = np.maximum.reduceat(weights, new) if len(new) else weights
         self.first = np.searchsorted(new, cut)
-        self.query = np.zeros(len(self.idf))
+        self.asked, self.ready = np.zeros(len(self.idf), bool), True
 
     def cosines(self, examples: np.ndarray, features: np.ndarray, q: np.ndarray) -> np.ndarray:
-        self.query[features] = q * self.idf[features]
+        """The features rise. A small table of them tells which of the examples' features count; only those are weighed."""
         s, e = self.at[examples], self.at[examples + 1]
-        part = [slice(*x) for x in zip(s.tolist(), e.tolist(), strict=True)]
-        x = self.query[np.concatenate([self.feature[p] for p in part])] * self.grown[np.concatenate([self.times[p] for p in part])]
-        self.query[features] = 0
-        return np.add.reduceat(x, np.cumsum(e - s) - (e - s)) / self.norm[examples]
+        begin = np.cumsum(e - s) - (e - s)
+        feature = np.concatenate([self.feature[x:y] for x, y in zip(s.tolist(), e.tolist(), strict=True)])
+        self.asked[features] = True
+        both = np.flatnonzero(self.asked.take(feature))
+        self.asked[features] = False
+        which = np.searchsorted(begin, both, "right") - 1
+        weight = (q * self.idf[features])[np.searchsorted(features, feature[both])]
+        times = self.times[both + (s - begin)[which]]
+        return np.bincount(which, weight * self.grown[times], len(examples)) / self.norm[examples]
 
     def _scored(self, near: np.ndarray, left: np.ndarray, chosen: np.ndarray, lists: list[tuple[np.ndarray, np.ndarray]], without: list[int]) -> None:
         """Adds to near the cosines of each text with the examples of its chosen blocks."""
