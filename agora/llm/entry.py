@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontam import op10_decontam
 from .hmm import op7_hmm
+from .lexicon import op13_bpe
 from .lines import OP2_SQL, op2_lines
 from .neardup import op5_neardup
 from .pieces import op3_pieces
@@ -24,5 +25,6 @@ QUERIES = {
     "op7_hmm": op7_hmm,
     "op8_quality": op8_quality,
     "op9_sharding": op9_sharding,
+    "op13_bpe": op13_bpe,
 }
 ORACLE_SQL = {"op2_lines": OP2_SQL}
