@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .cobucket import op12_cobucket
 from .decontam import op10_decontam
+from .divergence import OP11_SQL, op11_divergence
 from .hmm import op7_hmm
 from .lexicon import op13_bpe
 from .lines import OP2_SQL, op2_lines
@@ -25,6 +27,8 @@ QUERIES = {
     "op7_hmm": op7_hmm,
     "op8_quality": op8_quality,
     "op9_sharding": op9_sharding,
+    "op11_divergence": op11_divergence,
+    "op12_cobucket": op12_cobucket,
     "op13_bpe": op13_bpe,
 }
-ORACLE_SQL = {"op2_lines": OP2_SQL}
+ORACLE_SQL = {"op2_lines": OP2_SQL, "op11_divergence": OP11_SQL}
