@@ -35,7 +35,9 @@ SINGLE = 32
 #: Terms of a block on average; sources of a tile; pairs that a step works on at a time.
 BLOCK_TERMS, TILE, PAIRS = 4096, 256, 1 << 19
 #: Terms that a task counts before it hands them on; bytes of a piece of text.
-COUNTED, PIECE = 1 << 18, 1 << 20
+COUNTED, PIECE = 1 << 20, 1 << 20
+#: Bits of a term's count in a run of rows; the rest holds its documents.
+DOCS_FROM = 44
 TERM = re.compile(rb"[a-z\x80-\xff]+")
 NOT_TERM = re.compile(rb"[\x00-\x40\x5b-\x60\x7b-\x7f]")
 
@@ -56,31 +58,30 @@ def terms(text: bytes) -> Counter:
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, source, term, c, docs) of runs of rows, and a row without a term for each group."""
     names = ["lang", "source", "term", "c", "docs"]
-    count: dict[tuple, dict[bytes, list[int]]] = {}
-    held = 0
-
-    def told() -> pa.RecordBatch:
-        rows = [(g[0], g[1], t, *n) for g, of in count.items() for t, n in ((None, (0, 0)), *of.items())]
+    count: dict[tuple[str, str], dict[bytes, int]] = {}
+    held = rows = 0
+    one = 1 << DOCS_FROM  # a number holds a term's count, and above it its documents
+
+    def told() -> Iterator[pa.RecordBatch]:
+        for (lang, source), of in count.items():
+            n = np.fromiter(of.values(), np.int64, len(of))
+            values = [pa.array([None, *of], pa.binary()), *(pa.array(np.concatenate(([0], x))) for x in (n & (one - 1), n >> DOCS_FROM))]
+            yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(of) + 1), pa.repeat(source, len(of) + 1), *values], names=names)
         count.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64()), strict=True)], names=names)
 
     for b in batches:
         langs, sources = b.column(0).to_pylist(), b.column(1).to_pylist()
         for lang, source, text in zip(langs, sources, b.column(2).cast(pa.large_binary()), strict=True):
             of = count.setdefault((lang, source), {})
-            had = len(of)
+            had, get = len(of), of.get
             for t, n in terms(text.as_py()).items():
-                if (x := of.get(t)) is None:
-                    of[t] = [n, 1]
-                else:
-                    x[0] += n
-                    x[1] += 1
+                of[t] = get(t, 0) + n + one
             held += len(of) - had
-            if held >= COUNTED:
-                yield told()
-                held = 0
-    if count:
-        yield told()
+            rows += 1
+            if held >= COUNTED or rows >= 1 << 62 - DOCS_FROM:
+                yield from told()
+                held = rows = 0
+    yield from told()
 
 
 def scaled(c: Column, n: Column, v: Column) -> Column:
@@ -103,7 +104,7 @@ def postings(docs: DataFrame, lang: str = "lang", source: str = "source", text:
     counts = read.mapInArrow(_counted, "lang string, source string, term binary, c long, docs long")
     by_group = checkpointed(counts.groupBy("lang", "source", "term").agg(F.sum("c").alias("c"), F.sum("docs").alias("docs")))
     of_term = Window.partitionBy("lang", "term")  # a row for each source
-    kept = by_group.where("term is not null").withColumns({"l": F.sum("c").over(of_term), "d": F.sum("docs").over(of_term), "head": F.row_number().over(of_term.orderBy("source")) == 1})
+    kept = by_group.where("term is not null").withColumns({"l": F.sum("c").over(of_term), "d": F.sum("docs").over(of_term), "head": F.col("source") == F.min("source").over(of_term)})
     kept = kept.where(F.col("d") >= MIN_DOCS).select("lang", F.col("term").cast("string").alias("term"), "source", "c", "l", "head")
     return checkpointed(kept), by_group.where("term is null").select("lang", "source")
 
@@ -166,14 +167,15 @@ def _paired(t: pa.Table) -> pa.Table:
     side, place, p = (t[x].to_numpy() for x in ("side", "place", "p"))
     term = t["term"].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
     source = term < 0
-    own = [source & (side == x) for x in (0, 1)]
+    on = [(side == x) | (side == 2) for x in (0, 1)]  # 2: a tile met with itself
+    own = [source & x for x in on]
     none = [p[x][np.argsort(place[x])] for x in own]
     names = [np.sort(place[x]) for x in own]
     out = np.zeros((len(names[0]), len(names[1])), np.int64)
     base = _f(none[0][:, None], none[1][None, :])
     rows = []
     for x in (0, 1):  # what one of them has, as if the other lacked it
-        at = np.flatnonzero(~source & (side == x))
+        at = np.flatnonzero(~source & on[x])
         at = at[np.argsort(term[at], kind="stable")]
         where = np.searchsorted(names[x], place[at])
         rows.append((term[at], where, p[at]))
@@ -212,8 +214,9 @@ def pairs(post: DataFrame, groups: DataFrame) -> DataFrame:
     given = post.join(here, ["lang", "source"]).select("lang", F.pmod(F.xxhash64("term"), "blocks").alias("block"), "term", "place", "tiles", scaled(F.col("c"), F.col("n"), F.col("v")).alias("p"))
     themselves = known.select("lang", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(None).cast("string").alias("term"), "place", "tiles", F.col("none").alias("p"))
     both = given.unionAll(themselves)
-    tile, others = F.expr(f"place div {TILE}"), F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)
-    sides = F.concat(F.transform(others, lambda x: F.struct(F.lit(0).alias("side"), tile.alias("a"), x.alias("b"))), F.transform(others, lambda x: F.struct(F.lit(1).alias("side"), x.alias("a"), tile.alias("b"))))
+    tile, others = F.expr(f"place div {TILE}"), F.filter(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), lambda x: x != F.expr(f"place div {TILE}"))
+    side = lambda n, a, b: F.struct(F.lit(n).alias("side"), a.alias("a"), b.alias("b"))
+    sides = F.concat(F.array(side(2, tile, tile)), F.transform(others, lambda x: side(0, tile, x)), F.transform(others, lambda x: side(1, x, tile)))
     dealt = both.select("lang", "block", "term", "place", "p", F.explode(sides).alias("s")).select("lang", "block", "term", "place", "p", "s.*")
     parts = dealt.groupBy("lang", "block", "a", "b").applyInArrow(_paired, "lang string, i long, j long, value long")
     summed = parts.groupBy("lang", "i", "j").agg(F.sum("value").alias("value"))
