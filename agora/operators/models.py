@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 
 from ..config import OCR_LANGUAGES, Decoding, ModelSpec
 from ..functions.frames import frame_offsets
-from ..functions.text import translate_input
 from ..schemas import RESULT, SENTIMENT
 
 
@@ -122,28 +121,27 @@ def ocr_text(lines: Column) -> Column:
     return lines_joined(F.transform(lines, lambda x: x["text"]))
 
 
-def transcripts(df: DataFrame, factory: Callable[[], ModelClient], path: Column, keys: tuple[str, ...]) -> DataFrame:
-    """Speech to text, its language, then its translation to English of the first 3000 characters; a failed translation keeps the rest."""
-    spoken = run_stage(df, "transcribe", factory, path, keys).withColumnsRenamed({"value": "text", "error": "speech_error"}).drop("ok")
-    language = apply("language", factory, F.col("text"))
-    out = spoken.withColumn("l", language).withColumn("t", apply("translate", factory, translate_input(F.col("text"))))
-    return out.select(*keys, F.struct("text", F.col("l.value").alias("language"), F.coalesce("t.value", F.lit("")).alias("translated"), F.coalesce("speech_error", F.col("t.error")).alias("error")).alias("transcript"))
+def frame_plan_rows(df: DataFrame, seconds: Column, path: Column, keys: tuple[str, ...]) -> DataFrame:
+    """One row per planned frame: (keys..., frame_number, offset_s, path)."""
+    plan = df.select(*keys, path.alias("path"), F.posexplode(frame_offsets(seconds)).alias("n", "offset_s"))
+    return plan.select(*keys, (F.col("n") + 1).alias("frame_number"), F.col("offset_s").cast("int").alias("offset_s"), "path")
 
 
-def keyframes(df: DataFrame, seconds: Column, decode: Callable[[str, list[int]], list[bytes | None]] | None, path: Column, keys: tuple[str, ...]) -> DataFrame:
-    """One row per planned frame: (keys..., frame_number, offset_s, image, ok). Decoding is gated: without a decoder images are null and not ok."""
-    plan = df.select(*keys, path.alias("path"), frame_offsets(seconds).alias("offsets")).where(F.size("offsets") > 0)
+def keyframes(plan: DataFrame, decode: Callable[[str, list[int]], list[bytes | None]] | None, keys: tuple[str, ...]) -> DataFrame:
+    """The planned frames decoded, each file opened once: (keys..., frame_number, offset_s, ok, image, error). Decoding is gated: without a decoder, images are null and not ok."""
+    files = plan.groupBy(*keys, "path").agg(F.array_sort(F.collect_list(F.struct("offset_s", "frame_number"))).alias("wanted"))  # a few frames for each video
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for r in pdf.itertuples(index=False):
+                offsets, why = [int(w["offset_s"]) for w in r.wanted], None if decode else "no decoder"
                 try:
-                    images = decode(r.path, list(r.offsets)) if decode else [None] * len(r.offsets)
-                except Exception:
-                    images = [None] * len(r.offsets)
-                rows += [(*(getattr(r, k) for k in keys), i + 1, int(s), image, image is not None) for i, (s, image) in enumerate(zip(r.offsets, images, strict=True))]
-            yield pd.DataFrame(rows, columns=[*keys, "frame_number", "offset_s", "image", "ok"])
-
-    kinds = dict(df.dtypes)
-    return plan.mapInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "frame_number int", "offset_s int", "image binary", "ok boolean"]))
+                    images = decode(r.path, offsets) if decode else [None] * len(offsets)
+                except Exception as e:
+                    images, why = [None] * len(offsets), str(e)[:500]
+                rows += [(*(getattr(r, k) for k in keys), w["frame_number"], s, image is not None, image, None if image is not None else why or "no image") for w, s, image in zip(r.wanted, offsets, images, strict=True)]
+            yield pd.DataFrame(rows, columns=[*keys, "frame_number", "offset_s", "ok", "image", "error"])
+
+    kinds = dict(plan.dtypes)
+    return files.mapInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"frame_number {kinds['frame_number']}", "offset_s int, ok boolean, image binary, error string"]))
