@@ -8,11 +8,14 @@ batch and streaming.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import base64_text, first_of, or_default
 from ..schemas import AUTHORS, CHALLENGES, COMMENTS, DOCUMENTS, HASHTAGS, KEYS, PROVENANCE, VIDEOS
+from .cache import read
 
 #: Url parts in the order in which they are looked for, the route, and the form of its document.
 ROUTES = (
@@ -130,6 +133,17 @@ def challenges(responses: DataFrame) -> DataFrame:
     return c.select(F.col(f"{info}.challenge.id").alias("challengeId"), F.col(f"{info}.challenge.title").alias("challengeTitle"), F.expr(f"try_cast({info}.statsV2.viewCount AS bigint)").alias("challengeViewCount"), F.expr(f"try_cast({info}.statsV2.videoCount AS bigint)").alias("challengeVideoCount"), *_carried(c))
 
 
+#: Endpoints that reject an empty body; the others take it as a record of nulls.
+REJECT_EMPTY = ("author", "comment")
+
+
+def accepted(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(posted records to keep, rejected ones) by endpoint and body."""
+    empty = F.coalesce(F.trim("body"), F.lit("")) == ""
+    bad = empty & F.col("endpoint").isin(*REJECT_EMPTY)
+    return records.where(~bad), records.where(bad)
+
+
 #: Endpoints of posted records, the table of each, and the names that its records have where the table's differ.
 POSTED = {
     "challenge": (CHALLENGES, {}),
@@ -170,4 +184,34 @@ def new_rows(df: DataFrame, target: DataFrame | None, key: str, *order: str | Co
     return fresh if target is None else fresh.join(target.select(key).where(F.col(key).isNotNull()), key, "left_anti").select(*fresh.columns)
 
 
-__all__ = ["ROUTES", "KEYS", "route", "routed", "split_bodies", "items", "videos", "hashtags", "comments", "authors", "challenges", "tables", "first_wins", "new_rows"]
+def arrivals(responses: DataFrame | None = None, records: DataFrame | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(the rows that responses and posted records bring to each table, dead letters with a reason); batch or streams.
+
+    Both ways bring the same columns; provenance is null where a way does not have it.
+    """
+    ways, dead = [], []
+    if responses is not None:
+        good, bad = split_bodies(routed(responses))
+        ways.append(tables(good))
+        dead.append(bad.select(F.col("route").alias("at"), "body", "received_at", "reason"))
+    if records is not None:
+        kept, rejected = accepted(records)
+        ways.append(posted(kept))
+        dead.append(rejected.select(F.col("endpoint").alias("at"), "body", "received_at", F.lit("empty body").alias("reason")))
+    out = {name: reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (w[name] for w in ways)) for name in KEYS}
+    return out, reduce(DataFrame.unionAll, dead)
+
+
+def insert(rows: dict[str, DataFrame], root: str, number: int = 0) -> None:
+    """Adds a batch to the tables below root as insert-or-ignore would.
+
+    Each batch is a partition of its own, which a repeated batch writes over; so a replay adds nothing, null keys included.
+    The target's keys are read and joined: for one large batch that is the cheaper way, for many small ones a stream is.
+    """
+    for name, fresh in rows.items():
+        path, key = f"{root}/{name}", KEYS[name]
+        target = read(fresh.sparkSession, path, f"{key} string, batch bigint").where(F.col("batch") != number)
+        new_rows(fresh, target, key, "received_at").write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+
+__all__ = ["ROUTES", "KEYS", "route", "routed", "split_bodies", "items", "videos", "hashtags", "comments", "authors", "challenges", "tables", "posted", "accepted", "arrivals", "insert", "first_wins", "new_rows"]

@@ -5,31 +5,32 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-def _struct(strings: str = "", longs: str = "", bools: str = "") -> list[T.StructField]:
-    kinds = ((strings, T.StringType()), (longs, T.LongType()), (bools, T.BooleanType()))
-    return [T.StructField(n, k) for names, k in kinds for n in names.split()]
+def _table(fields: str) -> T.StructType:
+    kinds = {"string": T.StringType(), "bigint": T.LongType(), "boolean": T.BooleanType()}
+    return T.StructType([T.StructField(name, kinds[kind]) for name, kind in map(str.split, fields.split(","))])
 
 
-# Column names of the five collection tables.
-VIDEOS = T.StructType(
-    _struct("videoId videoDescription")
-    + _struct(longs="videoCreated")
-    + _struct("authorId authorUniqueId authorNickname authorAvatar authorSignature")
-    + _struct(longs="authorDiggCount authorFollowerCount authorFollowingCount authorFriendCount authorHeart authorHeartCount authorVideoCount")
-    + _struct("videoUrl videoCover")
-    + _struct(longs="videoDuration videoHeight videoWidth")
-    + _struct("videoRatio")
-    + _struct(longs="videoPlayCount videoShareCount videoCommentCount videoDiggCount videoCollectCount")
-    + _struct("videoMusicId videoMusicTitle videoMusicAuthor")
-    + _struct(bools="videoMusicOriginal")
-    + _struct("videoMusicCover videoMusicPlayUrl")
-    + _struct(longs="videoMusicDuration")
-)
-PROVENANCE = T.StructType(_struct("scrapedCountry scrapedUrl scrapedType scrapedItem scrapedTime scrapedFilename scrapedVideoCreatedDate scrapedVideoTikTokUrl scrapedVideoWarning"))
-HASHTAGS = T.StructType(_struct("videoId hashtagId hashtagName hashtagHash"))
-CHALLENGES = T.StructType(_struct("challengeId challengeTitle", "challengeViewCount challengeVideoCount"))
-COMMENTS = T.StructType(_struct("aweme_id cid comment_language comment_text create_time reply_id reply_to_reply_id description title url uid nickname avatar_thumb", "digg_count reply_comment_total", "collect_stat"))
-AUTHORS = T.StructType(_struct("id description title avatarLarger bioLink nickname nicknameModifyTime secUid signature uniqueId", "diggCount followerCount followingCount friendCount heart heartCount videoCount", "verified"))
+# Columns of the five collection tables, and of provenance, in their order.
+VIDEOS = _table("""
+    videoId string, videoDescription string, videoCreated bigint,
+    authorId string, authorUniqueId string, authorNickname string, authorAvatar string, authorSignature string,
+    authorDiggCount bigint, authorFollowerCount bigint, authorFollowingCount bigint, authorFriendCount bigint, authorHeart bigint, authorHeartCount bigint, authorVideoCount bigint,
+    videoUrl string, videoCover string, videoDuration bigint, videoHeight bigint, videoWidth bigint, videoRatio string,
+    videoPlayCount bigint, videoShareCount bigint, videoCommentCount bigint, videoDiggCount bigint, videoCollectCount bigint,
+    videoMusicId string, videoMusicTitle string, videoMusicAuthor string, videoMusicOriginal boolean, videoMusicCover string, videoMusicPlayUrl string, videoMusicDuration bigint
+""")
+PROVENANCE = _table("scrapedCountry string, scrapedUrl string, scrapedType string, scrapedItem string, scrapedTime string, scrapedFilename string, scrapedVideoCreatedDate string, scrapedVideoTikTokUrl string, scrapedVideoWarning string")
+HASHTAGS = _table("videoId string, hashtagId string, hashtagName string, hashtagHash string")
+CHALLENGES = _table("challengeId string, challengeTitle string, challengeViewCount bigint, challengeVideoCount bigint")
+COMMENTS = _table("""
+    aweme_id string, cid string, collect_stat boolean, comment_language string, comment_text string, create_time string, digg_count bigint, reply_comment_total bigint,
+    reply_id string, reply_to_reply_id string, description string, title string, url string, uid string, nickname string, avatar_thumb string
+""")
+AUTHORS = _table("""
+    description string, diggCount bigint, followerCount bigint, followingCount bigint, friendCount bigint, heart bigint, heartCount bigint, videoCount bigint,
+    avatarLarger string, bioLink string, id string, nickname string, nicknameModifyTime string, secUid string, signature string, uniqueId string, verified boolean,
+    title string
+""")
 KEYS = {"video": "videoId", "hashtag": "hashtagHash", "challenge": "challengeId", "comment": "cid", "author": "id"}
 
 _STATS = "struct<diggCount:bigint,followerCount:bigint,followingCount:bigint,friendCount:bigint,heart:bigint,heartCount:bigint,videoCount:bigint>"

@@ -50,18 +50,22 @@ def test_first_wins_keeps_null_keys(spark):
 
 
 def test_stream_equals_batch_and_is_idempotent(spark, tmp_path):
-    src, root = str(tmp_path / "src"), str(tmp_path / "out")
+    src, names = str(tmp_path / "src"), ("video", "hashtag", "comment", "author", "challenge")
     responses(spark).drop("n").write.json(src)
-    streaming.start(landing.stream(spark, src), root, str(tmp_path / "check")).awaitTermination()
-    once = {n: spark.read.parquet(f"{root}/{n}").count() for n in ("video", "hashtag", "comment", "author", "challenge")}
-    assert once == {"video": 4, "hashtag": 1, "comment": 1, "author": 1, "challenge": 1}
-    streaming.upsert(landing.read(spark, src), root)
-    assert {n: spark.read.parquet(f"{root}/{n}").count() for n in once} == once
+    for _ in range(2):
+        for q in streaming.start(str(tmp_path / "out"), str(tmp_path / "check"), landing.stream(spark, src)):
+            q.awaitTermination()
+    rows = lambda root, n: sorted(map(str, spark.read.parquet(f"{tmp_path}/{root}/{n}").drop("batch").collect()))
+    assert {n: len(rows("out", n)) for n in names} == {"video": 4, "hashtag": 1, "comment": 1, "author": 1, "challenge": 1}
+    for number in (0, 0, 1):
+        streaming.upsert(landing.read(spark, src), str(tmp_path / "batch"), number)
+    assert all(rows("out", n) == rows("batch", n) for n in names)
+    assert [r.reason for r in spark.read.parquet(f"{tmp_path}/out/dead").collect()] == ["malformed JSON"]
 
 
-def test_landing(spark):
+def test_empty_bodies(spark):
     df = spark.createDataFrame([("author", ""), ("author", "{}"), ("video", None)], "endpoint string, body string")
-    keep, reject = landing.accepted(df)
+    keep, reject = ingest.accepted(df)
     assert keep.count() == 2 and reject.count() == 1
 
 
@@ -110,7 +114,7 @@ def test_all_stages_are_kept(spark, tmp_path):
     assert first == again and len(first) == 3
     path = f"{tmp_path}/frame/{models.SPECS['frame'].version}"
     schema = "videoId string, frame_number string, ok boolean, value string, error string"
-    assert cache.read(spark, path, schema).count() == 6 and cache.errors(spark, path, schema).count() == 6
+    assert cache.stage_table(spark, path, schema).count() == 6 and cache.errors(spark, path, schema).count() == 6
 
 
 def test_posted_records(spark):
@@ -122,7 +126,7 @@ def test_posted_records(spark):
     assert [tuple(r) for r in out["challenge"].collect()] == [(None,) * 4] and out["hashtag"].count() == 0
 
 
-def test_first_wins_keeps_null_keys(spark):
+def test_first_wins_keeps_equal_null_rows(spark):
     df = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), (None, 1, "n"), (None, 1, "n")], "k string, t int, v string")
     assert sorted(map(str, ingest.first_wins(df, "k", "t").collect())) == sorted(map(str, df.where("v != 'x'").collect()))
 
@@ -144,12 +148,17 @@ def test_model_runs_once_per_row(spark):
     assert plan.count("ArrowEvalPython") == 1
 
 
-def test_transcripts_and_keyframes(spark):
-    df = spark.createDataFrame([("1", "p", 65)], "id string, path string, s int")
-    t = models.transcripts(df, models.FakeClient, F.col("path"), ("id",)).first().transcript
-    assert (t.text, t.translated, t.error) == ("transcribe:1", "translate:12", None)
-    rows = models.keyframes(df, F.col("s"), lambda p, offsets: [b"x"] * len(offsets), F.col("path"), ("id",)).collect()
-    assert [(r.frame_number, r.offset_s, r.ok) for r in rows] == [(1, 0, True), (2, 30, True), (3, 60, True)]
+def test_keyframes(spark):
+    plan = models.frame_plan_rows(spark.createDataFrame([("1", "p", 65), ("2", "bad", 31), ("3", "p", None)], "id string, path string, s int"), F.col("s"), F.col("path"), ("id",))
+
+    def decode(path, offsets):
+        if path == "bad":
+            raise ValueError("broken file")
+        return [None if s == 30 else b"x" for s in offsets]
+
+    rows = models.keyframes(plan, decode, ("id",)).collect()
+    assert sorted((r.id, r.frame_number, r.offset_s, r.ok, r.error) for r in rows) == [("1", 1, 0, True, None), ("1", 2, 30, False, "no image"), ("1", 3, 60, True, None), ("2", 1, 0, False, "broken file"), ("2", 2, 30, False, "broken file")]
+    assert {r.error for r in models.keyframes(plan, None, ("id",)).collect()} == {"no decoder"}
 
 
 def test_enrich(spark, tmp_path):
