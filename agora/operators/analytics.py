@@ -15,6 +15,28 @@ def group_compare(df: DataFrame, *dims: str) -> DataFrame:
     return df.cube(*dims).agg(F.count("*").alias("n"), F.grouping_id().cast("int").alias("level"))
 
 
+def log_odds(df: DataFrame, group: str, signifier: str, strength: float = 1.0) -> DataFrame:
+    """(group, signifier, n, others, delta, z): how much more a group uses a signifier than all others do.
+
+    Log-odds ratios with an informative Dirichlet prior: what all groups together use, scaled to `strength` times the mean
+    group's size, is added to both sides; z is the ratio over its standard deviation. Every group gets every signifier that
+    it uses itself; null groups and signifiers do not count. Null where all signifiers are one (nothing is left to compare with).
+    """
+    counts = df.select(F.col(group).alias("group"), F.col(signifier).alias("signifier")).na.drop().groupBy("group", "signifier").agg(F.count("*").cast("double").alias("n"))
+    totals = counts.groupBy("group").agg(F.sum("n").alias("size"))  # a row for each group
+    words = counts.groupBy("signifier").agg(F.sum("n").alias("all"))
+    whole = totals.agg(F.sum("size").alias("whole"), F.count("*").alias("groups")).first()
+    if not whole.groups:
+        return counts.select("group", "signifier", F.col("n").cast("long").alias("n"), F.lit(0).cast("long").alias("others"), F.lit(0.0).alias("delta"), F.lit(0.0).alias("z"))
+    prior = strength * whole.whole / whole.groups
+    rows = counts.join(words, "signifier").join(totals, "group")
+    rows = rows.withColumns({"a": F.col("all") * (prior / whole.whole), "rest": F.col("all") - F.col("n"), "left": F.lit(whole.whole) - F.col("size")})
+    odds = lambda n, size: F.log((n + F.col("a")) / F.nullif(size + prior - n - F.col("a"), F.lit(0.0)))
+    delta = odds(F.col("n"), F.col("size")) - odds(F.col("rest"), F.col("left"))
+    spread = F.sqrt(1 / (F.col("n") + F.col("a")) + 1 / (F.col("rest") + F.col("a")))
+    return rows.select("group", "signifier", F.col("n").cast("long").alias("n"), F.col("rest").cast("long").alias("others"), delta.alias("delta"), (delta / spread).alias("z"))
+
+
 def daily(df: DataFrame, ts: str, *by: str) -> DataFrame:
     day = F.to_date(F.window(F.col(ts).cast("timestamp"), "1 day")["start"])
     return df.groupBy(day.alias("day"), *by).agg(F.count("*").alias("n"))

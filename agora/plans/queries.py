@@ -10,12 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import LOCALES, NA_TOKENS
 from ..functions import frames, strict, text, urls
-from ..operators import analytics, cache, extract, ingest, models
+from ..operators import analytics, annotators, bursts, cache, extract, graph, ingest, models, names
+from ..operators.shared import new_folder
 from ..sources import corpus
 from ..streaming.windows import tumbling
 
@@ -180,11 +181,14 @@ def ocr_join(t):
     return t("documents").select("doc_id", models.ocr_text(F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("text"), F.lit(0.9).alias("conf")))).alias("ocr"))
 
 
-@query("SELECT event_id, CASE WHEN contains(u, 'comment') THEN 'comments' WHEN contains(u, 'post/item_list') THEN 'videos' WHEN contains(u, 'user/detail') THEN 'author' ELSE 'other' END AS route FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'api/comment/list' WHEN 1 THEN 'api/post/item_list' WHEN 2 THEN 'api/user/detail' ELSE 'api/' || event_type END AS u FROM events)")
+_URLS = {"comment/list": "comments", "search/general/full": "search", "post/item_list": "videos", "challenge/item_list": "challenge_videos", "user/detail": "author", "challenge/detail": "challenge", "user/playlist": "playlist", "user/detail/comment": "comments"}
+
+
+@query("SELECT event_id, CASE event_id % 9 " + " ".join(f"WHEN {i} THEN '{r}'" for i, r in enumerate(_URLS.values())) + " ELSE 'other' END AS route FROM events")
 def route_events(t):
-    m = F.col("event_id") % 4
-    url = F.when(m == 0, "api/comment/list").when(m == 1, "api/post/item_list").when(m == 2, "api/user/detail").otherwise(F.concat(F.lit("api/"), "event_type"))
-    return t("events").select("event_id", ingest.route(url).alias("route"))
+    """All eight outcomes; an address with two parts goes by the first that is looked for."""
+    url = F.element_at(F.array(*map(F.lit, _URLS), F.concat(F.lit("x/"), "event_type")), (F.col("event_id") % 9 + 1).cast("int"))
+    return t("events").select("event_id", ingest.route(F.concat(F.lit("api/"), url)).alias("route"))
 
 
 @query("SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events")
@@ -208,18 +212,48 @@ def json_hashtags(t):
     return ingest.tables(ingest.routed(_listed(t)))["hashtag"]
 
 
-@query("SELECT conv_id::VARCHAR AS aweme_id, conv_id::VARCHAR || '-' || turn::VARCHAR AS cid, text AS comment_text, role AS nickname, '' AS avatar_thumb FROM conversations")
+#: Of each nested record: the table's column, its path in the document, and its kind.
+_COMMENT = {"aweme_id": ("aweme_id", "string"), "cid": ("cid", "string"), "comment_language": ("comment_language", "string"), "comment_text": ("text", "string"), "create_time": ("create_time", "string"), "reply_id": ("reply_id", "string"), "reply_to_reply_id": ("reply_to_reply_id", "string"), "description": ("share_info.desc", "string"), "title": ("share_info.title", "string"), "url": ("share_info.url", "string"), "uid": ("user.uid", "string"), "nickname": ("user.nickname", "string"), "digg_count": ("digg_count", "long"), "reply_comment_total": ("reply_comment_total", "long"), "collect_stat": ("collect_stat", "flag"), "avatar_thumb": ("user.avatar_thumb.url_list", "first")}
+_AUTHOR = {"id": ("user.id", "string"), "nickname": ("user.nickname", "string"), "secUid": ("user.secUid", "string"), "signature": ("user.signature", "string"), "uniqueId": ("user.uniqueId", "string"), "avatarLarger": ("user.avatarLarger", "string"), "verified": ("user.verified", "boolean"), "nicknameModifyTime": ("user.nickNameModifyTime", "string"), "bioLink": ("user.bioLink.link", "string"), "diggCount": ("stats.diggCount", "long"), "followerCount": ("stats.followerCount", "long"), "followingCount": ("stats.followingCount", "long"), "friendCount": ("stats.friendCount", "long"), "heart": ("stats.heart", "long"), "heartCount": ("stats.heartCount", "long"), "videoCount": ("stats.videoCount", "long")}
+_CELLS = {"string": "'{n}:' || x", "long": "k + {i}", "flag": "k % 2 = 1", "boolean": "k % 2 = 0", "first": "'{n}:' || x"}
+
+
+def _nested(spec: dict) -> Column:
+    """A struct with a value of its own at every path, from the columns k (a number) and x (its text)."""
+    made = {"string": lambda n, i: F.concat(F.lit(f"{n}:"), "x"), "long": lambda n, i: F.col("k") + i, "flag": lambda n, i: F.col("k") % 2, "boolean": lambda n, i: F.col("k") % 2 == 0, "first": lambda n, i: F.array(F.concat(F.lit(f"{n}:"), "x"), F.lit("second"))}
+    tree: dict = {}
+    for i, (n, (path, kind)) in enumerate(spec.items()):
+        *above, last = path.split(".")
+        at = tree
+        for part in above:
+            at = at.setdefault(part, {})
+        at[last] = made[kind](n, i)
+
+    def struct(of: dict) -> Column:
+        return F.struct(*((struct(v) if isinstance(v, dict) else v).alias(name) for name, v in of.items()))
+
+    return struct(tree)
+
+
+def _nested_sql(spec: dict, rows: str) -> str:
+    return "SELECT " + ", ".join(f'{_CELLS[kind].format(n=n, i=i)} AS "{n}"' for i, (n, (_, kind)) in enumerate(spec.items())) + f" FROM ({rows})"
+
+
+@query(_nested_sql(_COMMENT, "SELECT conv_id::BIGINT * 1000 + turn AS k, conv_id::VARCHAR || '-' || turn::VARCHAR AS x FROM conversations"))
 def json_comments(t):
-    c = F.struct(F.col("conv_id").cast("string").alias("aweme_id"), F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("cid"), "text", F.struct(F.col("role").alias("nickname")).alias("user"))
-    responses = t("conversations").select(F.lit("https://www.tiktok.com/api/comment/list").alias("request_url"), F.to_json(F.struct(F.array(c).alias("comments"))).alias("body"))
-    return ingest.comments(ingest.routed(responses)).select("aweme_id", "cid", "comment_text", "nickname", "avatar_thumb")
+    """All 16 columns, each from a value of its own."""
+    rows = t("conversations").select((F.col("conv_id").cast("long") * 1000 + F.col("turn")).alias("k"), F.concat_ws("-", "conv_id", "turn").alias("x"))
+    responses = rows.select(F.lit("https://www.tiktok.com/api/comment/list").alias("request_url"), F.to_json(F.struct(F.array(_nested(_COMMENT)).alias("comments"))).alias("body"))
+    return ingest.comments(ingest.routed(responses)).select(*_COMMENT)
 
 
-@query("SELECT s_suppkey::VARCHAR AS id, s_name AS nickname, '' AS \"bioLink\", s_nationkey::BIGINT AS \"diggCount\" FROM supplier")
+@query(_nested_sql(_AUTHOR, "SELECT s_suppkey::BIGINT AS k, s_name AS x FROM supplier").replace("SELECT ", "SELECT 'd:' || x AS description, 't:' || x AS title, ", 1))
 def json_authors(t):
-    info = F.struct(F.struct(F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("nickname")).alias("user"), F.struct(F.col("s_nationkey").alias("diggCount")).alias("stats"))
-    responses = t("supplier").select(F.lit("https://www.tiktok.com/api/user/detail").alias("request_url"), F.to_json(F.struct(info.alias("userInfo"))).alias("body"))
-    return ingest.authors(ingest.routed(responses)).select("id", "nickname", "bioLink", "diggCount")
+    """All 18 columns, each from a value of its own."""
+    rows = t("supplier").select(F.col("s_suppkey").cast("long").alias("k"), F.col("s_name").alias("x"))
+    share = F.struct(F.concat(F.lit("d:"), "x").alias("desc"), F.concat(F.lit("t:"), "x").alias("title"))
+    responses = rows.select(F.lit("https://www.tiktok.com/api/user/detail").alias("request_url"), F.to_json(F.struct(_nested(_AUTHOR).alias("userInfo"), share.alias("shareMeta"))).alias("body"))
+    return ingest.authors(ingest.routed(responses)).select("description", "title", *_AUTHOR)
 
 
 @query("SELECT p_partkey::VARCHAR AS \"challengeId\", p_name AS \"challengeTitle\", p_size::BIGINT AS \"challengeViewCount\", NULL::BIGINT AS \"challengeVideoCount\" FROM part")
@@ -342,10 +376,13 @@ def human_override(t):
     return analytics.override(model, t("labels"), "doc_id", "quality")
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN lang END AS choice FROM documents")
+@query("SELECT doc_id, doc_id % 3 <> 0 AS chosen, CASE WHEN doc_id % 3 = 1 THEN lang END AS only FROM documents")
 def pick_one(t):
-    some = F.when(F.col("doc_id") % 3 == 0, F.array().cast("array<string>")).when(F.col("doc_id") % 3 == 1, F.array("lang")).otherwise(F.array("lang", "lang", "lang"))
-    return t("documents").select("doc_id", urls.choose(some, F.col("doc_id")).alias("choice"))
+    """From no, one or four distinct elements; what is chosen is one of them."""
+    four = F.array("lang", "source", F.col("doc_id").cast("string"), F.lit("x"))
+    some = F.when(F.col("doc_id") % 3 == 0, F.array().cast("array<string>")).when(F.col("doc_id") % 3 == 1, F.array("lang")).otherwise(four)
+    picked = t("documents").select("doc_id", "lang", some.alias("some"), urls.choose(some, F.col("doc_id")).alias("choice"))
+    return picked.select("doc_id", F.coalesce(F.array_contains("some", F.col("choice")), F.lit(False)).alias("chosen"), F.when(F.col("doc_id") % 3 == 1, F.col("choice")).alias("only"))
 
 
 def _model(task: str):
@@ -360,12 +397,6 @@ def _model(task: str):
 _model("summary")
 
 
-@query("SELECT doc_id, count(*) AS n_before FROM (SELECT d.doc_id, e.doc_id AS other FROM documents d JOIN (SELECT doc_id, source FROM documents) e ON d.source = e.source AND e.doc_id <= d.doc_id) GROUP BY doc_id")
-def arrival_number(t):
-    w = Window.partitionBy("source").orderBy("doc_id")
-    return t("documents").select("doc_id", F.row_number().over(w).cast("long").alias("n_before"))
-
-
 class _Stub:
     """Replies of a text's own length; a frame at 60 seconds, speech of every fifth video and translations of every seventh fail."""
 
@@ -403,10 +434,28 @@ SELECT id AS video_id, n_frames, transcript, summary, CASE WHEN length(summary)
 def enrich_stages(t):
     from .enrichment import enrich
 
-    out = enrich(as_videos(t("documents")), None, _Stub, decode=_decoded, media=F.col("videoId"))
+    out = enrich(as_videos(t("documents")), new_folder(t("documents").sparkSession, "enrich"), _Stub, decode=_decoded, media=F.col("videoId"))
     return out.select(F.col("videoId").alias("video_id"), F.coalesce(F.size("frames"), F.lit(0)).cast("long").alias("n_frames"), F.col("whisperResult").alias("transcript"), "summary", F.array_join("topics", ",").alias("topics"), F.col("populism_analysis").alias("analysis"))
 
 
+@query("""WITH d AS (SELECT doc_id::VARCHAR AS id, doc_id, least(n_chars // 20, 180) AS s FROM documents)
+SELECT 'frame' AS stage, id AS video_id, 'no frame' AS error, 2::BIGINT AS n FROM d WHERE s > 60
+UNION ALL SELECT 'transcribe', id, 'no transcribe', 2 FROM d WHERE doc_id % 5 = 0
+UNION ALL SELECT 'translate', id, 'no translate', 2 FROM d WHERE doc_id % 5 <> 0 AND doc_id % 7 = 0""")
+def enrich_errors(t):
+    """Two runs of the first stages over one root: what fails is logged by each, and nothing else is asked again."""
+    from .enrichment import Stages, with_frames, with_transcripts
+
+    spark, videos = t("documents").sparkSession, as_videos(t("documents"))
+    stages = Stages(_Stub, new_folder(spark, "enrich"))
+    for _ in range(2):
+        with_frames(videos, stages, _decoded, F.col("videoId"))
+        with_transcripts(videos, stages, F.col("videoId"))
+    keys = {"frame": ("videoId", "frame_number"), "transcribe": ("videoId",), "translate": ("videoId",)}
+    logs = [cache.errors(spark, stages.path(task), stages.schema(k)).select(F.lit(task).alias("stage"), F.col("videoId").alias("video_id"), "error") for task, k in keys.items()]
+    return logs[0].unionAll(logs[1]).unionAll(logs[2]).groupBy("stage", "video_id", "error").agg(F.count("*").alias("n"))
+
+
 def _found(route: str, body: Column) -> tuple[Column, Column]:
     return F.lit(f"https://www.tiktok.com/api/{route}").alias("request_url"), F.to_json(body).alias("body")
 
@@ -470,3 +519,153 @@ def formula_parse(t):
     d = extract.formulas(t("documents").select("doc_id", F.expr(_FORMULA).alias("reply")), "reply", "doc_id")
     flat = extract.export(d.select("doc_id", "ok", "populism_us", "populism_frontier"))
     return flat.select("doc_id", "ok", F.when(F.col("ok"), F.col("populism_us")).alias("us"), F.when(F.col("ok"), F.col("populism_frontier")).alias("frontier"))
+
+
+#: Of each endpoint: the table's key, and its columns as the posted name, the column and the value's SQL in either engine. Every 97th key is missing.
+_KEY = "CASE WHEN doc_id % 97 <> 0 THEN cast(doc_id % 700 AS string) END"
+_POSTED = {
+    "video": [("videoId", "videoId", _KEY), ("videoDescription", "videoDescription", "source"), ("scrapedCountry", "scrapedCountry", "lang"), ("videoDuration", "videoDuration", "n_chars")],
+    "hashtag": [("hashtag_hash", "hashtagHash", _KEY), ("hashtag_id", "hashtagId", "lang"), ("hashtag_name", "hashtagName", "source"), ("video_id", "videoId", "cast(doc_id AS string)")],
+    "comment": [("cid", "cid", _KEY), ("comment_text", "comment_text", "source"), ("desc", "description", "lang"), ("digg_count", "digg_count", "n_chars")],
+    "author": [("usedId", "id", _KEY), ("nickname", "nickname", "source"), ("desc", "description", "lang"), ("diggCount", "diggCount", "n_chars")],
+    "challenge": [("challengeId", "challengeId", _KEY), ("challengeTitle", "challengeTitle", "source"), ("challengeViewCount", "challengeViewCount", "n_chars"), ("challengeVideoCount", "challengeVideoCount", "doc_id")],
+}
+
+
+def _records(docs: DataFrame, endpoint: str) -> DataFrame:
+    """Each document posted as a record, in the order of ids."""
+    body = F.to_json(F.struct(*(F.expr(value).alias(name) for name, _, value in _POSTED[endpoint])))
+    return docs.select("doc_id", F.lit(endpoint).alias("endpoint"), body.alias("body"), F.timestamp_seconds("doc_id").alias("received_at"))
+
+
+def _inserted_sql(endpoint: str, parts: int) -> str:
+    """First by part and id; all without a key."""
+    cols = ", ".join(f'{value} AS "{column}"' for _, column, value in _POSTED[endpoint])
+    return f'SELECT {cols} FROM documents QUALIFY doc_id % 97 = 0 OR row_number() OVER (PARTITION BY {_KEY} ORDER BY doc_id % {parts}, doc_id) = 1'
+
+
+def _insert(endpoint: str):
+    def run(t) -> DataFrame:
+        """Posted records inserted in two batches, the second one twice."""
+        docs, spark = t("documents"), t("documents").sparkSession
+        root = new_folder(spark, "tables")
+        for part in (0, 1, 1):
+            rows, _ = ingest.arrivals(records=_records(docs.where(F.col("doc_id") % 2 == part), endpoint))
+            ingest.insert({endpoint: rows[endpoint]}, root, part)
+        return spark.read.parquet(f"{root}/{endpoint}").select(*(c for _, c, _ in _POSTED[endpoint]))
+
+    run.__name__ = f"insert_{endpoint}"
+    query(_inserted_sql(endpoint, 2))(run)
+
+
+for _name in _POSTED:
+    _insert(_name)
+
+
+@query(_inserted_sql("comment", 3))
+def stream_first_wins(t):
+    """Posted comments land in three parts; a stream that is started anew for each keeps the first of every key."""
+    from ..sources import landing
+    from ..streaming import ingest as streaming
+
+    docs, spark = t("documents"), t("documents").sparkSession
+    home = new_folder(spark, "stream")
+    for part in range(3):
+        _records(docs.where(F.col("doc_id") % 3 == part), "comment").drop("doc_id").write.mode("append").json(f"{home}/landed")
+        for q in streaming.start(f"{home}/tables", f"{home}/checkpoints", records=landing.stream(spark, f"{home}/landed", landing.RECORDS), names=("comment",)):
+            q.awaitTermination()
+    return spark.read.parquet(f"{home}/tables/comment").select(*(c for _, c, _ in _POSTED["comment"]))
+
+
+_NAME = "CASE WHEN p_partkey % 3 = 0 THEN concat(substring(p_name, 1, 3), substring(p_name, 5)) WHEN p_partkey % 3 = 1 THEN concat(p_name, 'x') ELSE p_name END"
+_NORMAL = f"trim(regexp_replace(lower({_NAME}), '[^a-z0-9]+', ' ', 'g'))"
+
+
+@query(f"WITH f AS (SELECT DISTINCT {_NORMAL} AS name FROM part) SELECT a.name AS a, b.name AS b, levenshtein(a.name, b.name)::INT AS distance FROM f a JOIN f b ON a.name < b.name AND abs(length(a.name) - length(b.name)) <= greatest(length(a.name), length(b.name)) // 6 WHERE levenshtein(a.name, b.name) <= greatest(length(a.name), length(b.name)) // 6")
+def similar_names(t):
+    """Part names, of which a third lost a letter and a third got one: all pairs within the allowed distance."""
+    forms = t("part").select(analytics.canonical(F.expr(_NAME)).alias("name")).distinct()
+    return names.similar(forms)
+
+
+@query()
+def fuzzy_names(t):
+    """The same names merged: one label for each component."""
+    return names.merged(t("part").select(F.expr(_NAME).alias("name")), "name")
+
+
+_ODDS = """WITH c AS (SELECT flag AS g, vendor_id AS s, count(*)::DOUBLE AS n FROM sale_lines WHERE flag IS NOT NULL AND vendor_id IS NOT NULL GROUP BY ALL),
+x AS (SELECT g, s, n, sum(n) OVER (PARTITION BY s) AS al, sum(n) OVER (PARTITION BY g) AS size, sum(n) OVER () AS whole, (SELECT count(DISTINCT g) FROM c) AS k FROM c),
+y AS (SELECT *, al / k AS a, whole / k AS a0, al - n AS rest, whole - size AS lef FROM x)
+SELECT g AS "group", s AS signifier, n::BIGINT AS n, rest::BIGINT AS others, round(d, 6) AS delta, round(d / sqrt(1 / (n + a) + 1 / (rest + a)), 6) AS z
+FROM (SELECT *, ln((n + a) / (size + a0 - n - a)) - ln((rest + a) / (lef + a0 - rest - a)) AS d FROM y)"""
+
+
+@query(_ODDS)
+def signifier_odds(t):
+    out = analytics.log_odds(t("sale_lines"), "flag", "vendor_id")
+    return out.withColumns({"delta": F.round("delta", 6), "z": F.round("z", 6)})
+
+
+#: Three annotators of a document's toxicity: the label, its quality turned round, and one who looks at the length and skips every fifth.
+_ANNOTATED = "SELECT doc_id AS item, 'toxic' AS annotator, toxic AS label FROM labels UNION ALL SELECT doc_id, 'quality', 1 - quality FROM labels UNION ALL SELECT l.doc_id, 'length', d.n_chars % 2 FROM labels l JOIN documents d ON l.doc_id = d.doc_id WHERE l.doc_id % 5 <> 0"
+
+
+def _annotated(t) -> DataFrame:
+    marks, docs = t("labels"), t("documents")
+    one = marks.select(F.col("doc_id").alias("item"), F.lit("toxic").alias("annotator"), F.col("toxic").cast("int").alias("label"))
+    two = marks.select("doc_id", F.lit("quality"), (1 - F.col("quality")).cast("int"))
+    three = marks.where("doc_id % 5 <> 0").join(docs.select("doc_id", "n_chars"), "doc_id").select("doc_id", F.lit("length"), (F.col("n_chars") % 2).cast("int"))
+    return one.unionAll(two).unionAll(three)
+
+
+@query(f"""WITH c AS (SELECT item, label, count(*)::DOUBLE AS n FROM ({_ANNOTATED}) WHERE item IS NOT NULL AND label IS NOT NULL GROUP BY ALL), p AS (SELECT * FROM (SELECT *, sum(n) OVER (PARTITION BY item) AS m FROM c) WHERE m > 1),
+l AS (SELECT label, sum(n) AS n, sum(n * (m - n) / (m - 1)) AS apart FROM p GROUP BY label)
+SELECT sum(n)::BIGINT AS n, round(1 - (sum(n) - 1) * sum(apart) / (sum(n) * sum(n) - sum(n * n)), 6) AS alpha FROM l""")
+def annotator_agreement(t):
+    return annotators.alpha(_annotated(t)).withColumn("alpha", F.round("alpha", 6))
+
+
+@query()
+def annotator_truth(t):
+    """The likeliest label of every annotated document, and its probability."""
+    truth, _ = annotators.dawid_skene(_annotated(t))
+    return truth.groupBy("item").agg(F.max_by("label", F.struct("p", "label")).alias("label"), F.round(F.max("p"), 4).alias("p"))
+
+
+@query()
+def term_bursts(t):
+    """Bursts of each kind of click over the days of arrival."""
+    return bursts.bursts(t("clicks"), "ts", "kind", scale=1.3, gamma=0.5)
+
+
+def _network(t) -> DataFrame:
+    """Who trades with whom: nations of clients and vendors, by lines of sales."""
+    lines = t("sale_lines").select("sale_id", "vendor_id").na.drop()
+    sold = t("sales").select("sale_id", "client_id").na.drop()
+    home = t("clients").select("client_id", "nation_id").na.drop().distinct()
+    return lines.join(sold, "sale_id").join(home, "client_id").groupBy(F.concat(F.lit("n"), "nation_id").alias("a"), F.concat(F.lit("v"), "vendor_id").alias("b")).agg(F.count("*").alias("n"))
+
+
+@query()
+def actor_communities(t):
+    return graph.communities(_network(t), "n")
+
+
+@query()
+def actor_cores(t):
+    return graph.cores(_network(t))
+
+
+@query()
+def actor_betweenness(t):
+    """From 16 pivots."""
+    return graph.betweenness(_network(t), 16).withColumn("betweenness", F.round("betweenness", 6))
+
+
+@query("""SELECT 'd' || doc_id::VARCHAR AS node, min('d' || doc_id::VARCHAR) OVER (PARTITION BY text) AS component FROM documents WHERE text IS NOT NULL
+UNION ALL SELECT 't' || md5(text), min('d' || doc_id::VARCHAR) FROM documents WHERE text IS NOT NULL GROUP BY text""")
+def text_components(t):
+    """Documents and the texts that they have, as one graph: its components are the groups of equal texts."""
+    d = t("documents").where("text is not null")
+    return graph.components(d.select(F.concat(F.lit("d"), "doc_id").alias("a"), F.concat(F.lit("t"), F.md5("text")).alias("b")))
