@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..config import LOCALES, NA_TOKENS
 from ..functions import frames, strict, text, urls
-from ..operators import analytics, annotators, bursts, cache, extract, graph, ingest, models, names
+from ..operators import analytics, annotators, bursts, cache, chains, extract, graph, ingest, models, names
 from ..operators.shared import new_folder
 from ..sources import corpus
 from ..streaming.windows import tumbling
@@ -669,3 +669,10 @@ def text_components(t):
     """Documents and the texts that they have, as one graph: its components are the groups of equal texts."""
     d = t("documents").where("text is not null")
     return graph.components(d.select(F.concat(F.lit("d"), "doc_id").alias("a"), F.concat(F.lit("t"), F.md5("text")).alias("b")))
+
+
+@query()
+def vendor_chains(t):
+    """Vendors that many sales have together, by their nations."""
+    lines = t("sale_lines").select("sale_id", "vendor_id").join(t("vendors").select("vendor_id", "nation_id").na.drop().distinct(), "vendor_id")
+    return chains.chains(lines, "sale_id", "nation_id", 0.002).select(F.array_join("elements", ",").alias("elements"), "n")

@@ -236,3 +236,17 @@ def test_log_odds(spark):
         assert (r.n, r.others) == (y, rest) and abs(r.delta - delta) < 1e-12 and abs(r.z - delta / math.sqrt(1 / (y + a) + 1 / (rest + a))) < 1e-12
     assert analytics.log_odds(spark.createDataFrame([], "g string, s string"), "g", "s").count() == 0
     assert analytics.log_odds(spark.createDataFrame([("a", "x"), ("b", "x")], "g string, s string"), "g", "s").first().delta is None
+
+
+@pytest.mark.parametrize("closed", [True, False])
+def test_chains_equal_enumeration(spark, closed):
+    from agora.operators.chains import chains
+
+    rng = random.Random(9)
+    baskets = {k: {e for e in "abcdef" if rng.random() < (0.9 if e == "a" else 0.45)} | ({"x", "y"} if k % 3 == 0 else set()) for k in range(90)}
+    rows = [(k, e) for k, es in baskets.items() for e in es for _ in range(1 + k % 2)] + [(None, "a"), (1, None)]
+    n = {s: sum(set(s) <= b for b in baskets.values()) for r in range(1, 9) for s in itertools.combinations("abcdefxy", r)}
+    often = {s: v for s, v in n.items() if v >= 9}
+    want = {s: v for s, v in often.items() if len(s) > 1 and not (closed and any(set(s) < set(u) and w == v for u, w in often.items()))}
+    got = {tuple(r.elements): r.n for r in chains(spark.createDataFrame(rows, "k int, e string"), "k", "e", 9 / sum(map(bool, baskets.values())) - 1e-9, closed).collect()}
+    assert got == want and len(want) > 10

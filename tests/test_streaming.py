@@ -97,3 +97,26 @@ def test_responses_and_records_meet(spark):
     assert sorted((r.id, r.nickname) for r in tables["author"].collect()) == [("1", "posted"), ("1", "seen")]
     assert [r.nickname for r in ingest.first_wins(tables["author"], "id", "received_at").collect()] == ["posted"]
     assert {(r["at"], r.reason) for r in dead.collect()} == {("author", "empty body")}
+
+
+def test_visits_follow_changes(spark, tmp_path, one_partition):
+    """A busy source is visited often, a quiet one less and less; the same stream gives the same plan; late events are left out."""
+    from datetime import datetime, timedelta
+
+    from agora.streaming.visits import visits
+
+    begin, src = datetime(2024, 1, 1), tmp_path / "src"
+    src.mkdir()
+    days = [[("busy", begin + timedelta(days=d, hours=h)) for h in range(24)] + ([("quiet", begin)] if d == 0 else []) + ([("late", begin)] if d == 5 else []) for d in range(6)]
+    for d, rows in enumerate(days):
+        (src / f"{d}.json").write_text("".join(json.dumps({"source": s, "ts": t.isoformat() + "Z"}) + "\n" for s, t in rows))
+    plans = []
+    for k in range(2):
+        stream = spark.readStream.schema("source string, ts timestamp").option("maxFilesPerTrigger", 1).json(str(src))
+        out = visits(stream, "source", "ts", least_s=1800, most_s=2 * 86400).writeStream.format("parquet").option("path", str(tmp_path / f"out{k}")).option("checkpointLocation", str(tmp_path / f"check{k}"))
+        out.trigger(availableNow=True).start().awaitTermination()
+        plans.append(sorted(map(tuple, spark.read.parquet(str(tmp_path / f"out{k}")).collect())))
+    assert plans[0] == plans[1]
+    by = {s: [p for p in plans[0] if p[0] == s] for s in ("busy", "quiet", "late")}
+    assert len(by["busy"]) > len(by["quiet"]) >= 1 and not by["late"]
+    assert all(p[3] == 0 for p in by["quiet"][1:]) and by["busy"][-1][2] < 2 * 3600
