@@ -1,6 +1,6 @@
 """Streaming ingest: the first record of a key wins, whatever the size of the table.
 
-Each table is a query of its own. The keys that have been seen are keyed state (RocksDB: agora.session has the setting), so a micro-batch reads its own
+Each table is a query of its own. The keys that have been seen are keyed state (RocksDB), so a micro-batch reads its own
 rows and their keys' state only; the target is never read. The file sink commits each batch once, so a restart from the
 checkpoint neither repeats nor loses a row. Rows with a null key never conflict and all stay.
 """
@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from ..operators.ingest import KEYS, arrivals, insert
 from ..sources.landing import CHUNKS, post_once
 from ..sources.landing import assembled as landed
+from .state import with_store
 
 class FirstRecord(StatefulProcessor):
     """Lets the first row of a key pass, by arrival and then by its text; the key is remembered, for `ttl_ms` if that is given."""
@@ -51,7 +52,7 @@ def first_records(rows: DataFrame, key: str, order: str = "received_at", known:
     With ttl_ms a key is forgotten after that time; such a stream needs a processing-time trigger, for Spark plans batches for its clock without end.
     """
     seen = known.where(F.col(key).isNotNull()).select(key).distinct().groupBy(key) if known is not None else None
-    first = rows.where(F.col(key).isNotNull()).groupBy(key).transformWithState(FirstRecord(order, ttl_ms), rows.schema, "append", "processingTime" if ttl_ms else "none", seen)
+    first = with_store(rows).where(F.col(key).isNotNull()).groupBy(key).transformWithState(FirstRecord(order, ttl_ms), rows.schema, "append", "processingTime" if ttl_ms else "none", seen)
     return first.unionAll(rows.where(F.col(key).isNull()))
 
 
@@ -112,7 +113,7 @@ def assembled(chunks: DataFrame, ttl_ms: int | None = None) -> DataFrame:
 
     Spark allows no aggregation after this in append mode: `landing.assembled` joins the pieces, in foreachBatch.
     """
-    good = chunks.where("response_id is not null and chunk >= 0 and chunk < chunks").select(*CHUNKS.names)
+    good = with_store(chunks).where("response_id is not null and chunk >= 0 and chunk < chunks").select(*CHUNKS.names)
     return good.groupBy("response_id").transformWithState(Assembling(ttl_ms), CHUNKS, "append", "processingTime" if ttl_ms else "none")
 
 

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from .state import with_store
+
 VISITS = T.StructType([T.StructField("source", T.StringType()), T.StructField("visit_at", T.TimestampType()), T.StructField("wait_s", T.LongType()), T.StructField("changes", T.LongType())])
 STATE = T.StructType([T.StructField("last_ms", T.LongType()), T.StructField("gap_ms", T.LongType()), T.StructField("wait_ms", T.LongType()), T.StructField("changes", T.LongType()), T.StructField("due_ms", T.LongType())])
 
@@ -66,6 +68,6 @@ def visits(events: DataFrame, source: str, ts: str, delay: str = "1 hour", least
 
     Events that come later than `delay` behind the newest one are left out; so are those without a time or a source.
     """
-    rows = events.select(F.col(source).cast("string").alias("source"), F.col(ts).cast("timestamp").alias("ts")).where("source is not null and ts is not null")
+    rows = with_store(events).select(F.col(source).cast("string").alias("source"), F.col(ts).cast("timestamp").alias("ts")).where("source is not null and ts is not null")
     timed = rows.withWatermark("ts", delay).withColumn("ms", F.unix_millis("ts"))
     return timed.groupBy("source").transformWithState(Visits(least_s * 1000, most_s * 1000, learn), VISITS, "append", "eventTime")
