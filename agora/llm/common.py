@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +42,19 @@ def shared_folder(spark: SparkSession) -> str:
     raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
 
 
+def shared_file(spark: SparkSession, prefix: str, blob: pa.Buffer) -> str:
+    """The name by which tasks find, on their own disk, a file of these bytes; it goes out through the shared folder."""
+    name = f"{prefix}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{name}")
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(at)
+    for i in range(0, blob.size, 1 << 20):
+        out.write(blob[i : i + (1 << 20)].to_pybytes())
+    out.close()
+    spark.sparkContext.addFile(fs.makeQualified(at).toString())
+    return name
+
+
 def checkpointed(df: DataFrame, forget: bool = False) -> DataFrame:
     """df, computed once and kept in the shared checkpoint folder, so that a lost executor costs no recomputation.
 

@@ -8,10 +8,13 @@ least `min_tile` tokens is left. An item whose tiles cover `coverage` of its
 tokens counts as leaked, in whatever order its passages stand. An item shorter
 than `min_tile` must occur as a whole.
 
-Nothing is shuffled: the benchmark goes out in blocks of a fixed number of
-tokens, and every block is held against all documents, so its size is bounded
-whatever the benchmark's. Items with equal tokens count once, under the smallest
-id. Null, empty and token-free texts and items match nothing; repeated ids stay.
+No text is shuffled and the documents are read once. The benchmark's seeds go out as
+files, one for each block of a fixed number of tokens; tasks map them into memory, so no
+task loads them whole, however many there are. Items with equal tokens count
+once, under the smallest id. Null, empty and token-free texts and items match nothing;
+repeated ids stay, as do null ids. Texts of any length are taken whole; of one only its
+tokens' hashes and what it shares with one item at a time are held. Columns of any
+other name may be there.
 """
 
 from __future__ import annotations
@@ -22,14 +25,18 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import NOT_ALNUM, column, shingles, table, word_hashes
+from .common import NOT_ALNUM, column, shared_file, shingles, table, word_hashes
 
 MIN_TILE, COVERAGE = 5, 0.6
-#: Benchmark tokens that are sent to the executors at a time (8 bytes each, twice).
+#: Benchmark tokens of one index file (24 bytes each).
 BLOCK_TOKENS = 2_000_000
+#: Lists that make an index, beside the items' ids.
+ARRAYS = ("at", "tokens", "lengths", "cut", "seeds", "item", "place")
 #: Pairs of positions that a task looks at together.
 PAIRS = 1 << 20
 
@@ -58,7 +65,7 @@ def runs_of(seeds: Iterable[tuple[int, int]], k: int) -> list[tuple[int, int, in
 
 
 def matches(a: np.ndarray, b: np.ndarray, at: np.ndarray, lists: list[np.ndarray], k: int) -> list[tuple[int, int, int]]:
-    """The same from places `at` of a, ascending, and of each the list of places in b that share its seed.
+    """The same from places `at` of a and of each the list of places in b that share its seed.
 
     Only seeds that no other precedes on their diagonal are kept, so a token that is repeated n and m times
     gives n + m matches, not n * m pairs; pairs are looked at some at a time.
@@ -106,116 +113,141 @@ def tiles(seeds: Iterable[tuple[int, int]], a: np.ndarray, b: np.ndarray, k: int
 
 
 class Index:
-    """Seeds of a block of benchmark items: sorted hashes for each seed length, with item and place."""
+    """Seeds of a block of benchmark items, for each seed length sorted by hash, item and place."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]], min_tile: int):
-        self.items = items
+    def __init__(self, ids: pa.Array, arrays: dict[str, np.ndarray]):
+        self.ids = ids
+        self.at, self.tokens, self.lengths, self.cut, self.seeds, self.item, self.place = (arrays[name] for name in ARRAYS)
+
+    @classmethod
+    def built(cls, ids: pa.Array, tokens: list[np.ndarray], min_tile: int) -> Index:
         by = defaultdict(list)
-        for n, (_, h) in enumerate(items):
+        for n, h in enumerate(tokens):
             k = min(min_tile, len(h))
             g = shingles(h, k)
-            by[k].append((g, np.full(len(g), n), np.arange(len(g))))
-        self.seeds = {}
-        for k, rows in by.items():
+            by[k].append((g, np.full(len(g), n, np.int32), np.arange(len(g), dtype=np.int32)))
+        parts = []
+        for rows in by.values():
             g, n, j = (np.concatenate(x) for x in zip(*rows, strict=True))
             order = np.argsort(g, kind="stable")
-            self.seeds[k] = (g[order], n[order], j[order])
-
-    def match(self, h: np.ndarray, coverage: float) -> Iterator[tuple[int, int, int, int, float]]:
-        for k, (g, items, places) in self.seeds.items():
-            own = shingles(h, k)
+            parts.append((g[order], n[order], j[order]))
+        ends = lambda sizes: np.cumsum([0, *map(len, sizes)])
+        seeds, item, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return cls(ids, dict(zip(ARRAYS, (ends(tokens), np.concatenate(tokens), np.array(list(by)), ends(x[0] for x in parts), seeds, item, place), strict=True)))
+
+    def file(self) -> pa.Buffer:
+        """The index as an Arrow file of one row, whose columns are lists."""
+        cols = {"ids": self.ids} | {name: pa.array(getattr(self, name)) for name in ARRAYS}
+        batch = pa.RecordBatch.from_pydict({name: pa.LargeListArray.from_arrays(pa.array([0, len(c)], pa.int64()), c) for name, c in cols.items()})
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_file(sink, batch.schema) as out:
+            out.write_batch(batch)
+        return sink.getvalue()
+
+    @classmethod
+    def mapped(cls, path: str) -> Index:
+        """The same from such a file, mapped into memory: only the pages that are looked at are loaded, and they can be dropped again."""
+        batch = pa.ipc.open_file(pa.memory_map(path)).get_batch(0)
+        return cls(batch["ids"].values, {name: batch[name].values.to_numpy() for name in ARRAYS})
+
+    def match(self, h: np.ndarray, coverage: float) -> Iterator[tuple[object, int, int, int, float]]:
+        """(item, tiles, tokens covered, tokens of the item, coverage) of each item that the text of tokens h leaks."""
+        for k, s, e in zip(self.lengths.tolist(), self.cut[:-1].tolist(), self.cut[1:].tolist(), strict=True):
+            own, g = shingles(h, k), self.seeds[s:e]
             if not len(own):
                 continue
             lo = np.searchsorted(g, own, "left")
             hit = np.flatnonzero(g[np.minimum(lo, len(g) - 1)] == own)
             if not len(hit):
                 continue
-            hi = np.searchsorted(g, own[hit], "right")
-            seen = np.unique(np.stack((lo[hit], hi), 1), axis=0)  # each shared seed once
-            span = np.concatenate([np.arange(s, e) for s, e in seen.tolist()])
-            for n in np.unique(items[span]).tolist():
-                item, b = self.items[n]
-                shared = np.sort(places[span[items[span] == n]])
+            first, seed = np.unique(lo[hit], return_inverse=True)  # each shared seed once
+            by_seed = np.argsort(seed, kind="stable")
+            hits = np.split(hit[by_seed], np.cumsum(np.bincount(seed))[:-1])
+            n = np.searchsorted(g, g[first], "right") - first
+            of = np.repeat(np.arange(len(first)), n)
+            span = s + np.arange(len(of)) + np.repeat(first - (np.cumsum(n) - n), n)
+            order = np.argsort(self.item[span], kind="stable")  # of each item, its seeds in order, each with its places
+            of, items, places = of[order], self.item[span[order]], self.place[span[order]]
+            begin = np.flatnonzero(np.diff(items, prepend=-1))
+            end = np.append(begin[1:], len(items))
+            enough = (end - begin) * k >= coverage * (self.at[items[begin] + 1] - self.at[items[begin]])
+            for x, y in zip(begin[enough].tolist(), end[enough].tolist(), strict=True):
+                n = int(items[x])
+                b, shared = self.tokens[self.at[n] : self.at[n + 1]], np.sort(places[x:y])
                 most = np.minimum(np.diff(shared, append=len(b)), k).sum()  # tokens that any shared seed covers
                 if most < coverage * len(b):
                     continue
-                of = {(s, e): np.arange(s, e)[items[s:e] == n] for s, e in seen.tolist()}
-                lists = [places[of[s, e]] for s, e in zip(lo[hit].tolist(), hi.tolist(), strict=True)]
-                found = tiled(matches(h, b, hit, lists, k), len(h), len(b), k)
-                covered = sum(x[2] for x in found)
+                which, cut = np.unique(of[x:y], return_index=True)
+                lists = np.split(places[x:y], cut[1:])
+                at = [hits[q] for q in which.tolist()]
+                found = tiled(matches(h, b, np.concatenate(at), [p for p, q in zip(lists, at, strict=True) for _ in q], k), len(h), len(b), k)
+                covered = sum(t[2] for t in found)
                 if covered >= coverage * len(b):
-                    yield item, len(found), covered, len(b), covered / len(b)
+                    yield self.ids[n].as_py(), len(found), covered, len(b), covered / len(b)
 
 
-def blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> Iterator[list[tuple[int, np.ndarray]]]:
-    """Items with distinct tokens, in blocks of about `limit` tokens."""
+def blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> Iterator[tuple[list, list[np.ndarray]]]:
+    """(ids, tokens) of items with distinct tokens, in blocks of about `limit` tokens."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0).to_pylist()
-            rows = [(ids[i], h.tobytes()) for i, h in tokens_of(b.column(1)) if len(h)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["id", "tokens"])
-
-    rows = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, tokens binary")
-    held, n = [], 0
-    for r in rows.groupBy("tokens").agg(F.min("id").alias("id")).orderBy("id").toLocalIterator():
-        held.append((r.id, np.frombuffer(r.tokens, np.uint64)))
-        n += len(r.tokens) // 8
+            rows = [(i, h.tobytes()) for i, h in tokens_of(b.column(1)) if len(h)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([r[0] for r in rows], pa.int64())), pa.array([r[1] for r in rows], pa.binary())], names=["id", "tokens"])
+
+    rows = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {dict(benchmark.dtypes)[id_col]}, tokens binary")
+    ids, held, n = [], [], 0
+    for r in rows.groupBy("tokens").agg(F.min("id").alias("id")).orderBy("id", "tokens").toLocalIterator():
+        ids.append(r.id)
+        held.append(np.frombuffer(r.tokens, np.uint64))
+        n += len(held[-1])
         if n >= limit:
-            yield held
-            held, n = [], 0
+            yield ids, held
+            ids, held, n = [], [], 0
     if held:
-        yield held
+        yield ids, held
+
 
+def index_files(benchmark: DataFrame, min_tile: int, id_col: str, text_col: str, block_tokens: int) -> list[str]:
+    """Names of the files, one for each block of the benchmark, that every executor gets; the driver holds one block at a time."""
+    spark, kind = benchmark.sparkSession, to_arrow_type(benchmark.schema[id_col].dataType)
+    return [shared_file(spark, "benchmark", Index.built(pa.array(ids, kind), tokens, min_tile).file()) for ids, tokens in blocks(benchmark, id_col, text_col, block_tokens)]
 
-def leaks(docs: DataFrame, benchmark: DataFrame, min_tile: int = MIN_TILE, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """(id, item_id, n_tiles, n_covered, n_item_tokens, coverage) for each document and item that it leaks."""
-    kind = dict(docs.dtypes)[id_col]
-    schema = f"id {kind}, item_id long, n_tiles int, n_covered int, n_item_tokens int, coverage double"
+
+def leaks(docs: DataFrame, benchmark: DataFrame, min_tile: int = MIN_TILE, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """(id, item, n_tiles, n_covered, n_item_tokens, coverage) for each document and item that it leaks; ids of either may be of any type."""
+    schema = f"id {dict(docs.dtypes)[id_col]}, item {dict(benchmark.dtypes)[item_col]}, n_tiles int, n_covered int, n_item_tokens int, coverage double"
+    item_kind = to_arrow_type(benchmark.schema[item_col].dataType)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sc = docs.sparkSession.sparkContext
-
-    def against(sent):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = Index(sent.value, min_tile)
-            for b in batches:
-                at, out = [], []
-                for i, h in tokens_of(b.column(1)):
+    names = index_files(benchmark, min_tile, item_col, item_text_col, block_tokens)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        indexes = [Index.mapped(SparkFiles.get(name)) for name in names]
+        for b in batches:
+            at, out = [], []
+            for i, h in tokens_of(b.column(1)):
+                for index in indexes:
                     for row in index.match(h, coverage):
                         at.append(i)
                         out.append(row)
-                cols = zip(*out, strict=True) if out else [[]] * 5
-                types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *(pa.array(list(c), t) for c, t in zip(cols, types, strict=True))], names=[x.split()[0] for x in schema.split(", ")])
-
-        return run
+            cols = zip(*out, strict=True) if out else [[]] * 5
+            types = [item_kind, pa.int32(), pa.int32(), pa.int32(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *(pa.array(list(c), t) for c, t in zip(cols, types, strict=True))], names=[x.split()[0] for x in schema.split(", ")])
 
-    found = [rows.mapInArrow(against(sc.broadcast(items)), schema) for items in blocks(benchmark, "item_id", "text", block_tokens)]
-    if not found:
-        return docs.sparkSession.createDataFrame([], schema).withColumnRenamed("id", id_col)
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionAll(more)
-    return out.withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, schema).withColumnsRenamed({"id": id_col, "item": item_col})
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, min_tile: int = MIN_TILE, coverage: float = COVERAGE, text_col: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, min_tile: int = MIN_TILE, coverage: float = COVERAGE, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """The rows of docs that leak no item, with all their columns."""
-    at, sc = docs.columns.index(text_col), docs.sparkSession.sparkContext
-
-    def against(sent):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = Index(sent.value, min_tile)
-            for b in batches:
-                keep = np.ones(b.num_rows, bool)
-                for i, h in tokens_of(b.column(at)):
-                    keep[i] = next(index.match(h, coverage), None) is None
-                yield b.filter(pa.array(keep))
-
-        return run
-
-    for items in blocks(benchmark, "item_id", "text", block_tokens):
-        docs = docs.mapInArrow(against(sc.broadcast(items)), docs.schema)
-    return docs
+    at, names = docs.columns.index(text_col), index_files(benchmark, min_tile, item_col, item_text_col, block_tokens)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        indexes = [Index.mapped(SparkFiles.get(name)) for name in names]
+        for b in batches:
+            keep = np.ones(b.num_rows, bool)
+            for i, h in tokens_of(b.column(at)):
+                keep[i] = not any(True for index in indexes for _ in index.match(h, coverage))
+            yield b.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,10 @@
 
 import collections
 import itertools
+import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from agora.llm import decontam, neardup
@@ -126,7 +128,7 @@ def test_matches_of_repeated_tokens(monkeypatch):
         assert decontam.tiled(got, len(a), len(b), 3) == plain_tiles(a.tolist(), b.tolist(), 3)
     monkeypatch.setattr(decontam, "PAIRS", 1 << 20)
     h, item = np.full(20_000, 7, np.uint64), np.full(1_000, 7, np.uint64)
-    assert [x[:4] for x in decontam.Index([(5, item)], 5).match(h, 0.6)] == [(5, 1, 1000, 1000)]
+    assert [x[:4] for x in decontam.Index.built(pa.array([5]), [item], 5).match(h, 0.6)] == [(5, 1, 1000, 1000)]
 
 
 def test_leaks(spark, docs, empty):
@@ -143,6 +145,51 @@ def test_leaks(spark, docs, empty):
     assert decontam.leaks(empty, bench).count() == decontam.leaks(docs, bench.limit(0)).count() == 0
 
 
+def plain_leaks(docs, items, k=5, coverage=0.6):
+    """(id, item, tiles, tokens covered) by tiling every text against every item, on tokens themselves."""
+    tokens = lambda text: re.findall(r"[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    own, out = {}, []
+    for i, text in items:
+        if t := tuple(tokens(text)):
+            own[t] = i if t not in own else min(own[t], i)
+    for d, text in docs:
+        a = tokens(text)
+        for b, i in own.items():
+            n = min(k, len(b))
+            if not {tuple(a[x : x + n]) for x in range(len(a) - n + 1)} & {b[x : x + n] for x in range(len(b) - n + 1)}:
+                continue
+            got = plain_tiles(a, list(b), n)
+            if (covered := sum(x[2] for x in got)) >= coverage * len(b):
+                out.append((d, i, len(got), covered))
+    return sorted(out)
+
+
+def test_leaks_of_a_table_equal_plain_tiling(spark):
+    """Blocks of one item, of some and of all; ids that are texts; many texts that share passages with many items."""
+    rng = np.random.default_rng(11)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 6, n)]
+    passages = [word(9) for _ in range(12)]
+    pick = lambda: [w for x in rng.integers(0, 12, 3) for w in passages[x]]
+    items = [(f"item-{n}", " ".join(pick())) for n in range(25)] + [("again", "W1 w2"), ("short", "w1, w2"), ("none", None)]
+    docs = [(f"doc-{n}", " ".join(pick() + word(8) + pick())) for n in range(20)] + [("empty", ""), ("null", None), ("tiny", "w1 w2")]
+    want = plain_leaks(docs, items)
+    assert len(want) > 50
+    d, bench = spark.createDataFrame(docs, "name string, body string"), spark.createDataFrame(items, "key string, passage string")
+    for block in (1, 200, 10**6):
+        names = {"text_col": "body", "item_col": "key", "item_text_col": "passage", "block_tokens": block}
+        got = decontam.leaks(d, bench, id_col="name", **names)
+        assert got.columns == ["name", "key", "n_tiles", "n_covered", "n_item_tokens", "coverage"]
+        assert sorted(tuple(r)[:4] for r in got.collect()) == want
+        assert sorted(r.name for r in decontam.without_leaks(d, bench, **names).collect()) == sorted(n for n, _ in docs if n not in {w[0] for w in want})
+
+
+def test_leaks_of_the_documents_equal_plain_tiling(spark):
+    rows = lambda name, *cols: [tuple(r) for r in spark.read.parquet(f"{SF}/{name}.parquet").select(*cols).collect()]
+    got = sorted((r.doc_id, r.item_id, r.n_tiles, r.n_covered) for r in decontam.op10_decontam(spark, SF).collect())
+    assert got == plain_leaks(rows("documents", "doc_id", "text"), rows("benchmark", "item_id", "text"))
+    assert got
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
