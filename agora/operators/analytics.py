@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import materialised
 
 def counts(df: DataFrame, *by: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("n"))
@@ -48,11 +49,19 @@ def peaks(days: DataFrame, over: int = 7, factor: float = 1.05) -> DataFrame:
     return days.withColumn("mean", F.avg("n").over(w)).where(F.col("n") > F.col("mean") * factor)
 
 
-def cooccurrence(df: DataFrame, key: str, item: str) -> DataFrame:
-    """(a, b, n) for items a < b that share a key, from the distinct items of each key; a join, which is split where a key is hot."""
-    seen = df.select(F.col(key).alias("k"), F.col(item).alias("a")).distinct()
+def cooccurrence(df: DataFrame, key: str, item: str, least: int = 1) -> DataFrame:
+    """(a, b, n) for items a < b that share `least` keys or more, from the distinct items of each key; a join, which is split where a key is hot.
+
+    A pair has no more keys than its rarer item, so items of fewer than `least` keys go before the join: a key of very many
+    items keeps those alone that come back elsewhere. With `least` 1 it makes a row for every pair of its items, as the result does.
+    Null keys and items count nowhere.
+    """
+    seen = df.select(F.col(key).alias("k"), F.col(item).alias("a")).na.drop().distinct()
+    if least > 1:
+        often = seen.groupBy("a").agg(F.count("*").alias("keys")).where(F.col("keys") >= least).select("a")
+        seen = materialised(seen.join(often, "a", "left_semi").select("k", "a"), "seen")
     pairs = seen.join(seen.withColumnRenamed("a", "b"), "k").where("a < b")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
 def canonical(name: Column) -> Column:

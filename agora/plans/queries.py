@@ -365,6 +365,15 @@ def cooccurrence(t):
     return analytics.cooccurrence(t("events"), "user_id", "event_type")
 
 
+_parts = "(SELECT DISTINCT sale_id, item_id FROM sale_lines WHERE sale_id IS NOT NULL AND item_id IS NOT NULL)"
+
+
+@query(f"SELECT x.item_id AS a, y.item_id AS b, count(*) AS n FROM {_parts} x JOIN {_parts} y ON x.sale_id = y.sale_id AND x.item_id < y.item_id GROUP BY ALL HAVING count(*) >= 3")
+def frequent_pairs(t):
+    """Items that three sales or more have together."""
+    return analytics.cooccurrence(t("sale_lines"), "sale_id", "item_id", 3)
+
+
 @query("SELECT canonical, max(p_brand) AS label, count(*) AS n FROM (SELECT trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', ' ', 'g')) AS canonical, p_brand FROM part) GROUP BY canonical")
 def merge_names(t):
     return analytics.merge_names(t("part"), "p_brand")
@@ -676,3 +685,17 @@ def vendor_chains(t):
     """Vendors that many sales have together, by their nations."""
     lines = t("sale_lines").select("sale_id", "vendor_id").join(t("vendors").select("vendor_id", "nation_id").na.drop().distinct(), "vendor_id")
     return chains.chains(lines, "sale_id", "nation_id", 0.002).select(F.array_join("elements", ",").alias("elements"), "n")
+
+
+def visit_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When each user's events would have been looked at, by a stream of the events."""
+    from ..streaming.visits import visits
+
+    home, schema = new_folder(spark, "visits"), spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/events.parque[t]")  # a pattern may be one file, a path must be a folder
+    out = visits(events, "user_id", "ts").writeStream.format("parquet").option("path", f"{home}/plan").option("checkpointLocation", f"{home}/checkpoint")
+    out.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{home}/plan")
+
+
+QUERIES["visit_plan"] = visit_plan

@@ -1,13 +1,18 @@
 """When to look at a source again: a plan of visits that follows how often the source changes.
 
-Each source has a timer in event time. A change of the source draws the expected gap between changes towards the gap just
-seen; a visit that finds no change since the last one doubles the wait. The plan depends on the events and the order of their
-times alone, so the same stream, replayed, gives the same visits.
+A change of the source draws the expected gap between changes towards the gap just seen, and the next visit is due one gap
+after the change, if that is sooner; a visit that finds no change since the last one doubles the wait. A visit counts the
+changes up to its own time. Changes wait in state until the watermark has passed them and are then taken in the order of
+their times, with the visits between them. So the plan depends on the times alone: the same events give the same visits,
+however they are cut into batches and in whatever order they come within the delay.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
+from datetime import UTC, datetime
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -17,7 +22,37 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from .state import with_store
 
 VISITS = T.StructType([T.StructField("source", T.StringType()), T.StructField("visit_at", T.TimestampType()), T.StructField("wait_s", T.LongType()), T.StructField("changes", T.LongType())])
-STATE = T.StructType([T.StructField("last_ms", T.LongType()), T.StructField("gap_ms", T.LongType()), T.StructField("wait_ms", T.LongType()), T.StructField("changes", T.LongType()), T.StructField("due_ms", T.LongType())])
+STATE = T.StructType([T.StructField(f"{name}_ms", T.LongType()) for name in ("last", "gap", "wait", "due", "timer")] + [T.StructField("changes", T.LongType())])
+PENDING = T.StructType([T.StructField("ms", T.LongType())])
+
+
+class Plan(NamedTuple):
+    last: int | None
+    gap: int
+    wait: int
+    due: int | None
+    changes: int
+
+
+def advanced(plan: Plan, times: list[int], mark: int, least: int, most: int, learn: float) -> tuple[list[tuple[int, int, int]], Plan]:
+    """The visits (at, wait, changes) before `mark` and the plan that follows, from the changes before it, in order; all in milliseconds."""
+    last, gap, wait, due, changes = plan
+    out = []
+    for ms in [*times, mark]:
+        while due is not None and due < ms:
+            out.append((due, wait, changes))
+            wait = gap if changes else min(2 * wait, most)
+            due, changes = due + wait, 0
+        if ms == mark:
+            break
+        if last is not None and ms > last:
+            gap = int(min(max(gap + learn * (ms - last - gap), least), most))
+        last, changes = ms, changes + 1
+        if due is None:
+            wait, due = gap, ms + gap
+        elif ms + gap < due:
+            wait, due = wait - (due - ms - gap), ms + gap
+    return out, Plan(last, gap, wait, due, changes)
 
 
 class Visits(StatefulProcessor):
@@ -25,39 +60,33 @@ class Visits(StatefulProcessor):
         self.least_ms, self.most_ms, self.learn = least_ms, most_ms, learn
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.state = handle, handle.getValueState("state", STATE)
-
-    def _within(self, ms: float) -> int:
-        return int(min(max(ms, self.least_ms), self.most_ms))
+        self.handle, self.state, self.pending = handle, handle.getValueState("state", STATE), handle.getListState("pending", PENDING)
+
+    def _advance(self, key, new: list[int], timerValues, fired: bool) -> Iterator[Row]:
+        last, gap, wait, due, timer, changes = self.state.get() if self.state.exists() else (None, self.most_ms, self.most_ms, None, None, 0)
+        mark = timerValues.getCurrentWatermarkInMs()
+        times = sorted([*(r[0] for r in self.pending.get()), *new]) if self.pending.exists() else sorted(new)
+        cut = bisect_left(times, mark)
+        out, plan = advanced(Plan(last, gap, wait, due, changes), times[:cut], mark, self.least_ms, self.most_ms, self.learn)
+        left = times[cut:]
+        if left:
+            self.pending.put([(ms,) for ms in left])
+        else:
+            self.pending.clear()
+        again = min(x for x in (plan.due, *left[:1]) if x is not None) + 1  # the watermark has passed what comes next
+        if fired or again != timer:
+            if timer is not None and not fired:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(again)
+        self.state.update((plan.last, plan.gap, plan.wait, plan.due, again, plan.changes))
+        for at, waited, seen in out:
+            yield Row(source=key[0], visit_at=datetime.fromtimestamp(at / 1000, UTC), wait_s=waited // 1000, changes=seen)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        last, gap, wait, changes, due = self.state.get() if self.state.exists() else (None, self.most_ms, self.most_ms, 0, None)
-        for ms in sorted(r.ms for r in rows):  # a source's changes in one batch
-            if last is not None and ms > last:
-                gap = self._within(gap + self.learn * (ms - last - gap))
-            last = ms if last is None else max(last, ms)
-            changes += 1
-        wait = gap
-        if due is None:
-            due = last + wait
-            self.handle.registerTimer(due)
-        elif last + wait < due and last + wait > timerValues.getCurrentWatermarkInMs():
-            self.handle.deleteTimer(due)
-            due = last + wait
-            self.handle.registerTimer(due)
-        self.state.update((last, gap, wait, changes, due))
-        return iter(())
+        return self._advance(key, [r.ms for r in rows], timerValues, False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        from datetime import UTC, datetime
-
-        last, gap, wait, changes, _ = self.state.get()
-        at = expiredTimerInfo.getExpiryTimeInMs()
-        yield Row(source=key[0], visit_at=datetime.fromtimestamp(at / 1000, UTC), wait_s=wait // 1000, changes=changes)
-        wait = gap if changes else self._within(2 * wait)
-        due = at + wait
-        self.handle.registerTimer(due)
-        self.state.update((last, gap, wait, 0, due))
+        return self._advance(key, [], timerValues, True)
 
     def close(self) -> None:
         pass
@@ -66,7 +95,8 @@ class Visits(StatefulProcessor):
 def visits(events: DataFrame, source: str, ts: str, delay: str = "1 hour", least_s: int = 600, most_s: int = 7 * 86400, learn: float = 0.3) -> DataFrame:
     """(source, visit_at, wait_s, changes) of a stream of events: when each source is due, how long was waited, and how many changes came since the visit before.
 
-    Events that come later than `delay` behind the newest one are left out; so are those without a time or a source.
+    Events that come later than `delay` behind the newest one are left out; so are those without a time or a source. The state
+    of a source is its plan and the times of its events within the delay; what a batch adds to it is bounded by the stream's own admission (`maxFilesPerTrigger`).
     """
     rows = with_store(events).select(F.col(source).cast("string").alias("source"), F.col(ts).cast("timestamp").alias("ts")).where("source is not null and ts is not null")
     timed = rows.withWatermark("ts", delay).withColumn("ms", F.unix_millis("ts"))

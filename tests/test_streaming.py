@@ -1,6 +1,7 @@
 """Keyed state: what a stream adds is what insert-or-ignore adds, over many batches and restarts."""
 
 import json
+import os
 import random
 import time
 
@@ -11,6 +12,8 @@ from agora.operators import ingest
 from agora.sources import landing
 from agora.streaming import ingest as streaming
 
+from .conftest import SF
+
 
 @pytest.fixture
 def one_partition(spark):
@@ -120,3 +123,62 @@ def test_visits_follow_changes(spark, tmp_path, one_partition):
     by = {s: [p for p in plans[0] if p[0] == s] for s in ("busy", "quiet", "late")}
     assert len(by["busy"]) > len(by["quiet"]) >= 1 and not by["late"]
     assert all(p[3] == 0 for p in by["quiet"][1:]) and by["busy"][-1][2] < 2 * 3600
+
+
+def plain_visits(times, mark, least, most, learn):
+    """Visits before mark, one millisecond of interest after the other."""
+    gap, out, last, due, prev, found = most, [], None, None, None, 0
+    times = sorted(t for t in times if t < mark)
+    while True:
+        if due is not None and due < mark and (not times or due < times[0]):
+            out.append((due, due - prev, found))
+            prev, due, found = due, due + (gap if found else min(2 * (due - prev), most)), 0
+        elif times:
+            t = times.pop(0)
+            if last is not None and t > last:
+                gap = int(min(max(gap + learn * (t - last - gap), least), most))
+            last, found = t, found + 1
+            if due is None:
+                prev, due = t, t + gap
+            due = min(due, t + gap)
+        else:
+            return out
+
+
+def test_visit_plan_equals_a_plain_one(spark):
+    """A source's events of a whole table, in one batch: visits fall between them as well."""
+    from agora.plans.queries import QUERIES
+
+    by = {}
+    for r in spark.read.parquet(f"{SF}/events.parquet").where("ts is not null and user_id is not null").selectExpr("cast(user_id as string) u", "unix_millis(cast(ts as timestamp)) ms").collect():
+        by.setdefault(r.u, []).append(r.ms)
+    mark = max(map(max, by.values())) - 3600 * 1000
+    want = sorted((u, at, wait // 1000, n) for u, times in by.items() for at, wait, n in plain_visits(times, mark, 600_000, 7 * 86_400_000, 0.3))
+    got = QUERIES["visit_plan"](spark, SF).selectExpr("source", "unix_millis(visit_at) at", "wait_s", "changes").collect()
+    assert sorted(map(tuple, got)) == want
+    assert len(want) > len(by)
+
+
+def test_visits_do_not_depend_on_batches(spark, tmp_path, one_partition):
+    """Shuffled within the delay, in one batch or in many."""
+    from datetime import datetime, timedelta
+
+    from agora.streaming.visits import visits
+
+    rng, begin = random.Random(3), datetime(2024, 1, 1)
+    times = [begin + timedelta(minutes=rng.randrange(10, 4000)) for _ in range(60)] + [begin + timedelta(days=4)]
+    near = sorted(times, key=lambda t: t + timedelta(minutes=rng.randrange(300)))
+    plans = []
+    for k, cut in enumerate((1000, 13)):
+        src = tmp_path / f"src{k}"
+        src.mkdir()
+        for n, at in enumerate(range(0, len(near), cut)):
+            (src / f"{n:03}.json").write_text("".join(json.dumps({"source": "x", "ts": t.isoformat() + "Z"}) + "\n" for t in near[at : at + cut]))
+            os.utime(src / f"{n:03}.json", (1e9 + n, 1e9 + n))
+        stream = spark.readStream.schema("source string, ts timestamp").option("maxFilesPerTrigger", 1).json(str(src))
+        out = visits(stream, "source", "ts", "12 hours", 1800, 86400).writeStream.format("parquet").option("path", str(tmp_path / f"to{k}")).option("checkpointLocation", str(tmp_path / f"at{k}"))
+        out.trigger(availableNow=True).start().awaitTermination()
+        plans.append(sorted(map(tuple, spark.read.parquet(str(tmp_path / f"to{k}")).selectExpr("unix_millis(visit_at) at", "wait_s", "changes").collect())))
+    utc = lambda t: int((t - datetime(1970, 1, 1)).total_seconds() * 1000)
+    want = plain_visits([utc(t) for t in times], utc(max(times)) - 12 * 3_600_000, 1_800_000, 86_400_000, 0.3)
+    assert plans[0] == plans[1] == sorted((at, wait // 1000, n) for at, wait, n in want)
