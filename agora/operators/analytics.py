@@ -52,16 +52,36 @@ def peaks(days: DataFrame, over: int = 7, factor: float = 1.05) -> DataFrame:
 def cooccurrence(df: DataFrame, key: str, item: str, least: int = 1) -> DataFrame:
     """(a, b, n) for items a < b that share `least` keys or more, from the distinct items of each key; a join, which is split where a key is hot.
 
-    A pair has no more keys than its rarer item, so items of fewer than `least` keys go before the join: a key of very many
-    items keeps those alone that come back elsewhere. With `least` 1 it makes a row for every pair of its items, as the result does.
+    A pair has no more keys than its rarer item, so items of fewer than `least` keys go before the join; `meetings` says how
+    large keys are kept from it. With `least` 1 it makes a row for every pair of items of a key, as the result does.
     Null keys and items count nowhere.
     """
     seen = df.select(F.col(key).alias("k"), F.col(item).alias("a")).na.drop().distinct()
     if least > 1:
-        often = seen.groupBy("a").agg(F.count("*").alias("keys")).where(F.col("keys") >= least).select("a")
-        seen = materialised(seen.join(often, "a", "left_semi").select("k", "a"), "seen")
+        n = F.count("*") + F.max("besides")
+        return meetings(materialised(seen, "seen"), least).groupBy("a", "b").agg(n.alias("n")).where(F.col("n") >= least)
     pairs = seen.join(seen.withColumnRenamed("a", "b"), "k").where("a < b")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
+
+
+def meetings(seen: DataFrame, least: int, large: int = 100) -> DataFrame:
+    """(a, b, besides): rows for items a < b of the distinct (k, a); a pair of `least` keys or more has a row for each but the `besides` of its keys.
+
+    An item is led by its `least` - 1 largest keys among those of over `large` items, all keys in one order. Of the keys that a pair
+    shares, the last in that order leads neither item, so items that are led by a key need not meet there: such keys are compared
+    as two short lists once the pair meets elsewhere, and a row is made only where the key leads one of both at most. A key that
+    leads all its items, like the one largest of all, makes no row at all. `large` changes the work, not the pairs.
+    """
+    sizes = seen.groupBy("k").agg(F.count("*").alias("size")).where(F.col("size") > large)
+    largest = Window.partitionBy("a").orderBy(F.desc("size"), "k")  # large keys alone
+    led = seen.join(sizes, "k").withColumn("nth", F.row_number().over(largest)).where(F.col("nth") < least).groupBy("a").agg(F.collect_list("k").alias("led"))
+    often = seen.groupBy("a").agg(F.count("*").alias("keys")).where(F.col("keys") >= least)
+    items = often.join(led, "a", "left").select("a", F.coalesce("led", F.array()).alias("led"))
+    each = materialised(seen.join(items, "a").select("k", "a", "led", F.array_contains("led", F.col("k")).alias("leads")), "seen")
+    free = each.where("not leads").select("k", F.col("a").alias("x"), F.col("led").alias("x_led"))
+    met = free.join(each.select("k", F.col("a").alias("y"), F.col("led").alias("y_led"), "leads"), "k").where("x < y or leads")
+    both = F.when((F.size("x_led") > 0) & (F.size("y_led") > 0), F.size(F.array_intersect("x_led", "y_led"))).otherwise(0)
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), both.alias("besides"))
 
 
 def canonical(name: Column) -> Column:

@@ -250,3 +250,38 @@ def test_chains_equal_enumeration(spark, closed):
     want = {s: v for s, v in often.items() if len(s) > 1 and not (closed and any(set(s) < set(u) and w == v for u, w in often.items()))}
     got = {tuple(r.elements): r.n for r in chains(spark.createDataFrame(rows, "k int, e string"), "k", "e", 9 / sum(map(bool, baskets.values())) - 1e-9, closed).collect()}
     assert got == want and len(want) > 10
+
+
+def test_keys_of_very_many_items_meet_elsewhere(spark):
+    """Rows that are made for pairs grow with the items of the two largest keys, not with their square; all counts stay."""
+    from agora.operators.analytics import cooccurrence, meetings
+
+    rng = random.Random(5)
+    many = {(f"large{k}", i) for k in range(2) for i in range(3000) if (i + k) % 7}
+    few = {(f"s{k}", i) for k in range(4000) for i in rng.sample(range(3000), 3)} | {(f"again{k}", i) for k in range(2) for i in (3, 5, 2999)}
+    rows = sorted(many | few)
+    by, want = {}, {}
+    for k, i in rows:
+        by.setdefault(i, set()).add(k)
+    seen = spark.createDataFrame(rows, "k string, a int")
+    assert meetings(seen, 3).count() < 5 * len(rows)
+    for a in by:
+        for b in by:
+            if a < b and (n := len(by[a] & by[b])) >= 3:
+                want[a, b] = n
+    assert {(r.a, r.b): r.n for r in cooccurrence(seen, "k", "a", 3).collect()} == want
+    assert want[3, 5] >= 3
+
+
+@pytest.mark.parametrize("least", [2, 3, 5])
+@pytest.mark.parametrize("large", [0, 4, 20, 1000])
+def test_pairs_do_not_depend_on_what_is_large(spark, least, large):
+    from agora.operators.analytics import meetings
+
+    rng = random.Random(least)
+    keys = {k: set(rng.sample(range(40), rng.choice((2, 3, 5, 25, 30)))) for k in range(40)}
+    keys[40] = keys[41] = keys[42] = keys[43] = set(range(40))
+    want = {(a, b): n for a in range(40) for b in range(a + 1, 40) if (n := sum({a, b} <= s for s in keys.values())) >= least}
+    seen = spark.createDataFrame([(k, a) for k, s in keys.items() for a in s], "k int, a int")
+    got = meetings(seen, least, large).groupBy("a", "b").agg({"*": "count", "besides": "max"}).collect()
+    assert {(r.a, r.b): n for r in got if (n := r["count(1)"] + r["max(besides)"]) >= least} == want
