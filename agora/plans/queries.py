@@ -688,11 +688,11 @@ def vendor_chains(t):
 
 
 def visit_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """When each user's events would have been looked at, by a stream of the events."""
+    """When each user's events would have been looked at, by a stream of the events; one batch, so that no file of the table is late."""
     from ..streaming.visits import visits
 
     home, schema = new_folder(spark, "visits"), spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/events.parque[t]")  # a pattern may be one file, a path must be a folder
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern may be one file, a path must be a folder
     out = visits(events, "user_id", "ts").writeStream.format("parquet").option("path", f"{home}/plan").option("checkpointLocation", f"{home}/checkpoint")
     out.trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{home}/plan")

@@ -9,9 +9,9 @@ however they are cut into batches and in whatever order they come within the del
 
 from __future__ import annotations
 
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
-from datetime import UTC, datetime
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Row
@@ -21,9 +21,11 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from .state import with_store
 
-VISITS = T.StructType([T.StructField("source", T.StringType()), T.StructField("visit_at", T.TimestampType()), T.StructField("wait_s", T.LongType()), T.StructField("changes", T.LongType())])
-STATE = T.StructType([T.StructField(f"{name}_ms", T.LongType()) for name in ("last", "gap", "wait", "due", "timer")] + [T.StructField("changes", T.LongType())])
-PENDING = T.StructType([T.StructField("ms", T.LongType())])
+#: The visits of a source that a batch or a timer gives, as lists of equal length: a row for each source costs far less than one for each visit.
+VISITS = T.StructType([T.StructField("source", T.StringType())] + [T.StructField(name, T.ArrayType(T.LongType())) for name in ("at_ms", "wait_ms", "changes")])
+STATE = T.StructType([T.StructField(f"{name}_ms", T.LongType()) for name in ("last", "gap", "wait", "due", "timer")] + [T.StructField("changes", T.LongType()), T.StructField("waiting", T.LongType())])
+#: Times that wait, as 64-bit numbers in bytes, so many in a value of the list at most.
+PENDING, CHUNK = T.StructType([T.StructField("times", T.BinaryType())]), 65_536
 
 
 class Plan(NamedTuple):
@@ -63,27 +65,35 @@ class Visits(StatefulProcessor):
         self.handle, self.state, self.pending = handle, handle.getValueState("state", STATE), handle.getListState("pending", PENDING)
 
     def _advance(self, key, new: list[int], timerValues, fired: bool) -> Iterator[Row]:
-        last, gap, wait, due, timer, changes = self.state.get() if self.state.exists() else (None, self.most_ms, self.most_ms, None, None, 0)
+        last, gap, wait, due, timer, changes, waiting = self.state.get() if self.state.exists() else (None, self.most_ms, self.most_ms, None, None, 0, 0)
         mark = timerValues.getCurrentWatermarkInMs()
-        times = sorted([*(r[0] for r in self.pending.get()), *new]) if self.pending.exists() else sorted(new)
+        times = array("q")
+        if waiting:
+            for (chunk,) in self.pending.get():
+                times.frombytes(chunk)
+        times = sorted([*times, *new]) if new else times.tolist()  # what waits is in order
         cut = bisect_left(times, mark)
         out, plan = advanced(Plan(last, gap, wait, due, changes), times[:cut], mark, self.least_ms, self.most_ms, self.learn)
         left = times[cut:]
-        if left:
-            self.pending.put([(ms,) for ms in left])
-        else:
+        if left and (new or cut):
+            self.pending.put([(array("q", left[i : i + CHUNK]).tobytes(),) for i in range(0, len(left), CHUNK)])
+        elif waiting and not left:
             self.pending.clear()
+        if plan.due is None and not left:
+            return  # a source that is late alone
         again = min(x for x in (plan.due, *left[:1]) if x is not None) + 1  # the watermark has passed what comes next
         if fired or again != timer:
             if timer is not None and not fired:
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(again)
-        self.state.update((plan.last, plan.gap, plan.wait, plan.due, again, plan.changes))
-        for at, waited, seen in out:
-            yield Row(source=key[0], visit_at=datetime.fromtimestamp(at / 1000, UTC), wait_s=waited // 1000, changes=seen)
+        self.state.update((plan.last, plan.gap, plan.wait, plan.due, again, plan.changes, len(left)))
+        if out:
+            at, waited, seen = map(list, zip(*out, strict=True))
+            yield Row(source=key[0], at_ms=at, wait_ms=waited, changes=seen)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        return self._advance(key, [r.ms for r in rows], timerValues, False)
+        mark = timerValues.getCurrentWatermarkInMs()  # of the batches before
+        return self._advance(key, [ms for _, ms in rows if ms >= mark], timerValues, False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         return self._advance(key, [], timerValues, True)
@@ -95,9 +105,11 @@ class Visits(StatefulProcessor):
 def visits(events: DataFrame, source: str, ts: str, delay: str = "1 hour", least_s: int = 600, most_s: int = 7 * 86400, learn: float = 0.3) -> DataFrame:
     """(source, visit_at, wait_s, changes) of a stream of events: when each source is due, how long was waited, and how many changes came since the visit before.
 
-    Events that come later than `delay` behind the newest one are left out; so are those without a time or a source. The state
+    Events that come later than `delay` behind the newest one of the batches before are left out; so are those without a time or a source. The state
     of a source is its plan and the times of its events within the delay; what a batch adds to it is bounded by the stream's own admission (`maxFilesPerTrigger`).
     """
     rows = with_store(events).select(F.col(source).cast("string").alias("source"), F.col(ts).cast("timestamp").alias("ts")).where("source is not null and ts is not null")
-    timed = rows.withWatermark("ts", delay).withColumn("ms", F.unix_millis("ts"))
-    return timed.groupBy("source").transformWithState(Visits(least_s * 1000, most_s * 1000, learn), VISITS, "append", "eventTime")
+    timed = rows.withWatermark("ts", delay).select("source", F.unix_millis("ts").alias("ms"))  # every column of every event is made a Python value; late ones are left out there
+    planned = timed.groupBy("source").transformWithState(Visits(least_s * 1000, most_s * 1000, learn), VISITS, "append", "eventTime")
+    each = planned.select("source", F.inline(F.arrays_zip("at_ms", "wait_ms", "changes")))
+    return each.select("source", F.timestamp_millis("at_ms").alias("visit_at"), F.expr("wait_ms div 1000").alias("wait_s"), "changes")

@@ -182,3 +182,23 @@ def test_visits_do_not_depend_on_batches(spark, tmp_path, one_partition):
     utc = lambda t: int((t - datetime(1970, 1, 1)).total_seconds() * 1000)
     want = plain_visits([utc(t) for t in times], utc(max(times)) - 12 * 3_600_000, 1_800_000, 86_400_000, 0.3)
     assert plans[0] == plans[1] == sorted((at, wait // 1000, n) for at, wait, n in want)
+
+
+def test_visit_plan_of_a_table_in_many_files(spark, tmp_path):
+    """No file is late, whatever the times in it; a source of more times than one value of its state holds is whole."""
+    from pyspark.sql import functions as F
+
+    from agora.plans.queries import QUERIES
+
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    busy = spark.range(70_000).select(F.col("id").alias("event_id"), F.timestamp_seconds(1_704_067_200 + F.col("id") * 37 % 2_500_000).cast("timestamp_ntz").alias("ts"), F.lit(-1).cast("long").alias("user_id"))
+    whole = events.unionByName(busy, allowMissingColumns=True)
+    by = {}
+    for r in whole.where("ts is not null and user_id is not null").selectExpr("cast(user_id as string) u", "unix_millis(cast(ts as timestamp)) ms").collect():
+        by.setdefault(r.u, []).append(r.ms)
+    mark = max(map(max, by.values())) - 3600 * 1000
+    want = sorted((u, at, wait // 1000, n) for u, times in by.items() for at, wait, n in plain_visits(times, mark, 600_000, 7 * 86_400_000, 0.3))
+    for k in range(4):
+        whole.where(F.col("event_id") % 4 == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    got = QUERIES["visit_plan"](spark, str(tmp_path)).selectExpr("source", "unix_millis(visit_at) at", "wait_s", "changes").collect()
+    assert sorted(map(tuple, got)) == want
