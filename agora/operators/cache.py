@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import small_batches
+
 KEYS = ("author_username", "video_id")
 
 
@@ -151,7 +153,8 @@ def with_stage_cache(df: DataFrame, path: str, keys: tuple[str, ...], stage: Cal
     spark, run = df.sparkSession, uuid.uuid4().hex
     runs = committed(spark, path)
     fresh = stage(unseen(df, path, keys, schema, runs)).select(*T.StructType.fromDDL(schema).names).withColumn("logged_at", F.current_timestamp())
-    fresh.write.parquet(f"{path}/run-{run}")
+    with small_batches(spark):
+        fresh.write.parquet(f"{path}/run-{run}")
     commit(spark, path, run, keys, schema)
     return stage_table(spark, path, schema)
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..config import LOCALES, NA_TOKENS
 from ..functions import frames, strict, text, urls
 from ..operators import analytics, annotators, bursts, cache, chains, extract, graph, ingest, models, names
-from ..operators.shared import new_folder
+from ..operators.shared import materialised, new_folder, small_batches
 from ..sources import corpus
 from ..streaming.windows import tumbling
 
@@ -397,7 +397,8 @@ def pick_one(t):
 def _model(task: str):
     def run(t) -> DataFrame:
         rows = cache.todo(t("documents").select("doc_id", "text"), t("labels"), ("doc_id",))
-        return models.run_stage(rows, task, models.FakeClient, F.col("text"), ("doc_id",))
+        with small_batches(rows.sparkSession):
+            return materialised(models.run_stage(rows, task, models.FakeClient, F.col("text"), ("doc_id",)), "stage")
 
     run.__name__ = f"model_{task}"
     query(f"SELECT doc_id::VARCHAR AS doc_id, true AS ok, '{task}:' || length(text)::VARCHAR AS value, NULL::VARCHAR AS error FROM documents ANTI JOIN labels USING (doc_id)")(run)

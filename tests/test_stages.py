@@ -131,3 +131,23 @@ def test_enrichment_asks_each_row_once(spark, tmp_path, log, rooted):
         path = f"{tmp_path}/root/sentiment/{models.SPECS['sentiment'].version}"
         lost = cache.errors(spark, path, "videoId string, ok boolean, value string, error string").collect()
         assert len(lost) == 3 * unparsable and {(r.value, r.error) for r in lost} == {("no JSON", "reply does not fit its schema")}
+
+
+class _Sizes:
+    """What was asked at once, in characters."""
+
+    def run(self, task, inputs):
+        return [str(sum(map(len, inputs)))] * len(inputs)
+
+
+def test_long_rows_come_to_clients_in_small_batches(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from agora.operators import cache, models
+
+    key = ("videoId",)
+    rows = spark.range(0, 300, 1, 1).select(F.col("id").cast("string").alias("videoId"), F.repeat(F.lit("x"), 100_000).alias("text"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
+    done = cache.with_stage_cache(rows, str(tmp_path), key, lambda df: models.run_stage(df, "summary", _Sizes, F.col("text"), key), "videoId string, ok boolean, value string, error string").collect()
+    assert len(done) == 300 and all(0 < int(r.value) <= 5_000_000 for r in done)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) == before
