@@ -11,7 +11,7 @@ NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan
 #: The locale that a site address carries for each country of collection.
 LOCALES = {"Bulgaria": "bg-BG", "Croatia": "hr-HR", "Finland": "fi-FI", "France": "fr-FR", "Germany": "de-DE", "Global": "en-IE", "Hungary": "hu-HU", "Poland": "pl-PL", "Portugal": "pt-PT", "Spain": "es-ES", "Sweden": "sv-SE"}
 DEFAULT_LOCALE = "en-IE"
-#: Seconds between keyframes, seconds looked at, frames at most, and characters translated.
+#: Seconds between keyframes; of a short plan its seconds and frames at most; and characters that are translated at once.
 FRAME_STEP, FRAME_CAP, MAX_FRAMES, TRANSLATE_CHARS = 30, 180, 6, 3000
 #: Languages that on-screen text is read in.
 OCR_LANGUAGES = ("en", "fr", "pl", "sv", "pt", "de", "es", "hu", "hr")

@@ -14,9 +14,10 @@ def duration(frames: Column, fps: Column) -> Column:
     return F.floor(F.try_divide(frames.cast("double"), fps.cast("double"))).cast("int")
 
 
-def frame_offsets(seconds: Column) -> Column:
-    """0, 30, ... below the duration, of which 180 seconds count; none at 0 or below, null for null."""
-    end = F.when(seconds.isNotNull(), F.least(seconds.cast("int"), F.lit(FRAME_CAP)))  # least alone would skip a null
+def frame_offsets(seconds: Column, cap: int | None = FRAME_CAP) -> Column:
+    """0, 30, ... below the duration, of which `cap` seconds count, or all where it is None; none at 0 or below, null for null."""
+    whole = seconds.cast("int")
+    end = whole if cap is None else F.when(whole.isNotNull(), F.least(whole, F.lit(cap)))  # least alone would skip a null
     return F.when(end > 0, F.sequence(F.lit(0), end - 1, F.lit(FRAME_STEP))).when(end.isNotNull(), F.array().cast("array<int>"))
 
 

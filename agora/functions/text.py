@@ -80,6 +80,22 @@ def translate_input(c: Column) -> Column:
     return F.substring(c, 1, TRANSLATE_CHARS)
 
 
+def translate_pieces(c: Column) -> Column:
+    """The whole text in pieces of so many characters at most, in order, each up to a white space where it has one; '' is one piece."""
+    n = TRANSLATE_CHARS
+    return F.when(c == "", F.array(c)).otherwise(F.regexp_extract_all(c, F.lit(rf"(?s).{{1,{n}}}\z|.{{0,{n - 1}}}\s|.{{1,{n}}}"), F.lit(0)))
+
+
+def pieces_joined(pieces: Column) -> Column:
+    """The text of array<struct<said, english>>: translations, and originals where there is none. White space at which the original was cut is kept."""
+
+    def piece(p: Column, i: Column) -> Column:
+        cut = F.concat(F.regexp_replace(p["english"], r"\s+\z", ""), F.regexp_extract(p["said"], r"\s*\z", 0))
+        return F.coalesce(F.when(i < F.size(pieces) - 1, cut).otherwise(p["english"]), p["said"])
+
+    return F.array_join(F.transform(pieces, piece), "")
+
+
 def lines_joined(lines: Column) -> Column:
     """Every line followed by a line break; '' without lines."""
     return F.when(F.size(F.coalesce(lines, F.array())) > 0, F.concat(F.array_join(lines, "\n", ""), F.lit("\n"))).otherwise(F.lit(""))

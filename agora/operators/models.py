@@ -122,18 +122,26 @@ def ocr_text(lines: Column) -> Column:
 
 
 def frame_plan_rows(df: DataFrame, seconds: Column, path: Column, keys: tuple[str, ...]) -> DataFrame:
-    """One row per planned frame: (keys..., frame_number, offset_s, path)."""
-    plan = df.select(*keys, path.alias("path"), F.posexplode(frame_offsets(seconds)).alias("n", "offset_s"))
+    """One row per frame, planned over the whole duration: (keys..., frame_number, offset_s, path)."""
+    plan = df.select(*keys, path.alias("path"), F.posexplode(frame_offsets(seconds, None)).alias("n", "offset_s"))
     return plan.select(*keys, (F.col("n") + 1).alias("frame_number"), F.col("offset_s").cast("int").alias("offset_s"), "path")
 
 
+#: Frames of one file that are decoded at once, half an hour of it, and bytes of images that Python keeps before it hands them on.
+FRAMES_AT_ONCE, IMAGE_BYTES = 60, 4 << 20
+
+
 def keyframes(plan: DataFrame, decode: Callable[[str, list[int]], list[bytes | None]] | None, keys: tuple[str, ...]) -> DataFrame:
-    """The planned frames decoded, each file opened once: (keys..., frame_number, offset_s, ok, image, error). Decoding is gated: without a decoder, images are null and not ok."""
-    files = plan.groupBy(*keys, "path").agg(F.array_sort(F.collect_list(F.struct("offset_s", "frame_number"))).alias("wanted"))  # a few frames for each video
+    """The planned frames decoded, a file opened once for each half hour: (keys..., frame_number, offset_s, ok, image, error). Decoding is gated: without a decoder, images are null and not ok."""
+    part = F.floor((F.col("frame_number").cast("int") - 1) / FRAMES_AT_ONCE).alias("part")
+    files = plan.groupBy(*keys, "path", part).agg(F.array_sort(F.collect_list(F.struct("offset_s", "frame_number"))).alias("wanted")).drop("part")  # FRAMES_AT_ONCE at most
+
+    def table(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=[*keys, "frame_number", "offset_s", "ok", "image", "error"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
+            rows, size = [], 0
             for r in pdf.itertuples(index=False):
                 offsets, why = [int(w["offset_s"]) for w in r.wanted], None if decode else "no decoder"
                 try:
@@ -141,7 +149,12 @@ def keyframes(plan: DataFrame, decode: Callable[[str, list[int]], list[bytes | N
                 except Exception as e:
                     images, why = [None] * len(offsets), str(e)[:500]
                 rows += [(*(getattr(r, k) for k in keys), w["frame_number"], s, image is not None, image, None if image is not None else why or "no image") for w, s, image in zip(r.wanted, offsets, images, strict=True)]
-            yield pd.DataFrame(rows, columns=[*keys, "frame_number", "offset_s", "ok", "image", "error"])
+                size += sum(len(image) for image in images if image is not None)
+                if size >= IMAGE_BYTES:
+                    yield table(rows)
+                    rows, size = [], 0
+            if rows:
+                yield table(rows)
 
     kinds = dict(plan.dtypes)
     return files.mapInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"frame_number {kinds['frame_number']}", "offset_s int, ok boolean, image binary, error string"]))

@@ -74,7 +74,7 @@ FRAMES = "videoId string, frame_number string, offset_s int, ok boolean, image b
 
 
 def with_frames(videos: DataFrame, stages: Stages, decode: Decoder | None, path: Column) -> DataFrame:
-    """Adds `frames`: each planned keyframe with its on-screen text and its description; what fails is null there and does not stop the rest."""
+    """Adds `frames`: each keyframe of the whole video with its on-screen text and its description; what fails is null there and does not stop the rest."""
     key, each = ("videoId",), ("videoId", "frame_number")
     images = stages.frames(models.frame_plan_rows(cache.keyed(videos, key), F.col("videoDuration"), path, key), decode)
     image = F.col("image")
@@ -86,12 +86,15 @@ def with_frames(videos: DataFrame, stages: Stages, decode: Decoder | None, path:
 
 
 def with_transcripts(videos: DataFrame, stages: Stages, path: Column) -> DataFrame:
-    """Adds `whisperResult`, the speech in English where a translation was had, and `language`; a failed translation keeps the original."""
-    key = ("videoId",)
+    """Adds `whisperResult`, the speech in English where a translation was had, and `language`; all speech is translated, in pieces, and a piece whose translation fails keeps the original."""
+    key, each = ("videoId",), ("videoId", "piece")
     spoken = stages("transcribe", videos, path, key).select("videoId", F.col("value").alias("speech"))
     named = stages("language", spoken, F.col("speech"), key).select("videoId", F.col("value").alias("language"))
-    english = stages("translate", spoken, text.translate_input(F.col("speech")), key).select("videoId", F.col("value").alias("english"))
-    heard = spoken.join(named, "videoId", "left").join(english, "videoId", "left").select("videoId", F.coalesce("english", "speech").alias("whisperResult"), "language")
+    pieces = cache.keyed(spoken.select("videoId", F.posexplode(text.translate_pieces(F.col("speech"))).alias("piece", "said")), each)
+    english = stages("translate", pieces, F.col("said"), each).select(*each, F.col("value").alias("english"))
+    one = F.struct(F.col("piece").cast("int").alias("piece"), "said", "english")
+    told = pieces.join(english, list(each), "left").groupBy("videoId").agg(F.array_sort(F.collect_set(one)).alias("pieces"))
+    heard = spoken.join(named, "videoId", "left").join(told, "videoId", "left").select("videoId", text.pieces_joined(F.col("pieces")).alias("whisperResult"), "language")
     return cache.keyed(videos, key).drop("whisperResult", "language").join(heard, "videoId", "left")
 
 

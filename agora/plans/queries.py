@@ -435,7 +435,7 @@ _FRAME = "'### Frame ' || (i // 30 + 1)::VARCHAR || ' at ' || i::VARCHAR || ' se
 
 
 @query(f"""WITH d AS (SELECT doc_id, doc_id::VARCHAR AS id, 'speech ' || doc_id::VARCHAR || ' said' AS speech, doc_id % 5 <> 0 AS heard, doc_id % 7 <> 0 AS translated FROM documents),
-f AS (SELECT id, string_agg({_FRAME}, '' ORDER BY i) FILTER (WHERE i <> 60) AS report, count(*) AS n FROM (SELECT doc_id::VARCHAR AS id, unnest(range(0, least(n_chars // 20, 180), 30)) AS i FROM documents) GROUP BY id),
+f AS (SELECT id, string_agg({_FRAME}, '' ORDER BY i) FILTER (WHERE i <> 60) AS report, count(*) AS n FROM (SELECT doc_id::VARCHAR AS id, unnest(range(0, n_chars // 20, 30)) AS i FROM documents) GROUP BY id),
 m AS (SELECT video_id AS id, metadata FROM (SELECT doc_id::VARCHAR AS video_id, {_BLOCK} AS metadata FROM documents)),
 s AS (SELECT d.id, coalesce(n, 0) AS n_frames, CASE WHEN heard THEN CASE WHEN translated THEN 'english ' || speech ELSE speech END END AS transcript,
   'summary of ' || length('Frames:' || chr(10) || coalesce(report, '') || chr(10) || chr(10) || 'Metadata:' || chr(10) || metadata || chr(10) || chr(10) || 'Transcript:' || chr(10) || coalesce(transcript, '') || chr(10) || chr(10) || 'Analyse the politics of this video from the three sources above.')::VARCHAR AS summary

@@ -29,6 +29,13 @@ def test_frame_count_is_a_ceiling(spark, ds):
     assert all(r.n == max(0, math.ceil(min(r.d, 180) / 30)) for r in got)
 
 
+def test_frames_of_the_whole_duration(spark):
+    want = {0: 0, 1: 1, 180: 6, 181: 7, 10000: 334, -5: 0, None: None}
+    got = spark.createDataFrame([(d,) for d in want], "d long").select("d", frames.frame_offsets(F.col("d"), None).alias("s")).collect()
+    assert {r.d: r.s if r.s is None else len(r.s) for r in got} == want
+    assert all(r.s == list(range(0, r.d, 30)) for r in got if r.d is not None)
+
+
 def test_duration(spark):
     assert one(spark, frames.duration(F.lit(100), F.lit(30)), a=1) == 3
     assert one(spark, frames.duration(F.lit(100), F.lit(0)), a=1) is None
@@ -55,6 +62,19 @@ def test_text_helpers(spark):
     assert one(spark, text.translate_input(F.col("s")), s="é" * 4000) == "é" * 3000
 
 
+@pytest.mark.parametrize("s", ["", "a b ", "x" * 3000, "x" * 3001, " " * 7000, "word " * 3000, "é😀" * 4000, "a\n" * 2999 + "b" * 3001 + "\n"])
+def test_translated_pieces_are_the_whole_text(spark, s):
+    got = one(spark, text.translate_pieces(F.col("s")), s=s)
+    assert "".join(got) == s and max(map(len, got)) <= 3000 and (len(got) == 1) is (len(s) <= 3000)
+    assert all(p[-1].isspace() for p, after in zip(got, got[1:]) if any(map(str.isspace, p)))
+
+
+def test_translated_pieces_are_joined(spark):
+    df = spark.sql("SELECT array(named_struct('said', 'un deux\n', 'english', 'one two'), named_struct('said', 'trois ', 'english', null), named_struct('said', '四', 'english', 'four'), named_struct('said', ' cinq ', 'english', ' five')) AS p")
+    assert df.select(text.pieces_joined(F.col("p")).alias("x")).first().x == "one two\ntrois four five"
+    assert df.select(text.pieces_joined(F.lit(None).cast("array<struct<said:string,english:string>>")).alias("x")).first().x is None
+
+
 def test_report_skips_null_and_empty(spark):
     df = spark.sql("SELECT array(named_struct('frame_number', 1, 'offset_s', 0, 'ocr', 'o', 'analysis', 'a'), named_struct('frame_number', 2, 'offset_s', 30, 'ocr', null, 'analysis', ''), named_struct('frame_number', 3, 'offset_s', 60, 'ocr', null, 'analysis', null), named_struct('frame_number', 4, 'offset_s', 90, 'ocr', null, 'analysis', 'd')) AS f")
     got = df.select(frames.frame_report(F.col("f")).alias("x")).first().x

@@ -161,6 +161,20 @@ def test_keyframes(spark):
     assert {r.error for r in models.keyframes(plan, None, ("id",)).collect()} == {"no decoder"}
 
 
+def test_keyframes_of_a_long_file_are_decoded_in_parts(spark, tmp_path):
+    plan = models.frame_plan_rows(spark.createDataFrame([("1", "p", 5 * 3600 + 1), ("2", "q", 31)], "id string, path string, s int"), F.col("s"), F.col("path"), ("id",))
+    log = str(tmp_path)
+
+    def decode(path, offsets):
+        with open(f"{log}/{path}-{offsets[0]}", "w") as f:
+            f.write(str(len(offsets)))
+        return [b"%d" % s + b"x" * 100_000 for s in offsets]
+
+    rows = models.keyframes(plan, decode, ("id",)).select("id", "frame_number", "offset_s", "ok", F.expr("int(string(substring(image, 1, length(image) - 100000)))").alias("at")).collect()
+    assert sorted(map(tuple, rows)) == [("1", k + 1, 30 * k, True, 30 * k) for k in range(601)] + [("2", 1, 0, True, 0), ("2", 2, 30, True, 30)]
+    assert sorted((p.name, int(p.read_text())) for p in tmp_path.iterdir()) == sorted([(f"p-{1800 * k}", 60) for k in range(10)] + [("p-18000", 1), ("q-0", 2)])
+
+
 def test_enrich(spark, tmp_path):
     sentiment = json.dumps({"topics": ["t"], "entities": [], "positive": [], "neutral": [], "negative": []})
     formula = json.dumps({"populism_analysis": "a", "populism_us": [{"populism_element": " People ", "populism_affect": "hope"}], "populism_frontier": [{"populism_element": "elite", "populism_affect": "deep anger"}]})

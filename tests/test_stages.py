@@ -133,6 +133,31 @@ def test_enrichment_asks_each_row_once(spark, tmp_path, log, rooted):
         assert len(lost) == 3 * unparsable and {(r.value, r.error) for r in lost} == {("no JSON", "reply does not fit its schema")}
 
 
+class _Speaker(_Stub):
+    """Speech of 1,000 words."""
+
+    def run(self, task, inputs):
+        if task == "transcribe":
+            return [" ".join(f"mot{x}.{k}" for k in range(1000)) for x in inputs]
+        if task == "translate":
+            return [ValueError("no translate") if "mot2.500 " in x or len(x) > 3000 else x.replace("mot", "word").strip() for x in inputs]
+        return super().run(task, inputs)
+
+
+def test_long_videos_are_enriched_whole(spark, tmp_path):
+    """Keyframes past the third minute and speech past the 3,000th character."""
+    docs = spark.createDataFrame([(i, "x", "en", "s", 20 * n) for i, n in ((1, 1000), (2, 181), (3, 180))], "doc_id long, text string, lang string, source string, n_chars long")
+    decode = lambda path, offsets: [f"{path}@{s}".encode() for s in offsets]
+    for _ in range(2):
+        rows = {r.videoId: r for r in enrichment.enrich(as_videos(docs), str(tmp_path), _Speaker, decode=decode, media=F.col("videoId")).collect()}
+        assert {k: [f.offset_s for f in r.frames] for k, r in rows.items()} == {"1": list(range(0, 1000, 30)), "2": list(range(0, 181, 30)), "3": list(range(0, 180, 30))}
+        assert all([f.frame_number for f in r.frames] == list(range(1, len(r.frames) + 1)) and all(f.ocr == f"o {k}@{f.offset_s}" for f in r.frames) for k, r in rows.items())
+        words = {k: r.whisperResult.split(" ") for k, r in rows.items()}
+        assert all(words[k] == [f"word{k}.{n}" for n in range(1000)] for k in ("1", "3"))
+        kept = [n for n, w in enumerate(words["2"]) if w == f"mot2.{n}"]
+        assert 500 in kept and 0 < len(kept) < 1000 and all(w == f"word2.{n}" for n, w in enumerate(words["2"]) if n not in kept) and len(words["2"]) == 1000
+
+
 class _Sizes:
     """What was asked at once, in characters."""
 
